@@ -4,18 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash_near_dedup
+from . import decontamination, document_fingerprints, simhash_near_dedup, url_filters
 from .common import table
 
 
+def op1_document_fingerprints(spark, sf_dir):
+    found = document_fingerprints.against_next(table(spark, sf_dir, "documents"))
+    short = lambda c: F.sha2(F.col(c), 256).alias(c)
+    return found.select("doc_id", "n_chars", "edited_sha256", short("fingerprint"), short("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op2_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort("found.items")
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), decontamination.is_contaminated(F.col("found")).alias("contaminated"),
+    )
+
+
+def op5_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = url_filters.labels_of_pages(pages, table(spark, sf_dir, "labels"))
+    return url_filters.judged(pages, labelled).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     found = simhash_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries():
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    found = (op1_document_fingerprints, op2_decontamination, op5_url_filters, op10_simhash_near_dedup)
+    return {f.__name__: f for f in found}
+
+
+_OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT item_id, w, least(13, len(w)) AS l FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, l, array_to_string(w[p : p + l - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS p FROM x)),
+dw AS (SELECT doc_id, l, p, array_to_string(w[p : p + l - 1], ' ') AS g FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM d, (SELECT DISTINCT l FROM x))),
+h AS (SELECT doc_id, item_id, dw.l, p FROM dw JOIN iw ON dw.l = iw.l AND dw.g = iw.g),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op2_decontamination": _OP2}
