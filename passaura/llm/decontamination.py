@@ -20,7 +20,7 @@ from .common import fresh, prepare, written
 
 WIDTH, BLOCK_CHARS = 13, 4_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # A-Z too: texts are not folded where spans are cut
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
