@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, document_fingerprints, simhash_near_dedup, url_filters
+from . import decontamination, document_fingerprints, html_extraction, simhash_near_dedup, url_filters
 from .common import table
 
 
@@ -30,13 +30,18 @@ def op5_url_filters(spark, sf_dir):
     return url_filters.judged(pages, labelled).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def op7_html_extraction(spark, sf_dir):
+    found = html_extraction.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     found = simhash_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op5_url_filters, op10_simhash_near_dedup)
+    found = (op1_document_fingerprints, op2_decontamination, op5_url_filters, op7_html_extraction, op10_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
