@@ -223,8 +223,8 @@ def training_pages(n: int = 160, seed: int = 7) -> list[str]:
         text = sentence(1, 3) if kind < 0.25 else sentence(4, 20) if kind < 0.5 else " ".join(sentence(8, 30) for _ in range(r.randint(1, 6)))
         if kind > 0.85:
             text = f"{text} {link(1, 3)} {sentence(3, 12)}"
-        if 0.8 < kind < 0.85:
-            text = link(1, 4)
+        if kind > 0.93:
+            text = f"{words(1, 3)} {link(2, 6)} {sentence(1, 5)}"
         if 0.75 < kind < 0.8:
             text = words(1, 12)
         return f"<p>{r.choice(['', '<b>', '<em>'])}{text}{r.choice(['</p>', '</p>', '<br>'])}"
@@ -241,7 +241,8 @@ def training_pages(n: int = 160, seed: int = 7) -> list[str]:
     aside = lambda: r.choice([f"<aside><h3>{words(1, 4)}</h3><p>{text()}</p>{menu()}</aside>", f'<div {named("sidebar", "widget", "sidebar-right", "complementary")}><p>{text()}</p>{menu()}</div>'])
     top = lambda: r.choice([f"<header><h1>{words(1, 4)}</h1><p>{text()}</p></header>", f'<div {named("header", "masthead", "topbar", "banner")}><p>{text()}</p></div>', ""])
     bottom = lambda: r.choice([f"<footer>&copy; {text()}</footer>", f'<div {named("footer", "copyright", "legal", "contentinfo")}><p>{text()}</p></div>', f"<footer><p>{text()}</p>{menu()}</footer>", ""])
-    nav = lambda: r.choice([f"<nav>{menu()}</nav>", f'<div {named("menu", "nav", "navbar", "main-menu", "navigation")}>{menu()}</div>'])
+    bare = lambda: r.choice([menu(), f"<div>{menu()}</div>", f"<p>{' | '.join(link(1, 2) for _ in range(r.randint(3, 7)))}</p>", f"<div>{many(lambda: link(1, 3) + ' ', 3, 6)}</div>"])
+    nav = lambda: r.choice([bare(), f"<nav>{menu()}</nav>", f'<div {named("menu", "nav", "navbar", "main-menu", "navigation")}>{menu()}</div>'])
     out = []
     for k in range(n):
         inner = "".join(part() for _ in range(r.randint(1, 9)))
@@ -252,7 +253,7 @@ def training_pages(n: int = 160, seed: int = 7) -> list[str]:
         article = f'<{wrap[0]}{wrap[1]} data-keep="1">{body}</{wrap[0]}>'
         if k % 5 == 0:
             article = f'<div class="{r.choice(["page with-sidebar", "wrapper", "layout", "container"])}">{article}</div>'
-        rest = [f() for f in r.sample([advert, notice, share, aside, form, comments], r.randint(0, 4))]
+        rest = [f() for f in r.sample([advert, notice, share, aside, form, comments, bare], r.randint(0, 4))]
         cut = r.randint(0, len(rest))
         page = f"<html><head><title>{words(1, 8)}</title></head><body>{top()}{nav()}{''.join(rest[:cut])}{article}{''.join(rest[cut:])}{bottom()}</body></html>"
         out.append(page[: -r.randint(1, 20)] if k % 7 == 0 else page)
