@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, document_fingerprints, html_extraction, simhash_near_dedup, url_filters
+from . import decontamination, document_fingerprints, html_extraction, quality_classifier, simhash_near_dedup, url_filters
 from .common import table
 
 
@@ -24,6 +24,13 @@ def op2_decontamination(spark, sf_dir):
     )
 
 
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = quality_classifier.trained(docs, table(spark, sf_dir, "labels"))
+    found = quality_classifier.judged(docs, model, F.col("source"), F.col("lang"))
+    return found.select("doc_id", "quality.*")
+
+
 def op5_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labelled = url_filters.labels_of_pages(pages, table(spark, sf_dir, "labels"))
@@ -41,7 +48,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op5_url_filters, op7_html_extraction, op10_simhash_near_dedup)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op5_url_filters, op7_html_extraction, op10_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
