@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, document_fingerprints, html_extraction, quality_classifier, simhash_near_dedup, url_filters
+from . import decontamination, document_fingerprints, html_extraction, quality_classifier, simhash_near_dedup, substring_dedup, url_filters
 from .common import table
 
 
@@ -42,13 +42,18 @@ def op7_html_extraction(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "removed_words", "text")
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     found = simhash_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op5_url_filters, op7_html_extraction, op10_simhash_near_dedup)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op5_url_filters, op7_html_extraction, op9_substring_dedup, op10_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
