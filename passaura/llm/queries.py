@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from . import decontamination, document_fingerprints, html_extraction, quality_classifier, simhash_near_dedup, substring_dedup, url_filters
+from . import decontamination, document_fingerprints, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, url_filters
 from .common import table
 
+#: Where the public tokenizers' files lie.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 
 def op1_document_fingerprints(spark, sf_dir):
     found = document_fingerprints.against_next(table(spark, sf_dir, "documents"))
@@ -42,6 +47,13 @@ def op7_html_extraction(spark, sf_dir):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_sentencepiece_codec(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentencepiece_codec.coded(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    lossless = sentencepiece_codec.is_lossless(F.col("text"), F.col("coded.decoded"))
+    return found.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", lossless.alias("lossless"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "removed_words", "text")
@@ -53,7 +65,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op5_url_filters, op7_html_extraction, op9_substring_dedup, op10_simhash_near_dedup)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op5_url_filters, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
