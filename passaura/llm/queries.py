@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import decontamination, document_fingerprints, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, url_filters
+from . import decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
 from .common import table
 
 #: Where the public tokenizers' files lie.
@@ -36,6 +36,25 @@ def op3_quality_classifier(spark, sf_dir):
     return found.select("doc_id", "quality.*")
 
 
+def op4_token_counts(spark, sf_dir):
+    """Each text, and the text after three edits: a twentieth goes at a third, the first 40 characters come again in the middle, the last is replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    third, twentieth = F.floor(n / 3).cast("int"), F.floor(n / 20).cast("int")
+    edit = lambda start, stop, text: F.struct(start.alias("start"), stop.alias("stop"), text.alias("text"))
+    left = n - twentieth
+    middle = F.floor(left / 2).cast("int")
+    again = left + F.least(n, F.lit(40))
+    edits = F.array(edit(third, third + twentieth, F.lit("")), edit(middle, middle, F.substring("text", 1, 40)), edit(again - 1, again, F.lit("!")))
+    found = edit_token_counts.edit_counts(docs.withColumn("edits", edits), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "edits")
+    return found.select("doc_id", "counts.n_tokens", "counts.n_tokens_edited", "counts.n_chars_edited", "counts.n_chars_recounted")
+
+
+def op6_token_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_packing.packed(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op5_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labelled = url_filters.labels_of_pages(pages, table(spark, sf_dir, "labels"))
@@ -65,7 +84,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op5_url_filters, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
