@@ -1,0 +1,80 @@
+"""Backends for images over libraries that are imported on use: decoding, variants, detection, reading.
+
+Each raises a clear error where its library is not installed. All are made once in a worker.
+"""
+
+from __future__ import annotations
+
+import importlib
+
+#: The sets of variants that plates are read from, and what a reader may return.
+VARIANTS = {"three": ("scaled", "equalised", "otsu_inverted"), "five": ("scaled", "blurred", "otsu", "otsu_inverted", "adaptive"), "one": ("bilateral_adaptive",)}
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def needed(name: str, package: str):
+    try:
+        return importlib.import_module(name)
+    except ImportError as e:
+        raise RuntimeError(f"this backend needs the package {package}; install it or pass a backend of your own") from e
+
+
+def decoded(content: bytes):
+    """The pixels of an image, blue, green, red; None if it is none."""
+    cv2, np = needed("cv2", "opencv-python"), needed("numpy", "numpy")
+    return cv2.imdecode(np.frombuffer(content, np.uint8), cv2.IMREAD_COLOR) if content else None
+
+
+def variants(crop, kind: str = "three", width: int = 600) -> list:
+    """The variants of a plate's crop, enlarged at least threefold and to `width`, gray and cleared of noise."""
+    cv2, np = needed("cv2", "opencv-python"), needed("numpy", "numpy")
+    gray = lambda x: cv2.cvtColor(x, cv2.COLOR_BGR2GRAY)
+    if kind == "one":
+        smooth = cv2.bilateralFilter(gray(crop), 11, 17, 17)
+        even = cv2.createCLAHE(2.0, (8, 8)).apply(smooth)
+        return [cv2.adaptiveThreshold(even, 255, cv2.ADAPTIVE_THRESH_GAUSSIAN_C, cv2.THRESH_BINARY, 11, 2)]
+    factor = max(3.0, width / max(crop.shape[1], 1))
+    big = gray(cv2.resize(crop, None, fx=factor, fy=factor, interpolation=cv2.INTER_CUBIC))
+    calm = cv2.fastNlMeansDenoising(big, None, 10, 7, 21)
+    even = cv2.createCLAHE(1.2, (8, 8)).apply(calm)
+    cut = lambda x, how: cv2.threshold(x, 0, 255, how + cv2.THRESH_OTSU)[1]
+    if kind == "three":
+        return [big, even, cut(even, cv2.THRESH_BINARY_INV)]
+    soft = cv2.GaussianBlur(even, (3, 3), 0)
+    square = np.ones((2, 2), np.uint8)
+    local = cv2.adaptiveThreshold(soft, 255, cv2.ADAPTIVE_THRESH_GAUSSIAN_C, cv2.THRESH_BINARY, 31, 9)
+    return [big, soft, cut(soft, cv2.THRESH_BINARY), cut(soft, cv2.THRESH_BINARY_INV), cv2.erode(cv2.morphologyEx(local, cv2.MORPH_OPEN, square), square)]
+
+
+class YoloDetector:
+    """Boxes by a YOLO model of given weights, images of a batch together."""
+
+    def __init__(self, weights: str, size: int = 640, confidence: float = 0.25, overlap: float = 0.45, device: str | None = None, half: bool = False):
+        self.model = needed("ultralytics", "ultralytics").YOLO(weights)
+        self.options = {"imgsz": size, "conf": confidence, "iou": overlap, "half": half, "verbose": False} | ({"device": device} if device else {})
+
+    def detect(self, contents: list[bytes]) -> list[list[tuple[float, float, float, float, float]]]:
+        out: list[list] = [[] for _ in contents]
+        shown = [(k, x) for k, x in enumerate(map(decoded, contents)) if x is not None]
+        if shown:
+            for (k, _), found in zip(shown, self.model.predict([x for _, x in shown], **self.options), strict=True):
+                out[k] = [(*map(float, b.xyxy[0]), float(b.conf[0])) for b in found.boxes]
+        return out
+
+
+class EasyOcrReader:
+    """Texts of a box's variants by EasyOCR, letters and digits only, with their confidences."""
+
+    def __init__(self, kind: str = "three", languages: tuple[str, ...] = ("pt",), gpu: bool = False, decoder: str = "greedy", threshold: float = 0.35):
+        self.reader = needed("easyocr", "easyocr").Reader(list(languages), gpu=gpu)
+        self.kind, self.options = kind, {"allowlist": ALPHABET, "decoder": decoder, "text_threshold": threshold, "detail": 1}
+
+    def read(self, content: bytes, box: tuple[int, int, int, int]) -> list[list[tuple[str, float]]]:
+        pixels = decoded(content)
+        if pixels is None:
+            return []
+        x1, y1, x2, y2 = (max(0, v) for v in box)
+        crop = pixels[y1:y2, x1:x2]
+        if min(crop.shape[:2]) < 2:
+            return []
+        return [[(t, float(c)) for _, t, c in self.reader.readtext(v, **self.options)] for v in variants(crop, self.kind)]

@@ -1,0 +1,163 @@
+"""Workbooks built here with the standard library, PDF pages by a stand-in backend, readings by a table."""
+
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from passaura.plans import providers
+from passaura.sources import files, pdf, xlsx
+
+DRAW = "http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing"
+ART = "http://schemas.openxmlformats.org/drawingml/2006/main"
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def book(path, rows, pictures=(), title="Plan1"):
+    """rows {row: {col: value}}; pictures (row from 1, row offset, kind, name, bytes)."""
+    width = max(c for r in rows.values() for c in r)
+    top = max(rows)
+    data = io.BytesIO()
+    xlsx.workbook_bytes({title: ([rows.get(1, {}).get(c) for c in range(1, width + 1)], [tuple(rows.get(r, {}).get(c) for c in range(1, width + 1)) for r in range(2, top + 1)])}, data)
+    with zipfile.ZipFile(data, "a") as z:
+        if pictures:
+            z.writestr("xl/worksheets/_rels/sheet1.xml.rels", f'<Relationships xmlns="{PKG}"><Relationship Id="d" Type="{REL}/drawing" Target="../drawings/drawing1.xml"/></Relationships>')
+            anchors = "".join(f'<x:{k}><x:from><x:col>0</x:col><x:row>{r - 1}</x:row><x:rowOff>{o}</x:rowOff></x:from><x:pic><x:blipFill><a:blip r:embed="r{n}"/></x:blipFill></x:pic></x:{k}>' for n, (r, o, k, _, _) in enumerate(pictures))
+            z.writestr("xl/drawings/drawing1.xml", f'<x:wsDr xmlns:x="{DRAW}" xmlns:a="{ART}" xmlns:r="{REL}">{anchors}</x:wsDr>')
+            links = "".join(f'<Relationship Id="r{n}" Type="{REL}/image" Target="/xl/media/{p[3]}"/>' for n, p in enumerate(pictures))
+            z.writestr("xl/drawings/_rels/drawing1.xml.rels", f'<Relationships xmlns="{PKG}">{links}</Relationships>')
+            for p in pictures:
+                z.writestr(f"xl/media/{p[3]}", p[4])
+    path.write_bytes(data.getvalue())
+
+
+def read(images):
+    """The stand-in reader: an image's bytes are its text."""
+    return images.select("passage_id", "image_ix", F.nullif(F.decode("content", "UTF-8"), F.lit("")).alias("ocr_text"))
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_cells_and_write(spark, tmp_path):
+    out = str(tmp_path / "a.xlsx")
+    df = spark.createDataFrame([(1, "x<&>", 2.5, None, True)], "i int, s string, d double, n string, b boolean")
+    assert xlsx.write({"One": df, "Two": df.select("s")}, f"file://{out}")
+    assert not xlsx.write({"One": df.where("i > 1")}, f"file://{tmp_path}/none.xlsx") and not (tmp_path / "none.xlsx").exists()
+    found = {(r.sheet, r.row, r.col): (r.raw, r.type) for r in xlsx.cells(files.files(spark, str(tmp_path), "XLSX")).collect()}
+    assert found["One", 2, 1] == ("1", "int") and found["One", 2, 2] == ("x<&>", "str") and found["One", 2, 3] == ("2.5", "float") and found["One", 2, 5] == ("1", "bool")
+    assert ("One", 2, 4) not in found and found["Two", 1, 1] == ("s", "str")
+
+
+def test_broken_workbook_gives_no_rows(spark, tmp_path):
+    (tmp_path / "b.xlsx").write_bytes(b"no zip")
+    assert xlsx.cells(files.files(spark, str(tmp_path), "xlsx")).count() == 0
+
+
+def test_entry_limit(tmp_path):
+    book(tmp_path / "c.xlsx", {1: {1: "x"}})
+    with pytest.raises(ValueError, match="larger"):
+        list(xlsx.Workbook((tmp_path / "c.xlsx").read_bytes(), largest=10).cells())
+
+
+def test_spvias(spark, tmp_path):
+    block = lambda k, plate: {1: k, 2: f"ID{k}", 3: "01/02/2024", 12: plate, 14: "2"}
+    two = "twoCellAnchor"
+    book(tmp_path / "a.xlsx", {1: {1: "title"}, 3: block(1, "ABC1234"), 9: block(2, "XYZ9A87"), 12: block(3, "QQQ0000")},
+         [(1, 0, two, "image1.png", b"ABC1234"), (2, 0, two, "image2.png", b"ABC1234"), (5, 0, two, "image3.png", b"AB01234"), (4, 0, two, "image4.png", b"ABC1234"), (10, 0, two, "image5.png", b"XYZ9A88"), (11, 0, "oneCellAnchor", "image6.png", b"XYZ9A87")])
+    found = {r["ID Sistema"]: r for r in rows(providers.pipeline(spark, "spvias", str(tmp_path), read))}
+    assert list(found) and set(found) == {"ID1", "ID2", "ID3"}
+    one = found["ID1"]  # the anchor of row 5 comes first in the drawing; the exact reading is the second
+    assert one["Status OCR"] == "Aprovado - busca nas imagens" and one["Imagem Usada"] == "2" and one["Total Imagens"] == "2" and one["Diferença OCR"] == "0.0" and one["Linha Excel"] == "3"
+    assert found["ID2"]["Diferença OCR"] == "1.0" and found["ID2"]["Total Imagens"] == "1"  # one-cell anchors do not count here
+    assert found["ID3"]["Status OCR"] == "Revisar - sem imagem" and found["ID3"]["Diferença OCR"] == "999.0"
+
+
+def test_colinas(spark, tmp_path):
+    two = "twoCellAnchor"
+    book(tmp_path / "a.xlsx", {1: {1: "t"}, 6: {2: "C1", 3: "01/02/2024", 12: "ABC1234", 14: "2"}}, [(5, 0, two, "image1.png", b"ABC1234"), (6, 0, two, "image2.emf", b"ABC1234"), (8, 0, two, "image3.png", b"ABC1294")], title="Fotos")
+    (r,) = rows(providers.pipeline(spark, "colinas", str(tmp_path), read))
+    assert r["ID"] == "C1" and r["Total Imagens"] == "1" and r["Diferença OCR"] == "1.0" and r["Placa OCR"] == "ABC1234"
+
+
+def test_eixovp(spark, tmp_path):
+    book(tmp_path / "a.xlsx", {1: {1: "x"}, 3: {1: "Placa", 2: "ID_PASSAGEM", 3: "DATA HORA", 4: "Foto 1"}, 4: {1: "ABC1234", 2: "P1", 3: "d", 4: "f.png"}, 5: {1: "ABC1234", 2: "P2", 3: "d"}, 6: {1: "ZZZ9999", 2: "P3", 3: "d", 4: "none.png"}},
+         [(4, 190000, "oneCellAnchor", "image9.png", b"ABC9999"), (4, 0, "twoCellAnchor", "image8.png", b"QQQ1111")])
+    (tmp_path / "f.png").write_bytes(b"ABD1243")
+    found = {r["ID_PASSAGEM"]: r for r in rows(providers.pipeline(spark, "eixovp", str(tmp_path), read))}
+    assert found["P1"]["Caracteres coincidentes"] == "6" and found["P1"]["Origem Imagem"] == "Foto 1" and found["P1"]["Status OCR"] == "Aprovado - busca nas imagens"
+    assert found["P2"]["OCR Bruto"] == "ABC9999" and found["P2"]["Caracteres coincidentes"] == "3" and found["P2"]["Linha Excel"] == "5"  # the row-height shift
+    assert found["P3"]["Status OCR"] == "Revisar - sem imagem"
+
+
+def test_bandeiras(spark, tmp_path):
+    book(tmp_path / "a.xlsx", {1: {1: "x"}, 8: {1: "ID Transacao", 2: "Data Passagem", 3: "Hora Passagem", 4: "Categoria", 5: "Placa", 6: "Imagem da Passagem 1"}, 9: {1: "B1", 2: "d", 3: "h", 4: "1", 5: "ABC1234", 6: "f.png"}})
+    (tmp_path / "f.png").write_bytes(b"ABC1234")
+    (r,) = rows(providers.pipeline(spark, "bandeiras", str(tmp_path), read))
+    assert r["ID"] == "B1" and r["Caracteres coincidentes"] == "7" and r["Coluna Imagem Usada"] == "Imagem da Passagem 1"
+
+
+def test_tamoios(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    for name, text in (("a1-F01.jpg", "ABC1234"), ("a1-F02.jpg", "ABC1934"), ("zz9-x.PNG", "X"), ("nohyphen.png", "X")):
+        (tmp_path / "img" / name).write_bytes(text.encode())
+    book(tmp_path / "ref.xlsx", {1: {1: "x"}, 5: {1: "Id Passagem", 2: "PLACA Veículo", 3: "Data"}, 6: {1: "a1", 2: "ZZZ0000"}, 7: {1: " A1 ", 2: "abc1234", 3: "d"}})
+    found = {r["Arquivo"]: r for r in rows(providers.pipeline(spark, "tamoios", str(tmp_path / "img"), read, sheet=str(tmp_path / "ref.xlsx")))}
+    assert found["a1-F01.jpg"]["Status OCR"] == "Aprovado - busca nas imagens" and found["a1-F01.jpg"]["Data"] == "d"  # the last of repeated ids
+    assert found["zz9-x.PNG"]["Status ID"] == "ID não encontrado na planilha" and found["zz9-x.PNG"]["Total Imagens"] == "1" and found["zz9-x.PNG"]["Status OCR"] == ""
+    assert found["nohyphen.png"]["Status ID"] == "ID fora do padrão" and found["nohyphen.png"]["ID Extraído"] == "NOHYPHEN"
+    provider = providers.PROVIDERS["tamoios"]
+    whole = providers.evaluated(provider, *provider.read(spark, str(tmp_path / "img"), sheet=str(tmp_path / "ref.xlsx")), read)
+    best = {r["id"]: r for r in rows(providers.best_of_folder(whole))}
+    assert best["A1"]["file"] == "a1-F01.jpg" and best["A1"]["score"] == 0 and best["ZZ9"]["score"] == 300 + 1000 + 999
+
+
+def backend(content):
+    """A stand-in for a PDF library: the file is JSON of pages."""
+    for text, images in json.loads(content):
+        yield text, [{"width": 400, "height": 300, "x0": 0.0, "y0": float(n), "x1": 100.0, "y1": float(n + 50), "content": t.encode()} | ({} if len(t) > 1 else {"width": 10}) for n, t in enumerate(images)]
+
+
+def pdf_file(path, *pages):
+    path.write_text(json.dumps(pages))
+
+
+def test_autoban(spark, tmp_path):
+    text = "top\nData/Hora\n01/02/2024 10:00:00\n02\nABC1234\nData/Hora none\nData/Hora\n02/02/2024 10:00:00\n1\nXYZ9A87\n"
+    pdf_file(tmp_path / "a.pdf", (text, ["ABC1239", "x", "ABC1234", "ABC1234", "XYZ9A87"]))
+    found = {r["Placa (Texto)"]: r for r in rows(providers.pipeline(spark, "autoban", str(tmp_path), read, backend=backend))}
+    assert found["ABC1234"]["Imagem Usada"] == "2" and found["ABC1234"]["Qtd Imagens Candidatas"] == "3" and found["ABC1234"]["Pagina"] == "1"
+    assert found["XYZ9A87"]["Qtd Imagens Candidatas"] == "1" and found["XYZ9A87"]["Diferenca OCR"] == "0.0"
+
+
+def test_eixosp(spark, tmp_path):
+    pdf_file(tmp_path / "a.pdf", ("Data do transito\n01/02/2024 10:00:00\n12AB0123456789\n03\nABC1234\n", ["ABC1294"]), ("no id", ["X"]), ("9AB0123456789", []))
+    found = {r["ID Extraído"]: r for r in rows(providers.pipeline(spark, "eixosp", str(tmp_path), read, backend=backend))}
+    one = found["12AB0123456789"]
+    assert one["Placa OCR"] == "ABC1294" and one["Status OCR"] == "Aprovado - busca nas imagens" and one["Categoria"] == "03" and one["Prioridade"] == "0"
+    assert found["9AB0123456789"]["Placa Planilha"] == "N/A" and found["9AB0123456789"]["Categoria"] == "01" and len(found) == 2
+
+
+def test_ecovias(spark, tmp_path):
+    pdf_file(tmp_path / "a.pdf", ("Head\nE77 31/02/2024 10:00:00 SP330 12+300 Posto Azul 3 Norte Vila 55 ABC1234 Alfa - KA 1 R$ 9,70 Envio\nend", ["ABC1234", "ABC1235"]))
+    (r,) = rows(providers.pipeline(spark, "ecovias", str(tmp_path), read, backend=backend))
+    assert r["ID"] == "E77" and r["Status Passagem"] == "Revisar - dados da passagem" and r["Alertas Passagem"] == "data invalida" and r["Eixos"] == "1" and r["Total Imagens"] == "2" and r["Imagens c/ OCR"] == "1"
+
+
+def test_intervias(spark, tmp_path):
+    line = "AAAA0000000000000001 01/02/2024 10:00:00 330 KM 1+2 PRACA 2 SUL CIDADE 68 ABC1234 MARCA /MODELO X 2 11,20 R$ NOME"
+    pdf_file(tmp_path / "a.pdf", (f"t\n{line}\n", ["ABC1234"]), ("second", ["ABC1234"]))
+    (r,) = rows(providers.pipeline(spark, "intervias", str(tmp_path), read, backend=backend))
+    assert r["Modelo"] == "MARCA /MODELO X" and r["KM"] == "KM 1+2" and r["Responsável"] == "NOME" and r["Total Imagens"] == "1" and r["Status OCR"] == "Aprovado - busca nas imagens"
+
+
+def test_pdf_library_missing():
+    try:
+        import fitz  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="backend"):
+            list(pdf.default_backend(b""))
