@@ -60,6 +60,8 @@ def _pair_hashes(data: bytes) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     w, n = np.concatenate(words), np.concatenate(lines)
+    if not len(w):
+        return w
     same = np.concatenate(([False], n[1:] == n[:-1], [False]))
     alone = w[~same[:-1] & ~same[1:]]
     return np.concatenate((alone, _mixed(w[:-1] + np.uint64(3) * w[1:])[same[1:-1]]))
