@@ -99,13 +99,20 @@ def distance(expected: Column, read: Column) -> Column:
     """
     hundred = F.lit(100)
 
+    def cost(x: Column, y: Column) -> Column:
+        return F.when(x == y, F.lit(0)).when(F.instr(F.lit(_CONFUSED), F.concat(x, y)) > 0, F.lit(35)).otherwise(hundred)
+
     def cell(above, left, diagonal, x, y):
-        cost = F.when(x == y, F.lit(0)).when(F.instr(F.lit(_CONFUSED), F.concat(x, y)) > 0, F.lit(35)).otherwise(hundred)
-        return F.least(above + hundred, left + hundred, diagonal + cost)
+        return F.least(above + hundred, left + hundred, diagonal + cost(x, y))
+
+    def in_place(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(_letters(a), _letters(b), cost), F.lit(0), lambda n, x: n + x)
 
     def of(s: Column) -> Column:
         a, b = s["a"], s["b"]
-        return F.when((a == "") | (b == ""), F.lit(UNREAD_COST)).when(a == b, F.lit(0.0)).otherwise(_table(a, b, hundred, cell) / F.lit(100.0))
+        # of equal lengths, a way that inserts also deletes and costs 200 or more: exchanges up to that are the least
+        by_exchange = F.when(F.length(a) == F.length(b), bound(in_place(a, b), lambda n: F.when(n <= 200, n)))
+        return F.when((a == "") | (b == ""), F.lit(UNREAD_COST)).when(a == b, F.lit(0.0)).otherwise(F.coalesce(by_exchange, _table(a, b, hundred, cell)) / F.lit(100.0))
 
     return bound(F.struct(F.coalesce(clean(expected), F.lit("")).alias("a"), F.coalesce(clean(read), F.lit("")).alias("b")), of)
 
