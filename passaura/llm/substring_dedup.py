@@ -23,6 +23,9 @@ from .common import fresh, prepare, written
 BITS, LONGEST = 2, 4096
 #: Passages over OVER_WORDS words go; of the words of a passage, whole chunks hold CORE_WORDS or more.
 OVER_WORDS, CORE_WORDS = 50, 20
+#: The masked bits of the hash, from SHIFT on, depend on the last REACH bytes.
+SHIFT = 20
+REACH = SHIFT + BITS
 _BLOCK, _NO_ID = 1 << 19, (1 << 63) - 1
 
 
@@ -51,7 +54,7 @@ def chunk_ends(data: bytes, bits: int = BITS, longest: int = LONGEST) -> np.ndar
     blank = _BLANK[raw]
     after = np.flatnonzero(blank[:-1] & ~blank[1:])  # the last white space before a word
     h = gear_hashes(raw)[after]
-    ends = after[(h >> np.uint32(20)) & np.uint32((1 << bits) - 1) == 0] + 1
+    ends = after[(h >> np.uint32(SHIFT)) & np.uint32((1 << bits) - 1) == 0] + 1
     ends = np.append(ends, len(raw))
     wide = np.flatnonzero(np.diff(ends, prepend=0) > longest)
     if len(wide):  # also where white space begins after each `longest` bytes
@@ -77,7 +80,9 @@ def cut_text(text: str, copies: set[int], bits: int = BITS, over_words: int = OV
     """The text without its repeated passages, and how many words went.
 
     A chunk is a copy if its digest is in copies or came before in the text. A run of copies goes if it has
-    core_words words and, with the chunks before and after it, which hold the passage's ends, over_words.
+    core_words words and, with the chunks before and after it, which hold the passage's ends, over_words. Up to
+    REACH bytes into a passage the hash still sees what is before it, so bounds may differ there; as many bytes
+    before the chunk before count too.
     """
     data, ends, digests = chunks_of(text, bits)
     seen: set[int] = set()
@@ -89,7 +94,7 @@ def cut_text(text: str, copies: set[int], bits: int = BITS, over_words: int = OV
     parts, at, gone = [], 0, 0
     for a, b in np.flatnonzero(np.diff(flag)).reshape(-1, 2).tolist():
         n = len(data[bounds[a] : bounds[b]].split())
-        if n >= core_words and len(data[bounds[max(0, a - 1)] : bounds[min(len(ends), b + 1)]].split()) > over_words:
+        if n >= core_words and len(data[max(0, bounds[max(0, a - 1)] - REACH) : bounds[min(len(ends), b + 1)]].split()) > over_words:
             parts.append(data[at : bounds[a]])
             at, gone = bounds[b], gone + n
     parts.append(data[at:])
