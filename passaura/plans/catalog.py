@@ -335,3 +335,17 @@ def union_files(spark, sf_dir):
     a = _passages(spark, sf_dir).select("passage_id", F.col("expected_plate").alias("plate"))
     b = X.on_spark(spark, sf_dir, X.LOADED).select(F.col("sheet_row").alias("passage_id"), "plate", F.lit("b").alias("file"))
     return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("""with c as (select row_number() over (order by c_custkey) + 1 as row, * from customer)
+select 'customers' as sheet, cast(1 as bigint) as row, cast(col as bigint) as col, raw, 'str' as type from (select 1 as col, 'c_custkey' as raw union all select 2, 'c_name' union all select 3, 'c_acctbal') h
+union all select 'customers', row, 1, cast(c_custkey as varchar), 'int' from c union all select 'customers', row, 2, c_name, 'str' from c union all select 'customers', row, 3, cast(c_acctbal as varchar), 'float' from c""")
+def workbook_round_trip(spark, sf_dir):
+    """The customers written as a workbook and read again as cells."""
+    from ..sources import files, xlsx
+    from ..sources.scratch import scratch_path
+
+    path = scratch_path(spark, "customers.xlsx")
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal").orderBy("c_custkey")
+    xlsx.write({"customers": own}, path)
+    return xlsx.cells(files.files(spark, path, "xlsx")).select("sheet", "row", F.col("col").cast("long").alias("col"), "raw", "type")
