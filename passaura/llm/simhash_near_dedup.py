@@ -17,10 +17,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import fresh, prepare, written
 
 WIDTH, RADIUS, TILE = 4, 4, 4096
 _SUB = 256
@@ -219,10 +219,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     All columns are kept as they are. Rows without an id stay only if no row of their class has one.
     """
     found = near_duplicates(docs, id_col, text_col, **how)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    keyed = docs.withColumn("__own", fingerprint_column(F.col(text_col), how.get("width", WIDTH)))
-    joined = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
-    from pyspark.sql import Window
-
-    one = Window.partitionBy(id_col, "__own").orderBy(F.xxhash64(text_col))
-    return joined.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__own")
+    own, key, fp, n = (fresh(docs, x) for x in ("own_fp", "stay_id", "stay_fp", "copy_n"))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("fp").alias(fp)).distinct()
+    keyed = docs.withColumn(own, fingerprint_column(F.col(text_col), how.get("width", WIDTH)))
+    joined = keyed.join(stay, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(fp)), "left_semi")
+    one = Window.partitionBy(id_col, own).orderBy(F.xxhash64(text_col))
+    return joined.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*docs.columns)
