@@ -120,7 +120,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     prepare(docs.sparkSession)
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("low"), F.max(F.coalesce(F.col("toxic"), F.lit(0)).cast("int")).alias("toxic"))
     chosen = written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen.doc_id).select(docs[text_col], F.coalesce("low", F.lit(0)), "toxic")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = own.join(F.broadcast(chosen), "doc_id").select("text", F.coalesce("low", F.lit(0)), "toxic")
     counts = texts.mapInArrow(_counted, "mark string, n long, low long, toxic long").groupBy("mark").agg(*(F.sum(x).alias(x) for x in ("n", "low", "toxic")))
     counts = written(counts.where((F.col("n") >= MIN_COUNT) | (F.col("mark") == " all")), "marks")
     whole = counts.where(F.col("mark") == " all").first()
