@@ -3,8 +3,8 @@
 Words are runs of digits, letters a-z (A-Z lower-cased) and anything beyond ASCII. A window is `width`
 consecutive words of an item; a shorter item is one window. A document word inside any occurrence of
 a window is hit. Windows are looked up by a rolling hash and each find is verified word by word.
-The benchmark is sent to the workers in blocks of at most `block_chars` characters of item text,
-one pass over the documents for each, so no broadcast grows beyond that.
+The benchmark is sent to the workers in blocks of about `block_chars` characters of item text (dealt by
+hash; an item is not split), one pass over the documents for each, so no broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
