@@ -16,7 +16,8 @@ from passaura.llm.queries import TOKENIZERS
 def quality(spark, docs, sf_dir):
     """Documents that are likely of good quality and not toxic; the model is fitted on the labelled ones."""
     model = quality_classifier.trained(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.judged(docs, model, F.col("source"), F.col("lang")).where(~F.col("quality.rejected")).drop("quality")
+    found = quality_classifier.judged(docs, model, F.col("source"), F.col("lang"))
+    return found.where(~F.col(found.columns[-1])["rejected"]).select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -26,7 +27,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 def repeated_passages(spark, docs, sf_dir):
     """Texts without passages over 50 words that an earlier document has; documents of nothing else go."""
-    found = substring_dedup.deduplicated(docs, drop_emptied=True).drop("removed_words")
+    found = substring_dedup.deduplicated(docs, drop_emptied=True).select(*docs.columns)
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -38,8 +39,9 @@ def benchmark_free(spark, docs, sf_dir):
 def token_ids(spark, docs, sf_dir):
     """(doc_id, lang, source, n_chars, n_tokens, ids, lossless): piece ids, and whether they decode to the text."""
     found = sentencepiece_codec.coded(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
-    lossless = sentencepiece_codec.is_lossless(F.col("text"), F.col("coded.decoded"))
-    return found.select("doc_id", "lang", "source", "n_chars", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", lossless.alias("lossless"))
+    coded = F.col(found.columns[-1])
+    lossless = sentencepiece_codec.is_lossless(F.col("text"), coded["decoded"])
+    return found.select("doc_id", "lang", "source", "n_chars", F.size(coded["ids"]).cast("long").alias("n_tokens"), coded["ids"].alias("ids"), lossless.alias("lossless"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_free", benchmark_free), ("token_ids", token_ids)]
