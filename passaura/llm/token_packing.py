@@ -13,8 +13,6 @@ block. A block leaves at most a few part-filled rows.
 from __future__ import annotations
 
 import base64
-import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +22,17 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Ids of a row, tokens of a block, words that a worker keeps.
-WIDTH, BLOCK, WORDS = 2048, 1 << 21, 300_000
-_MIXED = re.compile(r" \s|\s ")
+#: Ids of a row, tokens of a block.
+WIDTH, BLOCK = 2048, 1 << 21
 
 
 class Tokenizer:
-    """Byte-level BPE ids; the ids of words between single spaces are kept."""
+    """Byte-level BPE ids; strings of special tokens are ordinary text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import tiktoken
 
         self.encoding = tiktoken.Encoding("packed", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
         self.pad = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.pad < 1 << 16 else "<u4")
 
@@ -45,25 +41,7 @@ class Tokenizer:
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())})
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text. No token crosses a single space between characters that are not white space."""
-        if not text:
-            return np.zeros(0, self.dtype)
-        if text[0] == " " or text[-1] == " " or _MIXED.search(text):
-            return np.array(self.encoding.encode_ordinary(text), self.dtype)
-        known = self.known
-        first, *rest = text.split(" ")
-        try:
-            found = list(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > WORDS:
-                known.clear()
-            encode = self.encoding.encode_ordinary
-            for x in rest:
-                if x not in known:
-                    known[x] = encode(" " + x)
-            found = list(map(known.__getitem__, rest))
-        ids = self.encoding.encode_ordinary(first)
-        return np.fromiter(chain(ids, chain.from_iterable(found)), self.dtype)
+        return np.array(self.encoding.encode_ordinary(text), self.dtype) if text else np.zeros(0, self.dtype)
 
 
 class CapacityTree:
