@@ -131,7 +131,7 @@ def reference_sheet(spark: SparkSession, path: str, header: int = 5) -> DataFram
 
 def read_tamoios(spark: SparkSession, path: str, sheet: str = "", **_):
     """A folder of images, one passage each, whose names begin with the id of a row of the reference sheet."""
-    images = S.image_files(spark, path)
+    images = S.files(spark, path, *S.IMAGE_TYPES)
     ident = T.file_id(F.col("name"))
     named = images.select("file", "name", ident["id"].alias("id"), ident["ok"].alias("id_ok"))
     joined = associate.with_reference(named, reference_sheet(spark, sheet))
