@@ -4,8 +4,8 @@ A text is the multiset of its lines (paragraphs). Each paragraph is hashed to a
 fingerprint is the sum of the vectors, lane by lane, modulo powers of two. So the order of paragraphs
 does not matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 The first IDENTITY lanes, modulo 2**32, are the output of SHAKE-128 over the whole paragraph: equal
-sums mean equal multisets. The LIKENESS lanes, modulo 2**16, hold for each pair of neighbouring words a
-hashed +1 or -1; the squared length of the difference of two fingerprints there estimates how
+sums mean equal multisets. The LIKENESS lanes, modulo 2**32, hold for each pair of neighbouring words a
+hashed +1 or -1 (no text is long enough to wrap them, even if it repeats one pair); the squared length of the difference of two fingerprints there estimates how
 many word pairs the texts do not share, and with it their likeness.
 """
 
@@ -68,7 +68,7 @@ def _pair_hashes(data: bytes) -> np.ndarray:
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    """The sum of the +1 and -1 lanes of these hashes, modulo 2**16."""
+    """The sum of the +1 and -1 lanes of these hashes, modulo 2**32."""
     ones, n = np.zeros(LIKENESS, np.int64), len(hashes)
     for k in range(0, n, 1 << 13):
         part = hashes[k : k + (1 << 13)]
@@ -76,7 +76,7 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1)
         for j in range(0, len(bits), 255):
             ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
-    return (2 * ones - n).astype(np.uint16)
+    return (2 * ones - n).astype(np.uint32)
 
 
 class Fingerprint:
@@ -86,7 +86,7 @@ class Fingerprint:
 
     def __init__(self, identity: np.ndarray | None = None, signs: np.ndarray | None = None):
         self.identity = np.zeros(IDENTITY, np.uint32) if identity is None else identity
-        self.signs = np.zeros(LIKENESS, np.uint16) if signs is None else signs
+        self.signs = np.zeros(LIKENESS, np.uint32) if signs is None else signs
 
     @classmethod
     def of(cls, paragraphs: list[str]) -> Fingerprint:
@@ -98,7 +98,7 @@ class Fingerprint:
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Fingerprint:
-        return cls(np.frombuffer(data, "<u4", IDENTITY).astype(np.uint32), np.frombuffer(data, "<u2", LIKENESS, 4 * IDENTITY).astype(np.uint16))
+        return cls(np.frombuffer(data, "<u4", IDENTITY).astype(np.uint32), np.frombuffer(data, "<u4", LIKENESS, 4 * IDENTITY).astype(np.uint32))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.identity + other.identity, self.signs + other.signs)
@@ -119,7 +119,7 @@ class Fingerprint:
         return hash(bytes(self))
 
     def __bytes__(self) -> bytes:
-        return self.identity.astype("<u4").tobytes() + self.signs.astype("<u2").tobytes()
+        return self.identity.astype("<u4").tobytes() + self.signs.astype("<u4").tobytes()
 
     def hex(self) -> str:
         return bytes(self).hex()
@@ -128,7 +128,7 @@ class Fingerprint:
         """1 for equal fingerprints; else one less the estimated share of word pairs that differ, at least 0."""
         if self == other:
             return 1.0
-        a, b, d = (float((x.astype(np.int16).astype(np.float64) ** 2).sum()) for x in (self.signs, other.signs, self.signs - other.signs))
+        a, b, d = (float((x.astype(np.int32).astype(np.float64) ** 2).sum()) for x in (self.signs, other.signs, self.signs - other.signs))
         return max(0.0, 1.0 - d / (a + b)) if a + b else 0.0
 
 
@@ -154,12 +154,12 @@ def merged(prints: DataFrame, by: list[str], column: str = "fingerprint") -> Dat
     Null fingerprints count as empty.
     """
     hexed = F.hex(column)
-    lanes = [(8 * k, 8, 1 << 32) for k in range(IDENTITY)] + [(8 * IDENTITY + 4 * k, 4, 1 << 16) for k in range(LIKENESS)]
-    swapped = lambda at, n: F.concat(*(F.substring(hexed, at + i + 1, 2) for i in range(n - 2, -1, -2)))  # noqa: E731  little-endian
-    sums = [F.pmod(F.coalesce(F.sum(F.conv(swapped(at, n), 16, 10).cast("long")), F.lit(0)), F.lit(m)).alias(f"l{k}") for k, (at, n, m) in enumerate(lanes)]
+    lanes = range(IDENTITY + LIKENESS)
+    swapped = lambda at: F.concat(*(F.substring(hexed, at + i + 1, 2) for i in (6, 4, 2, 0)))  # noqa: E731  little-endian
+    sums = [F.pmod(F.coalesce(F.sum(F.conv(swapped(8 * k), 16, 10).cast("long")), F.lit(0)), F.lit(1 << 32)).alias(f"l{k}") for k in lanes]
     out = prints.groupBy(*by).agg(*sums)
-    back = lambda k, n: [F.substring(F.lpad(F.hex(f"l{k}"), n, "0"), i + 1, 2) for i in range(n - 2, -1, -2)]
-    return out.select(*by, F.unhex(F.concat(*(x for k, (_, n, _) in enumerate(lanes) for x in back(k, n)))).alias(column))
+    back = lambda k: [F.substring(F.lpad(F.hex(f"l{k}"), 8, "0"), i + 1, 2) for i in (6, 4, 2, 0)]
+    return out.select(*by, F.unhex(F.concat(*(x for k in lanes for x in back(k)))).alias(column))
 
 
 def _bounds(docs: DataFrame, key: str) -> list[int]:

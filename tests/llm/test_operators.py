@@ -48,6 +48,23 @@ def test_fingerprint_is_a_multiset_sum(spark, texts):
     assert 0.6 < near < 1.0 and of([prose(random.Random(1), 300)]).likeness(of([prose(random.Random(2), 300)])) < 0.35
 
 
+@pytest.mark.parametrize("times, passage", [(150_000, 1), (20_000, 50), (4_000, 300)])
+def test_likeness_of_long_repeats(spark, times, passage):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(passage)]
+    other = ["".join(r.choice("klmnopqrst") for _ in range(8)) for _ in range(times * passage // 3)]
+    own = [" ".join(words)] * times if passage > 1 else [" ".join(words * times)]
+    text, after = "\n".join(own), " ".join(other)
+    rows = spark.createDataFrame([(2, text), (1, after)], "doc_id long, text string")
+    got = {x.doc_id: x for x in document_fingerprints.against_next(rows).collect()}[2]
+    kept = document_fingerprints.Fingerprint.from_bytes(bytes(got.fingerprint))
+    assert abs(got.near_edited - 12 / 13) < 0.01  # the rest is 2/3 of the text: 1 - (1/9) / (1 + 4/9)
+    assert np.abs(kept.signs.astype(np.int32)).max() > 1 << 15
+    parts = spark.createDataFrame([("a", bytes(kept))] * 3, "g string, fingerprint binary")
+    (sum3,) = document_fingerprints.merged(parts, ["g"]).collect()
+    assert bytes(sum3.fingerprint) == bytes(kept + kept + kept)
+
+
 def test_against_next(spark, texts):
     got = {r.doc_id: r for r in document_fingerprints.against_next(docs_of(spark, texts)).collect()}
     n = len(texts)
