@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import fresh, prepare, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 20, 0.6, 1.1
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.0, 20, 0.6, 1.1
 #: (verdict, host and path) of the production rules; a path begins at the first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -53,6 +53,8 @@ def tokens_of(url: Column) -> Column:
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """(items, verdict, confidence, support, anchor) from labelled (url, verdict).
 
+    A rule needs min_count pages, however many are labelled, so that a site's rule does not go as the table
+    grows; min_support, a share of the labelled pages, can ask for more.
     A rule with no items, from the labels alone, says what holds for urls that no other rule matches.
     Rows with a null url or label are left out. No labels: no rules.
     """

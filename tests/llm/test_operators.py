@@ -268,6 +268,14 @@ def test_mined_rules_against_brute_force(spark):
     assert got["http://spam.biz/new/page"] == "block" and len(got) == 51
 
 
+def test_small_sites_among_many_labels(spark):
+    rows = [(f"http://bad.biz/p/{k}", "block") for k in range(30)] + [(f"http://s{k % 400}.org/p/{k}", "allow") for k in range(9_970)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")  # bad.biz has 0.3 % of them
+    urls = spark.createDataFrame([("http://bad.biz/p/new",), ("http://s1.org/p/new",)], "url string")
+    got = {x.url: x["judged"].verdict for x in url_filters.judged(urls, labelled, rules=()).collect()}
+    assert got == {"http://bad.biz/p/new": "block", "http://s1.org/p/new": "allow"}
+
+
 # 6: packing
 
 
