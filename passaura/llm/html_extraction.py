@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import fresh, prepare
 
 _RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|math|canvas|audio|video|xmp"
+#: An svg or math element whose own tag ends it. The slash of a value without quotes does not: <svg class=x/>.
+_CLOSED = r"<(?:svg|math)(?=[\s/])(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[^>\"'=/]|/(?!>))*+/>"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![\w-])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<(?:[a-zA-Z][^<>]*)?\Z",
+    rf"<!--.*?(?:-->|\Z)|{_CLOSED}|<({_RAW})(?![\w-])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<(?:[a-zA-Z][^<>]*)?\Z",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

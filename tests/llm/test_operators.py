@@ -341,6 +341,14 @@ def test_main_text(tree, page, want):
     assert html_extraction.main_text(page, tree) == want
 
 
+@pytest.mark.parametrize("tag", ['<svg class="x"/>', "<svg/>", '<SVG viewBox="0 > 1" />', "<math display='block' />", "<svg a=b />", "<svg class=x/>y</svg>", "<svg><path/></svg>", "<svg a='/>'>y</svg>"])
+def test_main_text_after_drawings(tree, tag):
+    words = "The river rose by two metres over night, and the lower town was under water by noon on Monday."
+    page = f"<html><body><article><h1>Flood</h1><p>{tag}{words}</p><p>{words}</p></article></body></html>"
+    assert html_extraction.main_text(page, tree) == html_extraction.main_text(page.replace(tag, ""), tree)
+    assert html_extraction.main_text(page, tree).count(words) == 2
+
+
 def test_extracted_column(spark, tree):
     rows = spark.createDataFrame([(1, "<article><p>a b</p></article>", "t"), (1, "<article><p>a b</p></article>", "t"), (2, None, None)], "page_id long, html string, TEXT string")
     out = html_extraction.extracted(rows, tree=tree)
