@@ -6,6 +6,8 @@ depend on the leaf alone. A segment tree over the leaves keeps sums of character
 its leaves by descending the tree, takes their text and the leaves next to them as context (an edit can make
 or unmake the bounds there), cuts and counts only that, and updates the sums above. If the leaf number
 changes, leaves are spliced in place and the sums over them are built anew; no other text is read.
+The leaves of a result can be kept and given with the edited text to the next call, which then encodes nothing
+but what its own edits touch.
 """
 
 from __future__ import annotations
@@ -70,10 +72,11 @@ def leaves_of(text: str) -> list[str]:
 class TokenTree:
     """A text as leaves under a segment tree of (characters, tokens)."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, leaves: list[tuple[str, int]] | None = None):
         self.counter = counter
         self.recounted = 0
-        self._build([(x, counter.count(x)) for x in leaves_of(text)])
+        self.encoded = 0 if leaves is not None else len(text)
+        self._build(leaves if leaves is not None else [(x, counter.count(x)) for x in leaves_of(text)])
 
     def _build(self, leaves: list[tuple[str, int]]) -> None:
         self.leaves = leaves
@@ -157,6 +160,19 @@ def _starts_bound(text: str) -> bool:
     return len(text) > 1 and text[0] == " " and not text[1].isspace()
 
 
+def kept_leaves(text: str, chars: list[int] | None, tokens: list[int] | None) -> list[tuple[str, int]] | None:
+    """The leaves of a text by their kept lengths and counts; None if these are not of a text cut so."""
+    if chars is None or tokens is None or len(chars) != len(tokens) or None in chars or None in tokens or sum(chars) != len(text) or any(n <= 0 for n in chars):
+        return None
+    out, at = [], 0
+    for n, count in zip(chars, tokens, strict=True):
+        if at and (text[at - 1].isspace() or not _starts_bound(text[at : at + 2])):
+            return None
+        out.append((text[at : at + n], count))
+        at += n
+    return out
+
+
 _COUNTERS: dict[int, Counter] = {}
 
 
@@ -169,33 +185,38 @@ def _counter(data: bytes) -> Counter:
     return _COUNTERS[key]
 
 
-_RESULT = "struct<n_tokens:long,n_tokens_edited:long,n_chars_edited:long,n_chars_recounted:long,leaf_chars:array<int>,leaf_tokens:array<int>>"
+_RESULT = "struct<n_tokens:long,n_tokens_edited:long,n_chars_edited:long,n_chars_recounted:long,n_chars_encoded:long,leaf_chars:array<int>,leaf_tokens:array<int>>"
 
 
-def edit_counts(docs: DataFrame, vocabulary_path: str, edits_col: str, text_col: str = "text", column: str = "counts") -> DataFrame:
+def edit_counts(docs: DataFrame, vocabulary_path: str, edits_col: str, text_col: str = "text", column: str = "counts", kept_col: str | None = None) -> DataFrame:
     """docs with a last column of token counts before and after the edits of edits_col.
 
     An edit is struct(start, stop, text): code points start up to stop become text; edits follow each other,
     each on the text that those before left, and places beyond the text are its end. The column has n_tokens,
-    n_tokens_edited, n_chars_edited, n_chars_recounted (read again for the edits) and the leaves of the edited
-    text: leaf_chars and leaf_tokens. Null texts are empty; null edits and null fields are no edit, 0 and "".
+    n_tokens_edited, n_chars_edited, n_chars_recounted (read again for the edits), n_chars_encoded (read before
+    them, to build the tree) and the leaves of the edited text: leaf_chars and leaf_tokens. Null texts are empty;
+    null edits and null fields are no edit, 0 and "".
+    kept_col is a column of an earlier result whose edited text is now the text, by the same vocabulary. Its tree
+    is taken up without encoding. Where it is null, or its leaves do not fit the text in length and bounds, the
+    text is encoded; other texts of the same length and bounds are not told apart.
     """
     spark = prepare(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf(_RESULT)
-    def of(texts: pa.Array, edits: pa.Array) -> pa.Array:
+    def of(texts: pa.Array, edits: pa.Array, chars: pa.Array, tokens: pa.Array) -> pa.Array:
         counter, out = _counter(shared.value), []
-        for text, own in zip(texts.to_pylist(), edits.to_pylist(), strict=True):
-            tree = TokenTree(text or "", counter)
+        for text, own, *kept in zip(texts.to_pylist(), edits.to_pylist(), chars.to_pylist(), tokens.to_pylist(), strict=True):
+            tree = TokenTree(text or "", counter, kept_leaves(text or "", *kept))
             before = tree.n_tokens
             for e in own or ():
                 if e:
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-            out.append((before, tree.n_tokens, tree.n_chars, tree.recounted, [len(x) for x, _ in tree.leaves], [n for _, n in tree.leaves]))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_recounted", "leaf_chars", "leaf_tokens"])
+            out.append((before, tree.n_tokens, tree.n_chars, tree.recounted, tree.encoded, [len(x) for x, _ in tree.leaves], [n for _, n in tree.leaves]))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_recounted", "n_chars_encoded", "leaf_chars", "leaf_tokens"])
 
-    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(F.col(text_col), F.col(edits_col)))
+    kept = [(F.col(kept_col)[x] if kept_col else F.lit(None)).cast("array<int>") for x in ("leaf_chars", "leaf_tokens")]
+    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(F.col(text_col), F.col(edits_col), *kept))

@@ -228,6 +228,24 @@ def test_edits_against_full_counts(spark, texts):
         assert len(t) < 5000 or " " not in t or x.counts.n_chars_recounted < len(t) / 4
 
 
+def test_kept_trees(spark, texts):
+    counter = edit_token_counts.Counter.read(open(RANKS, "rb").read())
+    full = lambda t: len(counter.encoding.encode_ordinary(t))
+    edits = lambda a, b, t: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(t).alias("text")))
+    edited = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 3), F.lit("ne w"), F.expr("substring(coalesce(text, ''), 10)"))
+    first = edit_token_counts.edit_counts(docs_of(spark, texts).withColumn("edits", edits(3, 9, "ne w")), RANKS, "edits")
+    kept = first.select("doc_id", edited.alias("text"), F.when(F.col("doc_id") != 5, F.col("counts")).alias("counts"), edits(50, 55, " a b ").alias("edits"))
+    again = edit_token_counts.edit_counts(kept, RANKS, "edits", column="later", kept_col="counts").collect()
+    assert len(again) == len(texts)
+    for x in again:
+        t = x.text
+        assert x.later.n_tokens == full(t) and x.later.n_tokens_edited == full(t[:50] + " a b " + t[55:]) == sum(x.later.leaf_tokens)
+        assert x.later.n_chars_encoded == (len(t) if x.doc_id == 5 else 0)
+    assert all(x.counts.n_chars_encoded == len(x.text or "") for x in first.collect())
+    other = kept.withColumn("text", F.concat("text", F.lit("x")))
+    assert all(x.later.n_tokens == full(x.text) for x in edit_token_counts.edit_counts(other, RANKS, "edits", column="later", kept_col="counts").collect())
+
+
 # 5: urls
 
 
