@@ -1,12 +1,12 @@
-"""Substring deduplication by content-defined chunking.
+"""Substring deduplication: content-defined chunks nominate places, windows of words settle them.
 
 A 32-bit gear hash rolls over the bytes of a text, so it depends on the last 32 bytes alone. A chunk
 ends after white space where the hash's masked bits are zero: an insertion moves only the bounds near
-it, and a passage is cut alike wherever it stands. Chunks are deduplicated by digest: of all
-occurrences of a chunk the first, in order of document id and place, is the original. Runs of
-neighbouring copies that belong to a passage of over `over_words` words are removed, so every repeated
-passage stays once. The whole chunks of a passage hold less than the passage, by what the chunks that
-reach over its ends have of it; those count when its length is judged, and stay.
+it, and a passage is cut alike wherever it stands. Where SEQUENCE neighbouring chunks stand in another document
+too, a passage may repeat. There each window of over_words + 1 words is compared by digest, with its white
+space: of all occurrences of a window the first, in order of document id and place, is the original, and
+the words of the others are removed. So what goes lies in a passage of over `over_words` words that stands as a
+whole at one earlier place, all of the passage goes, and shorter repeats stay.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, prepare, written
+from .document_fingerprints import _mixed, _powers
 
 #: A chunk ends at one in 2**BITS of the places where white space ends, and after LONGEST bytes at the next.
 BITS, LONGEST = 2, 4096
-#: Passages over OVER_WORDS words go; of the words of a passage, whole chunks hold CORE_WORDS or more.
-OVER_WORDS, CORE_WORDS = 50, 20
+#: Passages over OVER_WORDS words go; they are looked for where SEQUENCE chunks in a row are shared.
+OVER_WORDS, SEQUENCE = 50, 3
 #: The masked bits of the hash, from SHIFT on, depend on the last REACH bytes.
 SHIFT = 20
 REACH = SHIFT + BITS
@@ -68,46 +69,98 @@ def chunk_ends(data: bytes, bits: int = BITS, longest: int = LONGEST) -> np.ndar
     return ends
 
 
-def chunks_of(text: str | None, bits: int = BITS) -> tuple[bytes, np.ndarray, list[int]]:
-    """The text's bytes, where its chunks end, and their digests (signed)."""
-    data = (text or "").encode()
+def sequences_of(data: bytes, bits: int = BITS) -> tuple[np.ndarray, list[int]]:
+    """Where the chunks of data end, and the digest (signed) of each SEQUENCE chunks in a row, or of all if there are fewer."""
     ends = chunk_ends(data, bits)
-    at, digest = ends.tolist(), xxhash.xxh3_64_intdigest
-    return data, ends, [digest(data[a:b]) - (1 << 63) for a, b in zip([0, *at], at, strict=False)]
+    at, digest = [0, *ends.tolist()], xxhash.xxh3_64_intdigest
+    size = min(SEQUENCE, len(ends))
+    return ends, [digest(data[a:b]) - (1 << 63) for a, b in zip(at, at[size:], strict=False)] if size else []
+
+
+def windows_of(data: bytes, over_words: int = OVER_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of data start and end, and the digest (signed) of each over_words + 1 words in a row."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = np.concatenate(([True], _BLANK[raw], [True]))
+    starts, stops = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    n = len(starts) - over_words
+    if n <= 0:
+        return starts, stops, np.zeros(0, np.int64)
+    up, down = _powers(len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(raw + np.uint64(1)) * up[: len(raw)])))
+    first, last = starts[:n], stops[over_words:]
+    return starts, stops, _mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
+
+
+def chunks_of(text: str | None, bits: int = BITS, over_words: int = OVER_WORDS) -> tuple[bytes, np.ndarray, list[int]]:
+    """The text's bytes, where its chunks end, and the digests of its windows."""
+    data = (text or "").encode()
+    return data, chunk_ends(data, bits), windows_of(data, over_words)[2].tolist()
 
 
-def cut_text(text: str, copies: set[int], bits: int = BITS, over_words: int = OVER_WORDS, core_words: int = CORE_WORDS) -> tuple[str, int]:
+def nominated(text: str, shared: list[int], bits: int = BITS, over_words: int = OVER_WORDS) -> np.ndarray:
+    """The distinct digests of the windows that lie where sequences of chunks are shared.
+
+    A shared passage reaches into the chunks beside its whole ones. Up to REACH bytes into it the hash still sees
+    what is before it, so bounds may differ there; it may begin as many bytes before the chunk before.
+    """
+    data = text.encode()
+    starts, stops, windows = windows_of(data, over_words)
+    if not len(windows):
+        return windows
+    ends, sequences = sequences_of(data, bits)
+    hit = np.flatnonzero(np.isin(np.array(sequences, np.int64), np.array(shared, np.int64)))
+    bounds = np.concatenate((np.zeros(2, np.int64), ends, ends[-1:]))  # of chunk k: from bounds[k + 1] to bounds[k + 2]
+    size = min(SEQUENCE, len(ends))
+    edge = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + size, -1)
+    flag = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
+    take = np.zeros(len(windows), bool)
+    for a, b in np.flatnonzero(np.diff(flag.astype(np.int8))).reshape(-1, 2).tolist():
+        low = np.searchsorted(starts, bounds[a] - REACH)
+        high = np.searchsorted(stops, bounds[b + 2], "right") - over_words
+        take[low : max(low, high)] = True
+    return np.unique(windows[take])
+
+
+def cut_text(text: str, copies: set[int], over_words: int = OVER_WORDS) -> tuple[str, int]:
     """The text without its repeated passages, and how many words went.
 
-    A chunk is a copy if its digest is in copies or came before in the text. A run of copies goes if it has
-    core_words words and, with the chunks before and after it, which hold the passage's ends, over_words. Up to
-    REACH bytes into a passage the hash still sees what is before it, so bounds may differ there; as many bytes
-    before the chunk before count too.
+    A window is a copy if its digest is in copies or came before in the text. In the second case the words of
+    the occurrence that came first stay, also where the two overlap.
     """
-    data, ends, digests = chunks_of(text, bits)
-    seen: set[int] = set()
-    flag = np.zeros(len(ends) + 2, np.int8)
-    for k, d in enumerate(digests):
-        flag[k + 1] = d in copies or d in seen
-        seen.add(d)
-    bounds = [0, *ends.tolist()]
-    parts, at, gone = [], 0, 0
+    data = text.encode()
+    starts, _, windows = windows_of(data, over_words)
+    n, size = len(windows), over_words + 1
+    if not n:
+        return text, 0
+    _, first, which = np.unique(windows, return_index=True, return_inverse=True)
+    at, origin = np.arange(n), first[which]
+    known = np.isin(windows, np.fromiter(copies, np.int64, len(copies)))
+    low = np.where(known, at, np.maximum(at, origin + size))
+    hit = known | (origin < at)
+    if not hit.any():
+        return text, 0
+    edge = np.bincount(low[hit], minlength=len(starts) + 1) - np.bincount(at[hit] + size, minlength=len(starts) + 1)
+    flag = np.concatenate(([0], np.cumsum(edge)[:-1] > 0, [0])).astype(np.int8)
+    bounds = [*starts.tolist(), len(data)]
+    parts, done, gone = [], 0, 0
     for a, b in np.flatnonzero(np.diff(flag)).reshape(-1, 2).tolist():
-        n = len(data[bounds[a] : bounds[b]].split())
-        if n >= core_words and len(data[max(0, bounds[max(0, a - 1)] - REACH) : bounds[min(len(ends), b + 1)]].split()) > over_words:
-            parts.append(data[at : bounds[a]])
-            at, gone = bounds[b], gone + n
-    parts.append(data[at:])
+        parts.append(data[done : bounds[a]])
+        done, gone = bounds[b], gone + b - a
+    parts.append(data[done:])
     return b"".join(parts).decode(), gone
 
 
-_PAIRS = pa.schema([("digest", pa.int64()), ("id", pa.int64()), ("copy", pa.bool_())])
+_PAIRS = pa.schema([("digest", pa.int64()), ("id", pa.int64()), ("kind", pa.int8())])
+_ONE, _COPY, _FIRST = 0, 1, 2
 
 
-def _first_of_block(bits: int):
-    """(digest, id, copy) of each distinct chunk of a row; copy says that a row with a smaller id in the same block has it.
+def _first_of_block(digests_of):
+    """(digest, id, kind) of each distinct digest of a row, as digests_of makes them of the columns after the id.
 
-    Only the smallest id of a block needs to meet those of other blocks, so a chunk that very many rows
+    Kind: _COPY if a row with a smaller id in the same block has it, _FIRST if one with a greater id has it, else
+    _ONE. Only the smallest id of a block needs to meet those of other blocks, so a digest that very many rows
     share comes to its task once for each block.
     """
 
@@ -116,15 +169,18 @@ def _first_of_block(bits: int):
         order = np.lexsort((i, d))
         d, i = d[order], i[order]
         new = np.concatenate(([True], d[1:] != d[:-1]))
-        first = i[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-        use = new | (i != first)
-        return pa.record_batch([d[use], i[use], ~new[use]], schema=_PAIRS)
+        head = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
+        other = i != i[head]
+        kind = np.where(other, _COPY, _ONE).astype(np.int8)
+        kind[head[other]] = _FIRST
+        use = new | other
+        return pa.record_batch([d[use], i[use], kind[use]], schema=_PAIRS)
 
     def over(batches):
         digests, ids, n = [], [], 0
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.unique(np.array(chunks_of(text, bits)[2], np.int64))
+            for i, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = np.unique(np.array(digests_of(*row), np.int64))
                 digests.append(own)
                 ids.append(np.full(len(own), i, np.int64))
                 n += len(own)
@@ -137,42 +193,63 @@ def _first_of_block(bits: int):
     return over
 
 
-def _copies(batches):
-    """(id, digest) of the copies among rows sorted by digest and id."""
+def _shared(owners: bool):
+    """(id, digest) of the copies among rows sorted by digest and id; with owners, of those that are copied too."""
     out = pa.schema([("id", pa.int64()), ("digest", pa.int64())])
-    last, owner = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        d, i, known = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        # known copies lie anywhere among the rows: only the others say who comes first
-        own = np.flatnonzero(~known)
-        copy = known.copy()
-        if len(own):
-            dd, ii = d[own], i[own]
-            start = np.concatenate(([last is None or dd[0] != last], dd[1:] != dd[:-1]))
-            at = np.maximum.accumulate(np.where(start, np.arange(len(dd)), -1))
-            first = np.where(at >= 0, ii[np.maximum(at, 0)], owner if owner is not None else 0)
-            copy[own] = ii != first
-            last, owner = dd[-1], first[-1]
-        if copy.any():
-            yield pa.record_batch([i[copy], d[copy]], schema=out)
-
-
-def copied_chunks(docs: DataFrame, id_col: str, text_col: str, bits: int = BITS) -> DataFrame:
-    """(id, copies): of each id that has any, the digests of its chunks that a smaller id has too.
-
-    One shuffle of (digest, id) pairs, dealt out by digest; pairs already known to be copies go anywhere.
+
+    def over(batches):
+        last, owner, told = None, None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d, i, kind = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            # known copies lie anywhere among the rows: only the others say who comes first
+            own = np.flatnonzero(kind != _COPY)
+            use = kind == _COPY
+            if len(own):
+                dd, ii = d[own], i[own]
+                start = np.concatenate(([last is None or dd[0] != last], dd[1:] != dd[:-1]))
+                at = np.maximum.accumulate(np.where(start, np.arange(len(dd)), -1))
+                first = np.where(at >= 0, ii[np.maximum(at, 0)], owner if owner is not None else 0)
+                use[own] = ii != first
+                if owners:
+                    group = np.cumsum(start)  # 0: that of the last batch's end
+                    copied = np.bincount(group, weights=(ii != first) | (kind[own] == _FIRST)) > 0
+                    if copied[0] and not told:
+                        yield pa.record_batch([np.array([owner], np.int64), np.array([last], np.int64)], schema=out)
+                    use[own[np.flatnonzero(start)[copied[1:]]]] = True
+                    told = bool(copied[-1] or len(copied) == 1 and told)
+                last, owner = dd[-1], first[-1]
+            if use.any():
+                yield pa.record_batch([i[use], d[use]], schema=out)
+
+    return over
+
+
+def _met(rows: DataFrame, digests_of, owners: bool) -> DataFrame:
+    """(id, shared): of each id that has any, the digests that a smaller id has too, or with owners that any other id has.
+
+    rows are the id and what digests_of takes. One shuffle of (digest, id) pairs, dealt out by digest; pairs already
+    known to be copies go anywhere.
+    """
+    pairs = rows.mapInArrow(_first_of_block(digests_of), "digest long, id long, kind byte")
+    key = F.when(F.col("kind") == _COPY, F.xxhash64("id", "digest")).otherwise(F.col("digest"))
+    dealt = pairs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    found = dealt.sortWithinPartitions("digest", "id").mapInArrow(_shared(owners), "id long, digest long")
+    return found.groupBy("id").agg(F.collect_set("digest").alias("shared"))
+
+
+def copied_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = BITS, over_words: int = OVER_WORDS) -> DataFrame:
+    """(id, shared): of each id that has any, the digests of its windows that a smaller id has too.
+
+    First the sequences of chunks that documents share, then the windows at those places only.
     """
-    spark = prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    pairs = rows.mapInArrow(_first_of_block(bits), "digest long, id long, copy boolean")
-    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.when(F.col("copy"), F.xxhash64("id", "digest")).otherwise(F.col("digest")))
-    found = dealt.sortWithinPartitions("digest", "id").mapInArrow(_copies, "id long, digest long")
-    return found.groupBy("id").agg(F.collect_set("digest").alias("copies"))
+    places = written(_met(rows, lambda text: sequences_of((text or "").encode(), bits)[1], True), "shared-chunks")
+    return _met(rows.where("text is not null").join(places, "id"), lambda text, shared: nominated(text, shared, bits, over_words), False)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, over_words: int = OVER_WORDS, core_words: int = CORE_WORDS, drop_emptied: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, over_words: int = OVER_WORDS, drop_emptied: bool = False) -> DataFrame:
     """docs with repeated passages cut from the text, and a last column `removed_words` (or `_removed_words`).
 
     The id is an integer; the row with the smallest keeps what repeats, and null ids come last. Rows of equal
@@ -181,7 +258,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     prepare(docs.sparkSession)
     found, key, name = fresh(docs, "chunk_copies"), fresh(docs, "chunk_id"), fresh(docs, "removed_words")
-    copies = written(copied_chunks(docs, id_col, text_col, bits), "copied-chunks").select(F.col("id").alias(key), F.col("copies").alias(found))
+    copies = written(copied_windows(docs, id_col, text_col, bits, over_words), "copied-windows").select(F.col("id").alias(key), F.col("shared").alias(found))
 
     @F.arrow_udf("struct<text:string,words:long>")
     def cut(texts: pa.Array, copies: pa.Array) -> pa.Array:
@@ -189,7 +266,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for k, own in enumerate(copies.to_pylist()):
             words = 0
             if texts[k]:
-                texts[k], words = cut_text(texts[k], set(own or ()), bits, over_words, core_words)
+                texts[k], words = cut_text(texts[k], set(own or ()), over_words)
             gone.append(words)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["text", "words"])
 

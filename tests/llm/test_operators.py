@@ -453,6 +453,30 @@ def test_passages_against_brute_force(spark, texts, block, monkeypatch):
     assert got[len(texts) - 4].removed_words > 40 or len(texts[-4].split()) <= 50  # an exact copy
 
 
+def test_passages_near_the_limit(spark):
+    """Of a passage shared by two documents nothing goes up to 50 words; from 51 on all of it, and nothing else."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    own, want = [], []
+    for n in (23, 30, 40, 45, 48, 50, 51, 52, 55, 70, 200) * 6:
+        passage, before, after = text(n), text(60), text(60)
+        own += [f"{text(60)} {passage} {text(60)}", f"{before} {passage} {after}"]
+        want += [(own[-2], 0), (own[-1], 0) if n <= 50 else (f"{before} {after}", n)]
+    # no passage of over 50 words from one place: 30 words of one document, then 30 of another
+    a, b = text(30), text(30)
+    own += [f"{text(40)} {a} {text(40)}", f"{text(40)} {b} {text(40)}", f"{text(40)} {a} {b} {text(40)}"]
+    want += [(x, 0) for x in own[-3:]]
+    got = {x.doc_id: (x.text, x.removed_words) for x in substring_dedup.deduplicated(docs_of(spark, own).repartition(4)).collect()}
+    assert [got[k] for k in range(len(own))] == want
+
+
+def test_repeats_within_a_document():
+    line = " ".join(f"w{k}" for k in range(60))
+    assert substring_dedup.cut_text(f"a {line} b {line} c", set()) == (f"a {line} b c", 60)
+    assert substring_dedup.cut_text("x " * 500, set()) == ("x " * 51, 449)
+
+
 def test_clean_documents_stay(spark):
     r = random.Random(11)
     line = prose(r, 25)
