@@ -10,8 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir (of this machine where it is unset, as in tests), deleted when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "passaura-scratch")
+    """A new path in the folder of spark.checkpoint.dir, deleted when the application ends.
+
+    Where that is unset, a folder of this machine serves if the master is local; on a cluster it is an error.
+    """
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + os.path.join(tempfile.gettempdir(), "passaura-scratch")
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
