@@ -7,9 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and a Python worker; bounds a worker's memory.
 BATCH_ROWS = 500
+#: A key of over 1/HOT_SHARE of all rows is hot.
+HOT_SHARE = 256
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -28,11 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine only where none is set (local tests)."""
+    """The folder that all executors share, by spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves if the master is local; on a cluster that is an error, as
+    executors would write where nobody else can read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "passaura-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -55,3 +63,24 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def named(column: str):
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined to right by a column of both that is unique in right, without one task for one hot key.
+
+    Keys of over 1/HOT_SHARE of left's rows, which are fewer than HOT_SHARE, meet right's rows by broadcast; the rest
+    is an ordinary join, in which no key has more rows than that. left should be narrow: it is read three times.
+    """
+    counts = written(left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n_of_key")), "key-counts")
+    n = counts.agg(F.sum("n_of_key")).first()[0] or 0
+    hot = counts.where(F.col("n_of_key") > F.lit(n) / HOT_SHARE).select(on)
+    if n < HOT_SHARE * 8 or hot.isEmpty():
+        return left.join(right, on, how)
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))

@@ -9,25 +9,27 @@ that would break two pieces up depends on these two alone). So the result is tha
 Places no piece covers take a character as byte pieces, or as the unknown piece in models without them.
 
 No piece of a model like this joins a word to what follows it, so a text is searched word by word and the
-words of a worker's memory are not searched again.
+short words of a worker's memory are not searched again. Pieces of blanks alone have one score in BPE models, under
+all others: blanks are joined when all else is, from the left, so a run of them follows from its length.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from heapq import heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare
+from .common import fresh, named, prepare
 
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words and pairs of pieces that a worker keeps; then it starts anew.
-WORDS, PAIRS = 400_000, 1_000_000
+#: Words of up to KNOWN_CHARS characters and pairs of pieces that a worker keeps; then it starts anew.
+WORDS, KNOWN_CHARS, PAIRS = 300_000, 48, 1_000_000
 
 
 def _fields(data: bytes):
@@ -127,6 +129,7 @@ class Codec:
                 order.append(n)
         self.steps, self.fail, self.out, self.link = steps, fail, out, link
         self.length = [len(p) for p in self.model.pieces]
+        self.blanks = self._of_blanks() if self.model.bpe else []
         # for each state, the pieces that end there, longest first: the output links written out
         ends: list[tuple] = [()] * len(steps)
         for s in order:
@@ -136,19 +139,50 @@ class Codec:
         if self.model.bpe:
             self.ends = [tuple(x for x in e if x[0] in self.whole) for e in ends]
 
+    def _of_blanks(self) -> list[list[int]]:
+        """The ids of 0, 1, ... blanks up to the longest piece of them; none if they are not joined last, from the left."""
+        lengths = {self.length[i]: i for p, i in self.ids.items() if not p.strip(SPACE)}
+        scores = {self.model.scores[i] for n, i in lengths.items() if n > 1}
+        others = min((self.model.scores[i] for p, i in self.ids.items() if p.strip(SPACE) and len(p) > 1), default=0.0)
+        if 1 not in lengths or len(scores) > 1 or any(x >= others for x in scores):
+            return []
+        runs: list[list[int]] = [[]]
+        for _ in range(max(lengths)):  # one more blank joins what is before it as long as that is a piece
+            own = [*runs[-1], 1]
+            while len(own) > 1 and own[-2] + own[-1] in lengths:
+                own[-2:] = [own[-2] + own[-1]]
+            runs.append(own)
+        return [[lengths[n] for n in own] for own in runs] if len(runs[-1]) == 1 else []
+
     def merged(self, text: str) -> list[int]:
-        """BPE itself: join the neighbours of best score, the leftmost of equals, until none join; -1: no piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.model.scores[i] > best):
-                    best, at = self.model.scores[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids.get(p, -1) for p in parts]
+        """BPE itself: join the neighbours of best score, the leftmost of equals, until none join; -1: no piece.
+
+        A heap holds the joins that are open, so n characters take n log n steps.
+        """
+        parts, n = list(text), len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            both = parts[k] + parts[after[k]]
+            i = self.ids.get(both)
+            if i is not None:
+                heappush(heap, (-self.model.scores[i], k, both))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, both = heappop(heap)
+            j = after[k] if parts[k] else n
+            if j >= n or len(parts[k]) + len(parts[j]) != len(both) or parts[k] + parts[j] != both:
+                continue  # one of the two is joined already
+            parts[k], parts[j], after[k] = both, "", after[j]
+            if after[k] < n:
+                before[after[k]] = k
+                offer(k)
+            if before[k] >= 0:
+                offer(before[k])
+        return [self.ids.get(p, -1) for p in parts if p]
 
     def _fits(self, a: int, b: int) -> bool:
         key = a << 24 | b
@@ -162,8 +196,8 @@ class Codec:
 
     def search(self, word: str) -> tuple[int, ...]:
         """The ids of a word by one pass of the automaton."""
-        if self.model.bpe and word.count(SPACE) > 1:
-            return self._spelled(word, self.merged(word))  # equal scores of blanks: the order of merging counts
+        if self.model.bpe and word[:2] == SPACE + SPACE:
+            return self._after_blanks(word)
         steps, fail, ends, n = self.steps, self.fail, self.ends, len(word)
         last = [-1] * (n + 1)  # the last piece of the best way to each place; -1: an uncovered character
         size = [1] * (n + 1)
@@ -203,6 +237,20 @@ class Codec:
             j -= size[j]
         return self._spelled(word, found[::-1])
 
+    def _after_blanks(self, word: str) -> tuple[int, ...]:
+        """The ids of a word with several blanks before it: those blanks that the word does not take are joined from the left."""
+        if not self.blanks:
+            return self._spelled(word, self.merged(word))
+        rest = word.lstrip(SPACE)
+        n, own = len(word) - len(rest), ()
+        if rest:
+            own = self.search(SPACE + rest)
+            n -= 1
+            if own[0] == self.ids[SPACE]:  # the word left its blank alone
+                n, own = n + 1, own[1:]
+        longest = len(self.blanks) - 1
+        return (*self.blanks[-1] * (n // longest), *self.blanks[n % longest], *own)
+
     def _spelled(self, word: str, found: list[int]) -> tuple[int, ...]:
         """found with the bytes of uncovered characters in their place."""
         if -1 not in found:
@@ -241,10 +289,15 @@ class Codec:
             pass
         if len(known) >= WORDS:
             known.clear()
+        found = []
         for x in parts:
-            if x not in known:
-                known[x] = self.search(x)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
+            ids = known.get(x)
+            if ids is None:
+                ids = self.search(x)
+                if len(x) <= KNOWN_CHARS:
+                    known[x] = ids
+            found.append(ids)
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of ids; bytes that are not UTF-8 become the replacement character."""
@@ -284,7 +337,8 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", column: st
     """docs with a last column of piece ids (with leading underscores if docs has its name).
 
     The model file is read by the driver and sent to the workers. Null and empty texts have no ids; a
-    U+2581 in a text counts as a space, as the library has it. Other columns and repeated rows stay.
+    U+2581 in a text counts as a space, as the library has it. Other columns and repeated rows stay. Long texts are
+    read whole, in time that grows with their length. An empty table gives an empty table with the column.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(_read(model_path))
@@ -294,11 +348,14 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", column: st
         codec = _codec(shared.value)
         return pa.array([codec.encode(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(named(text_col)))
 
 
 def decoded(docs: DataFrame, model_path: str, ids_col: str = "ids", column: str = "decoded") -> DataFrame:
-    """docs with a last column of the texts of piece ids; null ids give the empty text."""
+    """docs with a last column of the texts of piece ids (with leading underscores if docs has its name).
+
+    Null and empty ids give the empty text. Other columns and repeated rows stay; an empty table stays empty.
+    """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(_read(model_path))
 
@@ -307,11 +364,14 @@ def decoded(docs: DataFrame, model_path: str, ids_col: str = "ids", column: str
         codec = _codec(shared.value)
         return pa.array([codec.decode(x) for x in ids.to_pylist()], pa.string())
 
-    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(F.col(ids_col)))
+    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(named(ids_col)))
 
 
 def coded(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """docs with a last column `coded` (or `_coded`): struct(ids, decoded), both ways in one pass."""
+    """docs with a last column `coded` (or `_coded`): struct(ids, decoded), both ways in one pass.
+
+    Nulls, empty and long texts, repeated rows, empty tables and names as for `encoded` and `decoded`.
+    """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(_read(model_path))
 
@@ -321,7 +381,7 @@ def coded(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
         ids = [codec.encode(x) for x in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
 
-    return docs.withColumn(fresh(docs, "coded"), of.asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(fresh(docs, "coded"), of.asNondeterministic()(named(text_col)))
 
 
 def is_lossless(text: Column, decoded_text: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -395,6 +396,35 @@ def test_pieces_as_the_library(spark, texts):
     assert all((x.text or "").replace("\u2581", " ") == x.decoded for x in two.collect())
 
 
+def test_long_runs_of_blanks():
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=PIECES)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Model.read(PIECES))
+    r = random.Random(14)
+    for _ in range(500):
+        t = "".join(r.choice(["a", "the", " " * r.randint(1, 50), "\n", "(", "é", "1"]) for _ in range(r.randint(1, 12)))
+        assert codec.encode(t) == library.encode(t)
+    word = sentencepiece_codec.SPACE * 40 + "the"
+    closed, codec.blanks = codec.search(word), []
+    assert codec.search(word) == closed  # the heap says the same as the rule of blanks
+    codec.blanks = codec._of_blanks()
+    for t in (" " * 1_000_000, "x" + " " * 1_000_000 + "y", "A" * 300_000, "中文" * 100_000):
+        began = time.perf_counter()
+        ids = codec.encode(t)
+        assert time.perf_counter() - began < 5 and ids == library.encode(t) and codec.decode(ids) == t
+    assert all(len(x) <= sentencepiece_codec.KNOWN_CHARS for x in codec.words)
+
+
+def test_pieces_odd_tables(spark):
+    names = spark.createDataFrame([(1, None, "c", "i"), (1, None, "c", "i"), (2, "", "c", "i"), (3, "a b", "c", "i")], "doc_id long, `my.text` string, CODED string, ids string")
+    out = sentencepiece_codec.coded(names, PIECES, "my.text")
+    assert out.columns[-1] == "_coded" and sorted(len(x["_coded"]["ids"]) for x in out.collect()) == [0, 0, 0, 2]
+    two = sentencepiece_codec.encoded(names, PIECES, "my.text")
+    assert two.columns[-1] == "_ids" and sentencepiece_codec.decoded(two, PIECES, "_ids", "coded").columns[-1] == "_coded"
+    for f in (sentencepiece_codec.coded, sentencepiece_codec.encoded):
+        assert f(names.limit(0), PIECES, "my.text").count() == 0
+    assert sentencepiece_codec.decoded(two.limit(0), PIECES, "_ids").count() == 0
+
+
 def field(number, kind, value):
     return bytes([number << 3 | kind]) + (bytes([len(value)]) + value if kind == 2 else value)
 
