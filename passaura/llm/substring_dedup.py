@@ -1,12 +1,14 @@
 """Substring deduplication: content-defined chunks nominate places, windows of words settle them.
 
-A 32-bit gear hash rolls over the bytes of a text, so it depends on the last 32 bytes alone. A chunk
-ends after white space where the hash's masked bits are zero: an insertion moves only the bounds near
-it, and a passage is cut alike wherever it stands. Where SEQUENCE neighbouring chunks stand in another document
-too, a passage may repeat. There each window of over_words + 1 words is compared by digest, with its white
-space: of all occurrences of a window the first, in order of document id and place, is the original, and
-the words of the others are removed. So what goes lies in a passage of over `over_words` words that stands as a
-whole at one earlier place, all of the passage goes, and shorter repeats stay.
+A 32-bit gear hash rolls over the bytes of a text, so it depends on the last 32 bytes alone. A chunk ends
+before a word where the hash's masked bits are zero: an insertion moves only the bounds near it, and a passage
+is cut alike wherever it stands. Where SEQUENCE neighbouring chunks stand in another document too, a passage may
+repeat. There each window of over_words + 1 words is compared by digest, with its white space: of all
+occurrences of a window the first, in order of document id and place, is the original, and the words of the
+others are removed. A window with too few bounds to hold SEQUENCE whole chunks, such as one word again and again, meets
+its copies by its own digest. So what goes lies in a passage of over `over_words` words that stands as a whole at one
+earlier place, all of the passage goes, and shorter repeats stay.
+Words are runs between white space; a Chinese or Japanese character is a word by itself.
 """
 
 from __future__ import annotations
@@ -14,20 +16,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, written
+from .common import fresh, named, prepare, written
 from .document_fingerprints import _mixed, _powers
 
-#: A chunk ends at one in 2**BITS of the places where white space ends, and after LONGEST bytes at the next.
-BITS, LONGEST = 2, 4096
+#: A chunk ends before one in 2**BITS of the words.
+BITS = 2
 #: Passages over OVER_WORDS words go; they are looked for where SEQUENCE chunks in a row are shared.
 OVER_WORDS, SEQUENCE = 50, 3
 #: The masked bits of the hash, from SHIFT on, depend on the last REACH bytes.
 SHIFT = 20
 REACH = SHIFT + BITS
-_BLOCK, _NO_ID = 1 << 19, (1 << 63) - 1
+_BLOCK, _NO_ID = 1 << 19, 1 << 62
+#: The code points of Chinese and Japanese characters, which are written without spaces.
+_UNSPACED = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
 
 
 def _gear() -> np.ndarray:
@@ -47,68 +51,93 @@ def gear_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: bytes, bits: int = BITS, longest: int = LONGEST) -> np.ndarray:
-    """Where the chunks of data end, its own end last. Each lies after a run of white space, or before it ends in data."""
-    if not data:
-        return np.zeros(0, np.int64)
-    raw = np.frombuffer(data, np.uint8)
+def words_at(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes start and end."""
+    n = len(raw)
     blank = _BLANK[raw]
-    after = np.flatnonzero(blank[:-1] & ~blank[1:])  # the last white space before a word
-    h = gear_hashes(raw)[after]
-    ends = after[(h >> np.uint32(SHIFT)) & np.uint32((1 << bits) - 1) == 0] + 1
-    ends = np.append(ends, len(raw))
-    wide = np.flatnonzero(np.diff(ends, prepend=0) > longest)
-    if len(wide):  # also where white space begins after each `longest` bytes
-        starts = after + 1
-        more = []
-        for k in wide:
-            a, b = int(ends[k - 1]) if k else 0, int(ends[k])
-            at = np.searchsorted(starts, np.arange(a + longest, b, longest))
-            more.append(starts[at[at < len(starts)]])
-        ends = np.unique(np.concatenate((ends, *more)))
-    return ends
-
-
-def sequences_of(data: bytes, bits: int = BITS) -> tuple[np.ndarray, list[int]]:
-    """Where the chunks of data end, and the digest (signed) of each SEQUENCE chunks in a row, or of all if there are fewer."""
-    ends = chunk_ends(data, bits)
-    at, digest = [0, *ends.tolist()], xxhash.xxh3_64_intdigest
+    new = ~blank
+    new[1:] &= blank[:-1]
+    if n and raw.max() > 0xE2:
+        at = np.flatnonzero((raw > 0xE2) & (raw < 0xF0))
+        code = (raw[at] & np.uint32(15)) << np.uint32(12) | (raw[at + 1] & np.uint32(63)) << np.uint32(6) | raw[at + 2] & np.uint32(63)
+        three = at[np.logical_or.reduce([(code >= a) & (code <= b) for a, b in _UNSPACED])]
+        four = np.flatnonzero(raw == 0xF0)
+        four = four[(raw[four + 1] > 0x9F) & (raw[four + 1] < 0xC0)]  # from U+20000 on
+        new[three] = new[four] = True
+        after = np.concatenate((three + 3, four + 4))
+        after = after[after < n]
+        new[after[~blank[after]]] = True
+    ends = ~blank
+    ends[:-1] &= blank[1:] | new[1:]
+    return np.flatnonzero(new), np.flatnonzero(ends) + 1
+
+
+def bounds_of(raw: np.ndarray, starts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Which of the words that start there a chunk ends before; never the first."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    out = (gear_hashes(raw)[starts - 1] >> np.uint32(SHIFT)) & np.uint32((1 << bits) - 1) == 0
+    out[0] = False
+    return out
+
+
+def sequences_of(raw: np.ndarray, starts: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Where the chunks of a text end, and the digest (signed) of each SEQUENCE chunks in a row, or of all if there are fewer."""
+    ends = np.append(starts[bound], len(raw))
+    data, at, digest = raw.tobytes(), [0, *ends.tolist()], xxhash.xxh3_64_intdigest
     size = min(SEQUENCE, len(ends))
-    return ends, [digest(data[a:b]) - (1 << 63) for a, b in zip(at, at[size:], strict=False)] if size else []
+    return ends, [digest(data[a:b]) - (1 << 63) for a, b in zip(at, at[size:], strict=False)]
 
 
-def windows_of(data: bytes, over_words: int = OVER_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of data start and end, and the digest (signed) of each over_words + 1 words in a row."""
-    raw = np.frombuffer(data, np.uint8)
-    blank = np.concatenate(([True], _BLANK[raw], [True]))
-    starts, stops = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+def windows_of(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, over_words: int = OVER_WORDS) -> np.ndarray:
+    """The digest (signed) of each over_words + 1 words in a row, from the first's start to the last's end."""
     n = len(starts) - over_words
     if n <= 0:
-        return starts, stops, np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     up, down = _powers(len(raw) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(raw + np.uint64(1)) * up[: len(raw)])))
     first, last = starts[:n], stops[over_words:]
-    return starts, stops, _mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
+    return _mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
+
+
+def sparse(starts: np.ndarray, bound: np.ndarray, over_words: int = OVER_WORDS) -> np.ndarray:
+    """The windows without SEQUENCE whole chunks that no text outside has a part in.
+
+    The hash at a bound up to REACH bytes into a window sees what is before it, so such bounds do not count.
+    """
+    n = max(0, len(starts) - over_words)
+    before = np.concatenate(([0], np.cumsum(bound)))
+    own = np.searchsorted(starts, starts[:n] + REACH)
+    end = np.arange(over_words + 1, over_words + 1 + n)
+    return np.flatnonzero(before[end] - before[np.minimum(own, end)] <= SEQUENCE)
 
 
-def chunks_of(text: str | None, bits: int = BITS, over_words: int = OVER_WORDS) -> tuple[bytes, np.ndarray, list[int]]:
-    """The text's bytes, where its chunks end, and the digests of its windows."""
-    data = (text or "").encode()
-    return data, chunk_ends(data, bits), windows_of(data, over_words)[2].tolist()
+def met_by(text: str | None, bits: int = BITS, over_words: int = OVER_WORDS) -> list[int]:
+    """The digests by which a text meets others that may share a passage: of sequences of chunks, and of sparse windows."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    starts, stops = words_at(raw)
+    if len(starts) <= over_words:
+        return []
+    bound = bounds_of(raw, starts, bits)
+    few = sparse(starts, bound, over_words)
+    own = windows_of(raw, starts, stops, over_words)[few].tolist() if len(few) else []
+    return sequences_of(raw, starts, bound)[1] + own
 
 
 def nominated(text: str, shared: list[int], bits: int = BITS, over_words: int = OVER_WORDS) -> np.ndarray:
-    """The distinct digests of the windows that lie where sequences of chunks are shared.
+    """The distinct digests of the windows that lie where sequences of chunks are shared, and of the shared sparse ones.
 
     A shared passage reaches into the chunks beside its whole ones. Up to REACH bytes into it the hash still sees
     what is before it, so bounds may differ there; it may begin as many bytes before the chunk before.
     """
-    data = text.encode()
-    starts, stops, windows = windows_of(data, over_words)
+    raw, shared = np.frombuffer(text.encode(), np.uint8), np.array(shared, np.int64)
+    starts, stops = words_at(raw)
+    windows = windows_of(raw, starts, stops, over_words)
     if not len(windows):
         return windows
-    ends, sequences = sequences_of(data, bits)
-    hit = np.flatnonzero(np.isin(np.array(sequences, np.int64), np.array(shared, np.int64)))
+    bound = bounds_of(raw, starts, bits)
+    ends, sequences = sequences_of(raw, starts, bound)
+    hit = np.flatnonzero(np.isin(np.array(sequences, np.int64), shared))
     bounds = np.concatenate((np.zeros(2, np.int64), ends, ends[-1:]))  # of chunk k: from bounds[k + 1] to bounds[k + 2]
     size = min(SEQUENCE, len(ends))
     edge = np.zeros(len(ends) + 1, np.int64)
@@ -120,6 +149,8 @@ def nominated(text: str, shared: list[int], bits: int = BITS, over_words: int =
         low = np.searchsorted(starts, bounds[a] - REACH)
         high = np.searchsorted(stops, bounds[b + 2], "right") - over_words
         take[low : max(low, high)] = True
+    few = sparse(starts, bound, over_words)
+    take[few[np.isin(windows[few], shared)]] = True
     return np.unique(windows[take])
 
 
@@ -130,7 +161,9 @@ def cut_text(text: str, copies: set[int], over_words: int = OVER_WORDS) -> tuple
     the occurrence that came first stay, also where the two overlap.
     """
     data = text.encode()
-    starts, _, windows = windows_of(data, over_words)
+    raw = np.frombuffer(data, np.uint8)
+    starts, stops = words_at(raw)
+    windows = windows_of(raw, starts, stops, over_words)
     n, size = len(windows), over_words + 1
     if not n:
         return text, 0
@@ -239,22 +272,29 @@ def _met(rows: DataFrame, digests_of, owners: bool) -> DataFrame:
     return found.groupBy("id").agg(F.collect_set("digest").alias("shared"))
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """The id, or for null ids a number from _NO_ID on by the text."""
+    return F.coalesce(named(id_col).cast("long"), F.lit(_NO_ID).bitwiseOR(F.shiftrightunsigned(F.xxhash64(named(text_col)), 2)))
+
+
 def copied_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = BITS, over_words: int = OVER_WORDS) -> DataFrame:
     """(id, shared): of each id that has any, the digests of its windows that a smaller id has too.
 
-    First the sequences of chunks that documents share, then the windows at those places only.
+    First what texts may meet by (met_by), then the windows at those places only.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    places = written(_met(rows, lambda text: sequences_of((text or "").encode(), bits)[1], True), "shared-chunks")
+    rows = docs.select(_key(id_col, text_col).alias("id"), named(text_col).alias("text"))
+    places = written(_met(rows, lambda text: met_by(text, bits, over_words), True), "shared-chunks")
     return _met(rows.where("text is not null").join(places, "id"), lambda text, shared: nominated(text, shared, bits, over_words), False)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, over_words: int = OVER_WORDS, drop_emptied: bool = False) -> DataFrame:
     """docs with repeated passages cut from the text, and a last column `removed_words` (or `_removed_words`).
 
-    The id is an integer; the row with the smallest keeps what repeats, and null ids come last. Rows of equal
-    id count as one document: what only they share stays. Null and empty texts stay as they are. A text
-    of which nothing but white space is left stays as that, or its row goes with drop_emptied.
+    The id is an integer below 2**62; the row with the smallest keeps what repeats. Rows of equal id count as one
+    document: what only they share stays. Null ids come last, told apart by their texts, so equal texts
+    without id count as one document. Null and empty texts stay as they are. Long texts are read whole. A text
+    of which nothing but white space is left stays as that, or its row goes with drop_emptied. Other columns stay; an
+    empty table stays empty.
     """
     prepare(docs.sparkSession)
     found, key, name = fresh(docs, "chunk_copies"), fresh(docs, "chunk_id"), fresh(docs, "removed_words")
@@ -270,8 +310,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             gone.append(words)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["text", "words"])
 
-    joined = docs.join(copies, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col(key), "left")
-    out = joined.withColumn(key, cut.asNondeterministic()(F.col(text_col), F.col(found)))
+    joined = docs.join(copies, _key(id_col, text_col) == F.col(key), "left")
+    out = joined.withColumn(key, cut.asNondeterministic()(named(text_col), F.col(found)))
     if drop_emptied:
         out = out.where((F.col(key)["words"] == 0) | F.col(key)["text"].rlike(r"\S"))
-    return out.select(*(F.col(key)["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns), F.col(key)["words"].alias(name))
+    return out.select(*(F.col(key)["text"].alias(c) if c == text_col else named(c) for c in docs.columns), F.col(key)["words"].alias(name))

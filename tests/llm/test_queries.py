@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from passaura.llm import decontamination, queries, sentencepiece_codec, simhash_near_dedup, substring_dedup
+from passaura.llm import decontamination, queries, sentencepiece_codec, simhash_near_dedup
 
-from .test_operators import classes, copies_of
+from .test_operators import classes, cut_plainly
 
 
 def test_all_are_registered():
@@ -43,7 +43,7 @@ def test_pipeline(spark, sf_dir):
     assert len(bad & {k for k, _ in good}) <= 0.35 * len(bad)  # few labels at this size
     label = classes([simhash_near_dedup.fingerprint(t) & (1 << 64) - 1 for _, t in good])
     single = [x for k, x in enumerate(good) if label[k] == k]
-    cut = [(i, *substring_dedup.cut_text(t, c)) for (i, t), c in zip(single, copies_of([t for _, t in single]), strict=True)]
+    cut = [(i, *x) for (i, _), x in zip(single, cut_plainly([t for _, t in single]), strict=True)]
     cut = [(i, t) for i, t, gone in cut if not gone or t.strip()]
     index = decontamination.WindowIndex([tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()])
     kept = {}
