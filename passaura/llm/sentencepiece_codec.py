@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import struct
 from heapq import heappop, heappush
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +27,8 @@ from .common import fresh, named, prepare
 
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words of up to KNOWN_CHARS characters and pairs of pieces that a worker keeps; then it starts anew.
-WORDS, KNOWN_CHARS, PAIRS = 300_000, 48, 1_000_000
+#: Words of up to KNOWN_CHARS characters (twice), pairs of pieces and steps of the automaton that a worker keeps.
+WORDS, KNOWN_CHARS, PAIRS, STEPS = 150_000, 48, 1_000_000, 1_000_000
 
 
 def _fields(data: bytes):
@@ -92,10 +91,13 @@ class Codec:
     def __init__(self, model: Model):
         self.model = model
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         usable = [k in (NORMAL, USER) for k in model.kinds]
         self.ids = {p: i for i, (p, ok) in enumerate(zip(model.pieces, usable, strict=True)) if ok and p}
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
+        # no piece joins what is before a line's end to what is after it, so lines are searched one by one
+        self.lines = 10 in self.byte and not any("\n" in p for p in self.ids)
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.worst = min((model.scores[i] for i in self.ids.values()), default=0.0) - 10
         self._build()
@@ -128,6 +130,7 @@ class Codec:
                 fail[n] = steps[f].get(c, 0)
                 order.append(n)
         self.steps, self.fail, self.out, self.link = steps, fail, out, link
+        self.goto, self.known_steps = [dict() for _ in steps], 0
         self.length = [len(p) for p in self.model.pieces]
         self.blanks = self._of_blanks() if self.model.bpe else []
         # for each state, the pieces that end there, longest first: the output links written out
@@ -139,6 +142,18 @@ class Codec:
         if self.model.bpe:
             self.ends = [tuple(x for x in e if x[0] in self.whole) for e in ends]
 
+    def _follow(self, state: int, c: str) -> int:
+        """The state after a character by steps and failure links, kept in goto."""
+        s = state
+        while s and c not in self.steps[s]:
+            s = self.fail[s]
+        s = self.steps[s].get(c, 0)
+        if self.known_steps >= STEPS:
+            self.goto, self.known_steps = [{} for _ in self.steps], 0
+        self.goto[state][c] = s
+        self.known_steps += 1
+        return s
+
     def _of_blanks(self) -> list[list[int]]:
         """The ids of 0, 1, ... blanks up to the longest piece of them; none if they are not joined last, from the left."""
         lengths = {self.length[i]: i for p, i in self.ids.items() if not p.strip(SPACE)}
@@ -198,16 +213,15 @@ class Codec:
         """The ids of a word by one pass of the automaton."""
         if self.model.bpe and word[:2] == SPACE + SPACE:
             return self._after_blanks(word)
-        steps, fail, ends, n = self.steps, self.fail, self.ends, len(word)
+        goto, follow, ends, n = self.goto, self._follow, self.ends, len(word)
         last = [-1] * (n + 1)  # the last piece of the best way to each place; -1: an uncovered character
         size = [1] * (n + 1)
         state = 0
         if self.model.bpe:
             fits, pairs = self._fits, self.pairs
             for j, c in enumerate(word, 1):
-                while state and c not in steps[state]:
-                    state = fail[state]
-                state = steps[state].get(c, 0)
+                after = goto[state].get(c)
+                state = follow(state, c) if after is None else after
                 for piece, length in ends[state]:
                     before = last[j - length] if j > length else -1
                     if before >= 0:
@@ -219,9 +233,8 @@ class Codec:
         else:
             score = [0.0] + [float("-inf")] * n
             for j, c in enumerate(word, 1):
-                while state and c not in steps[state]:
-                    state = fail[state]
-                state = steps[state].get(c, 0)
+                after = goto[state].get(c)
+                state = follow(state, c) if after is None else after
                 best, covered = float("-inf"), False
                 for piece, length in ends[state]:
                     covered |= length == 1
@@ -278,26 +291,39 @@ class Codec:
             text = text.replace(SPACE, " ")
         if self.model.prefix:
             text = " " + text
-        if "  " in text or text[-1] == " " or text[0] != " ":
+        if not self.lines or "\n" not in text:
+            out: list[int] = []
+            self._words(text, out)
+            return out
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append(self.byte[10])
+            if line:
+                self._words(line, out)
+        return out
+
+    def _words(self, text: str, out: list[int]) -> None:
+        """Add the ids of a text, word by word."""
+        if "  " in text or text[-1] == " ":
             parts = [x.replace(" ", SPACE) for x in _WORD.findall(text)]
-        else:
+        elif text[0] == " ":
             parts = [SPACE + x for x in text[1:].split(" ")]
-        known = self.words
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, parts)))
-        except KeyError:
-            pass
-        if len(known) >= WORDS:
-            known.clear()
-        found = []
+        else:
+            first, *parts = text.split(" ")
+            parts = [first, *[SPACE + x for x in parts]]
+        recent, older = self.words, self.older
         for x in parts:
-            ids = known.get(x)
+            ids = recent.get(x)
             if ids is None:
-                ids = self.search(x)
+                ids = older.get(x)
+                if ids is None:
+                    ids = self.search(x)
                 if len(x) <= KNOWN_CHARS:
-                    known[x] = ids
-            found.append(ids)
-        return list(chain.from_iterable(found))
+                    recent[x] = ids
+            out += ids
+        if len(recent) >= WORDS:  # words in use move to the new table; the others go with the next
+            self.words, self.older = {}, recent
 
     def decode(self, ids: list[int] | None) -> str:
         """The text of ids; bytes that are not UTF-8 become the replacement character."""
