@@ -262,7 +262,7 @@ def _shared(owners: bool):
 def _met(rows: DataFrame, digests_of, owners: bool) -> DataFrame:
     """(id, shared): of each id that has any, the digests that a smaller id has too, or with owners that any other id has.
 
-    rows are the id and what digests_of takes. One shuffle of (digest, id) pairs, dealt out by digest; pairs already
+    rows are the id, what digests_of takes, and columns that it ignores. One shuffle of (digest, id) pairs, dealt out by digest; pairs already
     known to be copies go anywhere.
     """
     pairs = rows.mapInArrow(_first_of_block(digests_of), "digest long, id long, kind byte")
@@ -277,14 +277,9 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.coalesce(named(id_col).cast("long"), F.lit(_NO_ID).bitwiseOR(F.shiftrightunsigned(F.xxhash64(named(text_col)), 2)))
 
 
-def copied_windows(docs: DataFrame, id_col: str, text_col: str, bits: int = BITS, over_words: int = OVER_WORDS) -> DataFrame:
-    """(id, shared): of each id that has any, the digests of its windows that a smaller id has too.
-
-    First what texts may meet by (met_by), then the windows at those places only.
-    """
-    rows = docs.select(_key(id_col, text_col).alias("id"), named(text_col).alias("text"))
-    places = written(_met(rows, lambda text: met_by(text, bits, over_words), True), "shared-chunks")
-    return _met(rows.where("text is not null").join(places, "id"), lambda text, shared: nominated(text, shared, bits, over_words), False)
+def _shares(rows: DataFrame, bits: int, over_words: int) -> DataFrame:
+    """(id, shared): what each of rows (id, text) may meet others by (met_by), so far as some other id has it too."""
+    return _met(rows, lambda text: met_by(text, bits, over_words), True)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, over_words: int = OVER_WORDS, drop_emptied: bool = False) -> DataFrame:
@@ -297,8 +292,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table stays empty.
     """
     prepare(docs.sparkSession)
-    found, key, name = fresh(docs, "chunk_copies"), fresh(docs, "chunk_id"), fresh(docs, "removed_words")
-    copies = written(copied_windows(docs, id_col, text_col, bits, over_words), "copied-windows").select(F.col("id").alias(key), F.col("shared").alias(found))
+    found, key, at, body, name = (fresh(docs, x) for x in ("chunk_copies", "chunk_id", "chunk_at", "chunk_text", "removed_words"))
+    places = written(_shares(docs.select(_key(id_col, text_col).alias("id"), named(text_col).alias("text")), bits, over_words), "shared-chunks")
+    # Both joins take all columns of these rows, in one order, so that Spark deals the texts out by id once for the two
+    keyed = docs.select(_key(id_col, text_col).alias(key), *(named(c).alias(body) if c == text_col else named(c) for c in docs.columns))
+    near = keyed.join(places.select(F.col("id").alias(at), F.col("shared").alias(found)), F.col(key) == F.col(at), "inner")
+    near = near.select(key, body, found, *(named(c) for c in keyed.columns if c not in (key, body)))
+    copies = _met(near, lambda text, shared, *_: nominated(text or "", shared, bits, over_words), False).select(F.col("id").alias(at), F.col("shared").alias(found))
 
     @F.arrow_udf("struct<text:string,words:long>")
     def cut(texts: pa.Array, copies: pa.Array) -> pa.Array:
@@ -310,8 +310,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             gone.append(words)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["text", "words"])
 
-    joined = docs.join(copies, _key(id_col, text_col) == F.col(key), "left")
-    out = joined.withColumn(key, cut.asNondeterministic()(named(text_col), F.col(found)))
+    joined = keyed.join(copies, F.col(key) == F.col(at), "left")
+    out = joined.withColumn(key, cut.asNondeterministic()(F.col(body), F.col(found)))
     if drop_emptied:
         out = out.where((F.col(key)["words"] == 0) | F.col(key)["text"].rlike(r"\S"))
     return out.select(*(F.col(key)["text"].alias(c) if c == text_col else named(c) for c in docs.columns), F.col(key)["words"].alias(name))
