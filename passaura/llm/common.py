@@ -70,17 +70,21 @@ def named(column: str):
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", rows: str | None = None) -> DataFrame:
     """left joined to right by a column of both that is unique in right, without one task for one hot key.
 
     Keys of over 1/HOT_SHARE of left's rows, which are fewer than HOT_SHARE, meet right's rows by broadcast; the rest
-    is an ordinary join, in which no key has more rows than that. left should be narrow: it is read three times.
+    is an ordinary join, in which no key has more rows than that. Null keys are left out of the count, so they should
+    be few. `rows` is a column of right that says how many rows of left have the key; without it they are counted.
+    left is read three times and right twice: both should be narrow and written.
     """
-    counts = written(left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n_of_key")), "key-counts")
+    counts = right.select(on, F.col(rows).alias("n_of_key")) if rows else written(left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n_of_key")), "key-counts")
     n = counts.agg(F.sum("n_of_key")).first()[0] or 0
-    hot = counts.where(F.col("n_of_key") > F.lit(n) / HOT_SHARE).select(on)
-    if n < HOT_SHARE * 8 or hot.isEmpty():
+    hot = [x[0] for x in counts.where(F.col("n_of_key") > F.lit(n) / HOT_SHARE).select(on).collect()] if n >= HOT_SHARE else []
+    if not hot:
         return left.join(right, on, how)
-    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
-    few = right.join(F.broadcast(hot), on, "left_semi")
-    return rest.unionByName(left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how))
+    kind = right.schema[on].dataType
+    keys = left.sparkSession.createDataFrame([(x,) for x in hot], f"`{on}` {kind.simpleString()}")
+    rest = left.join(F.broadcast(keys), on, "left_anti").join(right, on, how)
+    few = right.join(F.broadcast(keys), on, "left_semi")
+    return rest.unionByName(left.join(F.broadcast(keys), on, "left_semi").join(F.broadcast(few), on, how))

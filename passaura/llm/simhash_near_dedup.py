@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, written
+from .common import fresh, named, prepare, spread_join, written
 
 WIDTH, RADIUS, TILE = 4, 4, 4096
 _SUB = 256
@@ -185,10 +185,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), "stars")
+        large = spread_join(both, least, "a", rows="n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = written(large.distinct(), "links")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "stars")
+        small = spread_join(large, least, "a", rows="n").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = written(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
         last, seen = seen, mark(now)
         if seen == last:
@@ -196,6 +197,21 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row of docs, and (fp, root, component_id, keeper) of each fingerprint.
+
+    root names the class; component_id is its smallest id, and keeper the fingerprint of the row that has it.
+    """
+    own = written(docs.select(named(id_col).alias("doc_id"), fingerprint_column(named(text_col), width).alias("fp")), "fingerprints")
+    words = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    found = components(links(words.select("fp"), radius, tile))
+    rooted = written(words.join(found, words.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "classes")
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("fp").alias("fp"))).alias("first")
+    smallest = written(rooted.groupBy("root").agg(first, F.count("*").alias("n")), "class-ids")
+    joined = spread_join(rooted.select("fp", "root"), smallest, "root", rows="n")
+    return own, written(joined.select("fp", "root", F.col("first.id").alias("component_id"), F.col("first.fp").alias("keeper")), "class-members")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs; component_id is the smallest id reachable.
 
@@ -204,24 +220,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not null (null if all are). Other columns are ignored. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    own = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "fingerprints")
-    words = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    found = components(links(words.select("fp"), radius, tile))
-    rooted = words.join(found, words.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    own, classes = _classed(docs, id_col, text_col, width, radius, tile)
+    return spread_join(own, classes.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay: of each class, those with the smallest id; of equal ids one row.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The rows of docs that stay: one of each class, that of the smallest id; of rows with that id one.
 
-    All columns are kept as they are. Rows without an id stay only if no row of their class has one.
+    All columns are kept as they are. Rows without an id come after those with one: they stay only if no row of
+    their class has one, and then one of them does. Null and empty texts are one class. An empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    prepare(docs.sparkSession)
+    _, classes = _classed(docs, id_col, text_col, width, radius, tile)
     own, key, fp, n = (fresh(docs, x) for x in ("own_fp", "stay_id", "stay_fp", "copy_n"))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("fp").alias(fp)).distinct()
-    keyed = docs.withColumn(own, fingerprint_column(F.col(text_col), how.get("width", WIDTH)))
-    joined = keyed.join(stay, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(fp)), "left_semi")
-    one = Window.partitionBy(id_col, own).orderBy(F.xxhash64(text_col))
-    return joined.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*docs.columns)
+    stay = classes.where("fp = keeper").select(F.col("component_id").alias(key), F.col("fp").alias(fp))
+    keyed = docs.withColumn(own, fingerprint_column(named(text_col), width))
+    joined = keyed.join(stay, named(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(fp)), "left_semi")
+    one = Window.partitionBy(named(id_col), F.col(own)).orderBy(F.xxhash64(named(text_col)))  # limited to one before the shuffle, too
+    return joined.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*(named(c) for c in docs.columns))

@@ -11,8 +11,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from passaura.llm import decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
+from passaura.llm import common, decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
 from passaura.llm.queries import TOKENIZERS
+from passaura.sources import scratch
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -647,3 +648,41 @@ def test_near_duplicates_odd_tables(spark):
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash_near_dedup.near_duplicates(odd).collect())
     assert got == [("7", "7"), ("7", "7"), ("8", "8"), ("9", "8"), ("None", "7"), ("None", "None")]
     assert sorted(str(r.doc_id) for r in simhash_near_dedup.deduplicated(odd).collect()) == ["7", "8", "None"]
+    # a class of two fingerprints, and no ids: one row of it stays; a column name with a dot
+    base = " ".join(f"w{k}" for k in range(400))
+    near = next(t for t in (base + f" x{k}" for k in range(50)) if 0 < (simhash_near_dedup.fingerprint(t) ^ simhash_near_dedup.fingerprint(base)).bit_count() <= 4)
+    rows = spark.createDataFrame([(None, base, 1), (None, near, 2), (None, near, 3)], "`doc.id` long, `my.text` string, own_fp int")
+    assert simhash_near_dedup.deduplicated(rows, "doc.id", "my.text").count() == 1
+    assert {r.component_id for r in simhash_near_dedup.near_duplicates(rows, "doc.id", "my.text").collect()} == {None}
+
+
+def test_spread_join(spark):
+    left = spark.range(3000).select((F.col("id") % 100 * (F.col("id") % 3 > 0).cast("int")).alias("k"), "id")
+    right = spark.range(90).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        found, plain = common.spread_join(left, right, "k", how), left.join(right, "k", how)
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    empty = common.spread_join(left.limit(0), right, "k", "left")
+    assert empty.count() == 0
+
+
+def test_hubs_meet_in_many_tasks(spark):
+    edges = spark.range(1, 4000).select(F.col("id").alias("a"), (F.col("id") % 2).alias("b"))  # two stars
+    found = dict(simhash_near_dedup.components(edges.unionByName(spark.createDataFrame([(3999, 3998)], "a long, b long"))).collect())
+    assert set(found.values()) == {0} and len(found) == 3999
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    def session(master):
+        return type("Session", (), {"conf": Conf(), "sparkContext": type("Context", (), {"master": master})})
+
+    for f in (common.shared_dir, lambda s: scratch.scratch_path(s, "x")):
+        for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                f(session(master))
+    assert common.shared_dir(session("local[4]")).startswith("file:")
