@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passaura.llm import decontamination, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup
-from passaura.llm.common import prepare, table, written
+from passaura.llm.common import named, prepare, table, written
 from passaura.llm.queries import TOKENIZERS
 
 
@@ -27,8 +27,8 @@ def near_duplicates(spark, docs, sf_dir):
 
 def repeated_passages(spark, docs, sf_dir):
     """Texts without passages over 50 words that an earlier document has; documents of nothing else go."""
-    found = substring_dedup.deduplicated(docs, drop_emptied=True).select(*docs.columns)
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    found = substring_dedup.deduplicated(docs.drop("n_chars"), drop_emptied=True).withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*(named(c) for c in docs.columns))
 
 
 def benchmark_free(spark, docs, sf_dir):
