@@ -6,6 +6,8 @@ beyond chance among labelled documents, less the log odds of the outcome there.
 probabilities, shrunk toward the global mean, and for each path of the host the mean shrunk toward the
 host's. How strongly a level is shrunk follows from how much its groups differ (method of moments),
 so sparse sites fall back on what is above them. A document's own share is left out of its site's mean.
+Texts are scored once, to rows of id, site and evidence; sites and posteriors are worked out on these, so no text is
+shuffled for them.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, written
+from .common import fresh, named, prepare, spread_join, written
 
-#: Bounds of what is fitted: labelled documents read, and marks kept for an outcome (of the largest chi-square).
+#: Of what is fitted, defaults of `trained`: labelled documents read, marks kept for an outcome (of the largest chi-square), and
+#: the chi-square and number of documents that a mark needs.
 TRAIN_ROWS, MARKS, MIN_CHI2, MIN_COUNT = 10_000, 256, 15.0, 4
 #: Of the regression: steps, weight of the squared-length penalty.
 STEPS, PENALTY = 300, 3e-5
@@ -111,19 +114,21 @@ def _regressed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, marks: int = MARKS, min_chi2: float = MIN_CHI2, min_count: int = MIN_COUNT) -> Model:
     """A Model of at most `rows` labelled documents, those whose id's hash is smallest.
 
-    Labels are joined by id; of repeated ids an outcome holds if any row says so; null labels count as 0.
-    Only the labels' ids are sent to the workers, at most `rows` of them. No labels: no evidence.
+    Labels are joined by id; of repeated ids an outcome holds if any row says so; null labels count as 0. Of documents
+    that share an id the text that is first by order is read, so `rows` bounds what comes to the driver. Only the
+    labels' ids are sent to the workers, at most `rows` of them. No labels or no documents: no evidence.
     """
     prepare(docs.sparkSession)
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("low"), F.max(F.coalesce(F.col("toxic"), F.lit(0)).cast("int")).alias("toxic"))
     chosen = written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = own.join(F.broadcast(chosen), "doc_id").select("text", F.coalesce("low", F.lit(0)), "toxic")
+    own = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    found = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("low").alias("low"), F.first("toxic").alias("toxic"))
+    texts = written(found.select("text", F.coalesce("low", F.lit(0)).alias("low"), "toxic"), "labelled-texts")
     counts = texts.mapInArrow(_counted, "mark string, n long, low long, toxic long").groupBy("mark").agg(*(F.sum(x).alias(x) for x in ("n", "low", "toxic")))
-    counts = written(counts.where((F.col("n") >= MIN_COUNT) | (F.col("mark") == " all")), "marks")
+    counts = written(counts.where((F.col("n") >= min_count) | (F.col("mark") == " all")), "marks")
     whole = counts.where(F.col("mark") == " all").first()
     if not whole:
         return Model({}, (0.0, 0.0), (0.5, 0.5))
@@ -134,7 +139,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return F.when((t == 0) | (t == n) | (k == n), 0.0).otherwise(n * (a * n - t * k) * (a * n - t * k) / (t * (n - t) * k * (n - k)))
 
     best = counts.where(F.col("mark") != " all").withColumns({f"c_{x}": chi2(x) for x in OUTCOMES})
-    names = sorted({r["mark"] for x in OUTCOMES for r in best.where(F.col(f"c_{x}") >= MIN_CHI2).orderBy(F.desc(f"c_{x}"), "mark").limit(MARKS).collect()})
+    names = sorted({r["mark"] for x in OUTCOMES for r in best.where(F.col(f"c_{x}") >= min_chi2).orderBy(F.desc(f"c_{x}"), "mark").limit(marks).collect()})
     base = tuple((whole[x] + 0.5) / (n + 1) for x in OUTCOMES)
     at = {m: k for k, m in enumerate(names)}
 
@@ -200,34 +205,53 @@ def site_means(scored: DataFrame, model: Model, levels: tuple[str, ...] = ("host
     return written(out, "site-means")
 
 
-def judged(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """docs with a last column, struct(host, path, low_evidence, toxic_evidence, low_prior, toxic_prior, low, toxic, rejected).
+def judgements(docs: DataFrame, model: Model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """(doc_id, text_hash, quality) of every row of docs: quality is struct(host, path, low_evidence, toxic_evidence, low_prior, toxic_prior, low, toxic, rejected).
 
-    It is called `quality`, or `_quality` if docs has that. low and toxic are posterior probabilities;
-    a document is rejected if either is over `cut`. Null and empty texts are judged by the mark of an empty
-    text and their site; null hosts and paths are sites of their own; repeated rows are judged alike.
-    Texts are scored twice (for the sites' means, and in place), so that no text is ever shuffled; the
-    table of sites is joined by Spark's choice, by broadcast only if it is small.
+    low and toxic are posterior probabilities; a document is rejected if either is over `cut`. Null and empty texts are
+    judged by the mark of an empty text and their site; null hosts and paths are sites of their own; repeated rows are
+    judged alike, as often as they come. A site with a great part of all rows meets them by broadcast (spread_join).
+    An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    name = fresh(docs, "quality")
-    narrow = docs.select(host.alias("host"), path.alias("path"), evidence_column(F.col(text_col), model).alias("e"))
-    sites = site_means(narrow.select("host", "path", "e.low", "e.toxic"), model)
-    own, site = fresh(docs, "own"), fresh(docs, "site")
-    renamed = sites.select(F.struct("*").alias(site))
-    scored = docs.withColumn(own, F.struct(host.alias("h"), path.alias("p"), evidence_column(F.col(text_col), model).alias("e")))
-    o, s = F.col(own), F.col(site)
-    joined = scored.join(renamed, o["h"].eqNullSafe(s["host"]) & o["p"].eqNullSafe(s["path"]), "left")
-    parts = [o["h"].alias("host"), o["p"].alias("path"), o["e"]["low"].alias("low_evidence"), o["e"]["toxic"].alias("toxic_evidence")]
+    scored = docs.select(named(id_col).alias("doc_id"), F.xxhash64(named(text_col)).alias("text_hash"), F.struct(host.alias("host"), path.alias("path")).alias("site"), evidence_column(named(text_col), model).alias("e"))
+    scored = written(scored.select("doc_id", "text_hash", "site", "e.low", "e.toxic"), "evidence")
+    sites = site_means(scored.select("site.host", "site.path", "low", "toxic"), model)
+    sites = written(sites.select(F.struct("host", "path").alias("site"), *(c for c in sites.columns if c not in ("host", "path"))), "sites-by-key")
+    joined = spread_join(scored, sites, "site", "left", rows="n_2")
+    parts = [F.col("site.host").alias("host"), F.col("site.path").alias("path"), F.col("low").alias("low_evidence"), F.col("toxic").alias("toxic_evidence")]
     chances = []
     for x, base in zip(OUTCOMES, model.base, strict=True):
-        e, p = o["e"][x], s[f"{x}_0"]
+        p = F.col(f"{x}_0")
         for d in (1, 2):
-            k = s[f"{x}_k{d}"]
-            p = (F.greatest(F.lit(0.0), s[f"{x}_{d}"] - _chance(e, base)) + k * p) / (s[f"n_{d}"] - 1 + k)
+            k = F.col(f"{x}_k{d}")
+            p = (F.greatest(F.lit(0.0), F.col(f"{x}_{d}") - _chance(F.col(x), base)) + k * p) / (F.col(f"n_{d}") - 1 + k)
         p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
         parts.append(p.alias(f"{x}_prior"))
-        chances.append(_chance(e, p).alias(x))
+        chances.append(_chance(F.col(x), p).alias(x))
     rejected = (chances[0] > cut) | (chances[1] > cut)
-    out = joined.withColumn(name, F.struct(*parts, *chances, rejected.alias("rejected")))
-    return out.select(*(F.col(c) for c in docs.columns), F.col(name))
+    return joined.select("doc_id", "text_hash", F.struct(*parts, *chances, rejected.alias("rejected")).alias("quality"))
+
+
+def _joined(docs: DataFrame, found: DataFrame, host: Column, path: Column, id_col: str, text_col: str, how: str) -> DataFrame:
+    """docs joined to judgements of its rows, the same rows taken once; the columns of docs and the judgement, under its fresh name."""
+    i, t, h, p, q = (fresh(docs, x) for x in ("judged_id", "judged_text", "judged_host", "judged_path", "quality"))
+    keys = found.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t), F.col("quality.host").alias(h), F.col("quality.path").alias(p), F.col("quality").alias(q)).dropDuplicates([i, t, h, p])
+    same = named(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(named(text_col)) == F.col(t)) & host.eqNullSafe(F.col(h)) & path.eqNullSafe(F.col(p))
+    out = docs.join(keys, same, how)
+    return out if how == "left_anti" else out.select(*(named(c) for c in docs.columns), q)
+
+
+def judged(docs: DataFrame, model: Model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """docs with a last column of judgements, called `quality`, or `_quality` if docs has that.
+
+    Other columns and repeated rows stay. Here texts move, once, to their judgements: dealt out by id and text, so
+    only rows that are alike in both meet in one task.
+    """
+    return _joined(docs, judgements(docs, model, host, path, id_col, text_col, cut), host, path, id_col, text_col, "left")
+
+
+def accepted(docs: DataFrame, model: Model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows of docs that are not rejected, as they are; cases and movement as for `judged`."""
+    found = judgements(docs, model, host, path, id_col, text_col, cut).where("quality.rejected")
+    return _joined(docs, found, host, path, id_col, text_col, "left_anti")

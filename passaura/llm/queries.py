@@ -32,8 +32,7 @@ def op2_decontamination(spark, sf_dir):
 def op3_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = quality_classifier.trained(docs, table(spark, sf_dir, "labels"))
-    found = quality_classifier.judged(docs, model, F.col("source"), F.col("lang"))
-    return found.select("doc_id", "quality.*")
+    return quality_classifier.judgements(docs, model, F.col("source"), F.col("lang")).select("doc_id", "quality.*")
 
 
 def op4_token_counts(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -197,6 +198,62 @@ def test_sparse_sites_fall_back(spark):
     assert abs(((r.low_1 - r.low_1) + r.low_k1 * r.low_0) / (r.n_1 - 1 + r.low_k1) - r.low_0) < 1e-9
 
 
+def test_judgements_against_brute_force(spark):
+    """Evidence by marks, site means, shrinkage and posteriors worked out plainly, over sites with hot, sparse and null hosts."""
+    r = random.Random(21)
+    model = quality_classifier.Model({"bad": (2.5, 0.5), "worse": (1.5, 2.0), "fine": (-2.0, -1.0)}, (0.3, -0.4), (0.2, 0.1))
+    sites = [("hot", "p")] * 300 + [("hot", "q")] * 30 + [("a", "p")] * 20 + [("b", None)] * 3 + [(None, None)] * 4 + [("c", "p")]
+    rows = [(k if k % 9 else None, r.choice(["bad fine", "bad bad worse", "fine", "plain", None, ""]) if h != "b" else "bad worse", h, p, "x") for k, (h, p) in enumerate(sites * 2)]
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, `the.path` string, quality string")
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda p: math.log(p / (1 - p))
+    evidence = [[model.start[o] + sum(w[o] for m, w in model.weights.items() if m in (t or "").split()) for o in (0, 1)] for _, t, *_ in rows]
+    chance = [[sigmoid(e[o] + logit(model.base[o])) for o in (0, 1)] for e in evidence]
+    want = []
+    for o in (0, 1):
+        whole = sum(c[o] for c in chance) / len(rows)
+        prior = [whole] * len(rows)
+        for d in (1, 2):
+            groups: dict = {}
+            for row, c in zip(rows, chance, strict=True):
+                groups.setdefault(row[2 : 2 + d], []).append(c[o])
+            many = [g for g in groups.values() if len(g) > 1]
+            n = sum(map(len, many))
+            between = sum(len(g) * (sum(g) / len(g) - whole) ** 2 for g in many) / n - whole * (1 - whole) * len(many) / n
+            k = min(1e4, max(1.0, whole * (1 - whole) / between - 1)) if between > 0 else 1e4
+            prior = [(sum(groups[row[2 : 2 + d]]) - c[o] + k * p) / (len(groups[row[2 : 2 + d]]) - 1 + k) for row, c, p in zip(rows, chance, prior, strict=True)]
+        want.append([(e[o], p, sigmoid(e[o] + logit(p))) for e, p in zip(evidence, prior, strict=True)])
+    site = (F.col("host"), F.col("`the.path`"))
+    key = lambda *x: tuple(str(round(y, 9)) if isinstance(y, float) else str(y) for y in x)
+    expected = sorted(key(row[0], row[2], row[3], *(x for o in (0, 1) for x in want[o][k]), max(want[0][k][2], want[1][k][2]) > 0.5) for k, row in enumerate(rows))
+    flat = lambda i, q: key(i, q.host, q.path, q.low_evidence, q.low_prior, q.low, q.toxic_evidence, q.toxic_prior, q.toxic, q.rejected)
+    assert sorted(flat(x.doc_id, x.quality) for x in quality_classifier.judgements(docs, model, *site).collect()) == expected
+    full = quality_classifier.judged(docs, model, *site)
+    assert full.columns == [*docs.columns, "_quality"] and sorted(flat(x.doc_id, x["_quality"]) for x in full.collect()) == expected
+    stay = sorted(str(x.doc_id) for x in quality_classifier.accepted(docs, model, *site).collect())
+    assert stay == sorted(x[0] for x in expected if x[-1] == "False")
+
+
+def test_no_text_is_shuffled(spark):
+    docs, labels = labelled(spark, 60)
+    model = quality_classifier.Model({"vile": (0.0, 3.0)}, (0.0, 0.0), (0.2, 0.2))
+    out = quality_classifier.judgements(docs, model, F.col("host"), F.col("path"))
+    assert "text#" not in out._jdf.queryExecution().executedPlan().toString() and "text" not in out.columns
+
+
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    """Many documents of one labelled id are one row of the fit."""
+    seen = []
+    plain = quality_classifier._regressed
+    monkeypatch.setattr(quality_classifier, "_regressed", lambda x, y: seen.append(len(x)) or plain(x, y))
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    more = spark.createDataFrame([(k, "other text here") for k in range(20)], "doc_id long, text string")
+    fit = spark.createDataFrame([(7, 0, 1), (7, 1, None)] + [(k, 1, 0) for k in range(8, 20)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.trained(docs.unionByName(more), fit, rows=10, min_count=1, min_chi2=0.0)
+    assert seen and max(seen) <= 10 and model.base[0] < 0.5
+
+
 def test_quality_odd_tables(spark):
     docs, labels = labelled(spark, 60)
     fit = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -204,7 +261,7 @@ def test_quality_odd_tables(spark):
     empty = quality_classifier.trained(docs, fit.limit(0))
     out = quality_classifier.judged(odd, empty, F.col("host"), F.col("path"))
     assert out.columns[-1] == "_quality" and out.count() == 3 and not any(r["_quality"].rejected for r in out.collect())
-    assert quality_classifier.judged(odd.limit(0), quality_classifier.trained(docs, fit), F.col("host"), F.col("path")).count() == 0
+    assert quality_classifier.judged(odd.limit(0), quality_classifier.trained(docs.limit(0), fit), F.col("host"), F.col("path")).count() == 0
 
 
 # 4: edits
