@@ -16,8 +16,7 @@ from passaura.llm.queries import TOKENIZERS
 def quality(spark, docs, sf_dir):
     """Documents that are likely of good quality and not toxic; the model is fitted on the labelled ones."""
     model = quality_classifier.trained(docs, table(spark, sf_dir, "labels"))
-    found = quality_classifier.judged(docs, model, F.col("source"), F.col("lang"))
-    return found.where(~F.col(found.columns[-1])["rejected"]).select(*docs.columns)
+    return quality_classifier.accepted(docs, model, F.col("source"), F.col("lang"))
 
 
 def near_duplicates(spark, docs, sf_dir):
