@@ -80,11 +80,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     """
     counts = right.select(on, F.col(rows).alias("n_of_key")) if rows else written(left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n_of_key")), "key-counts")
     n = counts.agg(F.sum("n_of_key")).first()[0] or 0
-    hot = [x[0] for x in counts.where(F.col("n_of_key") > F.lit(n) / HOT_SHARE).select(on).collect()] if n >= HOT_SHARE else []
-    if not hot:
+    hot = F.broadcast(counts.where(F.col("n_of_key") > F.lit(n) / HOT_SHARE).select(on))
+    if n < HOT_SHARE or hot.isEmpty():
         return left.join(right, on, how)
-    kind = right.schema[on].dataType
-    keys = left.sparkSession.createDataFrame([(x,) for x in hot], f"`{on}` {kind.simpleString()}")
-    rest = left.join(F.broadcast(keys), on, "left_anti").join(right, on, how)
-    few = right.join(F.broadcast(keys), on, "left_semi")
-    return rest.unionByName(left.join(F.broadcast(keys), on, "left_semi").join(F.broadcast(few), on, how))
+    rest = left.join(hot, on, "left_anti").join(right, on, how)
+    few = F.broadcast(right.join(hot, on, "left_semi"))
+    return rest.unionByName(left.join(hot, on, "left_semi").join(few, on, how))

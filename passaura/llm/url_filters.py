@@ -6,6 +6,11 @@ among the labelled urls with X is high enough (confidence), and if that share ex
 overall (lift). A rule that has a shorter rule of the same verdict inside it, with no lower confidence,
 is pruned. Rules are found through an inverted index from each rule's rarest token to the rule, so a
 url meets only rules that could match, and the strongest one that matches decides.
+
+Tokens that stand in the same labelled urls (a site's host and its suffixes, a fixed chain of directories) are one
+item for the mining, and tokens of every url none: what their combinations would say is said by one of them, so
+all of these rules would be pruned, and they would be listed in every combination before. A url has an item if it
+has any of its tokens, as it would meet the rule of each.
 Fixed (host, path) rules given by the caller come first.
 """
 
@@ -15,10 +20,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, written
+from .common import fresh, named, prepare, spread_join, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.0, 20, 0.6, 1.1
+#: Path parts and query keys that are tokens of their own.
+PARTS, KEYS = 6, 4
 #: (verdict, host and path) of the production rules; a path begins at the first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -34,39 +41,63 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """The url's distinct tokens: scheme, labels and suffixes of the host, path parts, query keys, fragment.
+    """The url's distinct tokens: scheme, suffixes of the host, path parts, query keys, fragment.
 
-    Digits are one class, so that numbers do not make every url its own.
+    Digits are one class, so that numbers do not make every url its own. Path parts from the one after PARTS on are one token
+    together, and so are query keys (in order of name) after KEYS: the whole url counts, and combinations stay few.
     """
     classed = lambda x: F.regexp_replace(F.translate(x, _UPPER, _LOWER), "[0-9]+", "0")
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, n), ".")))
+    together = lambda x, n, mark: F.concat(F.slice(x, 1, n), F.when(F.size(x) > n, F.array(F.concat(F.lit(mark), F.array_join(F.slice(x, n + 1, 1_000_000_000), "/")))).otherwise(F.array().cast("array<string>")))
     parts = F.transform(F.filter(F.split(path_of(url), "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), classed(x)))
+    parts = together(parts, PARTS, "rest:")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), classed(F.split(x, "=")[0])))
+    keys = together(F.array_sort(F.array_distinct(keys)), KEYS, "rest-of-keys:")
     scheme = F.array(F.concat(F.lit("scheme:"), F.translate(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), _UPPER, _LOWER)))
     fragment = F.when(url.contains("#"), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(scheme, suffixes, parts, keys, fragment))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """(items, verdict, confidence, support, anchor) from labelled (url, verdict).
+_RULES = "items array<string>, verdict string, confidence double, support long, anchor string"
+_ITEMS = "token string, item string, n long"
+
+
+def _none(spark, schema: str) -> DataFrame:
+    return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ") for x in schema.split(", "))))
+
+
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> tuple[DataFrame, DataFrame]:
+    """Rules (items, verdict, confidence, support, anchor) from labelled (url, verdict), and the items (token, item, n) of tokens.
 
     A rule needs min_count pages, however many are labelled, so that a site's rule does not go as the table
-    grows; min_support, a share of the labelled pages, can ask for more.
+    grows; min_support, a share of the labelled pages, can ask for more. n is how many labelled urls have the token.
     A rule with no items, from the labels alone, says what holds for urls that no other rule matches.
-    Rows with a null url or label are left out. No labels: no rules.
+    Rows with a null url or label are left out; repeated rows count as often as they come. No labels: no rules.
     """
-    prepare(labelled.sparkSession)
-    own = labelled.where("url is not null and verdict is not null").select(tokens_of(F.col("url")).alias("items"), "verdict")
-    own = written(own.select(F.array_append("items", F.concat(F.lit("verdict:"), "verdict")).alias("items")), "url-tokens")
+    spark = prepare(labelled.sparkSession)
+    own = labelled.where("url is not null and verdict is not null").select(F.monotonically_increasing_id().alias("row"), tokens_of(F.col("url")).alias("tokens"), "verdict")
+    own = written(own, "url-tokens")
     n = own.count()
     if not n:
-        return own.sparkSession.createDataFrame([], "items array<string>, verdict string, confidence double, support long, anchor string")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=1.0).fit(own)
+        return _none(spark, _RULES), _none(spark, _ITEMS)
+    least = max(min_support * n, min_count)
+    each = written(own.select("row", F.explode("tokens").alias("token")), "url-token-rows")
+    # the rows of a token, by their number and two sums of hashes: equal for tokens of the same rows
+    mark = F.xxhash64("row")
+    stats = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("s")).where((F.col("n") >= least) & (F.col("n") < n))
+    stats = written(stats, "url-token-counts")
+    names = stats.groupBy("n", "x", "s").agg(F.min("token").alias("item"))
+    items = written(stats.join(names, ["n", "x", "s"]).select("token", "item", "n"), "url-items")
+    baskets = spread_join(each, items, "token", rows="n").groupBy("row").agg(F.collect_set("item").alias("items"))
+    label = F.array(F.concat(F.lit("verdict:"), "verdict"))
+    own = written(own.join(baskets, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), label).alias("items")), "url-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=1.0).fit(own)
     frequent = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
-    frequent = written(frequent.unionByName(own.sparkSession.createDataFrame([([], n)], "items array<string>, support long")), "url-itemsets")
+    empty = spark.range(1).select(F.array().cast("array<string>").alias("items"), F.lit(n).cast("long").alias("support"))
+    frequent = written(frequent.unionByName(empty), "url-itemsets")
     is_label = lambda x: x.startswith("verdict:")
     with_label = frequent.where(F.exists("items", is_label)).select(
         F.filter("items", lambda x: ~is_label(x)).alias("items"), F.substring(F.filter("items", is_label)[0], 9, 1000).alias("verdict"), F.col("support").alias("both")
@@ -80,25 +111,30 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count
     smaller = smaller.select("items", F.array_remove("items", F.col("x")).alias("inner"), "verdict", "confidence")
     inner = rules.select(F.col("items").alias("inner"), "verdict", F.col("confidence").alias("inner_confidence"))
     pruned = smaller.join(inner, ["inner", "verdict"]).where("inner_confidence >= confidence").select("items", "verdict").distinct()
-    single = frequent.where(F.size("items") == 1).select(F.col("items")[0].alias("x"), F.col("support").alias("n"))
+    single = items.where("token = item").select(F.col("item").alias("x"), "n")
     anchors = rules.select("items", F.explode("items").alias("x")).distinct().join(single, "x").groupBy("items").agg(F.min_by("x", F.struct("n", "x")).alias("anchor"))
-    return rules.join(pruned, ["items", "verdict"], "left_anti").join(anchors, "items", "left").select("items", "verdict", "confidence", "support", "anchor")
+    rules = rules.join(pruned, ["items", "verdict"], "left_anti").join(anchors, "items", "left").select("items", "verdict", "confidence", "support", "anchor")
+    return written(rules, "url-rule-index"), items
 
 
-def verdicts(urls: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
-    """(url, verdict) of each distinct url that is not null: the strongest matching rule's verdict.
+def verdicts(urls: DataFrame, rules: DataFrame, items: DataFrame, otherwise: str = "allow") -> DataFrame:
+    """(url, n, verdict) of each distinct url that is not null: how many rows have it, and the strongest matching rule's verdict.
 
     Strongest: highest confidence, then support, then more items, then verdict and items by name. A rule
     with no items matches every url if it is the strongest such rule; with none, `otherwise` holds.
     """
-    rules = written(rules, "url-rule-index")
     plain = rules.where(F.size("items") == 0).orderBy(F.desc("confidence"), F.desc("support"), "verdict").first()
     otherwise = plain["verdict"] if plain else otherwise
-    seen = urls.select("url").where("url is not null").distinct().withColumn("tokens", tokens_of(F.col("url")))
-    index = rules.where("anchor is not null").select(F.col("anchor").alias("token"), "items", F.struct("confidence", "support", F.size("items"), "verdict", "items").alias("strength"))
-    met = seen.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("items", "tokens")) == 0)
-    best = met.groupBy("url").agg(F.max("strength")["verdict"].alias("verdict"))
-    return seen.select("url").join(best, "url", "left").select("url", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
+    seen = written(urls.where("url is not null").groupBy("url").agg(F.count("*").alias("n")), "urls")
+    used = written(items.join(rules.select(F.explode("items").alias("item")).distinct(), "item", "left_semi").select("token", "item"), "url-items-used")
+    each = written(seen.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(used.select("token"), "token", "left_semi"), "url-token-rows")
+    own = written(spread_join(each, used, "token").groupBy("url").agg(F.collect_set("item").alias("items")), "urls-with-items")
+    index = rules.where("anchor is not null").groupBy("anchor").agg(F.collect_list(F.struct("confidence", "support", F.size("items").alias("size"), "verdict", "items")).alias("rules"))
+    met = written(own.select("url", F.col("items").alias("held"), F.explode("items").alias("anchor")), "url-anchors")
+    met = spread_join(met, written(index, "url-anchor-rules"), "anchor")
+    best = met.select("url", F.array_max(F.filter("rules", lambda r: F.size(F.array_except(r["items"], "held")) == 0)).alias("rule"))
+    best = best.groupBy("url").agg(F.max("rule")["verdict"].alias("verdict"))
+    return seen.join(best, "url", "left").select("url", "n", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
 
 
 def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -115,18 +151,21 @@ def judged(pages: DataFrame, labelled: DataFrame, url_col: str = "url", rules=RU
     """pages with a last column, struct(host, path, rule, verdict), called `judged` or, if pages has that, `_judged`.
 
     Every row of pages comes out once, repeated rows and null urls too; the columns of pages stay as
-    they are. `labelled` has url and verdict (block or allow). Null urls, and all urls if there are no
-    rules, get `otherwise`.
+    they are; an empty table stays empty. Long urls count whole. `labelled` has url and verdict (block or allow). Null
+    urls, and all urls if there are no rules, get `otherwise`. Rows that a fixed rule settles and those without url are
+    not shuffled; a url with a great part of all rows meets its verdict by broadcast.
     """
     name, key, mark = fresh(pages, "judged"), fresh(pages, "url_key"), fresh(pages, "url_verdict")
-    url = F.col(url_col)
-    mined = mined_rules(labelled, **mining)
-    bare = pages.select(url.alias("url")).where(fixed_rule(host_of(url), path_of(url), rules).isNull())
-    found = verdicts(bare, mined, otherwise).select(F.col("url").alias(key), F.col("verdict").alias(mark))
+    url = named(url_col)
     fixed = fixed_rule(host_of(url), path_of(url), rules)
+    is_open = url.isNotNull() & fixed.isNull()
+    left = pages.where(is_open)
+    found = written(verdicts(left.select(url.alias("url")), *mined_rules(labelled, **mining), otherwise), "url-verdicts")
+    found = found.select(F.col("url").alias(key), F.col("n").alias(fresh(pages, "url_n")), F.col("verdict").alias(mark))
+    joined = spread_join(left.withColumn(key, url), found, key, "left", rows=found.columns[1])
+    out = joined.select(*(named(c) for c in pages.columns), mark).unionByName(pages.where(~is_open).withColumn(mark, F.lit(None).cast("string")))
     verdict = F.coalesce(fixed["verdict"], F.col(mark), F.lit(otherwise))
-    joined = pages.join(found, url == F.col(key), "left")
-    return joined.withColumn(name, F.struct(host_of(url).alias("host"), path_of(url).alias("path"), fixed["rule"].alias("rule"), verdict.alias("verdict"))).drop(key, mark)
+    return out.withColumn(name, F.struct(host_of(url).alias("host"), path_of(url).alias("path"), fixed["rule"].alias("rule"), verdict.alias("verdict"))).drop(mark)
 
 
 def labels_of_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -323,27 +324,67 @@ def test_url_parts_and_fixed_rules(spark):
         assert tuple(r["_judged"]) == cases[r.url], r.url
 
 
+def mined_plainly(rows, tokens, urls, min_count=20, min_confidence=0.6, min_lift=1.1):
+    """Brute force: every combination of up to five tokens; the verdict of each url."""
+    n, share = len(rows), {v: sum(x == v for _, x in rows) / len(rows) for v in ("block", "allow")}
+    counts: dict = {}
+    for u, v in rows:
+        for k in range(6):
+            for x in itertools.combinations(sorted(tokens[u]), k):
+                counts.setdefault(x, {"block": 0, "allow": 0})[v] += 1
+    rules = []
+    for x, c in counts.items():
+        for v in c:
+            confidence = c[v] / sum(c.values())
+            if not x or c[v] >= min_count and confidence >= min_confidence and confidence >= min_lift * share[v]:
+                rules.append((confidence, c[v], x, v))
+    inside = {(x, v): p for p, _, x, v in rules}
+    rules = [(p, c, set(x), v) for p, c, x, v in rules if not any(inside.get((x[:k] + x[k + 1 :], v), -1) >= p for k in range(len(x)))]
+    plain = max((p, c, v) for p, c, x, v in rules if not x)[2]
+    assert n == sum(counts[()].values())
+    out = {}
+    for u in urls:
+        # of rules as strong, a shorter one's verdict is that of the longer
+        met = [(p, c, v) for p, c, x, v in rules if x and x <= tokens[u]]
+        top = max((p, c) for p, c, _ in met) if met else None
+        out[u] = {v for p, c, v in met if (p, c) == top} if met else {plain}
+    return rules, out
+
+
 def test_mined_rules_against_brute_force(spark):
     r = random.Random(6)
     rows = []
     for k in range(400):
-        host, lang, key = r.choice(["good.org", "spam.biz", "mix.com"]), r.choice(["en", "de"]), r.choice(["", "?ad=1"])
-        bad = host == "spam.biz" or (host == "mix.com" and key and lang == "de")
-        rows.append((f"http://{host}/{lang}/{k}{key}", "block" if bad and r.random() < 0.95 else "allow"))
+        host, lang, key = r.choice(["good.org", "www.spam.biz", "mix.com", "a.b.deep.net"]), r.choice(["en", "de"]), r.choice(["", "?ad=1", "?ref=2&ad=1"])
+        part = r.choice(["x/y", "x/z", "w"])
+        bad = host == "www.spam.biz" or (host == "mix.com" and key and lang == "de") or (lang == "en" and part == "x/z")
+        rows.append((f"http://{host}/{lang}/{part}/{k}{key}", "block" if bad == (r.random() < 0.95) else "allow"))
     labelled = spark.createDataFrame([*rows, (None, "block"), ("http://x.y/", None)], "url string, verdict string")
-    rules = url_filters.mined_rules(labelled).collect()
-    tokens = {u: frozenset(t) for u, t in spark.createDataFrame(rows, "url string, verdict string").select("url", url_filters.tokens_of(F.col("url"))).collect()}
-    assert rules and any(x.verdict == "block" for x in rules)
-    for x in rules:
-        having = [v for u, v in rows if tokens[u] >= set(x["items"])]
-        assert x.support == having.count(x.verdict) and abs(x.confidence - having.count(x.verdict) / len(having)) < 1e-12
-        assert not x["items"] or x.support >= 20 and x.confidence >= 0.6
-    urls = spark.createDataFrame([(u,) for u, _ in rows[:50]] + [("http://spam.biz/new/page",), (None,)], "url string")
-    got = dict(url_filters.verdicts(urls, url_filters.mined_rules(labelled)).collect())
-    key = lambda x: (x.confidence, x.support, len(x["items"]), x.verdict, x["items"])
-    for u in tokens.keys() & got.keys():
-        assert got[u] == max((x for x in rules if x["items"] and tokens[u] >= set(x["items"])), key=key, default=max((x for x in rules if not x["items"]), key=lambda x: x.confidence)).verdict
-    assert got["http://spam.biz/new/page"] == "block" and len(got) == 51
+    rules, items = url_filters.mined_rules(labelled)
+    new = ["http://spam.biz/new/page", "http://b.deep.net/de/w/1", "https://mix.com/de/?ad=7", "ftp://none", "http://other.org/en/x/z", "http://good.org/z"]
+    urls = spark.createDataFrame([(u,) for u, _ in rows] + [(u,) for u in new] + [(None,)], "url string")
+    tokens = {u: frozenset(t) for u, t in urls.where("url is not null").select("url", url_filters.tokens_of(F.col("url"))).collect()}
+    plain, want = mined_plainly(rows, tokens, list(tokens))
+    got = {x.url: x.verdict for x in url_filters.verdicts(urls, rules, items).collect()}
+    assert set(got) == set(want)
+    assert all(got[u] in want[u] for u in want) and {"block", "allow"} == set(got.values()) and got["http://spam.biz/new/page"] == "block"
+    # nothing missed and nothing made up: each rule found is a plain one for any choice of its items' tokens, and the other way round
+    tokens_by_item: dict = {}
+    for x in items.collect():
+        tokens_by_item.setdefault(x["item"], []).append(x.token)
+    found = {(frozenset(c), x.verdict, x.support, round(x.confidence, 9)) for x in rules.collect() for c in itertools.product(*(tokens_by_item[i] for i in x["items"]))}
+    assert found == {(frozenset(x), v, c, round(p, 9)) for p, c, x, v in plain}
+
+
+def test_long_urls_take_little_time(spark):
+    chain = "/".join(f"part{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(40))
+    rows = [(f"http://a.b.c.d.e.f.g.deep.com/{chain}/{k}?q=1&r=2&s=3&t=4&u=5&v=6", "block" if k % 10 else "allow") for k in range(300)] + [(f"http://s{k % 7}.org/p/{k}", "allow") for k in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    pages = spark.createDataFrame([(1, rows[0][0]), (2, "http://s1.org/p/9"), (3, "http://x.org/" + "a/" * 200_000), (4, rows[0][0])], "page_id long, `the.url` string")
+    began = time.perf_counter()
+    got = {x.page_id: x.judged.verdict for x in url_filters.judged(pages, labelled, "the.url", rules=()).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block"} and time.perf_counter() - began < 60
+    assert url_filters.judged(pages.limit(0), labelled, "the.url").count() == 0
 
 
 def test_small_sites_among_many_labels(spark):
