@@ -60,6 +60,14 @@ def op5_url_filters(spark, sf_dir):
     return url_filters.judged(pages, labelled).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def url_fixed_rules(spark, sf_dir):
+    """The part of op5_url_filters that SQL can express: host, path and the fixed rule that fits."""
+    url = F.col("url")
+    host, path = url_filters.host_of(url), url_filters.path_of(url)
+    rule = url_filters.fixed_rule(host, path)
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), rule["verdict"].alias("verdict"))
+
+
 def op7_html_extraction(spark, sf_dir):
     found = html_extraction.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -83,7 +91,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, url_fixed_rules)
     return {f.__name__: f for f in found}
 
 
@@ -102,5 +110,21 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_
 """
 
 
+def _rule_sql(of: int) -> str:
+    """The longest fixed rule (0: itself, 1: its verdict) that fits a host and a path."""
+    out = ""
+    for verdict, rule in sorted(url_filters.RULES, key=lambda x: -len(x[1])):
+        host, path = rule[: rule.index("/")], rule[rule.index("/") :]
+        out += f" when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{(rule, verdict)[of]}'"
+    return f"case{out} end"
+
+
+_URL_RULES = rf"""
+SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS verdict
+FROM (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages) p
+"""
+
+
 def oracle_sql():
-    return {"op2_decontamination": _OP2}
+    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES}

@@ -14,7 +14,7 @@ from .test_operators import classes, cut_plainly
 def test_all_are_registered():
     found = entry.queries()
     assert set(queries.queries()) <= set(found) and "pipeline" in found
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in queries.queries()}
+    assert sorted(f"op{n}" for n in range(1, 11)) == sorted(x.split("_")[0] for x in queries.queries() if x.startswith("op"))
 
 
 @pytest.mark.parametrize("name", queries.oracle_sql())
