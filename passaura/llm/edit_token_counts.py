@@ -1,11 +1,12 @@
 """Token counts that follow edits.
 
-A text is cut into leaves at places where no token crosses, whatever else the text holds: before a single
-space between two characters that are not white space. The pre-tokens of a leaf, and so its token count,
-depend on the leaf alone. A segment tree over the leaves keeps sums of characters and tokens. An edit finds
-its leaves by descending the tree, takes their text and the leaves next to them as context (an edit can make
-or unmake the bounds there), cuts and counts only that, and updates the sums above. If the leaf number
-changes, leaves are spliced in place and the sums over them are built anew; no other text is read.
+A text is cut into leaves at places where no token crosses, whatever else the text holds: before white space that
+follows another character, and between a mark of punctuation and a letter or digit. The pre-tokens of a leaf, and so
+its token count, depend on the leaf alone. A segment tree over the leaves keeps sums of characters and tokens. An edit
+finds its leaves by descending the tree, takes their text and the leaves next to them as context (an edit can make
+or unmake the bounds there), cuts and counts only that, puts the new leaves in the place of the old ones and updates
+the sums above. A subtree whose halves have become too unequal is built anew, which is paid for by the edits that
+made it so; no other text is read.
 The leaves of a result can be kept and given with the edited text to the next call, which then encodes nothing
 but what its own edits touch.
 """
@@ -14,18 +15,26 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare
+from .common import fresh, named, prepare
 
 #: The pre-token pattern of the public byte-level BPE files: fixed.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A leaf is closed at the first bound after so many characters.
-LEAF, WORDS = 128, 300_000
-_BOUND = re.compile(r"(?<=\S) (?=\S)")
+LEAF = 128
+#: Pieces of up to KNOWN_CHARS characters whose counts a worker keeps; then it starts anew.
+WORDS, KNOWN_CHARS = 300_000, 48
+#: Unicode's white space; marks that are no letter, digit, space or apostrophe; letters and digits.
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARKS = "!-&(-/:-@\\[-`{-~\u3001\u3002\u3008-\u3011\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f"
+_LETTERS = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_BOUND = re.compile(f"(?<=[^{_SPACES}])(?=[{_SPACES}])|(?<=[{_MARKS}])(?=[{_LETTERS}])")
+_PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
 
 class Counter:
@@ -46,17 +55,18 @@ class Counter:
         known, total = self.known, 0
         if len(known) > WORDS:
             known.clear()
-        for k, word in enumerate(_BOUND.split(text)):
-            piece = " " + word if k else word
+        for piece in _PIECE.findall(text):
             n = known.get(piece)
             if n is None:
-                n = known[piece] = len(self.encoding.encode_ordinary(piece))
+                n = len(self.encoding.encode_ordinary(piece))
+                if len(piece) <= KNOWN_CHARS:
+                    known[piece] = n
             total += n
         return total
 
 
 def leaves_of(text: str) -> list[str]:
-    """The text cut at bounds into leaves of about LEAF characters; a leaf but the first begins with a space."""
+    """The text cut at bounds into leaves of about LEAF characters."""
     out, at = [], 0
     while len(text) - at > LEAF:
         m = _BOUND.search(text, at + LEAF)
@@ -69,6 +79,58 @@ def leaves_of(text: str) -> list[str]:
     return out
 
 
+def is_bound(before: str, after: str) -> bool:
+    """Whether a text may be cut between two characters."""
+    return _BOUND.search(before + after, 1) is not None
+
+
+class _Node:
+    """A stretch of leaves: how many, their characters and tokens, and two halves or the text of the one leaf."""
+
+    __slots__ = ("count", "chars", "tokens", "left", "right", "text")
+
+    def __init__(self, count: int, chars: int, tokens: int, left: _Node | None, right: _Node | None, text: str | None):
+        self.count, self.chars, self.tokens, self.left, self.right, self.text = count, chars, tokens, left, right, text
+
+
+def _over(left: _Node | None, right: _Node | None) -> _Node | None:
+    if left is None or right is None:
+        return left or right
+    node = _Node(left.count + right.count, left.chars + right.chars, left.tokens + right.tokens, left, right, None)
+    return _built(list(_leaves(node))) if node.count > 8 and 4 * max(left.count, right.count) > 3 * node.count else node
+
+
+def _built(leaves: list[tuple[str, int]]) -> _Node | None:
+    level = [_Node(1, len(x), n, None, None, x) for x, n in leaves]
+    while len(level) > 1:
+        pairs = [_Node(a.count + b.count, a.chars + b.chars, a.tokens + b.tokens, a, b, None) for a, b in zip(level[::2], level[1::2], strict=False)]
+        level = pairs + level[len(level) - len(level) % 2 :]
+    return level[0] if level else None
+
+
+def _leaves(node: _Node | None, first: int = 0, last: int | None = None) -> Iterator[tuple[str, int]]:
+    """(text, tokens) of the leaves from number first up to last."""
+    stack = [(node, 0)] if node else []
+    while stack:
+        node, at = stack.pop()
+        if at + node.count <= first or last is not None and at >= last:
+            continue
+        if node.left is None:
+            yield node.text, node.tokens
+        else:
+            stack += [(node.right, at + node.left.count), (node.left, at)]
+
+
+def _replaced(node: _Node, first: int, last: int, new: _Node | None) -> _Node | None:
+    """The tree with new in the place of the leaves from first up to last, at least one."""
+    if first <= 0 and last >= node.count:
+        return new
+    k = node.left.count
+    left = _replaced(node.left, first, last, new) if first < k else node.left
+    right = _replaced(node.right, first - k, last - k, None if first < k else new) if last > k else node.right
+    return _over(left, right)
+
+
 class TokenTree:
     """A text as leaves under a segment tree of (characters, tokens)."""
 
@@ -76,88 +138,65 @@ class TokenTree:
         self.counter = counter
         self.recounted = 0
         self.encoded = 0 if leaves is not None else len(text)
-        self._build(leaves if leaves is not None else [(x, counter.count(x)) for x in leaves_of(text)])
-
-    def _build(self, leaves: list[tuple[str, int]]) -> None:
-        self.leaves = leaves
-        self.base = 1
-        while self.base < len(leaves):
-            self.base *= 2
-        self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        for k, (x, n) in enumerate(leaves):
-            self.chars[self.base + k], self.tokens[self.base + k] = len(x), n
-        for k in range(self.base - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        self.root = _built(leaves if leaves is not None else self._counted(text))
+
+    def _counted(self, text: str) -> list[tuple[str, int]]:
+        return [(x, self.counter.count(x)) for x in leaves_of(text)]
+
+    @property
+    def leaves(self) -> list[tuple[str, int]]:
+        return list(_leaves(self.root))
 
     @property
     def text(self) -> str:
-        return "".join(x for x, _ in self.leaves)
+        return "".join(x for x, _ in _leaves(self.root))
 
     @property
     def n_chars(self) -> int:
-        return self.chars[1]
+        return self.root.chars if self.root else 0
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens if self.root else 0
 
     def _leaf_at(self, place: int) -> tuple[int, int]:
-        """The leaf that holds a place, and where it starts; the end is in the last leaf."""
-        if place >= self.chars[1]:
-            k = max(0, len(self.leaves) - 1)
-            return k, self.chars[1] - (len(self.leaves[k][0]) if self.leaves else 0)
-        node, start = 1, 0
-        while node < self.base:
-            node *= 2
-            if place - start >= self.chars[node]:
-                start += self.chars[node]
-                node += 1
-        return node - self.base, start
+        """The number of the leaf that holds a place, and where it starts; the end is in the last leaf."""
+        node, number, start = self.root, 0, 0
+        while node.left is not None:
+            if place - start >= node.left.chars:
+                number, start, node = number + node.left.count, start + node.left.chars, node.right
+            else:
+                node = node.left
+        return number, start
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace the characters from start up to stop by new; places beyond the text are its end."""
         start = max(0, min(start, self.n_chars))
         stop = max(start, min(stop, self.n_chars))
-        if not self.leaves:
-            self._build([(x, self.counter.count(x)) for x in leaves_of(new)])
+        if not self.root:
+            self.root = _built(self._counted(new))
             self.recounted += self.n_chars
             return
         first, at = self._leaf_at(start)
-        last, _ = self._leaf_at(stop)
-        first -= 1
-        last += 1
-        if first >= 0:
-            at -= len(self.leaves[first][0])
-        first, last = max(0, first), min(last, len(self.leaves) - 1)
-        old = "".join(x for x, _ in self.leaves[first : last + 1])
-        text = old[: start - at] + new + old[stop - at :]
-        # what follows begins with a bound if the character before it is no white space, which the edit may change
-        while text and last + 1 < len(self.leaves) and text[-1].isspace() or not text and last + 1 < len(self.leaves):
-            last += 1
-            text += self.leaves[last][0]
-        # the same before: a first leaf that begins with a space needs a character after it that is none
-        while first > 0 and not _starts_bound(text):
+        last = min(self._leaf_at(stop)[0] + 2, self.root.count)
+        if first:  # the leaf before as context
             first -= 1
-            text = self.leaves[first][0] + text
-        own = [(x, self.counter.count(x)) for x in leaves_of(text)]
+            at -= len(next(_leaves(self.root, first, first + 1))[0])
+        old = "".join(x for x, _ in _leaves(self.root, first, last))
+        text = old[: start - at] + new + old[stop - at :]
+        # leaves whose bound the edit has unmade come with it
+        while last < self.root.count:
+            beside = next(_leaves(self.root, last, last + 1))[0]
+            if text and is_bound(text[-1], beside[0]):
+                break
+            text, last = text + beside, last + 1
+        while first:
+            beside = next(_leaves(self.root, first - 1, first))[0]
+            if text and is_bound(beside[-1], text[0]):
+                break
+            text, first = beside + text, first - 1
         self.recounted += len(text)
-        if len(own) == last + 1 - first:
-            for k, (x, n) in enumerate(own, first):
-                self.leaves[k] = (x, n)
-                node = self.base + k
-                more, add = len(x) - self.chars[node], n - self.tokens[node]
-                while node:
-                    self.chars[node] += more
-                    self.tokens[node] += add
-                    node //= 2
-        else:
-            self.leaves[first : last + 1] = own
-            self._build(self.leaves)
-
-
-def _starts_bound(text: str) -> bool:
-    return len(text) > 1 and text[0] == " " and not text[1].isspace()
+        self.root = _replaced(self.root, first, last, _built(self._counted(text)))
 
 
 def kept_leaves(text: str, chars: list[int] | None, tokens: list[int] | None) -> list[tuple[str, int]] | None:
@@ -166,7 +205,7 @@ def kept_leaves(text: str, chars: list[int] | None, tokens: list[int] | None) ->
         return None
     out, at = [], 0
     for n, count in zip(chars, tokens, strict=True):
-        if at and (text[at - 1].isspace() or not _starts_bound(text[at : at + 2])):
+        if at and not is_bound(text[at - 1], text[at]):
             return None
         out.append((text[at : at + n], count))
         at += n
@@ -195,7 +234,8 @@ def edit_counts(docs: DataFrame, vocabulary_path: str, edits_col: str, text_col:
     each on the text that those before left, and places beyond the text are its end. The column has n_tokens,
     n_tokens_edited, n_chars_edited, n_chars_recounted (read again for the edits), n_chars_encoded (read before
     them, to build the tree) and the leaves of the edited text: leaf_chars and leaf_tokens. Null texts are empty;
-    null edits and null fields are no edit, 0 and "".
+    null edits and null fields are no edit, 0 and "". Long texts are taken whole; repeated rows come out as often as they go
+    in; other columns stay, and the new one gets leading underscores if docs has its name; an empty table stays empty.
     kept_col is a column of an earlier result whose edited text is now the text, by the same vocabulary. Its tree
     is taken up without encoding. Where it is null, or its leaves do not fit the text in length and bounds, the
     text is encoded; other texts of the same length and bounds are not told apart.
@@ -213,10 +253,11 @@ def edit_counts(docs: DataFrame, vocabulary_path: str, edits_col: str, text_col:
             for e in own or ():
                 if e:
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-            out.append((before, tree.n_tokens, tree.n_chars, tree.recounted, tree.encoded, [len(x) for x, _ in tree.leaves], [n for _, n in tree.leaves]))
+            leaves = tree.leaves
+            out.append((before, tree.n_tokens, tree.n_chars, tree.recounted, tree.encoded, [len(x) for x, _ in leaves], [n for _, n in leaves]))
         columns = list(zip(*out, strict=True)) or [()] * 7
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_recounted", "n_chars_encoded", "leaf_chars", "leaf_tokens"])
 
-    kept = [(F.col(kept_col)[x] if kept_col else F.lit(None)).cast("array<int>") for x in ("leaf_chars", "leaf_tokens")]
-    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(F.col(text_col), F.col(edits_col), *kept))
+    kept = [(named(kept_col)[x] if kept_col else F.lit(None)).cast("array<int>") for x in ("leaf_chars", "leaf_tokens")]
+    return docs.withColumn(fresh(docs, column), of.asNondeterministic()(named(text_col), named(edits_col), *kept))

@@ -272,7 +272,7 @@ def test_edits_against_full_counts(spark, texts):
     r = random.Random(4)
     counter = edit_token_counts.Counter.read(open(RANKS, "rb").read())
     full = lambda t: len(counter.encoding.encode_ordinary(t))
-    bits = ["the ", "a", " ", "  ", "\n", "é", "'ll", "'", " l", "1", "x.", "\t", "Word ", " word"]
+    bits = ["the ", "a", " ", "  ", "\n", "é", "'ll", "'", " l", "1", "x.", "\t", "Word ", " word", ".s", "。", "中文", "の", "\u3000", ",'s", "\x1c", "\x85", "’", "²", "Ж"]
     for _ in range(400):
         t = "".join(r.choice(bits) for _ in range(r.randint(0, 400)))
         tree = edit_token_counts.TokenTree(t, counter)
@@ -289,6 +289,36 @@ def test_edits_against_full_counts(spark, texts):
         assert len(t) < 5000 or " " not in t or x.counts.n_chars_recounted < len(t) / 4
 
 
+def depth_of(node):
+    return 0 if node.left is None else 1 + max(depth_of(node.left), depth_of(node.right))
+
+
+@pytest.mark.parametrize("make", [lambda k: f"line {k} of the text\n", lambda k: f"第{k}行，这是一个很长的句子。", lambda k: f"w{k},"])
+def test_edits_read_little(make):
+    """Texts of lines, without spaces, and without either: an edit reads a small part and leaves the tree balanced."""
+    r = random.Random(22)
+    counter = edit_token_counts.Counter.read(open(RANKS, "rb").read())
+    t = "".join(map(make, range(3000)))
+    tree = edit_token_counts.TokenTree(t, counter)
+    assert max(len(x) for x, _ in tree.leaves) < 400
+    for k in range(300):
+        a = r.randrange(len(t)) if k % 2 else 1000  # again and again at one place
+        b, new = a + r.choice([0, 1, 600]), r.choice(["", "x", make(k) * 40])
+        tree.edit(a, b, new)
+        t = t[:a] + new + t[b:]
+    assert tree.text == t and tree.n_tokens == len(counter.encoding.encode_ordinary(t)) == sum(n for _, n in tree.leaves)
+    assert tree.recounted / 300 < 3000 and depth_of(tree.root) < 3 * math.log2(tree.root.count) + 3
+
+
+def test_edits_odd_tables(spark):
+    edits = "array<struct<start:int,stop:int,text:string>>"
+    rows = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (2, "", [], 1), (3, "a b", [(1, None, "x"), None, (None, 9, None)], 1)], f"doc_id long, `my.text` string, `my.edits` {edits}, counts int")
+    out = edit_token_counts.edit_counts(rows, RANKS, "my.edits", "my.text")
+    assert out.columns == [*rows.columns, "_counts"]
+    assert sorted((x.doc_id, x["_counts"].n_tokens, x["_counts"].n_chars_edited) for x in out.collect()) == [(1, 0, 0), (1, 0, 0), (2, 0, 0), (3, 2, 0)]
+    assert edit_token_counts.edit_counts(rows.limit(0), RANKS, "my.edits", "my.text").count() == 0
+
+
 def test_kept_trees(spark, texts):
     counter = edit_token_counts.Counter.read(open(RANKS, "rb").read())
     full = lambda t: len(counter.encoding.encode_ordinary(t))
