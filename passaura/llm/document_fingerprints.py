@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import named, prepare, written
 
 IDENTITY, LIKENESS = 16, 128
 #: Rows of a stretch of the id order, within which neighbours are found.
@@ -162,44 +162,69 @@ def merged(prints: DataFrame, by: list[str], column: str = "fingerprint") -> Dat
     return out.select(*by, F.unhex(F.concat(*(x for k in lanes for x in back(k)))).alias(column))
 
 
-def _bounds(docs: DataFrame, key: str) -> list[int]:
-    """Keys that cut the descending order into stretches of about STRETCH rows, at most MOST_STRETCHES of them."""
-    n = docs.where(F.col(key).isNotNull()).count()
+def _bounds(docs: DataFrame, key: str) -> tuple[list[int], dict[int | None, int]]:
+    """Keys that cut the ascending order into stretches of about STRETCH rows, and into how many stretches one hot key (or null) falls.
+
+    There are about MOST_STRETCHES at most.
+    """
+    n = docs.count()
+    nulls = docs.where(F.col(key).isNull()).count()
     pieces = min(MOST_STRETCHES, -(-n // STRETCH))
     if pieces < 2:
-        return []
-    at = docs.approxQuantile(key, [k / pieces for k in range(1, pieces)], 0.1 / pieces)
-    return sorted({int(x) for x in at})
+        return [], {}
+    size = n / pieces
+    steps = max(1, int((n - nulls) / size))
+    at = docs.approxQuantile(key, [k / steps for k in range(1, steps)], 0.1 / steps) if steps > 1 else []
+    found = sorted(int(x) for x in at)
+    parts: dict[int | None, int] = {x: found.count(x) + 1 for x in found if found.count(x) > 1}
+    if nulls > size:
+        parts[None] = -(-nulls // int(size))
+    return sorted(set(found)), parts
 
 
 def in_stretches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, stretch, lent) dealt out and sorted so that each row is followed by the next one.
 
-    Rows are in descending order of key within a stretch, equal keys in order of the text's hash, null
-    keys last. The first row of each stretch is lent to the stretch before (that of the first to the
-    last), where it comes at the end. So no task holds more than its stretches, and texts move once.
+    Rows are in descending order of key, null keys last; of equal keys in order of a hash of the text. A key that
+    fills several stretches is cut by that hash, so no task holds more than its stretches, and texts move once; only
+    rows that are alike in key and text stay together. The first row of each stretch is lent to the stretch before
+    (that of the first to the last), where it comes at the end.
     """
     spark = prepare(docs.sparkSession)
-    ids = docs.select(F.col(key).cast("long").alias("k"))
-    bounds = np.array(_bounds(ids, "k"), np.int64)
-
-    def place(keys: np.ndarray, null: np.ndarray) -> np.ndarray:  # 0 for the largest keys; nulls with the smallest
-        return len(bounds) - np.where(null, 0, np.searchsorted(bounds, keys))
+    ids = docs.select(named(key).cast("long").alias("k"), F.xxhash64(named(text)).alias("h"))
+    cuts, parts = _bounds(ids, "k")
+    # the stretches from the largest key down: of each run of keys between cuts, and of a hot key by its hash
+    bounds, wide = np.array(cuts, np.int64), np.ones(2 * len(cuts) + 2, np.int64)  # runs 2 j + 1: key of cut j itself; 2 j: keys between; last: null
+    for x, n in parts.items():
+        wide[-1 if x is None else 2 * int(np.searchsorted(bounds, x)) + 1] = n
+    order = [*range(2 * len(cuts), -1, -1), 2 * len(cuts) + 1]
+    starts = np.zeros(len(wide), np.int64)
+    starts[order] = np.concatenate(([0], np.cumsum(wide[order])[:-1]))
+
+    def place(keys: pa.Array, hashes: pa.Array) -> np.ndarray:
+        null = keys.is_null().to_numpy(zero_copy_only=False)
+        k, h = keys.fill_null(0).to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        run = np.searchsorted(bounds, k, "left") + np.searchsorted(bounds, k, "right")
+        run[null] = len(wide) - 1
+        part = ((h >> np.int64(40)) + (1 << 23)) * wide[run] >> 24  # hashes ascend with their part
+        return (starts[run] + part).astype(np.int32)
 
     @F.arrow_udf("int")
-    def stretch(keys: pa.Array) -> pa.Array:
-        return pa.array(place(keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False)).astype(np.int32))
+    def stretch(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(place(keys, hashes))
 
-    heads = ids.select("k", stretch(F.col("k")).alias("s")).groupBy("s").agg(F.max("k").alias("k")).orderBy("s").collect()
-    before = {r["k"]: heads[i - 1]["s"] for i, r in enumerate(heads)}
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), (-F.col("k")).alias("k"), "h")).alias("first")
+    heads = written(ids.select("k", "h", stretch(F.col("k"), F.col("h")).alias("s")).groupBy("s").agg(first), "stretch-heads").orderBy("s").collect()
+    before = {(None if r["first"]["none"] else -r["first"]["k"], r["first"]["h"]): heads[i - 1]["s"] for i, r in enumerate(heads)}
 
     @F.arrow_udf("array<int>")
-    def stretches(keys: pa.Array) -> pa.Array:
-        own = place(keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False)).tolist()
-        return pa.array([[s, before[k]] if k in before else [s] for k, s in zip(keys.to_pylist(), own, strict=True)], pa.list_(pa.int32()))
+    def stretches(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        own = place(keys, hashes).tolist()
+        lent = map(before.get, zip(keys.to_pylist(), hashes.to_pylist(), strict=True))
+        return pa.array([[s] if x is None else [s, x] for s, x in zip(own, lent, strict=True)], pa.list_(pa.int32()))
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.withColumn("s", stretches.asNondeterministic()(F.col("key")))
+    rows = docs.select(named(key).cast("long").alias("key"), named(text).alias("text"))
+    rows = rows.withColumn("s", stretches.asNondeterministic()(F.col("key"), F.xxhash64("text")))
     rows = rows.select("key", "text", F.posexplode("s").alias("lent", "stretch"))
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stretch")
     return dealt.sortWithinPartitions("stretch", "lent", F.desc_nulls_last("key"), F.xxhash64("text"))
@@ -211,8 +236,9 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The edited text has its last third (code points, rounded down) replaced by as many of the first code
     points of the text that follows in descending order of key, all of them if it has fewer; after the
     last comes the first. Its fingerprint is made from the text's own by deleting the paragraphs from
-    the cut on and inserting the new ones. Null texts are empty; the key must be an integer; repeated
-    rows come out as often as they go in; other columns are ignored; an empty table gives no rows.
+    the cut on and inserting the new ones. Null texts are empty; the key must be an integer, null ones come last, and
+    rows of equal key follow each other in order of a hash of their texts; repeated rows come out as often as they go
+    in; long texts are taken whole; other columns are ignored; an empty table gives no rows.
     """
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 

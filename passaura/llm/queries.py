@@ -14,9 +14,10 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def op1_document_fingerprints(spark, sf_dir):
+    """Fingerprints are returned whole, in hexadecimal digits: `document_fingerprints.Fingerprint` reads, adds and compares them."""
     found = document_fingerprints.against_next(table(spark, sf_dir, "documents"))
-    short = lambda c: F.sha2(F.col(c), 256).alias(c)
-    return found.select("doc_id", "n_chars", "edited_sha256", short("fingerprint"), short("edited_fingerprint"), "near_edited", "near_next")
+    digits = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select("doc_id", "n_chars", "edited_sha256", digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op2_decontamination(spark, sf_dir):

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables, and what they do with odd ones."""
 
+import collections
 import hashlib
 import html
 import itertools
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from passaura.llm import common, decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
+from passaura.llm import queries
 from passaura.llm.queries import TOKENIZERS
 from passaura.sources import scratch
 
@@ -81,7 +83,54 @@ def test_against_next(spark, texts):
         own, other = (document_fingerprints.Fingerprint.of(document_fingerprints.paragraphs_of(x)) for x in (t, edited))
         assert got[k].n_chars == len(t) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert bytes(got[k].fingerprint) == bytes(own) and bytes(got[k].edited_fingerprint) == bytes(other)
-        assert got[k].near_edited == own.likeness(other) and 0 <= got[k].near_next <= 1
+        assert got[k].near_edited == own.likeness(other) and got[k].near_next == own.likeness(document_fingerprints.Fingerprint.of(document_fingerprints.paragraphs_of(after)))
+
+
+def pairs_of(text):
+    """Each line's pairs of neighbouring words, or its one word."""
+    out = collections.Counter()
+    for line in text.split("\n"):
+        w = re.findall("[^ \t-\r]+", line)
+        out.update(zip(w, w[1:], strict=False) if len(w) > 1 else [(x,) for x in w])
+    return out
+
+
+def true_likeness(a, b):
+    """One less the share of word pairs, weighed by their counts, in which two texts differ."""
+    a, b = pairs_of(a), pairs_of(b)
+    size = lambda c: sum(n * n for n in c.values())
+    far = sum((a[x] - b[x]) ** 2 for x in a.keys() | b.keys())
+    return max(0.0, 1 - far / (size(a) + size(b)))
+
+
+def test_likeness_against_true_overlap():
+    r = random.Random(15)
+    errors = []
+    for _ in range(60):
+        words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(r.choice([30, 300, 1500]))]
+        cut = r.randrange(len(words))
+        other = words[:cut] + ["".join(r.choice("klmnop") for _ in range(6)) for _ in words[cut:]]
+        texts = [re.sub("((?:[^ ]+ ){9}[^ ]+) ", r"\1\n", " ".join(w)) for w in (words, other)]
+        a, b = (document_fingerprints.Fingerprint.of(t.split("\n")) for t in texts)
+        errors.append(a.likeness(b) - true_likeness(*texts))
+    assert np.abs(errors).max() < 0.35 and np.abs(errors).mean() < 0.08 and abs(np.mean(errors)) < 0.04
+    many = "a b " * 100_000
+    a, b = (document_fingerprints.Fingerprint.of([t]) for t in (many, many + "c d " * 10_000))
+    assert abs(a.likeness(b) - true_likeness(many, many + "c d " * 10_000)) < 0.05
+
+
+def test_query_returns_fingerprints(spark, sf_dir):
+    """The query's digits are the sums themselves: they can be read back, compared and subtracted."""
+    of = document_fingerprints.Fingerprint
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {x.doc_id: x for x in queries.op1_document_fingerprints(spark, sf_dir).collect()}
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        own = of.from_bytes(bytes.fromhex(got[i].fingerprint))
+        assert own == of.of(document_fingerprints.paragraphs_of(texts[i])) and got[i].n_chars == len(texts[i] or "")
+        after = of.from_bytes(bytes.fromhex(got[order[(k + 1) % len(order)]].fingerprint))
+        assert got[i].near_next == own.likeness(after)
+        assert got[i].near_edited == own.likeness(of.from_bytes(bytes.fromhex(got[i].edited_fingerprint)))
 
 
 def test_against_next_in_many_stretches(spark, monkeypatch):
@@ -96,6 +145,19 @@ def test_against_next_in_many_stretches(spark, monkeypatch):
         assert got[i] == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
 
 
+def test_against_next_with_hot_keys(spark, monkeypatch):
+    """A third of all rows without a key and a third with one key fall into many stretches, each row still before its next."""
+    monkeypatch.setattr(document_fingerprints, "STRETCH", 10)
+    rows = [(k if k % 3 == 0 else 150 if k % 3 == 1 else None, f"text {k} " * 3) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = document_fingerprints.in_stretches(docs, "doc_id", "text").where("lent = 0").groupBy("stretch").agg(F.count("*").alias("n")).collect()
+    assert len(dealt) > 20 and max(x.n for x in dealt) < 40
+    hashed = {x.text: x.h for x in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), hashed[x[1]]))
+    want = sorted((str(i), hashlib.sha256((t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((str(x.doc_id), x.edited_sha256) for x in document_fingerprints.against_next(docs).collect()) == want
+
+
 def test_against_next_odd_tables(spark):
     assert document_fingerprints.against_next(docs_of(spark, [])).count() == 0
     (r,) = document_fingerprints.against_next(docs_of(spark, ["abcdef"])).collect()
