@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import named, prepare
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of a row, tokens of a block.
@@ -150,6 +150,8 @@ def packed(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = tokenizer.encode(text)
+                if not len(ids):
+                    continue
                 held.append((i, ids))
                 n += len(ids)
                 if n >= block:
@@ -163,7 +165,7 @@ def packed(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
         for k in range(0, out.num_rows, 256):
             yield out.slice(k, 256)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
     return rows.mapInArrow(over, SCHEMA)
 
 
