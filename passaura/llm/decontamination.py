@@ -3,8 +3,10 @@
 Words are runs of digits, letters a-z (A-Z lower-cased) and anything beyond ASCII. A window is `width`
 consecutive words of an item; a shorter item is one window. A document word inside any occurrence of
 a window is hit. Windows are looked up by a rolling hash and each find is verified word by word.
-The benchmark is sent to the workers in blocks of about `block_chars` characters of item text (dealt by
-hash; an item is not split), one pass over the documents for each, so no broadcast grows with the benchmark.
+Equal items count once, and an item of over `block_chars` characters is cut into parts that overlap by all but one
+word of a window. The benchmark is sent to the workers in blocks of about `block_chars` characters (dealt by hash), so no
+broadcast grows with it. One block is the usual case: documents are read once and nothing is shuffled. With more,
+each is held against the documents, and what it hits is kept as a narrow table of text hashes, items and places.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, written
+from .common import fresh, named, prepare, spread_join, written
 
 WIDTH, BLOCK_CHARS = 13, 4_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -124,6 +126,8 @@ def scan(texts: list[str | None], before: list[dict | None], index: WindowIndex)
 
 
 def _look(shared):
+    """A column of what texts have of the shared index, added to what a second column says was found before."""
+
     @F.arrow_udf(_FOUND)
     def look(texts: pa.Array, before: pa.Array) -> pa.Array:
         return pa.array(scan(texts.to_pylist(), before.to_pylist(), shared.value), _TYPE)
@@ -131,27 +135,76 @@ def _look(shared):
     return look.asNondeterministic()
 
 
+def parts_of(text: str, width: int, block_chars: int) -> list[str]:
+    """A text as it is, or if it is over-long its words in parts of about block_chars characters with the same windows."""
+    if len(text) <= block_chars:
+        return [text]
+    own, out, first = words_of(text), [], 0
+    while first < len(own):
+        last, size = first, 0
+        while last < len(own) and (size < block_chars or last - first < width):
+            size += len(own[last]) + 1
+            last += 1
+        out.append(b" ".join(own[first:last]).decode())
+        if last == len(own):
+            break
+        first = last - width + 1
+    return out
+
+
+def item_parts(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_chars: int) -> DataFrame:
+    """(i, t) of the benchmark's items: equal ones once, over-long ones in parts, null texts left out."""
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([parts_of(x, width, block_chars) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    items = benchmark.select(named(item_col).alias("i"), named(text_col).alias("t")).where("t is not null").distinct()
+    return written(items.select("i", F.explode(cut.asNondeterministic()(F.col("t"))).alias("t")).distinct(), "benchmark-parts")
+
+
+def _hits(docs: DataFrame, text: str, shared) -> DataFrame:
+    """(text_key, items, spans, n) of the distinct texts that a block hits."""
+    key = F.struct(F.xxhash64(named(text)).alias("a"), F.xxhash64(F.lit("b"), named(text)).alias("b"))
+    found = docs.select(key.alias("text_key"), _look(shared)(named(text), F.lit(None).cast(_FOUND)).alias("found")).where("found.n_hit > 0")
+    return written(found.groupBy("text_key").agg(F.first("found.items").alias("items"), F.first("found.spans").alias("spans"), F.count("*").alias("n")), "contamination")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with a struct column: n_words, n_hit, items (sorted ids), spans of hit words.
 
     A span has word positions (first, last exclusive) and code point positions (begin, stop). The
     column is called `found`, with leading underscores if docs has that name already; it is the last.
-    Null texts have no words. Items without words have no window; an item whose id is null hits words
-    but is not listed. Repeated rows, on either side, change nothing for other rows.
+    Null and empty texts have no words; long ones are taken whole. Items without words have no window; an item whose id
+    is null hits words but is not listed. Repeated rows, on either side, change nothing for other rows. Empty documents
+    stay empty, and an empty benchmark hits nothing.
     """
     spark = prepare(docs.sparkSession)
     name = fresh(docs, "found")
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
+    items = item_parts(benchmark, item_col, item_text_col, width, block_chars)
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
-    out = docs.withColumn(name, F.lit(None).cast(_FOUND))
+
+    def index(k: int) -> WindowIndex:
+        return WindowIndex([tuple(x) for x in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()], width)
+
+    if blocks == 1:
+        return docs.withColumn(name, _look(spark.sparkContext.broadcast(index(0)))(named(text_col), F.lit(None).cast(_FOUND)))
+    found = None
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast(WindowIndex([tuple(x) for x in own.collect()], width))
-        out = out.withColumn(name, _look(shared)(F.col(text_col), F.col(name)))
-        if k + 1 < blocks:
-            out = written(out, "contamination")
-    return out
+        shared = spark.sparkContext.broadcast(index(k))
+        own = _hits(docs, text_col, shared)
+        found = own if found is None else found.unionByName(own)
+        shared.destroy()
+    at = fresh(docs, "text_key")
+    found = written(found.groupBy(F.col("text_key").alias(at)).agg(F.flatten(F.collect_list("items")).alias("i"), F.flatten(F.collect_list("spans")).alias("s"), F.max("n").alias("n")), "contamination")
+    before = F.when(F.col("i").isNotNull(), F.struct(F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.col("i").alias("items"), F.col("s").alias("spans")))
+    n = fresh(docs, "text_rows")
+    found = written(found.select(at, before.alias(name), F.col("n").alias(n)), "contamination")
+    keyed = docs.withColumn(at, F.struct(F.xxhash64(named(text_col)).alias("a"), F.xxhash64(F.lit("b"), named(text_col)).alias("b")))
+    nothing = spark.sparkContext.broadcast(WindowIndex([], width))
+    joined = spread_join(keyed, found, at, "left", rows=n)
+    return joined.select(*(named(c) for c in docs.columns), _look(nothing)(named(text_col), F.col(name)).alias(name))
 
 
 def is_contaminated(found):
@@ -162,7 +215,8 @@ def is_contaminated(found):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", remove: str = "documents", **how) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit spans cut from them.
 
-    Documents that are not contaminated stay as they are. A cut span leaves one space.
+    Documents that are not contaminated stay as they are. A cut span leaves one space. Nulls, empty texts and
+    tables, repeated rows and names as for `contamination`.
     """
     found = contamination(docs, benchmark, text_col, **how)
     name = found.columns[-1]
@@ -181,4 +235,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         return pa.array(out, pa.string())
 
     spans = F.when(is_contaminated(F.col(name)), F.col(name)["spans"])
-    return found.withColumn(text_col, cut(F.col(text_col), spans)).drop(name)
+    return found.withColumn(text_col, cut(named(text_col), spans)).drop(name)

@@ -210,6 +210,25 @@ def test_decontamination(spark, texts, block_chars):
 DOCS_COLUMNS = [x.split()[0] for x in DOCS.split(", ")]
 
 
+def test_many_and_long_items(spark):
+    """A benchmark of one item many times and one far over the block size: blocks stay small, hits stay the same."""
+    r = random.Random(16)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(4000))
+    items = [(1, "alpha beta gamma")] * 3000 + [(2, long), (2, long), (3, "x" * 5000), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts = decontamination.item_parts(bench, "item_id", "text", 13, 2000).collect()
+    assert len([x for x in parts if x.i == 1]) == 1 and max(len(x.t) for x in parts if x.i != 3) < 2100
+    w = long.split()
+    texts = [" ".join(w[k : k + 30]) + " other" for k in range(0, 3900, 97)] + ["ALPHA beta gamma delta", " ".join(w[10:22]), None, "", "x" * 5000, long, " ".join(w[10:22])]
+    rows = spark.createDataFrame([(k, t, "f", "g") for k, t in enumerate(texts)], "doc_id long, `my.text` string, FOUND string, text_key string")
+    own, size = [(1, items[0][1]), (2, long), (3, "x" * 5000)], 2000
+    found = decontamination.contamination(rows, bench, "my.text", block_chars=size)
+    assert found.columns == [*rows.columns, "_found"]
+    for x in found.collect():
+        assert (x["_found"].n_words, x["_found"].n_hit, sorted(x["_found"]["items"])) == hits(x["my.text"], own)
+    assert decontamination.contamination(rows.limit(0), bench, "my.text", block_chars=size).count() == 0
+
+
 def test_decontaminated_text(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     long = " ".join(f"w{k}" for k in range(100))
@@ -524,6 +543,8 @@ def test_packing_is_lossless(spark, texts, tmp_path):
         got = [x for _, own in sorted(back.get(k, [])) for x in own]
         assert got == tokenizer.encoding.encode_ordinary(t or "")
     assert token_packing.packed(docs_of(spark, []), RANKS).count() == 0
+    none = spark.range(3000).select("id", F.lit("").alias("a.text"))
+    assert token_packing.packed(none, RANKS, "id", "a.text").count() == 0
 
 
 # 7: pages
