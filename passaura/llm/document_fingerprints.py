@@ -194,17 +194,20 @@ def in_stretches(docs: DataFrame, key: str, text: str) -> DataFrame:
     ids = docs.select(named(key).cast("long").alias("k"), F.xxhash64(named(text)).alias("h"))
     cuts, parts = _bounds(ids, "k")
     # the stretches from the largest key down: of each run of keys between cuts, and of a hot key by its hash
-    bounds, wide = np.array(cuts, np.int64), np.ones(2 * len(cuts) + 2, np.int64)  # runs 2 j + 1: key of cut j itself; 2 j: keys between; last: null
+    bounds = np.array(cuts, np.int64)
+    hot = np.array(sorted(x for x in parts if x is not None), np.int64)
+    wide = np.tile(np.array([1, 0], np.int64), len(cuts) + 1)  # runs 2 j: keys up to cut j; 2 j + 1: the hot key of cut j, apart; last: null
     for x, n in parts.items():
         wide[-1 if x is None else 2 * int(np.searchsorted(bounds, x)) + 1] = n
-    order = [*range(2 * len(cuts), -1, -1), 2 * len(cuts) + 1]
+    wide[-1] = max(1, wide[-1])
+    order = [x for j in range(len(cuts), -1, -1) for x in ((2 * j + 1, 2 * j) if j < len(cuts) else (2 * j,))] + [len(wide) - 1]
     starts = np.zeros(len(wide), np.int64)
     starts[order] = np.concatenate(([0], np.cumsum(wide[order])[:-1]))
 
     def place(keys: pa.Array, hashes: pa.Array) -> np.ndarray:
         null = keys.is_null().to_numpy(zero_copy_only=False)
         k, h = keys.fill_null(0).to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
-        run = np.searchsorted(bounds, k, "left") + np.searchsorted(bounds, k, "right")
+        run = 2 * np.searchsorted(bounds, k) + np.isin(k, hot)
         run[null] = len(wide) - 1
         part = ((h >> np.int64(40)) + (1 << 23)) * wide[run] >> 24  # hashes ascend with their part
         return (starts[run] + part).astype(np.int32)
