@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +14,8 @@ DATE_TIME = r"[0-9]{2}/[0-9]{2}/[0-9]{4}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}"
 PLATE = r"[A-Z]{3}[0-9][A-Z0-9][0-9]{2}"
 #: The directions of a road that a line names.
 DIRECTIONS = ("NORTE", "SUL", "LESTE", "OESTE", "INTERIOR", "CAPITAL", "CRESCENTE", "DECRESCENTE")
-#: Dashes that stand for a hyphen; accented Latin letters and their bare ones.
+#: Dashes that stand for a hyphen.
 DASHES = "‐‑‒–—−"
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BARE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
@@ -36,9 +37,34 @@ def normalize_text(text: Column) -> Column:
     return trimmed(F.regexp_replace(plain, r"[ \t]+", " "))
 
 
+@functools.cache
+def _bare() -> tuple[str, str, dict[str, str]]:
+    """Characters with one bare character and these, combining marks last; and those with several, by Unicode's compatibility decomposition."""
+    one, several, marks = {}, {}, []
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0xFFFE))):  # what Java holds in one unit, Hangul apart
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if bare != c:
+            (one if len(bare) == 1 and ord(bare) < 1 << 16 else several)[c] = bare
+    return "".join(one) + "".join(marks), "".join(one.values()), several
+
+
 def without_accents(text: Column) -> Column:
-    """Accented Latin letters made bare."""
-    return F.translate(text, ACCENTED, BARE)
+    """Characters by their compatibility decomposition (NFKD) without combining marks: é as e, ﬁ as fi, ² as 2.
+
+    Hangul syllables and characters beyond U+FFFF stay as they are.
+    """
+    old, new, several = _bare()
+    plain, keys, spellings = F.translate(text, old, new), F.lit("".join(several)), F.array(*map(F.lit, several.values()))
+
+    def spelled(c: Column) -> Column:
+        place = F.position(c, keys)
+        return F.when((c != "") & (place > 0), F.get(spellings, place - 1)).otherwise(c)
+
+    has = F.length(F.translate(plain, "".join(several), "")) < F.length(plain)
+    return F.when(has, F.array_join(F.transform(F.split(plain, ""), spelled), "")).otherwise(plain)
 
 
 def first_plate(text: Column) -> Column:

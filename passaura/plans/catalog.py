@@ -65,10 +65,9 @@ def plate_distance(spark, sf_dir):
     return _reads(spark, sf_dir).select("passage_id", "image_ix", P.distance(F.col("expected_plate"), F.col("ocr_text")).alias("difference"))
 
 
-@query(f"select passage_id, image_ix, {O.subsequence('expected_plate', 'ocr_text')} as n from {{READS}} where ocr_text is not null")
+@query(f"select passage_id, image_ix, {O.subsequence('expected_plate', 'ocr_text')} as n from {{READS}}")
 def plate_lcs(spark, sf_dir):
-    own = _reads(spark, sf_dir).where("ocr_text is not null")
-    return own.select("passage_id", "image_ix", P.common_subsequence(F.col("expected_plate"), F.col("ocr_text")).alias("n"))
+    return _reads(spark, sf_dir).select("passage_id", "image_ix", P.common_subsequence(F.col("expected_plate"), F.col("ocr_text")).alias("n"))
 
 
 @query(f"select passage_id, image_ix, {O.matches('expected_plate', 'ocr_text')} as matches, {O.same_places('expected_plate', 'ocr_text')} as same_places from {{READS}}")
@@ -349,3 +348,6 @@ def workbook_round_trip(spark, sf_dir):
     own = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal").orderBy("c_custkey")
     xlsx.write({"customers": own}, path)
     return xlsx.cells(files.files(spark, path, "xlsx")).select("sheet", "row", F.col("col").cast("long").alias("col"), "raw", "type")
+
+
+from . import layouts  # noqa: E402, F401  registers its queries here

@@ -27,11 +27,11 @@ when 4 then concat(substr(expected_plate, 4, 4), substr(expected_plate, 1, 3)) w
 else expected_plate end as ocr_text, 1.0 - disc as confidence, noise, expected_plate
 from (select l_orderkey as passage_id, cast(row_number() over (partition by l_orderkey order by {_ORDER}) as int) as image_ix, cast((l_partkey + l_linenumber) % 8 as int) as noise, l_discount as disc from {{lineitem}}) i
 join ({PASSAGES}) p on i.passage_id = p.passage_id"""
-DIRTY = f"select passage_id, image_ix, concat(lower(ocr_text), case when noise = 3 then ' .' else '-' end) as raw, expected_plate, noise from ({READS}) r where ocr_text is not null"
+DIRTY = f"select passage_id, image_ix, case when ocr_text is not null then concat(lower(ocr_text), case when noise = 3 then ' .' else '-' end) end as raw, expected_plate, noise from ({READS}) r"
 BOXES = f"""select l_orderkey as passage_id, cast(1 as int) as image_ix, cast(row_number() over (partition by l_orderkey order by {_ORDER}) as int) as box_ix, l_discount * 10 as conf,
 cast(10 as double) as x1, cast(20 as double) as y1, 30.5 + l_partkey % 200 as x2, 30.5 + l_suppkey % 60 as y2 from {{lineitem}}"""
 CANDIDATES = f"""select passage_id, image_ix, cast(noise % 3 as int) as box_ix, cast(noise % 2 as int) as variant_ix, cast(image_ix as int) as cand_ix,
-case when noise = 1 then substr(ocr_text, 3, 4) else ocr_text end as text, cast(confidence as double) as confidence, cast(null as string) as mask from ({READS}) r where ocr_text is not null"""
+case when noise = 1 then substr(ocr_text, 3, 4) else ocr_text end as text, cast(confidence as double) as confidence, case passage_id % 3 when 0 then 'LLLDDDD' when 1 then 'LLLDLDD' end as mask from ({READS}) r where ocr_text is not null"""
 STARTS = "select cast(o_custkey % 20 as string) as file, cast(row_number() over (partition by o_custkey % 20 order by o_orderkey) * 7 as bigint) as first_row from {orders}"
 ANCHORS = f"""select cast(l_partkey % 20 as string) as file, cast(l_orderkey % 5300 as bigint) as anchor_row, concat('m', cast(ord as string)) as media, ord, cast(l_suppkey * 3000 % 190500 as bigint) as row_off,
 case when l_linenumber % 3 = 0 then cast(l_suppkey * 2500 as bigint) end as row_height from
@@ -73,3 +73,8 @@ def on_spark(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def on_duckdb(sql: str) -> str:
     """A fixture over views named as the tables."""
     return re.sub(r"\{(\w+)\}", r"\1", sql)
+BOOK_ROWS = f"""select passage_id, customer, expected_plate, cast(floor(passage_id / 2000.0) as bigint) as book,
+cast(row_number() over (partition by floor(passage_id / 2000.0) order by passage_id) - 1 as int) as k from ({PASSAGES}) p"""
+FIRST_ROWS = f"select passage_id, expected_plate, passage_id as book, cast(0 as int) as k from ({PASSAGES}) p where passage_id in (select min(passage_id) from ({PASSAGES}) q group by customer)"
+IMAGE_NAMES = f"""select case when passage_id % 5 = 4 then concat('none', cast(passage_id as string), '.png') when passage_id % 5 = 3 then concat('ZZ', cast(passage_id as string), '-a.JPG')
+else concat('id', cast(passage_id as string), '-F01.jpeg') end as name, passage_id, expected_plate from ({PASSAGES}) p"""

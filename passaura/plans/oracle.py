@@ -105,6 +105,6 @@ def by_matches() -> str:
 
 def election() -> str:
     score = f"confidence + case when {valid('t')} then 5.0 else 0.0 end - 2.0 * abs(length(t) - 7)"
-    return f"""with c as (select passage_id, box_ix, variant_ix, cand_ix, confidence, {normalize('text')} as t from {{CANDIDATES}}),
+    return f"""with c as (select passage_id, box_ix, variant_ix, cand_ix, confidence, {normalize('text', 'mask')} as t from {{CANDIDATES}}),
 s as (select *, {score} as score, {valid('t')} and confidence >= 0.97 as good from c where t <> '')
 select passage_id, coalesce((list(t order by box_ix, variant_ix, cand_ix) filter (where good))[1], (list(t order by score desc, box_ix, variant_ix, cand_ix) filter (where score > -1))[1]) as ocr_text from s group by passage_id"""

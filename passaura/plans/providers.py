@@ -1,6 +1,7 @@
 """The nine providers' layouts: where their passages and images are, how a passage is judged, what is reported.
 
-pipeline(name) takes a path to a file or folder and how images are read, and gives the report as a DataFrame.
+pipeline(name) takes a path to a file or folder, or a table of files (file, content), and how images are read, and
+gives the report as a DataFrame.
 """
 
 from __future__ import annotations
@@ -76,8 +77,12 @@ def _named_rows(cells: DataFrame, heads: DataFrame, fields: dict[str, tuple[str,
     return body.groupBy("file", "row").agg(*picks, F.array_sort(F.collect_list(image)).alias("images"))
 
 
-def _tables(spark: SparkSession, path: str, heads, fields, is_image):
-    """Tables with at most one image a row: the first named file that exists beside the workbook, else the first picture on the row."""
+def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image, sound=S.is_picture, fetch: Callable[[DataFrame], DataFrame] | None = None):
+    """Tables with at most one image a row: the first named file beside the workbook that is a picture, else the first such picture on the row.
+
+    sound says of a column of bytes whether they are a picture; what is none is passed over. fetch takes addresses
+    (path) and gives (path, content), such as `files.fetched` for trusted hosts; without it cells with addresses name nothing.
+    """
     found = S.files(spark, path, "xlsx")
     cells = xlsx.cells(found)
     rows = _named_rows(cells, heads(cells), fields, is_image)
@@ -85,30 +90,33 @@ def _tables(spark: SparkSession, path: str, heads, fields, is_image):
     folder = F.regexp_replace("file", r"[^/]*\z", "")
     named = passages.select("passage_id", folder.alias("folder"), F.posexplode("images").alias("n", "i"))
     named = named.select("passage_id", "n", F.when(F.col("i.value").rlike("^(/|[a-z]+:)"), F.col("i.value")).otherwise(F.concat("folder", "i.value")).alias("path"), F.col("i.title").alias("origin"))
-    parent = path if not path.lower().endswith(".xlsx") else path.rsplit("/", 1)[0]
+    parent = path if isinstance(path, DataFrame) or not path.lower().endswith(".xlsx") else path.rsplit("/", 1)[0]
     beside = S.files(spark, parent, *S.IMAGE_TYPES).select(F.col("file").alias("path"), "content")
-    from_files = named.join(beside, "path").groupBy("passage_id").agg(F.min_by(F.struct("origin", "content"), "n").alias("a"))
+    if fetch:
+        beside = beside.unionByName(fetch(named.where(F.col("path").rlike("^https?://")).select("path")))
+    from_files = named.join(beside.where(sound(F.col("content"))), "path").groupBy("passage_id").agg(F.min_by(F.struct("origin", "content"), "n").alias("a"))
     anchored = xlsx.anchors(found, every=True)
     anchored = anchored.withColumn("row", associate.shifted_row(F.col("anchor_row"), F.col("row_off"), F.col("row_height")))
-    first = anchored.groupBy("file", "row").agg(F.min_by("media", "ord").alias("media"))
-    embedded = passages.select("passage_id", "file", "row").join(first, ["file", "row"]).join(xlsx.media(found), ["file", "media"]).select("passage_id", F.struct(F.col("media").alias("origin"), "content").alias("b"))
+    pictures = anchored.select("file", "row", "media", "ord").join(xlsx.media(found).where(sound(F.col("content"))), ["file", "media"])
+    first = pictures.groupBy("file", "row").agg(F.min_by(F.struct(F.col("media").alias("origin"), "content"), "ord").alias("b"))
+    embedded = passages.select("passage_id", "file", "row").join(first, ["file", "row"]).select("passage_id", "b")
     chosen = passages.select("passage_id").join(from_files, "passage_id", "left").join(embedded, "passage_id", "left").select("passage_id", F.coalesce("a", "b").alias("c")).where("c is not null")
     passages = passages.join(chosen.select("passage_id", F.col("c.origin").alias("origin")), "passage_id", "left").drop("images")
     return passages, chosen.select("passage_id", F.lit(1).alias("image_ix"), "c.content")
 
 
-def read_eixovp(spark: SparkSession, path: str, **_):
+def read_eixovp(spark: SparkSession, path: str, sound=S.is_picture, fetch=None, **_):
     """A table whose header is found by its names in the first 40 rows."""
     fields = {"expected_plate": ("PLACA",), "external_id": ("ID_PASSAGEM",), "date_time": ("DATA_HORA",)}
     heads = lambda cells: sheets.header_rows(cells, ("placa", "idpassagem", "datahora"))
-    return _tables(spark, path, heads, fields, lambda name, title: name.contains("imagem") | name.contains("foto"))
+    return _tables(spark, path, heads, fields, lambda name, title: name.contains("imagem") | name.contains("foto"), sound, fetch)
 
 
-def read_bandeiras(spark: SparkSession, path: str, **_):
+def read_bandeiras(spark: SparkSession, path: str, sound=S.is_picture, fetch=None, **_):
     """A table whose header is row 8."""
     fields = {"external_id": ("ID Transacao", "ID Transação", "ID"), "date": ("Data Passagem",), "time": ("Hora Passagem",), "category": ("Categoria",), "expected_plate": ("Placa",)}
     heads = lambda cells: cells.select("file").distinct().withColumn("header_row", F.lit(8).cast("long"))
-    return _tables(spark, path, heads, fields, lambda name, title: F.lower(F.trim(title)).startswith("imagem da passagem"))
+    return _tables(spark, path, heads, fields, lambda name, title: F.lower(F.trim(title)).startswith("imagem da passagem"), sound, fetch)
 
 
 #: What the columns of a reference sheet may be called.

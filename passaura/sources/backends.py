@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import importlib
 
-#: The sets of variants that plates are read from, and what a reader may return.
-VARIANTS = {"three": ("scaled", "equalised", "otsu_inverted"), "five": ("scaled", "blurred", "otsu", "otsu_inverted", "adaptive"), "one": ("bilateral_adaptive",)}
+#: The sets of variants that plates are read from (the numbers in `variants` are fixed too), and what a reader may return.
+VARIANTS = {"three": ("scaled", "equalised", "otsu_inverted"), "five": ("scaled", "equalised", "otsu", "otsu_inverted", "adaptive"), "one": ("bilateral_adaptive",)}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
@@ -26,7 +26,7 @@ def decoded(content: bytes):
 
 
 def variants(crop, kind: str = "three", width: int = 600) -> list:
-    """The variants of a plate's crop, enlarged at least threefold and to `width`, gray and cleared of noise."""
+    """The variants of a plate's crop, named by VARIANTS: enlarged at least threefold and to `width`, in colour, and what is made of its gray cleared of noise."""
     cv2, np = needed("cv2", "opencv-python"), needed("numpy", "numpy")
     gray = lambda x: cv2.cvtColor(x, cv2.COLOR_BGR2GRAY)
     if kind == "one":
@@ -34,16 +34,15 @@ def variants(crop, kind: str = "three", width: int = 600) -> list:
         even = cv2.createCLAHE(2.0, (8, 8)).apply(smooth)
         return [cv2.adaptiveThreshold(even, 255, cv2.ADAPTIVE_THRESH_GAUSSIAN_C, cv2.THRESH_BINARY, 11, 2)]
     factor = max(3.0, width / max(crop.shape[1], 1))
-    big = gray(cv2.resize(crop, None, fx=factor, fy=factor, interpolation=cv2.INTER_CUBIC))
-    calm = cv2.fastNlMeansDenoising(big, None, 10, 7, 21)
-    even = cv2.createCLAHE(1.2, (8, 8)).apply(calm)
+    scaled = cv2.resize(crop, None, fx=factor, fy=factor, interpolation=cv2.INTER_CUBIC)
+    even = cv2.createCLAHE(1.2, (8, 8)).apply(cv2.fastNlMeansDenoising(gray(scaled), None, 10, 7, 21))
     cut = lambda x, how: cv2.threshold(x, 0, 255, how + cv2.THRESH_OTSU)[1]
     if kind == "three":
-        return [big, even, cut(even, cv2.THRESH_BINARY_INV)]
+        return [scaled, even, cut(even, cv2.THRESH_BINARY_INV)]
     soft = cv2.GaussianBlur(even, (3, 3), 0)
     square = np.ones((2, 2), np.uint8)
-    local = cv2.adaptiveThreshold(soft, 255, cv2.ADAPTIVE_THRESH_GAUSSIAN_C, cv2.THRESH_BINARY, 31, 9)
-    return [big, soft, cut(soft, cv2.THRESH_BINARY), cut(soft, cv2.THRESH_BINARY_INV), cv2.erode(cv2.morphologyEx(local, cv2.MORPH_OPEN, square), square)]
+    local = cv2.adaptiveThreshold(even, 255, cv2.ADAPTIVE_THRESH_GAUSSIAN_C, cv2.THRESH_BINARY, 31, 9)
+    return [scaled, even, cut(soft, cv2.THRESH_BINARY), cut(soft, cv2.THRESH_BINARY_INV), cv2.erode(cv2.morphologyEx(local, cv2.MORPH_OPEN, square), square)]
 
 
 class YoloDetector:

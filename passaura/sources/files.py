@@ -2,25 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as an image, in any case.
 IMAGE_TYPES = ("jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp")
 
 
-def files(spark: SparkSession, path: str, *extensions: str) -> DataFrame:
+def _glob(extensions: tuple[str, ...]) -> str:
+    """A pattern of names with one of the extensions in any case."""
+    either = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    return "*.{" + ",".join(map(either, extensions)) + "}"
+
+
+def files(spark: SparkSession, path: str | DataFrame, *extensions: str) -> DataFrame:
     """(file, name, length, content) of a file, or of a folder's own files, with one of the extensions in any case; no order.
 
-    content is read only if it is used.
+    Other files are not opened, and content is read only if it is used. path can be a table (file, content) too.
     """
-    found = spark.read.format("binaryFile").load(path)
+    if isinstance(path, DataFrame):
+        found = path.select(F.col("file").alias("path"), F.length("content").cast("long").alias("length"), "content")
+    else:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", _glob(extensions)).load(path)
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     own = F.lower(F.regexp_extract(name, r"\.([^.]+)\z", 1))
     return found.where(own.isin(*[x.lower() for x in extensions])).select(F.col("path").alias("file"), name.alias("name"), "length", "content")
 
 
-def image_files(spark: SparkSession, path: str) -> DataFrame:
+def is_picture(content: Column) -> Column:
+    """Whether bytes begin as a picture of one of the types does (JPEG, PNG, BMP, TIFF, WebP)."""
+    start = F.hex(F.substring(content, 1, 12))
+    return F.coalesce(start.rlike("^(FFD8FF|89504E470D0A1A0A|424D|49492A00|4D4D002A|52494646.{8}57454250)"), F.lit(False))
+
+
+def fetched(addresses: DataFrame, hosts: tuple[str, ...], seconds: float = 10.0, largest: int = 32 << 20) -> DataFrame:
+    """(path, content) of the addresses (path) of hosts on the given list; others, and those that fail or are larger, give no row.
+
+    Nothing in this package calls this by itself: a sheet should not make executors call addresses unless a caller
+    says which hosts it trusts. Redirects are not followed.
+    """
+    import urllib.error
+    import urllib.request
+    from urllib.parse import urlsplit
+
+    import pandas as pd
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *args, **kwargs):
+            return None
+
+    def over(frames):
+        opener = urllib.request.build_opener(Stay)
+        for frame in frames:
+            rows = []
+            for path in frame["path"]:
+                parts = urlsplit(path or "")
+                if parts.scheme not in ("http", "https") or (parts.hostname or "") not in hosts:
+                    continue
+                try:
+                    with opener.open(path, timeout=seconds) as answer:
+                        content = answer.read(largest + 1)
+                except (urllib.error.URLError, OSError, ValueError):
+                    continue
+                if len(content) <= largest:
+                    rows.append((path, content))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return addresses.select("path").distinct().mapInPandas(over, "path string, content binary")
+
+
+def image_files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """The images of a folder with ix, their place by path from 1, counted in one small table of names without contents."""
     from pyspark.sql import Window
 

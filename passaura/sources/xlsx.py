@@ -1,7 +1,8 @@
 """Workbooks (XLSX) read and written with the standard library's zip and XML readers.
 
 Reading goes over Spark's binaryFile source, so that any file system works, one workbook a row: cells, drawing
-anchors and media are DataFrames. Zip entries over LARGEST bytes are refused.
+anchors and media are DataFrames. A file that is no workbook, or has an entry over LARGEST bytes, gives no rows there;
+`unreadable` lists such files with what is wrong.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterable
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
@@ -30,6 +32,14 @@ ART = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 DATE_FORMATS = frozenset([*range(14, 23), *range(45, 48)])
 
 
+class TooLarge(ValueError):
+    """A zip entry over the limit."""
+
+
+#: What reading a file that is no sound workbook can raise.
+UNREADABLE = (zipfile.BadZipFile, ET.ParseError, TooLarge, KeyError, IndexError, ValueError, NotImplementedError, EOFError, zlib.error)
+
+
 class Workbook:
     """A workbook's parts by name."""
 
@@ -42,7 +52,7 @@ class Workbook:
         if name not in self.names:
             return None
         if self.zip.getinfo(name).file_size > self.largest:
-            raise ValueError(f"{name} is larger than {self.largest} bytes")
+            raise TooLarge(f"{name} is larger than {self.largest} bytes")
         return self.zip.read(name)
 
     def tree(self, name: str) -> ET.Element | None:
@@ -149,14 +159,14 @@ def _value(c: ET.Element, strings: list[str], dates: set[int]) -> tuple[str, str
 
 
 def _over(files: DataFrame, each, schema: str) -> DataFrame:
-    """The rows that each(workbook) gives for each file, with the file; a file that is no workbook gives none."""
+    """The rows that each(workbook) gives for each file, with the file; an unreadable one gives none (see `unreadable`)."""
 
     def over(frames):
         for frame in frames:
             for file, content in zip(frame["file"], frame["content"], strict=True):
                 try:
                     rows = [(file, *x) for x in each(Workbook(bytes(content)))]
-                except (zipfile.BadZipFile, ET.ParseError, KeyError):
+                except UNREADABLE:
                     continue
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
@@ -166,6 +176,31 @@ def _over(files: DataFrame, each, schema: str) -> DataFrame:
     return files.select("file", "content").mapInPandas(over, full)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """(file, error) of the files that are no workbook, or one with a part that is broken, missing or too large."""
+
+    def error(content: bytes) -> str | None:
+        try:
+            book = Workbook(content)
+            for _ in book.cells():
+                pass
+            for _ in book.anchors(True):
+                pass
+            for name in book.names:
+                if name.startswith("xl/media/"):
+                    book.read(name)
+        except UNREADABLE as e:
+            return f"{type(e).__name__}: {e}"
+        return None if book.sheets() else "no sheets"
+
+    def over(frames):
+        for frame in frames:
+            found = frame.assign(error=[error(bytes(x)) for x in frame["content"]])
+            yield found[found["error"].notna()][["file", "error"]]
+
+    return files.select("file", "content").mapInPandas(over, "file string, error string")
+
+
 def cells(files: DataFrame) -> DataFrame:
     """(file, sheet, row, col, raw, type) of workbooks (file, content)."""
     return _over(files, Workbook.cells, "sheet string, row long, col int, raw string, type string")
@@ -191,17 +226,18 @@ def _letters(n: int) -> str:
     return out
 
 
-def _sheet(header: list[str], rows: Iterable[tuple]) -> Iterable[str]:
+def _sheet(header: list[str], rows: Iterable[tuple], heights: dict[int, float]) -> Iterable[str]:
     yield '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-    yield _row(1, tuple(header))
+    yield _row(1, tuple(header), heights.get(1))
     for n, row in enumerate(rows, 2):
         if n > 1_048_576:
             raise ValueError("a sheet holds 1048576 rows at most")
-        yield _row(n, row)
+        if row or n in heights:
+            yield _row(n, row, heights.get(n))
     yield "</sheetData></worksheet>"
 
 
-def _row(n: int, values: tuple) -> str:
+def _row(n: int, values: tuple, height: float | None = None) -> str:
     out = []
     for k, v in enumerate(values, 1):
         at = f"{_letters(k)}{n}"
@@ -214,11 +250,25 @@ def _row(n: int, values: tuple) -> str:
         else:
             text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
             out.append(f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>')
-    return f'<row r="{n}">{"".join(out)}</row>'
+    tall = "" if height is None else f' ht="{height}" customHeight="1"'
+    return f'<row r="{n}"{tall}>{"".join(out)}</row>'
+
 
+def _pictures(z: zipfile.ZipFile, pictures: list[tuple[int, int, str, str, bytes]]) -> None:
+    anchors = "".join(f'<x:{kind}><x:from><x:col>0</x:col><x:row>{row - 1}</x:row><x:rowOff>{off}</x:rowOff></x:from><x:pic><x:blipFill><a:blip r:embed="r{n}"/></x:blipFill></x:pic></x:{kind}>' for n, (row, off, kind, _, _) in enumerate(pictures))
+    links = "".join(f'<Relationship Id="r{n}" Type="{REL[1:-1]}/image" Target="/xl/media/{name}"/>' for n, (_, _, _, name, _) in enumerate(pictures))
+    z.writestr("xl/worksheets/_rels/sheet1.xml.rels", f'<Relationships xmlns="{PACKAGE[1:-1]}"><Relationship Id="d" Type="{REL[1:-1]}/drawing" Target="../drawings/drawing1.xml"/></Relationships>')
+    z.writestr("xl/drawings/drawing1.xml", f'<x:wsDr xmlns:x="{DRAW[1:-1]}" xmlns:a="{ART[1:-1]}" xmlns:r="{REL[1:-1]}">{anchors}</x:wsDr>')
+    z.writestr("xl/drawings/_rels/drawing1.xml.rels", f'<Relationships xmlns="{PACKAGE[1:-1]}">{links}</Relationships>')
+    for _, _, _, name, content in pictures:
+        z.writestr(f"xl/media/{name}", content, zipfile.ZIP_STORED)
 
-def workbook_bytes(sheets: dict[str, tuple[list[str], Iterable[tuple]]], file) -> None:
-    """Write a workbook of sheets (title: header, rows) to a binary file, row by row."""
+
+def workbook_bytes(sheets: dict[str, tuple[list[str], Iterable[tuple]]], file, pictures: list[tuple[int, int, str, str, bytes]] | None = None, heights: dict[int, float] | None = None) -> None:
+    """Write a workbook of sheets (title: header, rows) to a binary file, row by row.
+
+    The first sheet can have pictures (row from 1, offset in EMU, kind of anchor, name, bytes) and row heights in points.
+    """
     types = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(sheets) + 1))
     with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
@@ -229,8 +279,10 @@ def workbook_bytes(sheets: dict[str, tuple[list[str], Iterable[tuple]]], file) -
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{PACKAGE[1:-1]}">{linked}</Relationships>')
         for k, (header, rows) in enumerate(sheets.values(), 1):
             with z.open(f"xl/worksheets/sheet{k}.xml", "w", force_zip64=True) as f:
-                for part in _sheet(header, rows):
+                for part in _sheet(header, rows, heights or {} if k == 1 else {}):
                     f.write(part.encode())
+        if pictures:
+            _pictures(z, pictures)
 
 
 def write(sheets: dict[str, DataFrame], path: str) -> bool:

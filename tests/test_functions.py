@@ -165,3 +165,12 @@ def test_stream(spark, tmp_path):
     evaluate_stream(passages, stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {r.passage_id: r.status for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {1: elect.APPROVED, 2: elect.REVIEW}
+
+
+def test_without_accents_is_unicodes(spark):
+    import unicodedata
+
+    texts = ["São José é ação", "ﬁne ½ ² …", "Ångström ǅ", "e\u0301x", "ガギ", "１２３ＡＢ", "", "x", None, "a–b ー", "".join(map(chr, range(0x80, 0x2000))), "".join(map(chr, range(0x2000, 0xAC00, 3)))]
+    want = {t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts}
+    for t, got in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.without_accents(F.col("t"))).collect():
+        assert got == want[t]

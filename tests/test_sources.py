@@ -1,37 +1,19 @@
 """Workbooks built here with the standard library, PDF pages by a stand-in backend, readings by a table."""
 
-import io
 import json
-import zipfile
+import sys
+import threading
+import types
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
-from passaura.plans import providers
-from passaura.sources import files, pdf, xlsx
-
-DRAW = "http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing"
-ART = "http://schemas.openxmlformats.org/drawingml/2006/main"
-REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
-
+from passaura.plans import books, output, providers
+from passaura.sources import backends, files, pdf, xlsx
 
 def book(path, rows, pictures=(), title="Plan1"):
-    """rows {row: {col: value}}; pictures (row from 1, row offset, kind, name, bytes)."""
-    width = max(c for r in rows.values() for c in r)
-    top = max(rows)
-    data = io.BytesIO()
-    xlsx.workbook_bytes({title: ([rows.get(1, {}).get(c) for c in range(1, width + 1)], [tuple(rows.get(r, {}).get(c) for c in range(1, width + 1)) for r in range(2, top + 1)])}, data)
-    with zipfile.ZipFile(data, "a") as z:
-        if pictures:
-            z.writestr("xl/worksheets/_rels/sheet1.xml.rels", f'<Relationships xmlns="{PKG}"><Relationship Id="d" Type="{REL}/drawing" Target="../drawings/drawing1.xml"/></Relationships>')
-            anchors = "".join(f'<x:{k}><x:from><x:col>0</x:col><x:row>{r - 1}</x:row><x:rowOff>{o}</x:rowOff></x:from><x:pic><x:blipFill><a:blip r:embed="r{n}"/></x:blipFill></x:pic></x:{k}>' for n, (r, o, k, _, _) in enumerate(pictures))
-            z.writestr("xl/drawings/drawing1.xml", f'<x:wsDr xmlns:x="{DRAW}" xmlns:a="{ART}" xmlns:r="{REL}">{anchors}</x:wsDr>')
-            links = "".join(f'<Relationship Id="r{n}" Type="{REL}/image" Target="/xl/media/{p[3]}"/>' for n, p in enumerate(pictures))
-            z.writestr("xl/drawings/_rels/drawing1.xml.rels", f'<Relationships xmlns="{PKG}">{links}</Relationships>')
-            for p in pictures:
-                z.writestr(f"xl/media/{p[3]}", p[4])
-    path.write_bytes(data.getvalue())
+    path.write_bytes(books.workbook(rows, pictures, title))
 
 
 def read(images):
@@ -39,6 +21,11 @@ def read(images):
     return images.select("passage_id", "image_ix", F.nullif(F.decode("content", "UTF-8"), F.lit("")).alias("ocr_text"))
 
 
+def some(content):
+    """Any bytes count as a picture here."""
+    return F.length(content) > 0
+
+
 def rows(df):
     return [r.asDict() for r in df.collect()]
 
@@ -53,9 +40,207 @@ def test_cells_and_write(spark, tmp_path):
     assert ("One", 2, 4) not in found and found["Two", 1, 1] == ("s", "str")
 
 
-def test_broken_workbook_gives_no_rows(spark, tmp_path):
-    (tmp_path / "b.xlsx").write_bytes(b"no zip")
-    assert xlsx.cells(files.files(spark, str(tmp_path), "xlsx")).count() == 0
+def test_broken_workbooks_are_told(spark, tmp_path, monkeypatch):
+    """Files that are no workbook, lack a part, or hold a broken or too large one give no rows and an entry in unreadable; the others are read."""
+    import io
+    import zipfile
+
+    sound = books.workbook({1: {1: "x"}})
+
+    def changed(name, content):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(sound)) as a, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as b:
+            for n in a.namelist():
+                if n != name or content is not None:
+                    b.writestr(n, content if n == name else a.read(n))
+        return out.getvalue()
+
+    own = {"a.xlsx": sound, "b.xlsx": b"no zip", "c.XLSX": changed("xl/worksheets/sheet1.xml", b"<broken"), "d.xlsx": changed("xl/workbook.xml", None), "e.xlsx": changed("xl/worksheets/sheet1.xml", b'<worksheet xmlns="%s"><sheetData><row r="1"><c t="s"><v>7</v></c></row></sheetData></worksheet>' % xlsx.MAIN[1:-1].encode())}
+    for name, content in own.items():
+        (tmp_path / name).write_bytes(content)
+    found = files.files(spark, str(tmp_path), "xlsx")
+    assert [(r.name, r.length) for r in found.orderBy("name").collect()] == sorted((n, len(c)) for n, c in own.items())
+    assert {r.file.rsplit("/", 1)[1] for r in xlsx.cells(found).collect()} == {"a.xlsx"}
+    errors = {r.file.rsplit("/", 1)[1]: r.error for r in xlsx.unreadable(found).collect()}
+    assert set(errors) == set(own) - {"a.xlsx"} and errors["b.xlsx"].startswith("BadZipFile") and errors["d.xlsx"] == "no sheets"
+
+
+def test_other_files_are_not_opened(spark, tmp_path):
+    (tmp_path / "a.TXT").write_bytes(b"1")
+    (tmp_path / "b.bin").write_bytes(b"2" * 100)
+    found = files.files(spark, str(tmp_path), "txt", "md")
+    assert [r.name for r in found.collect()] == ["a.TXT"]
+    assert len(found.inputFiles()) == 1
+
+
+def test_first_sound_picture_counts(spark, tmp_path):
+    """A named file that is no picture is passed over for the next, and then for the pictures in the sheet."""
+    png = b"\x89PNG\r\n\x1a\n"
+    book(tmp_path / "a.xlsx", {3: {1: "Placa", 2: "ID_PASSAGEM", 3: "DATA_HORA", 4: "Foto 1", 5: "Foto 2"}, 4: {1: "ABC1234", 2: "P1", 3: "d", 4: "bad.png", 5: "good.png"}, 5: {1: "ABC1234", 2: "P2", 3: "d", 4: "bad.png"}, 6: {1: "ABC1234", 2: "P3", 3: "d", 4: "bad.png"}},
+         [(5, 0, books.TWO, "image1.png", b"broken"), (5, 0, books.TWO, "image2.png", png + b"inside"), (6, 0, books.TWO, "image3.png", b"")])
+    (tmp_path / "bad.png").write_bytes(b"no picture")
+    (tmp_path / "good.png").write_bytes(png + b"beside")
+    passages, images = providers.read_eixovp(spark, str(tmp_path))
+    found = {r.external_id: (r.origin, bytes(r.content)[8:] if r.content else None) for r in passages.join(images, "passage_id", "left").collect()}
+    assert found == {"P1": ("Foto 2", b"beside"), "P2": ("xl/media/image2.png", b"inside"), "P3": (None, None)}
+
+
+def test_addresses_in_cells(spark, tmp_path):
+    """Addresses are fetched only if a caller gives the means, and only from hosts on the list."""
+    png, asked = b"\x89PNG\r\n\x1a\nfar", []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(200 if "a.png" in self.path else 302 if "moved" in self.path else 404)
+            if "moved" in self.path:
+                self.send_header("Location", "/a.png")
+            self.end_headers()
+            if "a.png" in self.path:
+                self.wfile.write(png)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        rows = {3: {1: "Placa", 2: "ID_PASSAGEM", 3: "DATA_HORA", 4: "Foto 1"}}
+        for k, x in enumerate((f"{base}/a.png", f"{base}/none.png", f"{base}/moved.png", f"http://localhost:{server.server_port}/a.png?2")):
+            rows[4 + k] = {1: "ABC1234", 2: f"P{k}", 3: "d", 4: x}
+        book(tmp_path / "a.xlsx", rows)
+        assert providers.read_eixovp(spark, str(tmp_path))[1].count() == 0 and not asked
+        passages, images = providers.read_eixovp(spark, str(tmp_path), fetch=lambda a: files.fetched(a, ("127.0.0.1",), seconds=5))
+        found = {r.external_id: bytes(r.content) for r in passages.join(images, "passage_id").collect()}
+        assert found == {"P0": png} and "/a.png?2" not in asked
+    finally:
+        server.shutdown()
+
+
+class Calls:
+    """A stand-in for an image library: records its calls; arrays keep their shape, resizing scales it."""
+
+    COLOR_BGR2GRAY, INTER_CUBIC, THRESH_BINARY, THRESH_BINARY_INV, THRESH_OTSU, ADAPTIVE_THRESH_GAUSSIAN_C, MORPH_OPEN, IMREAD_COLOR = range(8)
+
+    def __init__(self):
+        self.made = []
+
+    def _out(self, name, x, shape=None):
+        self.made.append(name)
+        import numpy as np
+
+        out = np.zeros(x.shape if shape is None else shape, np.uint8)
+        self.made_of = getattr(self, "made_of", {})
+        self.made_of[id(out)] = (name, x)
+        self.kept = [*getattr(self, "kept", []), out, x]
+        return out
+
+    def imdecode(self, data, how):
+        import numpy as np
+
+        return np.zeros((10, 30, 3), np.uint8) if len(data) > 3 else None
+
+    def resize(self, x, size, fx, fy, interpolation):
+        return self._out("resize", x, (round(x.shape[0] * fy), round(x.shape[1] * fx), 3))
+
+    def cvtColor(self, x, how):
+        return self._out("gray", x, x.shape[:2])
+
+    def fastNlMeansDenoising(self, x, *how):
+        return self._out("denoise", x)
+
+    def bilateralFilter(self, x, *how):
+        return self._out("bilateral", x)
+
+    def createCLAHE(self, limit, tiles):
+        return types.SimpleNamespace(apply=lambda x: self._out(f"clahe {limit}", x))
+
+    def threshold(self, x, low, high, how):
+        return 0, self._out(f"otsu {how}", x)
+
+    def GaussianBlur(self, x, size, sigma):
+        return self._out("blur", x)
+
+    def adaptiveThreshold(self, x, high, method, how, size, less):
+        return self._out(f"adaptive {size} {less}", x)
+
+    def morphologyEx(self, x, how, kernel):
+        return self._out("open", x)
+
+    def erode(self, x, kernel):
+        return self._out("erode", x)
+
+
+@pytest.fixture
+def libraries(monkeypatch):
+    cv2 = Calls()
+
+    class Model:
+        def __init__(self, weights):
+            self.weights = weights
+
+        def predict(self, images, **options):
+            box = lambda x1, conf: types.SimpleNamespace(xyxy=[[x1, 1.0, 20.0, 8.0]], conf=[conf])
+            self.options = options
+            return [types.SimpleNamespace(boxes=[box(2.0, 0.9), box(3.0, 0.4)]) for _ in images]
+
+    class Reader:
+        def __init__(self, languages, gpu):
+            self.languages = languages
+
+        def readtext(self, image, **options):
+            return [(None, f"{image.shape[0]}x{image.shape[1]}", 0.5)]
+
+    monkeypatch.setitem(sys.modules, "cv2", cv2)
+    monkeypatch.setitem(sys.modules, "ultralytics", types.SimpleNamespace(YOLO=Model))
+    monkeypatch.setitem(sys.modules, "easyocr", types.SimpleNamespace(Reader=Reader))
+    return cv2
+
+
+def test_variants_in_order(libraries):
+    """What each variant is made of, back to the crop."""
+    import numpy as np
+
+    def steps(x):
+        out = []
+        while id(x) in libraries.made_of:
+            name, x = libraries.made_of[id(x)]
+            out.append(name)
+        return out[::-1]
+
+    crop = np.zeros((10, 100, 3), np.uint8)
+    even = ["resize", "gray", "denoise", "clahe 1.2"]
+    binary, inverted = "otsu 6", "otsu 7"  # of the stand-in's numbers
+    assert [steps(x) for x in backends.variants(crop, "three")] == [["resize"], even, [*even, inverted]]
+    assert [steps(x) for x in backends.variants(crop, "five")] == [["resize"], even, [*even, "blur", binary], [*even, "blur", inverted], [*even, "adaptive 31 9", "open", "erode"]]
+    assert [steps(x) for x in backends.variants(crop, "one")] == [["gray", "bilateral", "clahe 2.0", "adaptive 11 2"]]
+    assert backends.variants(crop, "three")[0].shape == (60, 600, 3) and backends.variants(np.zeros((10, 400, 3), np.uint8))[0].shape == (30, 1200, 3)
+    assert [len(backends.variants(crop, k)) for k in ("three", "five", "one")] == [len(backends.VARIANTS[k]) for k in ("three", "five", "one")]
+
+
+def test_detector_and_reader_over_libraries(libraries):
+    detector = backends.YoloDetector("best.pt", size=512, half=True)
+    assert detector.detect([b"", b"abcd", b"xy"]) == [[], [(2.0, 1.0, 20.0, 8.0, 0.9), (3.0, 1.0, 20.0, 8.0, 0.4)], []]
+    assert detector.model.options == {"imgsz": 512, "conf": 0.25, "iou": 0.45, "half": True, "verbose": False}
+    reader = backends.EasyOcrReader("five")
+    assert reader.read(b"abcd", (-3, 1, 20, 8)) == [[("210x600", 0.5)]] * 5  # 20 wide: thirty times as large
+    assert reader.read(b"xy", (0, 0, 9, 9)) == [] and reader.read(b"abcd", (5, 5, 6, 6)) == []
+
+
+def test_missing_libraries_are_named():
+    for name in ("cv2", "ultralytics", "easyocr"):
+        if name not in sys.modules:
+            with pytest.raises(RuntimeError, match="needs the package"):
+                backends.needed(f"{name}_missing", name)
+
+
+def test_report_paths_and_sheets(spark, tmp_path):
+    assert output.report_path("out/", "tamoios", "lote1") == "out/isencao/lote1_tamoios.xlsx"
+    one = spark.createDataFrame([(1,)], "a int")
+    with pytest.raises(ValueError, match="1 sheets"):
+        output.write_report("eixosp", [one, one], f"file://{tmp_path}/x.xlsx")
+    assert output.write_report("tamoios", [one, one], f"file://{tmp_path}/y.xlsx") and not output.write_report("colinas", [one.where("a > 1")], f"file://{tmp_path}/z.xlsx")
 
 
 def test_entry_limit(tmp_path):
@@ -66,9 +251,9 @@ def test_entry_limit(tmp_path):
 
 def test_spvias(spark, tmp_path):
     block = lambda k, plate: {1: k, 2: f"ID{k}", 3: "01/02/2024", 12: plate, 14: "2"}
-    two = "twoCellAnchor"
+    two = books.TWO
     book(tmp_path / "a.xlsx", {1: {1: "title"}, 3: block(1, "ABC1234"), 9: block(2, "XYZ9A87"), 12: block(3, "QQQ0000")},
-         [(1, 0, two, "image1.png", b"ABC1234"), (2, 0, two, "image2.png", b"ABC1234"), (5, 0, two, "image3.png", b"AB01234"), (4, 0, two, "image4.png", b"ABC1234"), (10, 0, two, "image5.png", b"XYZ9A88"), (11, 0, "oneCellAnchor", "image6.png", b"XYZ9A87")])
+         [(1, 0, two, "image1.png", b"ABC1234"), (2, 0, two, "image2.png", b"ABC1234"), (5, 0, two, "image3.png", b"AB01234"), (4, 0, two, "image4.png", b"ABC1234"), (10, 0, two, "image5.png", b"XYZ9A88"), (11, 0, books.ONE, "image6.png", b"XYZ9A87")])
     found = {r["ID Sistema"]: r for r in rows(providers.pipeline(spark, "spvias", str(tmp_path), read))}
     assert list(found) and set(found) == {"ID1", "ID2", "ID3"}
     one = found["ID1"]  # the anchor of row 5 comes first in the drawing; the exact reading is the second
@@ -78,7 +263,7 @@ def test_spvias(spark, tmp_path):
 
 
 def test_colinas(spark, tmp_path):
-    two = "twoCellAnchor"
+    two = books.TWO
     book(tmp_path / "a.xlsx", {1: {1: "t"}, 6: {2: "C1", 3: "01/02/2024", 12: "ABC1234", 14: "2"}}, [(5, 0, two, "image1.png", b"ABC1234"), (6, 0, two, "image2.emf", b"ABC1234"), (8, 0, two, "image3.png", b"ABC1294")], title="Fotos")
     (r,) = rows(providers.pipeline(spark, "colinas", str(tmp_path), read))
     assert r["ID"] == "C1" and r["Total Imagens"] == "1" and r["Diferença OCR"] == "1.0" and r["Placa OCR"] == "ABC1234"
@@ -86,9 +271,9 @@ def test_colinas(spark, tmp_path):
 
 def test_eixovp(spark, tmp_path):
     book(tmp_path / "a.xlsx", {1: {1: "x"}, 3: {1: "Placa", 2: "ID_PASSAGEM", 3: "DATA HORA", 4: "Foto 1"}, 4: {1: "ABC1234", 2: "P1", 3: "d", 4: "f.png"}, 5: {1: "ABC1234", 2: "P2", 3: "d"}, 6: {1: "ZZZ9999", 2: "P3", 3: "d", 4: "none.png"}},
-         [(4, 190000, "oneCellAnchor", "image9.png", b"ABC9999"), (4, 0, "twoCellAnchor", "image8.png", b"QQQ1111")])
+         [(4, 190000, books.ONE, "image9.png", b"ABC9999"), (4, 0, books.TWO, "image8.png", b"QQQ1111")])
     (tmp_path / "f.png").write_bytes(b"ABD1243")
-    found = {r["ID_PASSAGEM"]: r for r in rows(providers.pipeline(spark, "eixovp", str(tmp_path), read))}
+    found = {r["ID_PASSAGEM"]: r for r in rows(providers.pipeline(spark, "eixovp", str(tmp_path), read, sound=some))}
     assert found["P1"]["Caracteres coincidentes"] == "6" and found["P1"]["Origem Imagem"] == "Foto 1" and found["P1"]["Status OCR"] == "Aprovado - busca nas imagens"
     assert found["P2"]["OCR Bruto"] == "ABC9999" and found["P2"]["Caracteres coincidentes"] == "3" and found["P2"]["Linha Excel"] == "5"  # the row-height shift
     assert found["P3"]["Status OCR"] == "Revisar - sem imagem"
@@ -97,7 +282,7 @@ def test_eixovp(spark, tmp_path):
 def test_bandeiras(spark, tmp_path):
     book(tmp_path / "a.xlsx", {1: {1: "x"}, 8: {1: "ID Transacao", 2: "Data Passagem", 3: "Hora Passagem", 4: "Categoria", 5: "Placa", 6: "Imagem da Passagem 1"}, 9: {1: "B1", 2: "d", 3: "h", 4: "1", 5: "ABC1234", 6: "f.png"}})
     (tmp_path / "f.png").write_bytes(b"ABC1234")
-    (r,) = rows(providers.pipeline(spark, "bandeiras", str(tmp_path), read))
+    (r,) = rows(providers.pipeline(spark, "bandeiras", str(tmp_path), read, sound=some))
     assert r["ID"] == "B1" and r["Caracteres coincidentes"] == "7" and r["Coluna Imagem Usada"] == "Imagem da Passagem 1"
 
 
