@@ -346,3 +346,23 @@ def test_pdf_library_missing():
     except ImportError:
         with pytest.raises(RuntimeError, match="backend"):
             list(pdf.default_backend(b""))
+
+
+def test_menu_and_run(spark, tmp_path):
+    from passaura.__main__ import chosen, main, run
+
+    answers = iter(["x", "77", "8", "/imgs", "/ref.xlsx"])
+    told = []
+    assert chosen(lambda _: next(answers), told.append) == ("tamoios", "/imgs", {"sheet": "/ref.xlsx"}) and "no such provider: 77" in told
+    assert chosen(lambda _: "0", told.append) is None
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "a1-F01.jpg").write_bytes(b"ABC1234")
+    (tmp_path / "img" / "a1-F02.jpg").write_bytes(b"ABC1934")
+    book(tmp_path / "ref.xlsx", {1: {1: "x"}, 5: {1: "Id", 2: "Placa"}, 6: {1: "a1", 2: "ABC1234"}})
+    lines = run(spark, "tamoios", str(tmp_path / "img"), f"file://{tmp_path}/out", read, page=str(tmp_path / "p.html"), sheet=str(tmp_path / "ref.xlsx"))
+    assert lines[0].endswith("out/isencao/resultado_tamoios.xlsx") and lines[1:] == ["Total: 2", "approved: 2 (100%)", "review: 0 (0%)", "no_image: 0 (0%)"]
+    cells = xlsx.cells(files.files(spark, lines[0], "xlsx"))
+    assert {r.sheet for r in cells.collect()} == {"Resultado Completo", "Melhor Resultado ID"} and cells.where("sheet like 'Melhor%' and row > 1 and col = 1").count() == 1
+    assert (tmp_path / "p.html").read_text().count("<tr class=") == 2
+    with pytest.raises(SystemExit):
+        main(["spvias"])
