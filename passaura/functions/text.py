@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .plate import is_valid
+from .plate import bound, is_valid
 
 DATE_TIME = r"[0-9]{2}/[0-9]{2}/[0-9]{4}\s+[0-9]{2}:[0-9]{2}:[0-9]{2}"
 PLATE = r"[A-Z]{3}[0-9][A-Z0-9][0-9]{2}"
@@ -23,6 +23,16 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that must fit the whole text, as an array, by one search; null if it does not fit.
+
+    The control character U+0001 stands between them and is dropped from the text.
+    """
+    plain = F.translate(text, "\x01", "")
+    found = F.split(F.regexp_replace(plain, pattern, "\x01".join(f"${k}" for k in range(1, n + 1))), "\x01")
+    return bound(found, lambda g: F.when(F.size(g) == n, g))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
@@ -117,12 +127,16 @@ def passage_line(text: Column) -> Column:
 def line_parts(line: Column) -> Column:
     """struct(id, date, time, plate, prefix, suffix) of a passage line; null without a date-time and a plate after it."""
     pattern = r"^(.*?)\s*([0-9]{2}/[0-9]{2}/[0-9]{4})\s+([0-9]{2}:[0-9]{2}:[0-9]{2})\s+(.+)\z"
-    group = lambda k: F.regexp_extract(line, pattern, k)
-    rest = group(4)
-    at = F.regexp_instr(F.upper(rest), F.lit(PLATE))
-    plate = F.upper(F.substring(rest, at, F.lit(7)))
-    parts = F.struct(F.upper(normalize_text(group(1))).alias("id"), group(2).alias("date"), group(3).alias("time"), plate.alias("plate"), normalize_text(F.substring(rest, F.lit(1), at - 1)).alias("prefix"), normalize_text(F.substring(rest, at + 7, F.length(rest))).alias("suffix"))
-    return F.when(line.rlike(pattern) & (at > 0), parts)
+
+    def split(g: Column, at: Column) -> Column:
+        rest = g[3]
+        parts = F.struct(
+            F.upper(normalize_text(g[0])).alias("id"), g[1].alias("date"), g[2].alias("time"), F.upper(F.substring(rest, at, F.lit(7))).alias("plate"),
+            normalize_text(F.substring(rest, F.lit(1), at - 1)).alias("prefix"), normalize_text(F.substring(rest, at + 7, F.length(rest))).alias("suffix"),
+        )
+        return F.when(at > 0, parts)
+
+    return bound(groups(line, pattern, 4), lambda g: bound(F.regexp_instr(F.upper(g[3]), F.lit(PLATE)), lambda at: split(g, at)))
 
 
 def road_and_km(prefix: Column) -> Column:
@@ -142,24 +156,31 @@ def road_and_km(prefix: Column) -> Column:
 
 def place_parts(prefix: Column) -> Column:
     """struct(plaza, lane, direction, city, code), upper case; if the order is another, plaza has all and code a last number."""
+    # The pattern, as the others of this module
     pattern = rf"(?i)^(.+?)\s+([0-9]+)\s+({'|'.join(DIRECTIONS)})\s+(.+?)\s+([0-9]+)\z"
     names = ("plaza", "lane", "direction", "city", "code")
-    full = F.struct(*(F.upper(normalize_text(F.regexp_extract(prefix, pattern, k))).alias(n) for k, n in enumerate(names, 1)))
-    last = F.regexp_extract(prefix, r"(?:^|\s)([0-9]+)\s*\z", 1)
-    rough = F.struct(prefix.alias("plaza"), F.lit("").alias("lane"), F.lit("").alias("direction"), F.lit("").alias("city"), last.alias("code"))
-    return F.when(prefix.rlike(pattern), full).otherwise(rough)
+
+    def of(t: Column) -> Column:
+        last = F.regexp_extract(t, r"(?:^|\s)([0-9]+)\s*\z", 1)
+        rough = F.struct(t.alias("plaza"), F.lit("").alias("lane"), F.lit("").alias("direction"), F.lit("").alias("city"), last.alias("code"))
+        full = lambda g: F.when(g.isNotNull(), F.struct(*(F.upper(normalize_text(g[k])).alias(n) for k, n in enumerate(names))))
+        return F.coalesce(bound(groups(t, pattern, 5), full), rough)
+
+    return bound(prefix, of)
 
 
 def vehicle_parts(suffix: Column) -> Column:
     """struct(model, axles, fare, responsible): by the first of three orders that fits; else model has all. Fares have a decimal comma."""
     fare = r"([0-9]+(?:[.,][0-9]{2})?)"
-    patterns = (rf"(?i)^(.+?)\s+([0-9]+)\s+R\$\s*{fare}\s*(.*)\z", rf"(?i)^(.+?)\s+([0-9]+)\s+{fare}\s+R\$\s*(.+)\z", rf"(?i)^(.+?)\s+([0-9]+)\s+{fare}\s+R\$?\z")
-    out = F.struct(suffix.alias("model"), F.lit("").alias("axles"), F.lit("").alias("fare"), F.lit("").alias("responsible"))
-    for k, p in reversed(list(enumerate(patterns))):
-        group = lambda g, p=p: F.regexp_extract(suffix, p, g)
-        responsible = F.lit("") if k == 2 else normalize_text(group(4))
-        out = F.when(suffix.rlike(p), F.struct(normalize_text(group(1)).alias("model"), group(2).alias("axles"), F.replace(group(3), F.lit("."), F.lit(",")).alias("fare"), responsible.alias("responsible"))).otherwise(out)
-    return out
+    # The three orders
+    patterns = (rf"(?i)^(.+?)\s+([0-9]+)\s+R\$\s*{fare}\s*(.*)\z", rf"(?i)^(.+?)\s+([0-9]+)\s+{fare}\s+R\$\s*(.+)\z", rf"(?i)^(.+?)\s+([0-9]+)\s+{fare}\s+R\$?()\z")
+
+    def of(t: Column) -> Column:
+        fitting = lambda g: F.when(g.isNotNull(), F.struct(normalize_text(g[0]).alias("model"), g[1].alias("axles"), F.replace(g[2], F.lit("."), F.lit(",")).alias("fare"), normalize_text(g[3]).alias("responsible")))
+        none = F.struct(t.alias("model"), F.lit("").alias("axles"), F.lit("").alias("fare"), F.lit("").alias("responsible"))
+        return F.coalesce(*(bound(groups(t, p, 4), fitting) for p in patterns), none)
+
+    return bound(suffix, of)
 
 
 def token_line(text: Column) -> Column:
