@@ -79,10 +79,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     left is read three times and right twice: both should be narrow and written.
     """
     counts = right.select(on, F.col(rows).alias("n_of_key")) if rows else written(left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n_of_key")), "key-counts")
-    n = counts.agg(F.sum("n_of_key")).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("n_of_key") > F.lit(n) / HOT_SHARE).select(on))
-    if n < HOT_SHARE or hot.isEmpty():
+    size = counts.agg(F.sum("n_of_key").alias("n"), F.max("n_of_key").alias("most")).first()
+    if not size["n"] or size["most"] * HOT_SHARE <= size["n"] or size["n"] < HOT_SHARE:
         return left.join(right, on, how)
+    hot = F.broadcast(counts.where(F.col("n_of_key") > F.lit(size["n"]) / HOT_SHARE).select(on))
     rest = left.join(hot, on, "left_anti").join(right, on, how)
     few = F.broadcast(right.join(hot, on, "left_semi"))
     return rest.unionByName(left.join(hot, on, "left_semi").join(few, on, how))
