@@ -28,7 +28,7 @@ from .common import fresh, named, prepare
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words of up to KNOWN_CHARS characters (twice), pairs of pieces and steps of the automaton that a worker keeps.
-WORDS, KNOWN_CHARS, PAIRS, STEPS = 150_000, 48, 1_000_000, 1_000_000
+WORDS, KNOWN_CHARS, PAIRS, STEPS = 100_000, 48, 300_000, 300_000
 
 
 def _fields(data: bytes):

@@ -40,6 +40,7 @@ def _gear() -> np.ndarray:
 
 
 _GEAR = _gear()
+_MIXED = _mixed(np.arange(1, 257, dtype=np.uint64))
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -95,7 +96,10 @@ def windows_of(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, over_word
     if n <= 0:
         return np.zeros(0, np.int64)
     up, down = _powers(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(raw + np.uint64(1)) * up[: len(raw)])))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.take(_MIXED, raw, out=sums[1:])
+    sums[1:] *= up[: len(raw)]
+    np.cumsum(sums, out=sums)
     first, last = starts[:n], stops[over_words:]
     return _mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
 
