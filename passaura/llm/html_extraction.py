@@ -12,6 +12,7 @@ grows with the length of the page whatever it holds.
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -403,6 +404,7 @@ def labelled_blocks(n: int = 900, seed: int = 7, **how) -> tuple[np.ndarray, np.
 WEIGHTS = {-1: 3, 0: 1, 1: 30}
 
 
+@functools.cache
 def trained_tree(n: int = 900, seed: int = 7):
     """The tree of labelled_blocks; claims weigh so much that it asks for them first, and for numbers where there are none."""
     x, y = labelled_blocks(n, seed)

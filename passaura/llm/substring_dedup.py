@@ -296,13 +296,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table stays empty.
     """
     prepare(docs.sparkSession)
-    found, key, at, body, name = (fresh(docs, x) for x in ("chunk_copies", "chunk_id", "chunk_at", "chunk_text", "removed_words"))
+    name = fresh(docs, "removed_words")
     places = written(_shares(docs.select(_key(id_col, text_col).alias("id"), named(text_col).alias("text")), bits, over_words), "shared-chunks")
-    # Both joins take all columns of these rows, in one order, so that Spark deals the texts out by id once for the two
-    keyed = docs.select(_key(id_col, text_col).alias(key), *(named(c).alias(body) if c == text_col else named(c) for c in docs.columns))
-    near = keyed.join(places.select(F.col("id").alias(at), F.col("shared").alias(found)), F.col(key) == F.col(at), "inner")
-    near = near.select(key, body, found, *(named(c) for c in keyed.columns if c not in (key, body)))
-    copies = _met(near, lambda text, shared, *_: nominated(text or "", shared, bits, over_words), False).select(F.col("id").alias(at), F.col("shared").alias(found))
+    # Both joins take all columns of these rows (under plain names), so that Spark deals the texts out by id once for the two
+    kept = {c: "text" if c == text_col else f"c{k}" for k, c in enumerate(docs.columns)}
+    keyed = docs.select(_key(id_col, text_col).alias("id"), *(named(c).alias(x) for c, x in kept.items()))
+    near = keyed.join(places.select(F.col("id").alias("at"), "shared"), F.col("id") == F.col("at"), "inner")
+    near = near.select("id", "text", "shared", *(x for x in kept.values() if x != "text"))
+    copies = _met(near, lambda text, shared, *_: nominated(text or "", shared, bits, over_words), False).select(F.col("id").alias("at"), "shared")
 
     @F.arrow_udf("struct<text:string,words:long>")
     def cut(texts: pa.Array, copies: pa.Array) -> pa.Array:
@@ -314,8 +315,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             gone.append(words)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["text", "words"])
 
-    joined = keyed.join(copies, F.col(key) == F.col(at), "left")
-    out = joined.withColumn(key, cut.asNondeterministic()(F.col(body), F.col(found)))
+    out = keyed.join(copies, F.col("id") == F.col("at"), "left").withColumn("cut", cut.asNondeterministic()(F.col("text"), F.col("shared")))
     if drop_emptied:
-        out = out.where((F.col(key)["words"] == 0) | F.col(key)["text"].rlike(r"\S"))
-    return out.select(*(F.col(key)["text"].alias(c) if c == text_col else named(c) for c in docs.columns), F.col(key)["words"].alias(name))
+        out = out.where((F.col("cut.words") == 0) | F.col("cut.text").rlike(r"\S"))
+    return out.select(*((F.col("cut.text") if x == "text" else F.col(x)).alias(c) for c, x in kept.items()), F.col("cut.words").alias(name))

@@ -144,8 +144,8 @@ def test_pipeline(spark, sf_dir):
 
 def test_stages_on_odd_documents(spark, sf_dir):
     """Nulls, empty texts, repeated rows, no rows, and columns with the names that stages use inside."""
-    names = ("quality", "removed_words", "found", "coded", "low", "toxic", "own_fp", "stay_id", "chunk_id", "site", "fp")
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in names)
+    names = ("quality", "removed_words", "found", "coded", "low", "toxic", "own_fp", "stay_id", "chunk_id", "site", "fp", "judged_id", "chunk_at", "text_key", "a.b", "text.lang")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in names)
     odd = [(None, None, None, None, None), (1, "", "en", "src0", 0), (1, "", "en", "src0", 0), (2, None, "en", None, 5), (3, "plain words here.", "en", "src1", 17), (4, "plain words here.", None, "src1", 17), (5, " \n ", "en", "x", 3)]
     docs = spark.createDataFrame([(*x, *("z" * len(names))) for x in odd], schema)
     for rows in (docs, docs.limit(0)):
