@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
+from . import chat_formatting, decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
 from .common import table
 
 #: Where the public tokenizers' files lie.
@@ -91,8 +91,21 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_chat_formatting(spark, sf_dir):
+    """All conversations, and conversation -1, whose texts are made of control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    found = chat_formatting.formatted(rows.unionByName(odd))
+    read = found.select("conv_id", "formatted", chat_formatting.turns_of(F.col("formatted")).alias("turns"), chat_formatting.text_under_loss(F.col("formatted"), F.col("loss")).alias("trained"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest, n = lambda c: F.sha2(c.cast("binary"), 256), lambda c: F.length(c).cast("long")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(said).alias("turns_sha256"), n(F.col("trained")).alias("loss_chars"), digest(F.col("trained")).alias("loss_sha256"), n(F.col("formatted")).alias("formatted_chars")
+    )
+
+
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, url_fixed_rules)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op13_chat_formatting, url_fixed_rules)
     return {f.__name__: f for f in found}
 
 
@@ -127,5 +140,17 @@ FROM (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#
 """
 
 
+_OP13 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, '(<)(\\*(?:\|(?:start|message|end|image|audio|document|im_start|im_end|endoftext|eot_id)\|>|/?s>))|(\[)(\\*/?INST\])' AS p FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text), '')) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       cast(sum(length('<|start|><|message|><|end|>') + length(regexp_replace(role, p, '\1\3\\\2\4', 'g')) + length(regexp_replace(text, p, '\1\3\\\2\4', 'g'))) AS bigint) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql():
-    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES}
+    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "op13_chat_formatting": _OP13}

@@ -16,13 +16,13 @@ from .test_operators import RANKS, classes, cut_plainly, mined_plainly
 def test_all_are_registered():
     found = entry.queries()
     assert set(queries.queries()) <= set(found) and "pipeline" in found
-    assert sorted(f"op{n}" for n in range(1, 11)) == sorted(x.split("_")[0] for x in queries.queries() if x.startswith("op"))
+    assert sorted(f"op{n}" for n in [*range(1, 11), 13]) == sorted(x.split("_")[0] for x in queries.queries() if x.startswith("op"))
 
 
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     a, b = queries.queries()[name](spark, sf_dir).toPandas(), c.execute(queries.oracle_sql()[name]).df()
     columns = sorted(a.columns)
