@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
+from . import chat_formatting, decontamination, document_fingerprints, edit_token_counts, filter_audit, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
 from .common import table
 
 #: Where the public tokenizers' files lie.
@@ -91,6 +91,12 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_interaction_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = filter_audit.audit(docs, table(spark, sf_dir, "labels"), F.col("lang"), filter_audit.text_filters(F.col("text")), repeats="E")
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
 def op13_chat_formatting(spark, sf_dir):
     """All conversations, and conversation -1, whose texts are made of control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -105,7 +111,7 @@ def op13_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op13_chat_formatting, url_fixed_rules)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op11_filter_interaction_audit, op13_chat_formatting, url_fixed_rules)
     return {f.__name__: f for f in found}
 
 
@@ -140,6 +146,28 @@ FROM (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#
 """
 
 
+_OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(w.doc_id > first, false) THEN 'E' ELSE '' END AS f
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, f, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, o[step] AS letter, o[1 : step - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+m AS (SELECT part, o AS filter_order, step, letter, n, good, toxic, f, contains(f, letter) AS here, length(translate(earlier, f, '')) < length(earlier) AS gone FROM c, s),
+r AS (SELECT part, filter_order, step, letter,
+  coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (here AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (f = letter), 0) AS unique_fails, coalesce(sum(n) FILTER (here AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (here AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM m GROUP BY ALL)
+SELECT part, filter_order, cast(step AS integer) AS step, cast(kept AS bigint) AS kept, cast(removed AS bigint) AS removed, cast(redundant AS bigint) AS redundant, cast(unique_fails AS bigint) AS unique_fails,
+  cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, letter) AS bigint) AS shapley FROM r
+"""
+
 _OP13 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -153,4 +181,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql():
-    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "op13_chat_formatting": _OP13}
+    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "op11_filter_interaction_audit": _OP11, "op13_chat_formatting": _OP13}
