@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, document_fingerprints, edit_token_counts, filter_audit, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
+from . import chat_formatting, decontamination, document_fingerprints, edit_token_counts, filter_audit, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, source_divergence, substring_dedup, token_packing, url_filters
 from .common import table
 
 #: Where the public tokenizers' files lie.
@@ -97,6 +97,11 @@ def op11_filter_interaction_audit(spark, sf_dir):
     return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
+def op12_source_divergence_audit(spark, sf_dir):
+    found = source_divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+    return found.select("lang", "source", "part", "item", "value", "rank")
+
+
 def op13_chat_formatting(spark, sf_dir):
     """All conversations, and conversation -1, whose texts are made of control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -111,7 +116,7 @@ def op13_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op11_filter_interaction_audit, op13_chat_formatting, url_fixed_rules)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_source_divergence_audit, op13_chat_formatting, url_fixed_rules)
     return {f.__name__: f for f in found}
 
 
@@ -168,6 +173,25 @@ SELECT part, filter_order, cast(step AS integer) AS step, cast(kept AS bigint) A
   cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, letter) AS bigint) AS shapley FROM r
 """
 
+_OP12 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + cast(1000000000 AS hugeint) * (coalesce(c.n, 0) + 2) // (coalesce(gn.total, 0) + 2 * v.v) AS p
+  FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ln AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+q AS (SELECT lang, term, 1 + cast(1000000000 AS hugeint) * (sum(n) + 2) // (any_value(ln.total) + 2 * any_value(v.v)) AS q FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(rank AS integer) AS rank FROM x WHERE part = 'pair' OR rank <= 10
+"""
+
 _OP13 = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -181,4 +205,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql():
-    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "op11_filter_interaction_audit": _OP11, "op13_chat_formatting": _OP13}
+    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "op11_filter_interaction_audit": _OP11, "op12_source_divergence_audit": _OP12, "op13_chat_formatting": _OP13}

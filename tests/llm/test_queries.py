@@ -16,7 +16,7 @@ from .test_operators import RANKS, classes, cut_plainly, mined_plainly
 def test_all_are_registered():
     found = entry.queries()
     assert set(queries.queries()) <= set(found) and "pipeline" in found
-    assert sorted(f"op{n}" for n in [*range(1, 12), 13]) == sorted(x.split("_")[0] for x in queries.queries() if x.startswith("op"))
+    assert sorted(f"op{n}" for n in range(1, 14)) == sorted(x.split("_")[0] for x in queries.queries() if x.startswith("op"))
 
 
 @pytest.mark.parametrize("name", queries.oracle_sql())
