@@ -13,24 +13,23 @@ but what its own edits touch.
 
 from __future__ import annotations
 
-import base64
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import byte_bpe
 from .common import fresh, named, prepare
 
-#: The pre-token pattern of the public byte-level BPE files: fixed.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A leaf is closed at the first bound after so many characters.
 LEAF = 128
 #: Pieces of up to KNOWN_CHARS characters whose counts a worker keeps; then it starts anew.
 WORDS, KNOWN_CHARS = 300_000, 48
-#: Unicode's white space; marks that are no letter, digit, space or apostrophe; letters and digits.
-_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that are no letter, digit, space or apostrophe; letters and digits.
+_SPACES = byte_bpe.SPACES
 _MARKS = "!-&(-/:-@\\[-`{-~\u3001\u3002\u3008-\u3011\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f"
 _LETTERS = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _BOUND = re.compile(f"(?<=[^{_SPACES}])(?=[{_SPACES}])|(?<=[{_MARKS}])(?=[{_LETTERS}])")
@@ -40,15 +39,13 @@ _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 class Counter:
     """Counts tokens; the counts of pieces between bounds are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        import tiktoken
-
-        self.encoding = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, vocabulary: byte_bpe.Vocabulary):
+        self.vocabulary = vocabulary
         self.known: dict[str, int] = {}
 
     @classmethod
     def read(cls, data: bytes) -> Counter:
-        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())})
+        return cls(byte_bpe.vocabulary(data))
 
     def count(self, text: str) -> int:
         """The tokens of a text whose ends are bounds."""
@@ -58,7 +55,7 @@ class Counter:
         for piece in _PIECE.findall(text):
             n = known.get(piece)
             if n is None:
-                n = len(self.encoding.encode_ordinary(piece))
+                n = len(self.vocabulary.encode(piece))
                 if len(piece) <= KNOWN_CHARS:
                     known[piece] = n
             total += n
@@ -134,11 +131,11 @@ def _replaced(node: _Node, first: int, last: int, new: _Node | None) -> _Node |
 class TokenTree:
     """A text as leaves under a segment tree of (characters, tokens)."""
 
-    def __init__(self, text: str, counter: Counter, leaves: list[tuple[str, int]] | None = None):
+    def __init__(self, text: str, counter: Counter, kept: tuple[list[tuple[str, int]], int] | None = None):
         self.counter = counter
         self.recounted = 0
-        self.encoded = 0 if leaves is not None else len(text)
-        self.root = _built(leaves if leaves is not None else self._counted(text))
+        leaves, self.encoded = kept or (self._counted(text), len(text))
+        self.root = _built(leaves)
 
     def _counted(self, text: str) -> list[tuple[str, int]]:
         return [(x, self.counter.count(x)) for x in leaves_of(text)]
@@ -199,17 +196,26 @@ class TokenTree:
         self.root = _replaced(self.root, first, last, _built(self._counted(text)))
 
 
-def kept_leaves(text: str, chars: list[int] | None, tokens: list[int] | None) -> list[tuple[str, int]] | None:
-    """The leaves of a text by their kept lengths and counts; None if these are not of a text cut so."""
-    if chars is None or tokens is None or len(chars) != len(tokens) or None in chars or None in tokens or sum(chars) != len(text) or any(n <= 0 for n in chars):
+def _mark(leaf: str) -> int:
+    """64 bits of a leaf's text, by which a kept count is known to be of it."""
+    return int.from_bytes(xxhash.xxh64_digest(leaf.encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
+def kept_leaves(text: str, counter: Counter, chars: list[int] | None, tokens: list[int] | None, marks: list[int] | None) -> tuple[list[tuple[str, int]], int] | None:
+    """The leaves of a text by their kept lengths and counts, and the characters of those whose text is another than it was, which are counted
+    anew; None if the lengths are not of a text cut so."""
+    if chars is None or tokens is None or marks is None or not len(chars) == len(tokens) == len(marks) or None in chars or None in tokens or sum(chars) != len(text) or any(n <= 0 for n in chars):
         return None
-    out, at = [], 0
-    for n, count in zip(chars, tokens, strict=True):
+    out, at, anew = [], 0, 0
+    for n, count, mark in zip(chars, tokens, marks, strict=True):
         if at and not is_bound(text[at - 1], text[at]):
             return None
-        out.append((text[at : at + n], count))
+        leaf = text[at : at + n]
+        if _mark(leaf) != mark:
+            count, anew = counter.count(leaf), anew + n
+        out.append((leaf, count))
         at += n
-    return out
+    return out, anew
 
 
 _COUNTERS: dict[int, Counter] = {}
@@ -224,40 +230,42 @@ def _counter(data: bytes) -> Counter:
     return _COUNTERS[key]
 
 
-_RESULT = "struct<n_tokens:long,n_tokens_edited:long,n_chars_edited:long,n_chars_recounted:long,n_chars_encoded:long,leaf_chars:array<int>,leaf_tokens:array<int>>"
+_RESULT = "struct<n_tokens:long,n_tokens_edited:long,n_chars_edited:long,n_chars_recounted:long,n_chars_encoded:long,leaf_chars:array<int>,leaf_tokens:array<int>,leaf_marks:array<long>,text:string>"
 
 
-def edit_counts(docs: DataFrame, vocabulary_path: str, edits_col: str, text_col: str = "text", column: str = "counts", kept_col: str | None = None) -> DataFrame:
+def edit_counts(docs: DataFrame, vocabulary_path: str, edits_col: str, text_col: str = "text", column: str = "counts", kept_col: str | None = None, with_text: bool = False) -> DataFrame:
     """docs with a last column of token counts before and after the edits of edits_col.
 
     An edit is struct(start, stop, text): code points start up to stop become text; edits follow each other,
     each on the text that those before left, and places beyond the text are its end. The column has n_tokens,
     n_tokens_edited, n_chars_edited, n_chars_recounted (read again for the edits), n_chars_encoded (read before
-    them, to build the tree) and the leaves of the edited text: leaf_chars and leaf_tokens. Null texts are empty;
-    null edits and null fields are no edit, 0 and "". Long texts are taken whole; repeated rows come out as often as they go
-    in; other columns stay, and the new one gets leading underscores if docs has its name; an empty table stays empty.
-    kept_col is a column of an earlier result whose edited text is now the text, by the same vocabulary. Its tree
-    is taken up without encoding. Where it is null, or its leaves do not fit the text in length and bounds, the
-    text is encoded; other texts of the same length and bounds are not told apart.
+    them, to build the tree) and the leaves of the edited text: leaf_chars, leaf_tokens and leaf_marks (64 bits of their text), and, with_text,
+    the edited text. Null texts are empty; null edits and null fields are no edit, 0 and "". Long texts are taken whole, in time by
+    their length, runs of white space of any length too; a run of millions without any bound is one leaf, which an edit inside reads
+    again. Repeated rows come out as often as they go in; other columns stay, and the new one gets leading underscores if docs
+    has its name; an empty table stays empty.
+    kept_col is a column of an earlier result whose edited text is now the text, by the same vocabulary. Its tree is
+    taken up without encoding; leaves whose text is another than it was are counted anew. Where it is null, or its leaves
+    do not fit the text in length and bounds, the text is encoded.
     """
     spark = prepare(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf(_RESULT)
-    def of(texts: pa.Array, edits: pa.Array, chars: pa.Array, tokens: pa.Array) -> pa.Array:
+    def of(texts: pa.Array, edits: pa.Array, chars: pa.Array, tokens: pa.Array, marks: pa.Array) -> pa.Array:
         counter, out = _counter(shared.value), []
-        for text, own, *kept in zip(texts.to_pylist(), edits.to_pylist(), chars.to_pylist(), tokens.to_pylist(), strict=True):
-            tree = TokenTree(text or "", counter, kept_leaves(text or "", *kept))
+        for text, own, *kept in zip(*(x.to_pylist() for x in (texts, edits, chars, tokens, marks)), strict=True):
+            tree = TokenTree(text or "", counter, kept_leaves(text or "", counter, *kept))
             before = tree.n_tokens
             for e in own or ():
                 if e:
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
             leaves = tree.leaves
-            out.append((before, tree.n_tokens, tree.n_chars, tree.recounted, tree.encoded, [len(x) for x, _ in leaves], [n for _, n in leaves]))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_recounted", "n_chars_encoded", "leaf_chars", "leaf_tokens"])
+            out.append((before, tree.n_tokens, tree.n_chars, tree.recounted, tree.encoded, [len(x) for x, _ in leaves], [n for _, n in leaves], [_mark(x) for x, _ in leaves], tree.text if with_text else None))
+        columns = list(zip(*out, strict=True)) or [()] * 9
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.string()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_recounted", "n_chars_encoded", "leaf_chars", "leaf_tokens", "leaf_marks", "text"])
 
-    kept = [(named(kept_col)[x] if kept_col else F.lit(None)).cast("array<int>") for x in ("leaf_chars", "leaf_tokens")]
+    kept = [(named(kept_col)[x] if kept_col else F.lit(None)).cast(kind) for x, kind in (("leaf_chars", "array<int>"), ("leaf_tokens", "array<int>"), ("leaf_marks", "array<long>"))]
     return docs.withColumn(fresh(docs, column), of.asNondeterministic()(named(text_col), named(edits_col), *kept))

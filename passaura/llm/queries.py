@@ -37,17 +37,20 @@ def op3_quality_classifier(spark, sf_dir):
 
 
 def op4_token_counts(spark, sf_dir):
-    """Each text, and the text after three edits: a twentieth goes at a third, the first 40 characters come again in the middle, the last is replaced."""
+    """Each text, and the text after two rounds of edits: a twentieth goes at a third and the first 40 characters come again in the middle; then the
+    last is replaced, on the trees of the first round. n_chars_encoded is what the second round read besides its own edit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     third, twentieth = F.floor(n / 3).cast("int"), F.floor(n / 20).cast("int")
     edit = lambda start, stop, text: F.struct(start.alias("start"), stop.alias("stop"), text.alias("text"))
-    left = n - twentieth
-    middle = F.floor(left / 2).cast("int")
-    again = left + F.least(n, F.lit(40))
-    edits = F.array(edit(third, third + twentieth, F.lit("")), edit(middle, middle, F.substring("text", 1, 40)), edit(again - 1, again, F.lit("!")))
-    found = edit_token_counts.edit_counts(docs.withColumn("edits", edits), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "edits")
-    return found.select("doc_id", "counts.n_tokens", "counts.n_tokens_edited", "counts.n_chars_edited", "counts.n_chars_recounted")
+    middle = F.floor((n - twentieth) / 2).cast("int")
+    edits = F.array(edit(third, third + twentieth, F.lit("")), edit(middle, middle, F.substring("text", 1, 40)))
+    vocabulary = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    first = edit_token_counts.edit_counts(docs.withColumn("edits", edits), vocabulary, "edits", with_text=True)
+    last = F.col("counts.n_chars_edited").cast("int")
+    kept = first.select("doc_id", "counts", F.col("counts.text").alias("text"), F.array(edit(last - 1, last, F.lit("!"))).alias("edits"))
+    found = edit_token_counts.edit_counts(kept, vocabulary, "edits", column="later", kept_col="counts")
+    return found.select("doc_id", "counts.n_tokens", "later.n_tokens_edited", "later.n_chars_edited", (F.col("counts.n_chars_recounted") + F.col("later.n_chars_recounted")).alias("n_chars_recounted"), "later.n_chars_encoded")
 
 
 def op6_token_packing(spark, sf_dir):

@@ -12,36 +12,30 @@ block. A block leaves at most a few part-filled rows.
 
 from __future__ import annotations
 
-import base64
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import byte_bpe
 from .common import named, prepare
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of a row, tokens of a block.
 WIDTH, BLOCK = 2048, 1 << 21
 
 
 class Tokenizer:
-    """Byte-level BPE ids; strings of special tokens are ordinary text."""
+    """Ids of a vocabulary as numbers of two bytes, four if it needs them, and one beyond it to pad with."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        import tiktoken
-
-        self.encoding = tiktoken.Encoding("packed", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pad = max(ranks.values()) + 1
+    def __init__(self, vocabulary: byte_bpe.Vocabulary):
+        self.vocabulary = vocabulary
+        self.pad = vocabulary.size
         self.dtype = np.dtype("<u2" if self.pad < 1 << 16 else "<u4")
 
-    @classmethod
-    def read(cls, data: bytes) -> Tokenizer:
-        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())})
-
     def encode(self, text: str | None) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype) if text else np.zeros(0, self.dtype)
+        return np.array(self.vocabulary.encode(text), self.dtype) if text else np.zeros(0, self.dtype)
 
 
 class CapacityTree:
@@ -51,7 +45,7 @@ class CapacityTree:
         self.size = 1
         while self.size < width + 1:
             self.size *= 2
-        self.rows: list[list[int]] = [[] for _ in range(width + 1)]
+        self.rows: list[deque[int]] = [deque() for _ in range(width + 1)]
         self.some = bytearray(2 * self.size)
 
     def put(self, capacity: int, row: int) -> None:
@@ -73,7 +67,7 @@ class CapacityTree:
             while node < self.size:
                 node = 2 * node if self.some[2 * node] else 2 * node + 1
         capacity = node - self.size
-        row = self.rows[capacity].pop()
+        row = self.rows[capacity].popleft()
         if not self.rows[capacity]:
             self.some[node] = 0
             node //= 2
@@ -122,22 +116,12 @@ def packed_block(docs: list[tuple[object, np.ndarray]], width: int, pad: int, dt
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-_TOKENIZERS: dict[int, Tokenizer] = {}
-
-
-def _tokenizer(data: bytes) -> Tokenizer:
-    key = hash(data)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = Tokenizer.read(data)
-    return _TOKENIZERS[key]
-
-
 def packed(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """Packed rows of docs: SCHEMA. ids are `width` little-endian numbers of two bytes (four if the vocabulary needs it).
 
     Unused places at the end of a row hold the pad id, one beyond the vocabulary, and position 0; n_ids says how
-    many are used. Ids of documents are integers, null ones stay null. Null and empty texts have no segment;
+    many are used. Ids of documents are integers, null ones stay null. Null and empty texts have no segment; long ones
+    are read whole in time by their length, whatever they are made of (see byte_bpe for runs of white space), and split into rows;
     repeated rows are packed as often as they come; other columns are ignored; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
@@ -145,7 +129,7 @@ def packed(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
         shared = spark.sparkContext.broadcast(f.read())
 
     def over(batches):
-        tokenizer = _tokenizer(shared.value)
+        tokenizer = Tokenizer(byte_bpe.vocabulary(shared.value))
         held, n = [], 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -170,7 +154,10 @@ def packed(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
 
 
 def unpacked(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, offset, ids array<long>) of each segment of packed rows: what packing was given, for checks and reading back."""
+    """(doc_id, offset, ids array<long>) of each segment of packed rows: what packing was given, for checks and reading back.
+
+    Null doc_ids stay null; a long document comes back in its segments; repeated rows as often as they come; an empty table gives no rows.
+    """
 
     def over(batches):
         for b in batches:
@@ -185,5 +172,5 @@ def unpacked(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet: each file's `ids` column, end to end, is an id matrix of the given width."""
+    """Write packed rows as Parquet: each file's `ids` column, end to end, is an id matrix of the given width; what path held goes."""
     rows.write.mode("overwrite").parquet(path)

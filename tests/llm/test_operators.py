@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables, and what they do with odd ones."""
 
+import base64
 import collections
 import hashlib
 import html
@@ -11,16 +12,19 @@ import time
 
 import numpy as np
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from passaura.llm import common, decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
+from passaura.llm import byte_bpe, common, decontamination, document_fingerprints, edit_token_counts, html_extraction, quality_classifier, sentencepiece_codec, simhash_near_dedup, substring_dedup, token_packing, url_filters
 from passaura.llm import queries
 from passaura.llm.queries import TOKENIZERS
 from passaura.sources import scratch
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The library's own encoding, without what byte_bpe does before it.
+PLAIN = tiktoken.Encoding("plain", pat_str=byte_bpe.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={}).encode_ordinary
 DOCS = "doc_id long, text string, found string, Quality int, own string"
 
 
@@ -352,7 +356,7 @@ def test_quality_odd_tables(spark):
 def test_edits_against_full_counts(spark, texts):
     r = random.Random(4)
     counter = edit_token_counts.Counter.read(open(RANKS, "rb").read())
-    full = lambda t: len(counter.encoding.encode_ordinary(t))
+    full = lambda t: len(PLAIN(t))
     bits = ["the ", "a", " ", "  ", "\n", "é", "'ll", "'", " l", "1", "x.", "\t", "Word ", " word", ".s", "。", "中文", "の", "\u3000", ",'s", "\x1c", "\x85", "’", "²", "Ж"]
     for _ in range(400):
         t = "".join(r.choice(bits) for _ in range(r.randint(0, 400)))
@@ -387,7 +391,7 @@ def test_edits_read_little(make):
         b, new = a + r.choice([0, 1, 600]), r.choice(["", "x", make(k) * 40])
         tree.edit(a, b, new)
         t = t[:a] + new + t[b:]
-    assert tree.text == t and tree.n_tokens == len(counter.encoding.encode_ordinary(t)) == sum(n for _, n in tree.leaves)
+    assert tree.text == t and tree.n_tokens == len(PLAIN(t)) == sum(n for _, n in tree.leaves)
     assert tree.recounted / 300 < 3000 and depth_of(tree.root) < 3 * math.log2(tree.root.count) + 3
 
 
@@ -402,7 +406,7 @@ def test_edits_odd_tables(spark):
 
 def test_kept_trees(spark, texts):
     counter = edit_token_counts.Counter.read(open(RANKS, "rb").read())
-    full = lambda t: len(counter.encoding.encode_ordinary(t))
+    full = lambda t: len(PLAIN(t))
     edits = lambda a, b, t: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(t).alias("text")))
     edited = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 3), F.lit("ne w"), F.expr("substring(coalesce(text, ''), 10)"))
     first = edit_token_counts.edit_counts(docs_of(spark, texts).withColumn("edits", edits(3, 9, "ne w")), RANKS, "edits")
@@ -414,6 +418,10 @@ def test_kept_trees(spark, texts):
         assert x.later.n_tokens == full(t) and x.later.n_tokens_edited == full(t[:50] + " a b " + t[55:]) == sum(x.later.leaf_tokens)
         assert x.later.n_chars_encoded == (len(t) if x.doc_id == 5 else 0)
     assert all(x.counts.n_chars_encoded == len(x.text or "") for x in first.collect())
+    # other texts of equal length and bounds: their leaves are counted anew
+    same = kept.withColumn("text", F.translate("text", "aeiou", "xxxxx")).where("doc_id != 5")
+    for x in edit_token_counts.edit_counts(same, RANKS, "edits", column="later", kept_col="counts").collect():
+        assert x.later.n_tokens == full(x.text) and x.later.n_tokens_edited == full(x.text[:50] + " a b " + x.text[55:])
     other = kept.withColumn("text", F.concat("text", F.lit("x")))
     assert all(x.later.n_tokens == full(x.text) for x in edit_token_counts.edit_counts(other, RANKS, "edits", column="later", kept_col="counts").collect())
 
@@ -527,7 +535,7 @@ def test_best_fit_decreasing():
 
 
 def test_packing_is_lossless(spark, texts, tmp_path):
-    tokenizer = token_packing.Tokenizer.read(open(RANKS, "rb").read())
+    tokenizer = token_packing.Tokenizer(byte_bpe.Vocabulary.read(open(RANKS, "rb").read()))
     rows = token_packing.packed(docs_of(spark, texts), RANKS, width=64, block=3000)
     token_packing.write_packed(rows, f"{tmp_path}/p")
     rows = spark.read.parquet(f"{tmp_path}/p")
@@ -541,7 +549,7 @@ def test_packing_is_lossless(spark, texts, tmp_path):
         back.setdefault(r.doc_id, []).append((r.offset, r["ids"]))
     for k, t in enumerate(texts):
         got = [x for _, own in sorted(back.get(k, [])) for x in own]
-        assert got == tokenizer.encoding.encode_ordinary(t or "")
+        assert got == PLAIN(t or "")
     assert token_packing.packed(docs_of(spark, []), RANKS).count() == 0
     none = spark.range(3000).select("id", F.lit("").alias("a.text"))
     assert token_packing.packed(none, RANKS, "id", "a.text").count() == 0

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from passaura.llm import decontamination, edit_token_counts, html_extraction, queries, sentencepiece_codec, simhash_near_dedup, token_packing, url_filters
 
-from .test_operators import RANKS, classes, cut_plainly, mined_plainly
+from .test_operators import PLAIN, RANKS, classes, cut_plainly, mined_plainly
 
 
 def test_all_are_registered():
@@ -52,7 +52,6 @@ def test_quality_query(spark, sf_dir, documents):
 
 
 def test_token_count_query(spark, sf_dir, documents):
-    full = edit_token_counts.Counter.read(open(RANKS, "rb").read()).encoding.encode_ordinary
     got = {r.doc_id: r for r in queries.op4_token_counts(spark, sf_dir).collect()}
     assert set(got) == {i for i, _ in documents}
     for i, t in documents:
@@ -62,7 +61,7 @@ def test_token_count_query(spark, sf_dir, documents):
         half = len(edited) // 2
         edited = edited[:half] + t[:40] + edited[half:]
         edited = edited[:-1] + "!" if edited else "!"
-        assert (got[i].n_tokens, got[i].n_tokens_edited, got[i].n_chars_edited) == (len(full(t)), len(full(edited)), len(edited))
+        assert (got[i].n_tokens, got[i].n_tokens_edited, got[i].n_chars_edited) == (len(PLAIN(t)), len(PLAIN(edited)), len(edited)) and got[i].n_chars_encoded == 0
 
 
 def test_url_query(spark, sf_dir):
@@ -82,12 +81,11 @@ def test_url_query(spark, sf_dir):
 
 
 def test_packing_query(spark, sf_dir, documents):
-    full = edit_token_counts.Counter.read(open(RANKS, "rb").read()).encoding.encode_ordinary
     back: dict = {}
     for r in token_packing.unpacked(queries.op6_token_packing(spark, sf_dir)).collect():
         back.setdefault(r.doc_id, []).append((r.offset, r.ids))
     for i, t in documents:
-        assert [x for _, own in sorted(back.get(i, [])) for x in own] == full(t or "")
+        assert [x for _, own in sorted(back.get(i, [])) for x in own] == PLAIN(t or "")
 
 
 def test_page_query(spark, sf_dir):
