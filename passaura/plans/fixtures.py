@@ -61,6 +61,14 @@ ID_PAGES = f"""select passage_id, concat('Data do transito', chr(10), case when
 cast(passage_id as string), 'AB', lpad(cast(passage_id as string), case when passage_id % 2 = 0 then 10 else 9 end, '0'), chr(10), '02', chr(10), expected_plate) as page from ({PASSAGES}) p"""
 TOKEN_LINES = f"""select passage_id, concat('Titulo', chr(10), case when passage_id % 5 = 0 then 'curto' else '' end, lpad(cast(passage_id as string), 20, 'A'), ' ', {_DATE}, ' ', {_TIME}, ' 330 KM 1+', cast(passage_id % 1000 as string), ' PRACA 2 SUL CIDADE 68 ',
 case when passage_id % 7 = 0 then '' else concat(expected_plate, ' MARCA ', case when passage_id % 2 = 0 then '/MODELO X ' else '' end, '2 11,20 R$ NOME') end) as page from ({PASSAGES}) p"""
+_COLS = "(select 0 as col union all select 1 as col union all select 2 as col union all select 3 as col union all select 4 as col union all select 5 as col union all select 6 as col union all select 7 as col union all select 8 as col union all select 9 as col union all select 10 as col)"
+TABLE_WORDS = f"""select cast(customer as string) as file, passage_id as page, case when part = 1 then concat('NOVA', cast(passage_id % 10 as string)) when line = 0 then concat('H', cast(col as string))
+when col = 0 then case when passage_id % 11 = 0 or (passage_id % 3 = 0 and line = 1) then 'X12' else concat('10000', lpad(cast(passage_id as string), 8, '0')) end when col = 10 then expected_plate else concat('c', cast(col as string), 'l', cast(line as string)) end as word,
+cast(10 + 60 * col + passage_id % 7 + case when part = 1 and passage_id % 2 = 1 then 20 else 0 end as double) as x0, cast(28 + 60 * col + passage_id % 7 + case when part = 1 and passage_id % 2 = 1 then 25 else 0 end as double) as x1,
+cast(100 + 20 * line + col % 3 + case when part = 1 and passage_id % 2 = 0 then 9 else 0 end as double) as y0, cast(107 + 20 * line + col % 3 + case when part = 1 and passage_id % 2 = 0 then 9 else 0 end as double) as y1
+from ({PASSAGES}) p, (select 0 as line union all select 1 as line union all select 2 as line) l, {_COLS} c, (select 0 as part union all select 1 as part) w
+where (part = 0 or (col = 8 and line > 0)) and not (col = 5 and line > 0 and passage_id % 4 = 1)"""
+TABLE_RULES = f"select cast(customer as string) as file, passage_id as page, cast(98 + 20 * line as double) as y from ({PASSAGES}) p, (select 0 as line union all select 1 as line union all select 2 as line) l where passage_id % 2 = 0"
 LOADED = f"select passage_id as sheet_row, case when passage_id % 3 = 0 then expected_plate end as plate, case when passage_id % 4 = 0 then fare end as fare from ({PASSAGES}) p"
 DIGESTS = f"select passage_id, image_ix, cast(noise as string) as content_sha, case when image_ix % 3 = 0 then null when image_ix % 3 = 1 then 'LLLDDDD' else 'LLLDLDD' end as mask from ({READS}) r"
 

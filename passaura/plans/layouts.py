@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import plate as P
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import html_report, vision
+from ..operators import html_report, tables, vision
 from ..sources import files as S
 from ..sources import xlsx
 from ..sources.scratch import scratch_path
@@ -111,6 +111,26 @@ def layout_autoban(spark, sf_dir):
     return found.withColumn("n", F.col("n").cast("long"))
 
 
+@query(f"""with p as (select passage_id, ocr_text as image, row_number() over (partition by passage_id order by image_ix) - 1 as n from {{READS}}) select b.passage_id as document, cast(k as bigint) as n, date_time, category, plate as expected_plate,
+case when p.n is not null then cast(1 as bigint) end as image_ix, case when p.n is not null then coalesce(p.image, '') end as image
+from (select *, row_number() over (partition by passage_id order by k) - 1 as place from ({BLOCKS_SQL}) q where date_time <> '' and category is not null and plate <> '') b left join p on p.passage_id = b.passage_id and p.n = b.place""")
+def layout_prototype(spark, sf_dir):
+    found = _documents(spark, sf_dir, X.BLOCK_PAGES, providers.read_prototype, "n", "date_time", "category", "expected_plate")
+    return found.withColumn("n", F.col("n").cast("long"))
+
+
+_CELL = "concat('c{0}l', m)"
+
+
+@query(f"""select cast(customer as varchar) as file, passage_id as page, concat('10000', lpad(cast(passage_id as varchar), 8, '0')) as id, {", ".join(f"{_CELL.format(k)} as {n}" for k, n in enumerate(tables.FIELDS) if k in (1, 2, 3, 4, 6, 7, 9))},
+case when passage_id % 4 = 1 then '' else {_CELL.format(5)} end as plaza, concat({_CELL.format(8)}, ' NOVA', cast(passage_id % 10 as varchar)) as city, expected_plate as plate, '' as model, '' as axles, '' as fare, '' as responsible
+from (select *, case when passage_id % 3 = 0 then '2' else '1' end as m from {{PASSAGES}}) p where passage_id % 11 <> 0""")
+def pdf_table_rows(spark, sf_dir):
+    """The passage in a page's table, from boxes of words and, on half of the pages, ruling lines around cells of two lines."""
+    table = tables.rows(X.on_spark(spark, sf_dir, X.TABLE_WORDS), X.on_spark(spark, sf_dir, X.TABLE_RULES))
+    return tables.passage_rows(table)
+
+
 @query(f"""with {_PICTURES} select b.passage_id as document, regexp_extract(page, '([0-9]+[A-Z]{{2,3}}[0-9]{{10,}})', 1) as external_id, '02' as category, substr(page, -7) as expected_plate,
 nullif(regexp_extract(page, '(?s)Data do transito.*?([0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})', 1), '') as date_time, cast(w.n + 1 as bigint) as image_ix, w.image
 from {{ID_PAGES}} b left join w on w.passage_id = b.passage_id where regexp_matches(page, '[0-9]+[A-Z]{{2,3}}[0-9]{{10,}}')""")

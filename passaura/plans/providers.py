@@ -35,6 +35,10 @@ def _with_content(placed: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(xlsx.media(found), ["file", "media"]).select("passage_id", "image_ix", "content")
 
 
+def _pdf(spark: SparkSession, path: str | DataFrame):
+    return S.files(spark, path, "pdf") if isinstance(path, DataFrame) else pdf.Folder(spark, path)
+
+
 def _first_sheet(cells: DataFrame, preferred: str) -> DataFrame:
     """The cells of each file's preferred sheet, if it has it, else all."""
     has = cells.groupBy("file").agg(F.max(F.col("sheet") == preferred).alias("has"))
@@ -150,7 +154,7 @@ def read_tamoios(spark: SparkSession, path: str, sheet: str = "", **_):
 
 def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
     """Several passages on a page, after a marker; each takes the next three images of the page."""
-    found = S.files(spark, path, "pdf")
+    found = _pdf(spark, path)
     parts = pdf.pages(found, backend).select("file", "page", F.posexplode(T.blocks_after(F.col("text"), "Data/Hora")).alias("n", "b"))
     b = F.col("b")
     own = parts.select("file", "page", "n", T.date_time(b).alias("date_time"), T.category(b).alias("category"), T.first_plate(b).alias("expected_plate")).na.drop()
@@ -163,9 +167,16 @@ def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, **
     return passages, placed.join(images, ["file", "page", "ord"]).select("passage_id", "image_ix", "content")
 
 
+def read_prototype(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
+    """As read_autoban, but the k-th passage of a page takes its k-th image as the page lists them, of any size and place; none if there are fewer."""
+    passages, _ = read_autoban(spark, path, backend)
+    images = pdf.page_images(_pdf(spark, path), backend).select("file", "page", (F.col("ord") - 1).alias("k"), "content")
+    return passages, passages.select("passage_id", "file", "page", "k").join(images, ["file", "page", "k"]).select("passage_id", F.lit(1).alias("image_ix"), "content")
+
+
 def read_eixosp(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
     """One passage on a page that has a transaction id; category and plate on the lines after it."""
-    found = S.files(spark, path, "pdf")
+    found = _pdf(spark, path)
     text = F.replace("text", F.lit('"'), F.lit(""))
     own = pdf.pages(found, backend).select("file", "page", text.alias("text")).withColumn("external_id", T.transaction_id(F.col("text"))).where("external_id is not null")
     lines = F.filter(F.transform(F.split("text", "\n"), T.trimmed), lambda x: x != "")
@@ -191,7 +202,7 @@ def _photos(found: DataFrame, backend, passages: DataFrame, first_page: bool, fa
 
 def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
     """One passage in a file, on one line of its text; its photographs by area."""
-    found = S.files(spark, path, "pdf")
+    found = _pdf(spark, path)
     own = pdf.whole_text(pdf.pages(found, backend)).select("file", T.line_parts(T.passage_line(T.normalize_text(F.col("text")))).alias("l")).where("l is not null")
     own = own.withColumn("r", T.road_and_km(F.col("l.prefix")))
     rest = F.when(F.col("r.rest") != "", F.col("r.rest")).otherwise(F.col("l.prefix"))
@@ -202,7 +213,7 @@ def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, **
 
 def read_intervias(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
     """One passage in a file, its fields by place on the first line that begins with a long id, on the first page."""
-    found = S.files(spark, path, "pdf")
+    found = _pdf(spark, path)
     own = pdf.pages(found, backend).where("page = 1").select("file", T.token_fields(T.token_line(F.col("text"))).alias("t")).where("t is not null")
     passages = own.select(_key("file"), "file", "t.*").withColumnsRenamed({"id": "external_id", "plate": "expected_plate"})
     return passages, _photos(found, backend, passages, first_page=True, fair=1 << 62)

@@ -1,56 +1,186 @@
-"""Pages of PDF files through a backend.
+"""Pages of PDF files through a backend, a range of pages a task.
 
-A backend is a function of a file's bytes that gives its pages: (text, images), an image being a dict with
-width, height, x0, y0, x1, y1 and content. `default_backend` needs a PDF library, which is imported on use.
+A backend opens a file and gives a document: how many pages it has, a page's text, a page's images (dicts with width,
+height, x0, y0, x1, y1 and content). Only what is asked for is taken out of a page. PyMuPdf needs a PDF library, which is
+imported on use. A function of a file's bytes that gives all pages, (text, images) each, is a backend too, but has no ranges.
+
+Files are read from a folder by a data source of Spark, whose partitions are ranges of pages: a large file is opened once to
+count its pages and then by each task that reads some of them; small files share a task. A table of files (file, content) is read a
+file at a time.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
+from typing import BinaryIO, Protocol
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from . import opened
 
 _PAGES = "file string, page int, text string"
 _IMAGES = "file string, page int, ord int, width int, height int, x0 double, y0 double, x1 double, y1 double, content binary"
+_FIELDS = [x.split()[0] for x in _IMAGES.split(", ")][3:]
+#: Pages of a task, and bytes from which on a file's pages are dealt out.
+RANGE, LARGE = 200, 8 << 20
 
 
-def default_backend(content: bytes):
-    """Pages by PyMuPDF; a clear error where it is not installed."""
-    try:
-        import fitz
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs the package pymupdf, or a backend of your own") from e
-    with fitz.open(stream=content, filetype="pdf") as doc:
-        for page in doc:
-            images = []
-            for info in page.get_images(full=True):
-                found = doc.extract_image(info[0])
-                for rect in page.get_image_rects(info[0]):
-                    images.append({"width": found["width"], "height": found["height"], "x0": rect.x0, "y0": rect.y0, "x1": rect.x1, "y1": rect.y1, "content": found["image"]})
-            yield page.get_text("text"), images
+class Document(Protocol):
+    def __len__(self) -> int: ...
+    def text(self, page: int) -> str: ...
+    def images(self, page: int) -> list[dict]: ...
 
 
-def pages(files: DataFrame, backend=default_backend) -> DataFrame:
-    """(file, page from 1, text) of PDF files (file, content); a file that cannot be read stops the job with its error."""
+class Backend(Protocol):
+    def open(self, file: BinaryIO) -> Document: ...
 
-    def over(frames):
-        for frame in frames:
-            rows = [(f, k, text) for f, c in zip(frame["file"], frame["content"], strict=True) for k, (text, _) in enumerate(backend(bytes(c)), 1)]
-            yield pd.DataFrame(rows, columns=["file", "page", "text"])
 
-    return files.select("file", "content").mapInPandas(over, _PAGES)
+class _MuPdfDocument:
+    def __init__(self, document):
+        self.document = document
 
+    def __len__(self) -> int:
+        return len(self.document)
+
+    def text(self, page: int) -> str:
+        return self.document[page].get_text("text")
+
+    def images(self, page: int) -> list[dict]:
+        own, out = self.document[page], []
+        for info in own.get_images(full=True):
+            found = self.document.extract_image(info[0])
+            for rect in own.get_image_rects(info[0]):
+                out.append({"width": found["width"], "height": found["height"], "x0": rect.x0, "y0": rect.y0, "x1": rect.x1, "y1": rect.y1, "content": found["image"]})
+        return out
+
+
+class PyMuPdf:
+    """Documents by PyMuPDF; a clear error where it is not installed."""
+
+    def open(self, file: BinaryIO) -> Document:
+        try:
+            import fitz
+        except ImportError as e:
+            raise RuntimeError("reading PDF files needs the package pymupdf, or a backend of your own") from e
+        return _MuPdfDocument(fitz.open(stream=file.read(), filetype="pdf"))
+
+
+default_backend = PyMuPdf()
+
+
+class _Whole:
+    """The pages that a function has given, as a document."""
+
+    def __init__(self, pages: list[tuple[str, list[dict]]]):
+        self.pages = pages
+
+    def __len__(self) -> int:
+        return len(self.pages)
+
+    def text(self, page: int) -> str:
+        return self.pages[page][0]
+
+    def images(self, page: int) -> list[dict]:
+        return self.pages[page][1]
+
+
+def _document(backend, file: BinaryIO) -> Document:
+    return backend.open(file) if hasattr(backend, "open") else _Whole(list(backend(file.read())))
+
+
+def _texts(file: str, document: Document, pages: range) -> Iterator[tuple]:
+    return ((file, k + 1, document.text(k)) for k in pages)
 
-def page_images(files: DataFrame, backend=default_backend) -> DataFrame:
-    """The images of the pages of PDF files, ord from 1 in the backend's order."""
-    names = [x.split()[0] for x in _IMAGES.split(", ")]
+
+def _pictures(file: str, document: Document, pages: range) -> Iterator[tuple]:
+    return ((file, k + 1, n, *(i[x] for x in _FIELDS)) for k in pages for n, i in enumerate(document.images(k), 1))
+
+
+@dataclass
+class PageRange(InputPartition):
+    """Files with their first page and the page after the last; None: all pages."""
+
+    files: tuple[tuple[str, int, int | None], ...]
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, backend, options: Mapping[str, str], rows: Callable):
+        self.backend, self.rows, self.path = backend, rows, options["path"]
+        self.pages, self.large = int(options.get("pagesPerTask", RANGE)), int(options.get("largeBytes", LARGE))
+
+    def partitions(self) -> list[PageRange]:
+        out, small, size = [], [], 0
+        for file, n in opened.listed(self.path, "pdf"):
+            if n >= self.large:
+                with opened.opened(file) as f:
+                    count = len(_document(self.backend, f))
+                out += [PageRange(((file, k, min(k + self.pages, count)),)) for k in range(0, count, self.pages)]
+                continue
+            if small and size + n > self.large:
+                out, small, size = [*out, PageRange(tuple(small))], [], 0
+            small.append((file, 0, None))
+            size += n
+        return [*out, PageRange(tuple(small))] if small else out
+
+    def read(self, partition: PageRange) -> Iterator[tuple]:
+        for file, first, stop in partition.files:
+            with opened.opened(file) as f:
+                document = _document(self.backend, f)
+                yield from self.rows(file, document, range(first, len(document) if stop is None else stop))
+
+
+def _source(title: str, columns: str, rows: Callable, backend) -> type[DataSource]:
+    class PdfSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return title
+
+        def schema(self) -> str:
+            return columns
+
+        def reader(self, schema) -> DataSourceReader:
+            return _Reader(backend, self.options, rows)
+
+    return PdfSource
+
+
+@dataclass(frozen=True)
+class Folder:
+    """PDF files of a path; options: pagesPerTask, and largeBytes, from which on a file is dealt out."""
+
+    spark: SparkSession
+    path: str
+    options: tuple[tuple[str, object], ...] = ()
+
+
+def _read(files: DataFrame | Folder, backend, title: str, columns: str, rows: Callable) -> DataFrame:
+    if isinstance(files, Folder):
+        files.spark.dataSource.register(_source(title, columns, rows, backend))
+        return files.spark.read.format(title).options(**dict(files.options)).load(files.path)
+    names = [x.split()[0] for x in columns.split(", ")]
 
     def over(frames):
         for frame in frames:
-            rows = [(f, k, n, *(i[x] for x in names[3:])) for f, c in zip(frame["file"], frame["content"], strict=True) for k, (_, images) in enumerate(backend(bytes(c)), 1) for n, i in enumerate(images, 1)]
-            yield pd.DataFrame(rows, columns=names)
+            for file, content in zip(frame["file"], frame["content"], strict=True):
+                document = _document(backend, io.BytesIO(content))
+                yield pd.DataFrame(list(rows(file, document, range(len(document)))), columns=names)
 
-    return files.select("file", "content").mapInPandas(over, _IMAGES)
+    return files.select("file", "content").mapInPandas(over, columns)
+
+
+def pages(files: DataFrame | Folder, backend=default_backend) -> DataFrame:
+    """(file, page from 1, text) of PDF files; a file that cannot be read stops the job with its error."""
+    return _read(files, backend, "pdf_pages", _PAGES, _texts)
+
+
+def page_images(files: DataFrame | Folder, backend=default_backend) -> DataFrame:
+    """The images of the pages of PDF files, ord from 1 in the backend's order."""
+    return _read(files, backend, "pdf_images", _IMAGES, _pictures)
 
 
 def whole_text(found: DataFrame) -> DataFrame:

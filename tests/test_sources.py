@@ -1,5 +1,6 @@
 """Workbooks built here with the standard library, PDF pages by a stand-in backend, readings by a table."""
 
+import io
 import json
 import sys
 import threading
@@ -345,7 +346,7 @@ def test_pdf_library_missing():
         import fitz  # noqa: F401
     except ImportError:
         with pytest.raises(RuntimeError, match="backend"):
-            list(pdf.default_backend(b""))
+            pdf.default_backend.open(io.BytesIO(b""))
 
 
 def test_menu_and_run(spark, tmp_path):
