@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .operators import html_report, report, vision
 from .plans import output, providers
-from .sources import backends
+from .sources import backends, late
 from .sources.scratch import scratch_path
 
 
@@ -65,6 +65,7 @@ def main(arguments: list[str] | None = None) -> None:
     known.add_argument("--weights", default="best.pt", help="the detector's weights")
     known.add_argument("--variants", default="three", choices=list(backends.VARIANTS))
     known.add_argument("--cpu", action="store_true", help="no GPU")
+    known.add_argument("--stop", action="store_true", help="leave a passage's further images unread after one that is good enough")
     known.add_argument("--page", help="an HTML page for inspection")
     given = known.parse_args(arguments)
     job = (given.provider, given.path, {"sheet": given.sheet} if given.sheet else {}) if given.provider else chosen()
@@ -75,7 +76,13 @@ def main(arguments: list[str] | None = None) -> None:
     detector = functools.partial(backends.YoloDetector, given.weights, device="cpu" if given.cpu else None)
     reader = functools.partial(backends.EasyOcrReader, given.variants, gpu=not given.cpu)
     spark = SparkSession.builder.getOrCreate()
-    for line in run(spark, job[0], job[1], given.out, lambda images: vision.readings(images, detector, reader), given.page, **job[2]):
+    stop = "matches" if providers.PROVIDERS[job[0]].by_matches else "distance"
+
+    def read(images: DataFrame) -> DataFrame:
+        fetch = None if "content" in images.columns else late.Fetch()
+        return vision.read_until(images, detector, reader, stop, fetch=fetch) if given.stop else vision.readings(images, detector, reader, fetch=fetch)
+
+    for line in run(spark, job[0], job[1], given.out, read, given.page, late=True, **job[2]):
         print(line)
 
 

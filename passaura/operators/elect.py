@@ -57,6 +57,36 @@ def elected_text(candidates: DataFrame, by: tuple[str, ...] = ("passage_id", "im
     return own.groupBy(*by).agg(won.alias("ocr_text"))
 
 
+def instrumented(boxes: DataFrame, candidates: DataFrame, by: tuple[str, ...] = ("passage_id", "image_ix")) -> DataFrame:
+    """All that was seen and read of each image, for inspection: nothing stops early and no box is left out.
+
+    boxes (by, box_ix, x1, y1, x2, y2, conf), candidates (by, mask, box_ix, variant_ix, cand_ix, text, confidence). A row of each image
+    of boxes: n_boxes, n_accepted, the best text, score and place (best_text '' and -1, null places if no score is over -1, the first of equals), and `boxes`,
+    nested: box_ix, conf, ratio, reason (null: accepted) and its variants: variant_ix, best_text, best_confidence, best_score, and
+    its candidates: cand_ix, raw, text, confidence, valid, score. Candidates of boxes that are not accepted do not count, and have no variants.
+    """
+    w, h = F.col("x2").cast("int") - F.col("x1").cast("int"), F.col("y2").cast("int") - F.col("y1").cast("int")
+    seen = boxes.select(*by, "box_ix", F.col("conf").alias("box_conf"), (w / F.greatest(h, F.lit(1))).alias("ratio"), box_reason(F.col("conf"), w, h).alias("reason"))
+    text = P.normalize(F.coalesce("text", F.lit("")), F.col("mask"))
+    read = candidates.select(*by, "box_ix", "variant_ix", "cand_ix", F.col("text").alias("raw"), text.alias("text"), "confidence").withColumn("valid", P.is_valid(F.col("text")))
+    read = read.withColumn("score", F.col("confidence") + F.when(F.col("valid"), 5.0).otherwise(0.0) - 2.0 * F.abs(F.length("text") - 7))
+    first = lambda *place: F.when(F.col("score") > -1, F.struct(F.negate("score").alias("s"), *place))
+    one = F.struct("cand_ix", "raw", "text", "confidence", "valid", "score")
+    variants = read.groupBy(*by, "box_ix", "variant_ix").agg(F.array_sort(F.collect_list(one)).alias("candidates"), F.min_by(F.struct("text", "confidence", "score", "cand_ix"), first("cand_ix")).alias("b"))
+    best = [F.coalesce("b.text", F.lit("")).alias("best_text"), F.coalesce("b.confidence", F.lit(0.0)).alias("best_confidence"), F.coalesce("b.score", F.lit(-1.0)).alias("best_score")]
+    variant = F.struct("variant_ix", *best, "candidates")
+    held = variants.groupBy(*by, "box_ix").agg(F.array_sort(F.collect_list(variant)).alias("variants"))
+    joined = seen.join(held, [*by, "box_ix"], "left").withColumn("variants", F.when(F.col("reason").isNull(), F.coalesce("variants", F.array().cast(held.schema["variants"].dataType))).otherwise(F.array().cast(held.schema["variants"].dataType)))
+    # the first variant of a box with its most, and over boxes likewise
+    top = F.array_min(F.transform(F.filter("variants", lambda v: v["best_score"] > -1), lambda v: F.struct(F.negate(v["best_score"]).alias("s"), v["variant_ix"].alias("variant_ix"), v["best_text"].alias("text"))))
+    joined = joined.withColumn("top", top)
+    place = F.when(F.col("top").isNotNull(), F.struct(F.col("top.s"), "box_ix", F.col("top.variant_ix"), F.col("top.text")))
+    out = joined.groupBy(*by).agg(
+        F.count("*").alias("n_boxes"), F.count_if(F.col("reason").isNull()).alias("n_accepted"), F.min(place).alias("w"), F.array_sort(F.collect_list(F.struct("box_ix", F.col("box_conf").alias("conf"), "ratio", "reason", "variants"))).alias("boxes")
+    )
+    return out.select(*by, "n_boxes", "n_accepted", F.coalesce("w.text", F.lit("")).alias("best_text"), F.coalesce(F.negate("w.s"), F.lit(-1.0)).alias("best_score"), F.col("w.box_ix").alias("best_box"), F.col("w.variant_ix").alias("best_variant"), "boxes")
+
+
 def read_once(images: DataFrame, read) -> DataFrame:
     """images (content_sha, mask, ...) with the text that read() gives, each distinct image and mask read once.
 

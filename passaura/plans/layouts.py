@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import plate as P
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import html_report, tables, vision
+from ..operators import elect, html_report, tables, vision
 from ..sources import files as S
 from ..sources import xlsx
 from ..sources.scratch import scratch_path
@@ -266,6 +266,34 @@ def vision_readings(spark, sf_dir):
     return vision.readings(images, books.ByteDetector, books.ByteReader)
 
 
+_SEEN = f"""with b as (select passage_id, image_ix, 1 as box_ix, case when image_ix % 4 = 0 then 0.2 else 0.9 end as conf, 3.0 as ratio from {{READS}} union all select passage_id, image_ix, 2, 0.5, case when image_ix % 5 = 0 then 0.5 else 2.0 end from {{READS}}),
+c as (select passage_id, image_ix, ocr_text as x, {O.mask("expected_plate")} as mask, unnest([{{'box_ix': 1, 'v': 1, 'c': 1, 'p': 0.5, 'f': 1, 'n': 3}}, {{'box_ix': 1, 'v': 1, 'c': 2, 'p': 0.7, 'f': 4, 'n': 99}}, {{'box_ix': 1, 'v': 2, 'c': 1, 'p': 0.25, 'f': 1, 'n': 99}}, {{'box_ix': 2, 'v': 1, 'c': 1, 'p': 0.25, 'f': 2, 'n': 99}}], recursive := true) from {{READS}}),
+t as (select passage_id, image_ix, box_ix, v, c, cast(p as double) as p, {O.normalize("x", "mask")} as t from (select passage_id, image_ix, box_ix, v, c, p, mask, substr(coalesce(x, ''), f, n) as x from c) q),
+s as (select *, p + case when {O.valid("t")} then 5.0 else 0.0 end - 2.0 * abs(length(t) - 7) as score from t),
+w as (select passage_id, image_ix, box_ix, v, count(*) as n, coalesce((list(t order by score desc, c) filter (where score > -1))[1], '') as t, coalesce(max(score) filter (where score > -1), -1.0) as score from s group by all),
+a as (select *, case when conf < 0.35 then 'confidence' when ratio < 0.8 then 'too square' end as reason from b),
+h as (select a.passage_id, a.image_ix, a.box_ix, reason, v, n, t, score from a left join w on w.passage_id = a.passage_id and w.image_ix = a.image_ix and w.box_ix = a.box_ix and reason is null),
+g as (select passage_id, image_ix, count(distinct box_ix) as n_boxes, count(distinct box_ix) filter (where reason is null) as n_accepted, (list(box_ix order by score desc, box_ix, v) filter (where score > -1))[1] as best_box,
+(list(v order by score desc, box_ix, v) filter (where score > -1))[1] as best_variant, coalesce((list(t order by score desc, box_ix, v) filter (where score > -1))[1], '') as best_text, coalesce(max(score), -1.0) as best_score from h group by all)
+select h.passage_id, h.image_ix, n_boxes, n_accepted, g.best_text, g.best_score, cast(best_box as integer) as best_box, cast(best_variant as integer) as best_variant, cast(h.box_ix as integer) as box_ix, reason, cast(v as integer) as variant_ix, n as n_candidates, t as variant_text, score as variant_score
+from h join g on g.passage_id = h.passage_id and g.image_ix = h.image_ix"""
+
+
+@query(_SEEN)
+def instrumented_reading(spark, sf_dir):
+    """Every box, variant and candidate of each image with scores, unnested to a row of each box and variant."""
+    reads = X.on_spark(spark, sf_dir, X.READS).withColumn("mask", P.mask_of(F.col("expected_plate")))
+    box = lambda k, conf, x2, y2: F.struct(F.lit(k).alias("box_ix"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), x2.alias("x2"), y2.alias("y2"), conf.alias("conf"))
+    other = F.when(F.col("image_ix") % 5 == 0, 20.0).otherwise(80.0)
+    seen = reads.select("passage_id", "image_ix", F.inline(F.array(box(1, F.when(F.col("image_ix") % 4 == 0, 0.2).otherwise(0.9), F.lit(90.0), F.lit(30.0)), box(2, F.lit(0.5), other, F.lit(40.0)))))
+    one = lambda b, v, c, p, f, n: F.struct(F.lit(b).alias("box_ix"), F.lit(v).alias("variant_ix"), F.lit(c).alias("cand_ix"), F.substring(F.coalesce("ocr_text", F.lit("")), f, n).alias("text"), F.lit(p).alias("confidence"))
+    read = reads.select("passage_id", "image_ix", "mask", F.inline(F.array(one(1, 1, 1, 0.5, 1, 3), one(1, 1, 2, 0.7, 4, 99), one(1, 2, 1, 0.25, 1, 99), one(2, 1, 1, 0.25, 2, 99))))
+    own = elect.instrumented(seen, read).select("*", F.explode("boxes").alias("b")).select("*", F.explode_outer("b.variants").alias("v"))
+    return own.select(
+        "passage_id", "image_ix", "n_boxes", "n_accepted", "best_text", "best_score", "best_box", "best_variant", "b.box_ix", "b.reason", "v.variant_ix", F.when(F.col("v").isNotNull(), F.size("v.candidates").cast("long")).alias("n_candidates"), F.col("v.best_text").alias("variant_text"), F.col("v.best_score").alias("variant_score")
+    )
+
+
 @query("select least(500, count(*)) as pictured from {READS}")
 def diagnostic_page(spark, sf_dir):
     """How many rows a page for inspection shows."""

@@ -30,8 +30,10 @@ def _key(*columns: str):
     return F.xxhash64(*columns).alias("passage_id")
 
 
-def _with_content(placed: DataFrame, found: DataFrame) -> DataFrame:
-    """(passage_id, image_ix, content): the pictures' bytes come last, so that only names are sorted and counted."""
+def _with_content(placed: DataFrame, found: DataFrame, late: bool) -> DataFrame:
+    """(passage_id, image_ix, content): the pictures' bytes come last, so that only names are sorted and counted; late: file and part (see `sources.late`)."""
+    if late:
+        return placed.select("passage_id", "image_ix", "file", F.col("media").alias("part"))
     return placed.join(xlsx.media(found), ["file", "media"]).select("passage_id", "image_ix", "content")
 
 
@@ -45,7 +47,7 @@ def _first_sheet(cells: DataFrame, preferred: str) -> DataFrame:
     return cells.join(has, "file").where(~F.col("has") | (F.col("sheet") == preferred)).drop("has")
 
 
-def read_spvias(spark: SparkSession, path: str, **_):
+def read_spvias(spark: SparkSession, path: str, late: bool = False, **_):
     """Blocks that begin where column A counts; images anchored in a block's rows, without the logo."""
     found = S.files(spark, path, "xlsx")
     cells = xlsx.cells(found)
@@ -54,17 +56,17 @@ def read_spvias(spark: SparkSession, path: str, **_):
     rows = sheets.record_rows(cells, {n: k for k, n in enumerate(names, 1)}, blocks.select("file", F.col("first_row").alias("row")))
     passages = rows.select(_key("file", "row"), "*")
     placed = associate.images_in_blocks(blocks.select("file", "first_row"), xlsx.anchors(found, without=LOGO))
-    return passages, _with_content(placed.withColumn("passage_id", F.xxhash64("file", "first_row")), found)
+    return passages, _with_content(placed.withColumn("passage_id", F.xxhash64("file", "first_row")), found, late)
 
 
-def read_colinas(spark: SparkSession, path: str, **_):
+def read_colinas(spark: SparkSession, path: str, late: bool = False, **_):
     """One passage in row 6 of the sheet of photographs; all images from that row on."""
     found = S.files(spark, path, "xlsx")
     cells = _first_sheet(xlsx.cells(found), "Fotos").where("row = 6")
     names = ("external_id", "date", "time", *_ROAD, "expected_plate", "model", "axles", "fare", "responsible")
     passages = sheets.record_rows(cells, {n: k for k, n in enumerate(names, 2)}).select(_key("file", "row"), "*")
     placed = associate.images_from_row(passages.select("file", "passage_id"), xlsx.anchors(found, without_types=DRAWN))
-    return passages, _with_content(placed, found)
+    return passages, _with_content(placed, found, late)
 
 
 def _named_rows(cells: DataFrame, heads: DataFrame, fields: dict[str, tuple[str, ...]], is_image) -> DataFrame:
@@ -141,7 +143,7 @@ def reference_sheet(spark: SparkSession, path: str, header: int = 5) -> DataFram
     return body.select(F.upper(F.trim(F.coalesce("id", F.lit("")))).alias("id"), *(F.coalesce(n, F.lit("")).alias(n) for n in ("plate", "date", "time", "category")), F.col("row").alias("sheet_row"))
 
 
-def read_tamoios(spark: SparkSession, path: str, sheet: str = "", **_):
+def read_tamoios(spark: SparkSession, path: str, sheet: str = "", late: bool = False, **_):
     """A folder of images, one passage each, whose names begin with the id of a row of the reference sheet."""
     images = S.files(spark, path, *S.IMAGE_TYPES)
     ident = T.file_id(F.col("name"))
@@ -149,10 +151,17 @@ def read_tamoios(spark: SparkSession, path: str, sheet: str = "", **_):
     joined = associate.with_reference(named, reference_sheet(spark, sheet))
     passages = joined.select(_key("file"), "*", F.when(F.trim(F.upper("plate")) != "", F.trim(F.upper("plate"))).alias("expected_plate"))
     ok = passages.where("id_status = 'ID - OK'").select("passage_id", "file")
+    if late:
+        return passages, ok.select("passage_id", F.lit(1).alias("image_ix"), "file", F.lit(None).cast("string").alias("part"))
     return passages, ok.join(images.select("file", "content"), "file").select("passage_id", F.lit(1).alias("image_ix"), "content")
 
 
-def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
+def _part(ord: str = "ord"):
+    """Where an image of a PDF file is, for `sources.late`."""
+    return F.concat_ws("/", "page", ord).alias("part")
+
+
+def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """Several passages on a page, after a marker; each takes the next three images of the page."""
     found = _pdf(spark, path)
     parts = pdf.pages(found, backend).select("file", "page", F.posexplode(T.blocks_after(F.col("text"), "Data/Hora")).alias("n", "b"))
@@ -161,9 +170,11 @@ def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, **
     k = F.row_number().over(Window.partitionBy("file", "page").orderBy("n")) - 1
     passages = own.withColumn("k", k).select(_key("file", "page", "k"), "*")
     key = F.struct("file", "page").alias("page")
-    images = pdf.placed(pdf.page_images(found, backend))
+    images = pdf.placed(pdf.page_images(found, backend, not late))
     placed = associate.by_ordinal(passages.select(key, "k"), images.select(key, F.col("ord").alias("media"), "x0", "y0"))
     placed = placed.select(F.xxhash64("page.file", "page.page", "k").alias("passage_id"), "page.file", "page.page", "image_ix", F.col("media").alias("ord"))
+    if late:
+        return passages, placed.select("passage_id", "image_ix", "file", _part())
     return passages, placed.join(images, ["file", "page", "ord"]).select("passage_id", "image_ix", "content")
 
 
@@ -174,7 +185,7 @@ def read_prototype(spark: SparkSession, path: str, backend=pdf.default_backend,
     return passages, passages.select("passage_id", "file", "page", "k").join(images, ["file", "page", "k"]).select("passage_id", F.lit(1).alias("image_ix"), "content")
 
 
-def read_eixosp(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
+def read_eixosp(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage on a page that has a transaction id; category and plate on the lines after it."""
     found = _pdf(spark, path)
     text = F.replace("text", F.lit('"'), F.lit(""))
@@ -186,21 +197,23 @@ def read_eixosp(spark: SparkSession, path: str, backend=pdf.default_backend, **_
     plate = F.coalesce(F.when(listed & P.is_valid(second), second), T.bounded_plate(F.col("text")), F.lit("N/A"))
     category = F.when(listed, F.get("lines", F.col("at"))).otherwise("01")
     passages = own.select(_key("file", "page"), "file", "page", "external_id", T.labelled_date(F.col("text")).alias("date_time"), category.alias("category"), plate.alias("expected_plate"))
-    images = pdf.wide(pdf.page_images(found, backend)).withColumn("passage_id", F.xxhash64("file", "page"))
-    return passages, images.join(passages.select("passage_id"), "passage_id", "left_semi").select("passage_id", "image_ix", "content")
+    images = pdf.wide(pdf.page_images(found, backend, not late)).withColumn("passage_id", F.xxhash64("file", "page"))
+    return passages, images.join(passages.select("passage_id"), "passage_id", "left_semi").select("passage_id", "image_ix", *(("file", _part()) if late else ("content",)))
 
 
-def _photos(found: DataFrame, backend, passages: DataFrame, first_page: bool, fair: int) -> DataFrame:
-    images = pdf.page_images(found, backend)
+def _photos(found, backend, passages: DataFrame, first_page: bool, fair: int, late: bool) -> DataFrame:
+    images = pdf.page_images(found, backend, not late)
     images = images.where("page = 1") if first_page else images
     areas = images.select("file", "page", F.col("ord").alias("n"), (F.col("width").cast("long") * F.col("height")).alias("area")).where("area > 0")
     order = F.row_number().over(Window.partitionBy("file").orderBy("page", "n"))
     picked = associate.large_photos(areas.withColumn("ord", order), fair=fair)
+    if late:
+        return passages.select("passage_id", "file").join(picked, "file").select("passage_id", "image_ix", "file", _part("n"))
     content = images.select("file", "page", F.col("ord").alias("n"), "content")
     return passages.select("passage_id", "file").join(picked, "file").join(content, ["file", "page", "n"]).select("passage_id", "image_ix", "content")
 
 
-def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
+def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage in a file, on one line of its text; its photographs by area."""
     found = _pdf(spark, path)
     own = pdf.whole_text(pdf.pages(found, backend)).select("file", T.line_parts(T.passage_line(T.normalize_text(F.col("text")))).alias("l")).where("l is not null")
@@ -208,15 +221,15 @@ def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, **
     rest = F.when(F.col("r.rest") != "", F.col("r.rest")).otherwise(F.col("l.prefix"))
     own = own.withColumns({"w": T.place_parts(rest), "v": T.vehicle_parts(F.col("l.suffix")), "a": T.alerts(F.col("l.id"), F.col("l.date"), F.col("l.time"), F.col("l.plate"))})
     passages = own.select(_key("file"), "file", F.col("l.id").alias("external_id"), "l.date", "l.time", F.col("l.plate").alias("expected_plate"), "r.sp", "r.km", "w.*", "v.*", T.passage_status(F.col("a")).alias("parse_status"), F.array_join("a", "; ").alias("alerts"))
-    return passages, _photos(found, backend, passages, first_page=False, fair=10_000)
+    return passages, _photos(found, backend, passages, first_page=False, fair=10_000, late=late)
 
 
-def read_intervias(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
+def read_intervias(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage in a file, its fields by place on the first line that begins with a long id, on the first page."""
     found = _pdf(spark, path)
     own = pdf.pages(found, backend).where("page = 1").select("file", T.token_fields(T.token_line(F.col("text"))).alias("t")).where("t is not null")
     passages = own.select(_key("file"), "file", "t.*").withColumnsRenamed({"id": "external_id", "plate": "expected_plate"})
-    return passages, _photos(found, backend, passages, first_page=True, fair=1 << 62)
+    return passages, _photos(found, backend, passages, first_page=True, fair=1 << 62, late=late)
 
 
 @dataclass(frozen=True)
@@ -249,12 +262,14 @@ PROVIDERS = {p.name: p for p in (
 
 
 def evaluated(provider: Provider, passages: DataFrame, images: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """passages with their evaluation. read takes images (passage_id, image_ix, mask, content) and gives (passage_id, image_ix, ocr_text).
+    """passages with their evaluation. read takes images (passage_id, image_ix, mask, expected_plate, and content or, of a late reading, file and part) and
+    gives (passage_id, image_ix, ocr_text).
 
     Images without a reading count as unread. In the folder layout rows without a sheet row keep empty results.
     """
-    masks = passages.select("passage_id", P.mask_of(F.col("expected_plate")).alias("mask"))
-    reads = read(images.join(masks, "passage_id").select("passage_id", "image_ix", "mask", "content"))
+    masks = passages.select("passage_id", P.mask_of(F.col("expected_plate")).alias("mask"), "expected_plate")
+    held = [c for c in ("content", "file", "part") if c in images.columns]
+    reads = read(images.join(masks, "passage_id").select("passage_id", "image_ix", "mask", "expected_plate", *held))
     out = passages.join(provider.evaluate(passages, reads), "passage_id")
     if "id_status" in passages.columns:
         found = F.col("id_status") == "ID - OK"
@@ -266,7 +281,7 @@ def evaluated(provider: Provider, passages: DataFrame, images: DataFrame, read:
 
 
 def pipeline(spark: SparkSession, name: str, path: str, read: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
-    """The report of a provider's documents at path, under its labels. options go to its reader (sheet=, backend=)."""
+    """The report of a provider's documents at path, under its labels. options go to its reader (sheet=, backend=, late=)."""
     provider = PROVIDERS[name]
     passages, images = provider.read(spark, path, **options)
     return report.labelled(evaluated(provider, passages, images, read), provider.labels)

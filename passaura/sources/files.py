@@ -72,13 +72,25 @@ def fetched(addresses: DataFrame, hosts: tuple[str, ...], seconds: float = 10.0,
 
 
 def image_files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """The images of a folder with ix, their place by path from 1, counted in one small table of names without contents."""
+    """(file, name, length, ix) of the images of a folder, ix their place by path from 1; without contents, which `late.Fetch` gets where they are needed.
+
+    Names are dealt out by range and counted there; a range's places then begin after those before it. So a folder of any size
+    is many tasks, and the table of counts has a row for each range and folder.
+    """
     from pyspark.sql import Window
 
-    found = files(spark, path, *IMAGE_TYPES)
-    folder = F.regexp_replace("file", r"[^/]*\z", "")
-    place = found.select("file").withColumn("ix", F.row_number().over(Window.partitionBy(folder).orderBy("file")))
-    return found.join(place, "file")
+    from .scratch import scratch_path
+
+    folder = F.regexp_replace("file", r"[^/]*\z", "").alias("folder")
+    named = files(spark, path, *IMAGE_TYPES).select("file", "name", "length", folder).repartitionByRange("folder", "file").withColumn("range", F.spark_partition_id())
+    target = scratch_path(spark, "names")
+    named.write.parquet(target)
+    held = spark.read.schema(named.schema).parquet(target)
+    before = Window.partitionBy("folder").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy("folder", "range").agg(F.count("*").alias("n"))
+    counts = counts.select("folder", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range", "folder").orderBy("file"))
+    return held.withColumn("place", place).join(counts, ["folder", "range"]).select("file", "name", "length", (F.col("start") + F.col("place")).alias("ix"))
 
 
 def decoded_images(spark: SparkSession, path: str) -> DataFrame:

@@ -26,6 +26,7 @@ from . import opened
 _PAGES = "file string, page int, text string"
 _IMAGES = "file string, page int, ord int, width int, height int, x0 double, y0 double, x1 double, y1 double, content binary"
 _FIELDS = [x.split()[0] for x in _IMAGES.split(", ")][3:]
+_PLACES = _IMAGES.removesuffix(", content binary")
 #: Pages of a task, and bytes from which on a file's pages are dealt out.
 RANGE, LARGE = 200, 8 << 20
 
@@ -89,7 +90,8 @@ class _Whole:
         return self.pages[page][1]
 
 
-def _document(backend, file: BinaryIO) -> Document:
+def document(backend, file: BinaryIO) -> Document:
+    """A file's document by a backend of either kind."""
     return backend.open(file) if hasattr(backend, "open") else _Whole(list(backend(file.read())))
 
 
@@ -101,6 +103,10 @@ def _pictures(file: str, document: Document, pages: range) -> Iterator[tuple]:
     return ((file, k + 1, n, *(i[x] for x in _FIELDS)) for k in pages for n, i in enumerate(document.images(k), 1))
 
 
+def _places(file: str, document: Document, pages: range) -> Iterator[tuple]:
+    return (x[:-1] for x in _pictures(file, document, pages))
+
+
 @dataclass
 class PageRange(InputPartition):
     """Files with their first page and the page after the last; None: all pages."""
@@ -118,7 +124,7 @@ class _Reader(DataSourceReader):
         for file, n in opened.listed(self.path, "pdf"):
             if n >= self.large:
                 with opened.opened(file) as f:
-                    count = len(_document(self.backend, f))
+                    count = len(document(self.backend, f))
                 out += [PageRange(((file, k, min(k + self.pages, count)),)) for k in range(0, count, self.pages)]
                 continue
             if small and size + n > self.large:
@@ -128,10 +134,10 @@ class _Reader(DataSourceReader):
         return [*out, PageRange(tuple(small))] if small else out
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
-        for file, first, stop in partition.files:
+        for file, first, stop in partition.files if partition else ():  # none: no file
             with opened.opened(file) as f:
-                document = _document(self.backend, f)
-                yield from self.rows(file, document, range(first, len(document) if stop is None else stop))
+                own = document(self.backend, f)
+                yield from self.rows(file, own, range(first, len(own) if stop is None else stop))
 
 
 def _source(title: str, columns: str, rows: Callable, backend) -> type[DataSource]:
@@ -167,8 +173,8 @@ def _read(files: DataFrame | Folder, backend, title: str, columns: str, rows: Ca
     def over(frames):
         for frame in frames:
             for file, content in zip(frame["file"], frame["content"], strict=True):
-                document = _document(backend, io.BytesIO(content))
-                yield pd.DataFrame(list(rows(file, document, range(len(document)))), columns=names)
+                own = document(backend, io.BytesIO(content))
+                yield pd.DataFrame(list(rows(file, own, range(len(own)))), columns=names)
 
     return files.select("file", "content").mapInPandas(over, columns)
 
@@ -178,9 +184,9 @@ def pages(files: DataFrame | Folder, backend=default_backend) -> DataFrame:
     return _read(files, backend, "pdf_pages", _PAGES, _texts)
 
 
-def page_images(files: DataFrame | Folder, backend=default_backend) -> DataFrame:
-    """The images of the pages of PDF files, ord from 1 in the backend's order."""
-    return _read(files, backend, "pdf_images", _IMAGES, _pictures)
+def page_images(files: DataFrame | Folder, backend=default_backend, content: bool = True) -> DataFrame:
+    """The images of the pages of PDF files, ord from 1 in the backend's order, with their bytes or (content=False) without."""
+    return _read(files, backend, "pdf_images", _IMAGES, _pictures) if content else _read(files, backend, "pdf_places", _PLACES, _places)
 
 
 def whole_text(found: DataFrame) -> DataFrame:
