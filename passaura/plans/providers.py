@@ -30,11 +30,11 @@ def _key(*columns: str):
     return F.xxhash64(*columns).alias("passage_id")
 
 
-def _with_content(placed: DataFrame, found: DataFrame, late: bool) -> DataFrame:
+def _with_content(placed: DataFrame, found: DataFrame, late: bool, skip: bool) -> DataFrame:
     """(passage_id, image_ix, content): the pictures' bytes come last, so that only names are sorted and counted; late: file and part (see `sources.late`)."""
     if late:
         return placed.select("passage_id", "image_ix", "file", F.col("media").alias("part"))
-    return placed.join(xlsx.media(found), ["file", "media"]).select("passage_id", "image_ix", "content")
+    return placed.join(xlsx.media(found, skip), ["file", "media"]).select("passage_id", "image_ix", "content")
 
 
 def _pdf(spark: SparkSession, path: str | DataFrame):
@@ -47,26 +47,26 @@ def _first_sheet(cells: DataFrame, preferred: str) -> DataFrame:
     return cells.join(has, "file").where(~F.col("has") | (F.col("sheet") == preferred)).drop("has")
 
 
-def read_spvias(spark: SparkSession, path: str, late: bool = False, **_):
+def read_spvias(spark: SparkSession, path: str, late: bool = False, skip: bool = False, **_):
     """Blocks that begin where column A counts; images anchored in a block's rows, without the logo."""
-    found = S.files(spark, path, "xlsx")
-    cells = xlsx.cells(found)
+    found, scan = S.files(spark, path, "xlsx"), xlsx.scanned(spark, path, skip=skip)
+    cells = xlsx.cells(scan)
     blocks = associate.blocks(cells)
     names = ("seq", "external_id", "date", "time", *_ROAD, "expected_plate", "model", "category", "axles", "fare", "responsible")
     rows = sheets.record_rows(cells, {n: k for k, n in enumerate(names, 1)}, blocks.select("file", F.col("first_row").alias("row")))
     passages = rows.select(_key("file", "row"), "*")
-    placed = associate.images_in_blocks(blocks.select("file", "first_row"), xlsx.anchors(found, without=LOGO))
-    return passages, _with_content(placed.withColumn("passage_id", F.xxhash64("file", "first_row")), found, late)
+    placed = associate.images_in_blocks(blocks.select("file", "first_row"), xlsx.anchors(scan, without=LOGO))
+    return passages, _with_content(placed.withColumn("passage_id", F.xxhash64("file", "first_row")), found, late, skip)
 
 
-def read_colinas(spark: SparkSession, path: str, late: bool = False, **_):
+def read_colinas(spark: SparkSession, path: str, late: bool = False, skip: bool = False, **_):
     """One passage in row 6 of the sheet of photographs; all images from that row on."""
-    found = S.files(spark, path, "xlsx")
-    cells = _first_sheet(xlsx.cells(found), "Fotos").where("row = 6")
+    found, scan = S.files(spark, path, "xlsx"), xlsx.scanned(spark, path, skip=skip)
+    cells = _first_sheet(xlsx.cells(scan), "Fotos").where("row = 6")
     names = ("external_id", "date", "time", *_ROAD, "expected_plate", "model", "axles", "fare", "responsible")
     passages = sheets.record_rows(cells, {n: k for k, n in enumerate(names, 2)}).select(_key("file", "row"), "*")
-    placed = associate.images_from_row(passages.select("file", "passage_id"), xlsx.anchors(found, without_types=DRAWN))
-    return passages, _with_content(placed, found, late)
+    placed = associate.images_from_row(passages.select("file", "passage_id"), xlsx.anchors(scan, without_types=DRAWN))
+    return passages, _with_content(placed, found, late, skip)
 
 
 def _named_rows(cells: DataFrame, heads: DataFrame, fields: dict[str, tuple[str, ...]], is_image) -> DataFrame:
@@ -83,14 +83,14 @@ def _named_rows(cells: DataFrame, heads: DataFrame, fields: dict[str, tuple[str,
     return body.groupBy("file", "row").agg(*picks, F.array_sort(F.collect_list(image)).alias("images"))
 
 
-def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image, sound=S.is_picture, fetch: Callable[[DataFrame], DataFrame] | None = None):
+def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image, sound=S.is_picture, fetch: Callable[[DataFrame], DataFrame] | None = None, skip: bool = False):
     """Tables with at most one image a row: the first named file beside the workbook that is a picture, else the first such picture on the row.
 
     sound says of a column of bytes whether they are a picture; what is none is passed over. fetch takes addresses
     (path) and gives (path, content), such as `files.fetched` for trusted hosts; without it cells with addresses name nothing.
     """
-    found = S.files(spark, path, "xlsx")
-    cells = xlsx.cells(found)
+    found, scan = S.files(spark, path, "xlsx"), xlsx.scanned(spark, path, every=True, skip=skip)
+    cells = xlsx.cells(scan)
     rows = _named_rows(cells, heads(cells), fields, is_image)
     passages = rows.select(_key("file", "row"), "*")
     folder = F.regexp_replace("file", r"[^/]*\z", "")
@@ -101,9 +101,9 @@ def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image,
     if fetch:
         beside = beside.unionByName(fetch(named.where(F.col("path").rlike("^https?://")).select("path")))
     from_files = named.join(beside.where(sound(F.col("content"))), "path").groupBy("passage_id").agg(F.min_by(F.struct("origin", "content"), "n").alias("a"))
-    anchored = xlsx.anchors(found, every=True)
+    anchored = xlsx.anchors(scan)
     anchored = anchored.withColumn("row", associate.shifted_row(F.col("anchor_row"), F.col("row_off"), F.col("row_height")))
-    pictures = anchored.select("file", "row", "media", "ord").join(xlsx.media(found).where(sound(F.col("content"))), ["file", "media"])
+    pictures = anchored.select("file", "row", "media", "ord").join(xlsx.media(found, skip).where(sound(F.col("content"))), ["file", "media"])
     first = pictures.groupBy("file", "row").agg(F.min_by(F.struct(F.col("media").alias("origin"), "content"), "ord").alias("b"))
     embedded = passages.select("passage_id", "file", "row").join(first, ["file", "row"]).select("passage_id", "b")
     chosen = passages.select("passage_id").join(from_files, "passage_id", "left").join(embedded, "passage_id", "left").select("passage_id", F.coalesce("a", "b").alias("c")).where("c is not null")
@@ -111,18 +111,18 @@ def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image,
     return passages, chosen.select("passage_id", F.lit(1).alias("image_ix"), "c.content")
 
 
-def read_eixovp(spark: SparkSession, path: str, sound=S.is_picture, fetch=None, **_):
+def read_eixovp(spark: SparkSession, path: str, sound=S.is_picture, fetch=None, skip: bool = False, **_):
     """A table whose header is found by its names in the first 40 rows."""
     fields = {"expected_plate": ("PLACA",), "external_id": ("ID_PASSAGEM",), "date_time": ("DATA_HORA",)}
     heads = lambda cells: sheets.header_rows(cells, ("placa", "idpassagem", "datahora"))
-    return _tables(spark, path, heads, fields, lambda name, title: name.contains("imagem") | name.contains("foto"), sound, fetch)
+    return _tables(spark, path, heads, fields, lambda name, title: name.contains("imagem") | name.contains("foto"), sound, fetch, skip)
 
 
-def read_bandeiras(spark: SparkSession, path: str, sound=S.is_picture, fetch=None, **_):
+def read_bandeiras(spark: SparkSession, path: str, sound=S.is_picture, fetch=None, skip: bool = False, **_):
     """A table whose header is row 8."""
     fields = {"external_id": ("ID Transacao", "ID Transação", "ID"), "date": ("Data Passagem",), "time": ("Hora Passagem",), "category": ("Categoria",), "expected_plate": ("Placa",)}
     heads = lambda cells: cells.select("file").distinct().withColumn("header_row", F.lit(8).cast("long"))
-    return _tables(spark, path, heads, fields, lambda name, title: F.lower(F.trim(title)).startswith("imagem da passagem"), sound, fetch)
+    return _tables(spark, path, heads, fields, lambda name, title: F.lower(F.trim(title)).startswith("imagem da passagem"), sound, fetch, skip)
 
 
 #: What the columns of a reference sheet may be called.
@@ -134,7 +134,7 @@ SYNONYMS = {
 
 def reference_sheet(spark: SparkSession, path: str, header: int = 5) -> DataFrame:
     """(id, plate, date, time, category, sheet_row) of a sheet with a header row; columns that are missing are empty, ids upper case."""
-    cells = xlsx.cells(S.files(spark, path, "xlsx"))
+    cells = xlsx.cells(xlsx.scanned(spark, path))
     loose = F.regexp_replace(F.lower(F.trim(T.without_accents(F.col("raw")))), r"\s+", " ")
     titles = cells.where(F.col("row") == header).select("file", "col", loose.alias("name"))
     place = lambda names: F.min(F.when(F.col("name").isin(*names), F.struct(F.array_position(F.array(*map(F.lit, names)), F.col("name")).alias("p"), "col")))["col"]
@@ -281,7 +281,7 @@ def evaluated(provider: Provider, passages: DataFrame, images: DataFrame, read:
 
 
 def pipeline(spark: SparkSession, name: str, path: str, read: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
-    """The report of a provider's documents at path, under its labels. options go to its reader (sheet=, backend=, late=)."""
+    """The report of a provider's documents at path, under its labels. options go to its reader (sheet=, backend=, late=, skip= for workbooks that cannot be read)."""
     provider = PROVIDERS[name]
     passages, images = provider.read(spark, path, **options)
     return report.labelled(evaluated(provider, passages, images, read), provider.labels)

@@ -1,27 +1,36 @@
 """Workbooks (XLSX) read and written with the standard library's zip and XML readers.
 
-Reading goes over Spark's binaryFile source, so that any file system works, one workbook a row: cells, drawing
-anchors and media are DataFrames. A file that is no workbook, or has an entry over LARGEST bytes, gives no rows there;
-`unreadable` lists such files with what is wrong.
+Sheets are pulled through the XML reader row by row from the zip's stream, so a task holds a row, the shared strings and
+the heights of rows, not a document. One pass gives cells and drawing anchors. Workbooks of a folder are read by a data source of Spark, which opens
+them where a task runs; those of a table (file, content) a workbook at a time.
+
+A file that is no sound workbook stops the job with its error, unless `skip` is given: then it gives no rows, and `unreadable` lists such files with
+what is wrong. `largest` bounds the bytes of a part once unpacked.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import re
 import zipfile
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from . import opened
 
-LARGEST = 256 << 20
+#: Bytes of an unpacked part; rows handed on at once; bytes of files that share a task.
+LARGEST, CHUNK, TOGETHER = 1 << 30, 10_000, 8 << 20
 EMU = 12700
 #: Names of XML spaces, and built-in number formats that are dates.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -43,17 +52,33 @@ UNREADABLE = (zipfile.BadZipFile, ET.ParseError, TooLarge, KeyError, IndexError,
 class Workbook:
     """A workbook's parts by name."""
 
-    def __init__(self, content: bytes, largest: int = LARGEST):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
+    def __init__(self, content, largest: int = LARGEST):
+        """content: bytes, or a file that can be read from any place."""
+        self.zip = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
         self.names = set(self.zip.namelist())
         self.largest = largest
 
-    def read(self, name: str) -> bytes | None:
-        if name not in self.names:
-            return None
+    def _sized(self, name: str) -> str:
         if self.zip.getinfo(name).file_size > self.largest:
             raise TooLarge(f"{name} is larger than {self.largest} bytes")
-        return self.zip.read(name)
+        return name
+
+    def read(self, name: str) -> bytes | None:
+        return self.zip.read(self._sized(name)) if name in self.names else None
+
+    def pulled(self, name: str, tag: str) -> Iterator[ET.Element]:
+        """The elements of a tag, each gone before the next is read."""
+        with self.zip.open(self._sized(name)) as stream:
+            above: list[ET.Element] = []
+            for event, element in ET.iterparse(stream, ("start", "end")):
+                if event == "start":
+                    above.append(element)
+                    continue
+                above.pop()
+                if element.tag == tag:
+                    yield element
+                    if above:
+                        above[-1].clear()
 
     def tree(self, name: str) -> ET.Element | None:
         data = self.read(name)
@@ -75,8 +100,8 @@ class Workbook:
         return [(s.get("name"), links[s.get(f"{REL}id")]) for s in tree.iter(f"{MAIN}sheet") if s.get(f"{REL}id") in links] if tree is not None else []
 
     def strings(self) -> list[str]:
-        tree = self.tree("xl/sharedStrings.xml")
-        return ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in tree.iter(f"{MAIN}si")] if tree is not None else []
+        part = "xl/sharedStrings.xml"
+        return ["".join(t.text or "" for t in x.iter(f"{MAIN}t")) for x in self.pulled(part, f"{MAIN}si")] if part in self.names else []
 
     def date_styles(self) -> set[int]:
         """The numbers of the cell styles that show dates or times."""
@@ -87,25 +112,45 @@ class Workbook:
         styles = tree.find(f"{MAIN}cellXfs")
         return {k for k, x in enumerate(styles if styles is not None else ()) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
 
-    def cells(self) -> Iterable[tuple[str, int, int, str, str]]:
-        """(sheet, row, col, raw, type) of the cells that have a value; types: int, float, bool, str, date, time."""
+    def rows(self, sheet: str | None = None, last: int | None = None) -> Iterator[tuple[str, int, int | None, list[tuple[int, str, str]]]]:
+        """(sheet, row, height in EMU, cells (col, raw, type) that have a value) of the rows of all sheets or one, up to a last row; types: int, float, bool, str, date, time."""
         strings, dates = self.strings(), self.date_styles()
         for title, part in self.sheets():
+            if part not in self.names or sheet is not None and title != sheet:
+                continue
             row = 0
-            for r in (self.tree(part) if part in self.names else ET.Element("x")).iter(f"{MAIN}row"):
-                row, col = int(r.get("r", row + 1)), 0
+            for r in self.pulled(part, f"{MAIN}row"):
+                row, col, found = int(r.get("r", row + 1)), 0, []
+                if last is not None and row > last:
+                    break
                 for c in r.iter(f"{MAIN}c"):
                     col = _column(c.get("r")) if c.get("r") else col + 1
-                    found = _value(c, strings, dates)
-                    if found:
-                        yield title, row, col, *found
+                    value = _value(c, strings, dates)
+                    if value:
+                        found.append((col, *value))
+                yield title, row, round(float(r.get("ht")) * EMU) if r.get("ht") and r.get("r") else None, found
 
-    def heights(self, part: str) -> dict[int, int]:
-        """The heights in EMU of the rows of a sheet that have one."""
-        tree = self.tree(part)
-        return {int(r.get("r")): round(float(r.get("ht")) * EMU) for r in tree.iter(f"{MAIN}row") if r.get("ht") and r.get("r")} if tree is not None else {}
-
-    def anchors(self, every: bool) -> Iterable[tuple[int, int, int | None, str, int]]:
+    def cells(self) -> Iterable[tuple[str, int, int, str, str]]:
+        """(sheet, row, col, raw, type) of the cells that have a value."""
+        return ((title, row, *cell) for title, row, _, found in self.rows() for cell in found)
+
+    def scan(self, every: bool) -> Iterator[tuple]:
+        """SCAN without the file: the cells, then the anchors with the heights that the rows before have told."""
+        heights, first = {}, next(iter(self.sheets()), (None,))[0]
+        for title, row, height, found in self.rows():
+            if height is not None and title == first:
+                heights[row] = height
+            for cell in found:
+                yield "cell", title, row, *cell, None, None, None, None
+        for row, off, height, media, n in self.anchors(every, heights):
+            yield "anchor", first, row, None, None, None, off, height, media, n
+
+    def heights(self) -> dict[int, int]:
+        """The heights in EMU of the rows of the first sheet that have one."""
+        first = next(iter(self.sheets()), (None,))[0]
+        return {row: height for _, row, height, _ in self.rows(first) if height is not None}
+
+    def anchors(self, every: bool, heights: dict[int, int] | None = None) -> Iterable[tuple[int, int, int | None, str, int]]:
         """(anchor_row from 1, row_off, row_height, media part, ord) of the pictures of the first sheet.
 
         Of its first drawing, two-cell anchors only; with `every` those of all drawings, two-cell anchors of a
@@ -115,7 +160,7 @@ class Workbook:
         if not sheets:
             return
         part, n = sheets[0][1], 0
-        heights = self.heights(part) if every else {}
+        heights = (self.heights() if heights is None else heights) if every else {}
         drawings = [x for x in self.links(part).values() if "/drawings/" in x and x.endswith(".xml")]
         for drawing in drawings if every else drawings[:1]:
             tree, links = self.tree(drawing), self.links(drawing)
@@ -158,33 +203,195 @@ def _value(c: ET.Element, strings: list[str], dates: set[int]) -> tuple[str, str
     return (str(int(number)), "int") if re.fullmatch(r"-?\d+", text) else (text, "float")
 
 
-def _over(files: DataFrame, each, schema: str) -> DataFrame:
-    """The rows that each(workbook) gives for each file, with the file; an unreadable one gives none (see `unreadable`)."""
+SCAN = "file string, kind string, sheet string, row long, col int, raw string, type string, row_off long, row_height long, media string, ord int"
+Each = Callable[[Workbook], Iterable[tuple]]
+
+
+def _rows_of(file: str, content, each: Each, skip: bool, largest: int) -> Iterator[list[tuple]]:
+    """The rows that each(workbook) gives, with the file, by chunks; of an unreadable one an error or, with skip, none."""
+    try:
+        held = ((file, *x) for x in each(Workbook(content, largest)))
+        if skip:  # nothing of a file whose end is broken
+            whole = list(held)
+            yield from (whole[k : k + CHUNK] for k in range(0, len(whole), CHUNK))
+            return
+        while chunk := list(itertools.islice(held, CHUNK)):
+            yield chunk
+    except UNREADABLE as e:
+        if not skip:
+            raise ValueError(f"{file}: {type(e).__name__}: {e}") from e
+
+
+def _over(files: DataFrame, each: Each, full: str, skip: bool, largest: int) -> DataFrame:
+    names = [x.split()[0] for x in full.split(", ")]
 
     def over(frames):
         for frame in frames:
             for file, content in zip(frame["file"], frame["content"], strict=True):
-                try:
-                    rows = [(file, *x) for x in each(Workbook(bytes(content)))]
-                except UNREADABLE:
-                    continue
-                if rows:
+                for rows in _rows_of(file, bytes(content), each, skip, largest):
                     yield pd.DataFrame(rows, columns=names)
 
-    full = f"file string, {schema}"
-    names = [x.split()[0] for x in full.split(",")]
     return files.select("file", "content").mapInPandas(over, full)
 
 
-def unreadable(files: DataFrame) -> DataFrame:
-    """(file, error) of the files that are no workbook, or one with a part that is broken, missing or too large."""
+@dataclass
+class Books(InputPartition):
+    files: tuple[str, ...]
+
+
+class _Reader(DataSourceReader):
+    """Workbooks of a path; those up to TOGETHER bytes share a task."""
+
+    def __init__(self, options, each: Each):
+        self.path, self.each, self.skip, self.largest = options["path"], each, str(options.get("skip", "false")).lower() == "true", int(options.get("largest", LARGEST))
+
+    def partitions(self) -> list[Books]:
+        out, held, size = [], [], 0
+        for file, n in opened.listed(self.path, "xlsx"):
+            if held and size + n > TOGETHER:
+                out, held, size = [*out, Books(tuple(held))], [], 0
+            held.append(file)
+            size += n
+        return [*out, Books(tuple(held))] if held else out
+
+    def read(self, partition: Books | None) -> Iterator[tuple]:
+        for file in partition.files if partition else ():
+            with opened.opened(file) as f:
+                for rows in _rows_of(file, f, self.each, self.skip, self.largest):
+                    yield from rows
+
+
+class _CellReader(_Reader):
+    """Takes filters on sheet and row: other sheets are not opened, and a sheet is left at the last row that is asked for."""
+
+    def __init__(self, options, each):
+        super().__init__(options, self.limited)
+        self.sheet, self.first, self.last, self.shape = options.get("sheet"), 1, None, each
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            match f:
+                case EqualTo(("sheet",), str(title)) if self.sheet in (None, title):
+                    self.sheet = title
+                case EqualTo(("row",), int(n)):
+                    self.first, self.last = max(self.first, n), n if self.last is None else min(self.last, n)
+                case GreaterThan(("row",), int(n)):
+                    self.first = max(self.first, n + 1)
+                case GreaterThanOrEqual(("row",), int(n)):
+                    self.first = max(self.first, n)
+                case LessThan(("row",), int(n)):
+                    self.last = n - 1 if self.last is None else min(self.last, n - 1)
+                case LessThanOrEqual(("row",), int(n)):
+                    self.last = n if self.last is None else min(self.last, n)
+                case _:
+                    yield f
+
+    def limited(self, book: Workbook) -> Iterator[tuple]:
+        return self.shape(book, self.sheet, self.first, self.last)
+
+
+def _cell_rows(book: Workbook, sheet: str | None, first: int, last: int | None) -> Iterator[tuple]:
+    return ((title, row, *cell) for title, row, _, found in book.rows(sheet, last) if row >= first for cell in found)
+
+
+_CELLS = "file string, sheet string, row long, col int, raw string, type string"
+
+
+class Cells(DataSource):
+    """spark.read.format("xlsx"): the cells of workbooks (file, sheet, row, col, raw, type), or with headerRow a table.
+
+    Options: sheet; skip; largest; headerRow, the row of the titles (those of the first file): then columns are file, row and one of text for each title, or for those of
+    `columns` (with commas between) alone; of titles alike the first counts. Filters on sheet and row are taken by the source.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "xlsx"
+
+    def _titles(self) -> dict[str, int]:
+        """The columns of a table and where they are."""
+        header, out = int(self.options["headerRow"]), {}
+        wanted = [x.strip() for x in self.options["columns"].split(",")] if "columns" in self.options else None
+        for file, _ in opened.listed(self.options["path"], "xlsx")[:1]:
+            with opened.opened(file) as f:
+                for _, row, _, found in Workbook(f).rows(self.options.get("sheet"), header):
+                    if row == header and not out:
+                        for col, raw, _ in found:
+                            if raw.strip() and raw.strip().lower() not in {x.lower() for x in (*out, "file", "row")}:
+                                out[raw.strip()] = col
+        if wanted is not None:
+            missing = [x for x in wanted if x not in out]
+            if missing:
+                raise ValueError(f"no such columns in row {header}: {', '.join(missing)}")
+            out = {x: out[x] for x in wanted}
+        return out
+
+    def schema(self):
+        if "headerRow" not in self.options:
+            return _CELLS
+        from pyspark.sql.types import LongType, StringType, StructType
+
+        out = StructType().add("file", StringType()).add("row", LongType())
+        for x in self._titles():
+            out = out.add(x, StringType())
+        return out
+
+    def reader(self, schema) -> DataSourceReader:
+        if "headerRow" not in self.options:
+            return _CellReader(self.options, _cell_rows)
+        header, places = int(self.options["headerRow"]), list(self._titles().values())
+
+        def table(book: Workbook, sheet: str | None, first: int, last: int | None) -> Iterator[tuple]:
+            for _, row, _, found in book.rows(sheet, last):
+                own = {col: raw for col, raw, _ in found}
+                if row > header and row >= first and any(p in own for p in places):
+                    yield row, *(own.get(p) for p in places)
+
+        return _CellReader(self.options, table)
+
+
+def source(spark: SparkSession) -> None:
+    """Make spark.read.format("xlsx") known, and let Spark hand filters to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Cells)
+
+
+def _scan_source(every: bool) -> type[DataSource]:
+    class Scan(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "xlsx_scan"
+
+        def schema(self) -> str:
+            return SCAN
+
+        def reader(self, schema) -> DataSourceReader:
+            return _Reader(self.options, lambda book: book.scan(every))
+
+    return Scan
+
+
+def scanned(spark: SparkSession, path: str | DataFrame, every: bool = False, skip: bool = False, largest: int = LARGEST) -> DataFrame:
+    """SCAN of the workbooks of a path or of a table (file, content), from one pass over each, written to the scratch folder: cells and anchors are read from there."""
+    from .scratch import scratch_path
+
+    if isinstance(path, DataFrame):
+        found = _over(path.where(F.lower("file").endswith(".xlsx")), lambda book: book.scan(every), SCAN, skip, largest)
+    else:
+        spark.dataSource.register(_scan_source(every))
+        found = spark.read.format("xlsx_scan").options(skip=skip, largest=largest).load(path)
+    target = scratch_path(spark, "workbooks")
+    found.write.partitionBy("kind").parquet(target)
+    return spark.read.schema(found.schema).parquet(target)
+
+
+def unreadable(files: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(file, error) of the files that are no workbook, or one with a part that is broken, missing or over `largest` bytes."""
 
     def error(content: bytes) -> str | None:
         try:
-            book = Workbook(content)
-            for _ in book.cells():
-                pass
-            for _ in book.anchors(True):
+            book = Workbook(content, largest)
+            for _ in book.scan(True):
                 pass
             for name in book.names:
                 if name.startswith("xl/media/"):
@@ -201,21 +408,29 @@ def unreadable(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(over, "file string, error string")
 
 
-def cells(files: DataFrame) -> DataFrame:
-    """(file, sheet, row, col, raw, type) of workbooks (file, content)."""
-    return _over(files, Workbook.cells, "sheet string, row long, col int, raw string, type string")
+def cells(files: DataFrame, skip: bool = False, largest: int = LARGEST) -> DataFrame:
+    """(file, sheet, row, col, raw, type) of workbooks: a table (file, content), or what `scanned` gives."""
+    if "kind" in files.columns:
+        return files.where("kind = 'cell'").select("file", "sheet", "row", "col", "raw", "type")
+    return _over(files, Workbook.cells, _CELLS, skip, largest)
+
 
+def anchors(files: DataFrame, every: bool = False, without: tuple[str, ...] = (), without_types: tuple[str, ...] = (), skip: bool = False, largest: int = LARGEST) -> DataFrame:
+    """(file, anchor_row, row_off, row_height, media, ord); media by base name in `without`, or with an extension of without_types, are left out.
 
-def anchors(files: DataFrame, every: bool = False, without: tuple[str, ...] = (), without_types: tuple[str, ...] = ()) -> DataFrame:
-    """(file, anchor_row, row_off, row_height, media, ord); media by base name in `without`, or with an extension of without_types, are left out."""
-    found = _over(files, lambda w: w.anchors(every), "anchor_row long, row_off long, row_height long, media string, ord int")
+    files is as for `cells`; what `scanned` gives has the anchors of its own `every`.
+    """
+    if "kind" in files.columns:
+        found = files.where("kind = 'anchor'").select("file", F.col("row").alias("anchor_row"), "row_off", "row_height", "media", "ord")
+    else:
+        found = _over(files, lambda w: w.anchors(every), "file string, anchor_row long, row_off long, row_height long, media string, ord int", skip, largest)
     base = F.lower(F.regexp_extract("media", r"([^/]*)\z", 1))
     return found.where(~base.isin(*[x.lower() for x in without], "") & ~F.regexp_extract(base, r"(\.[^.]*)\z", 1).isin(*without_types, "-"))
 
 
-def media(files: DataFrame) -> DataFrame:
-    """(file, media, content) of the pictures in workbooks, apart from the anchors so that only names are joined and sorted."""
-    return _over(files, lambda w: ((n, w.read(n)) for n in sorted(w.names) if n.startswith("xl/media/")), "media string, content binary")
+def media(files: DataFrame, skip: bool = False, largest: int = LARGEST) -> DataFrame:
+    """(file, media, content) of the pictures in workbooks (file, content), apart from the anchors so that only names are joined and sorted."""
+    return _over(files, lambda w: ((n, w.read(n)) for n in sorted(w.names) if n.startswith("xl/media/")), "file string, media string, content binary", skip, largest)
 
 
 def _letters(n: int) -> str:

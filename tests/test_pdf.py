@@ -94,7 +94,7 @@ def test_one_file_no_file_and_empty_folders(spark, folder):
 def test_listed(folder):
     assert [(os.path.basename(p), n) for p, n in opened.listed(str(folder / "in"), "txt")] == [("other.txt", 1)]
     (path, _), = opened.listed(f"file:{folder}/in/other.txt", "txt")
-    assert path == f"file://{folder}/in/other.txt" and opened.content(path) == b"7"
+    assert path == f"file:{folder}/in/other.txt" and opened.content(path) == b"7"
 
 
 WORDS = "file string, page int, word string, x0 double, y0 double, x1 double, y1 double, line string"

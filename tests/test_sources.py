@@ -61,7 +61,13 @@ def test_broken_workbooks_are_told(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(content)
     found = files.files(spark, str(tmp_path), "xlsx")
     assert [(r.name, r.length) for r in found.orderBy("name").collect()] == sorted((n, len(c)) for n, c in own.items())
-    assert {r.file.rsplit("/", 1)[1] for r in xlsx.cells(found).collect()} == {"a.xlsx"}
+    with pytest.raises(Exception, match="xlsx: "):
+        xlsx.cells(found).collect()
+    with pytest.raises(Exception, match="XLSX?: |xlsx: "):
+        xlsx.scanned(spark, str(tmp_path))
+    assert {r.file.rsplit("/", 1)[1] for r in xlsx.cells(found, skip=True).collect()} == {"a.xlsx"} == {r.file.rsplit("/", 1)[1] for r in xlsx.cells(xlsx.scanned(spark, str(tmp_path), skip=True)).collect()}
+    with pytest.raises(Exception, match="larger than 10 bytes"):
+        xlsx.cells(found.where("name = 'a.xlsx'"), largest=10).collect()
     errors = {r.file.rsplit("/", 1)[1]: r.error for r in xlsx.unreadable(found).collect()}
     assert set(errors) == set(own) - {"a.xlsx"} and errors["b.xlsx"].startswith("BadZipFile") and errors["d.xlsx"] == "no sheets"
 
