@@ -349,5 +349,3 @@ def workbook_round_trip(spark, sf_dir):
     xlsx.write({"customers": own}, path)
     return xlsx.cells(files.files(spark, path, "xlsx")).select("sheet", "row", F.col("col").cast("long").alias("col"), "raw", "type")
 
-
-from . import layouts  # noqa: E402, F401  registers its queries here

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import plate as P
-from ..functions import text as T
-from ..functions import values as V
-from ..operators import elect, html_report, tables, vision
-from ..sources import files as S
-from ..sources import xlsx
-from ..sources.scratch import scratch_path
-from . import books, output, providers
-from . import fixtures as X
-from . import oracle as O
-from .catalog import _BLOCKS as BLOCKS_SQL
-from .catalog import query
+from passaura.functions import plate as P
+from passaura.functions import text as T
+from passaura.functions import values as V
+from passaura.operators import elect, html_report, tables, vision
+from passaura.sources import files as S
+from passaura.sources import xlsx
+from passaura.sources.scratch import scratch_path
+from passaura.plans import fixtures as X
+from passaura.plans import oracle as O
+from passaura.plans import output, providers
+from passaura.plans.catalog import _BLOCKS as BLOCKS_SQL
+from passaura.plans.catalog import query
+
+from . import books
 
 
 def _with_texts(spark, sf_dir, rows: str):

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import samples.layouts  # noqa: F401  registers its queries
 from passaura.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()

@@ -10,8 +10,10 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from passaura.plans import books, output, providers
+from passaura.plans import output, providers
 from passaura.sources import backends, files, pdf, xlsx
+from samples import books
+
 
 def book(path, rows, pictures=(), title="Plan1"):
     path.write_bytes(books.workbook(rows, pictures, title))

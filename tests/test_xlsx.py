@@ -7,8 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from passaura.plans import books
 from passaura.sources import xlsx
+from samples import books
 
 
 @pytest.fixture
