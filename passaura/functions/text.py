@@ -24,13 +24,8 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def groups(text: Column, pattern: str, n: int) -> Column:
-    """The n groups of a pattern that must fit the whole text, as an array, by one search; null if it does not fit.
-
-    The control character U+0001 stands between them and is dropped from the text.
-    """
-    plain = F.translate(text, "\x01", "")
-    found = F.split(F.regexp_replace(plain, pattern, "\x01".join(f"${k}" for k in range(1, n + 1))), "\x01")
-    return bound(found, lambda g: F.when(F.size(g) == n, g))
+    """The n groups of a pattern that must fit the whole text, as an array; null if it does not fit."""
+    return F.when(text.rlike(pattern), F.array(*(F.regexp_extract(text, pattern, k) for k in range(1, n + 1))))
 
 
 def trimmed(text: Column) -> Column:
@@ -117,10 +112,10 @@ def passage_line(text: Column) -> Column:
     If extraction broke the lines of the table: up to 80 characters before the first date-time that a plate
     follows, up to the next section's title or the end, over the text as one line without accents.
     """
-    lines = F.transform(lines_of(text), normalize_text)
-    direct = F.get(F.filter(lines, lambda x: x.rlike(DATE_TIME) & F.upper(x).rlike(PLATE)), F.lit(0))
+    dated = F.filter(lines_of(text), lambda x: x.rlike("[0-9]{2}/[0-9]{2}/[0-9]{4}"))  # which normalising leaves as it is
+    direct = F.get(F.filter(F.transform(dated, normalize_text), lambda x: x.rlike(DATE_TIME) & F.upper(x).rlike(PLATE)), F.lit(0))
     one = without_accents(normalize_text(F.regexp_replace(text, "\n", " ")))
-    broken = extract(one, rf"(?i)(.{{0,80}}{DATE_TIME}.+?{PLATE}.*?)(?:\s+CONCESSIONARIA|\s+COMUNICACAO|\s+DADOS\s+DO|\z)")
+    broken = bound(one, lambda x: extract(x, rf"(?i)(.{{0,80}}{DATE_TIME}.+?{PLATE}.*?)(?:\s+CONCESSIONARIA|\s+COMUNICACAO|\s+DADOS\s+DO|\z)"))
     return F.coalesce(direct, normalize_text(broken))
 
 
@@ -136,7 +131,8 @@ def line_parts(line: Column) -> Column:
         )
         return F.when(at > 0, parts)
 
-    return bound(groups(line, pattern, 4), lambda g: bound(F.regexp_instr(F.upper(g[3]), F.lit(PLATE)), lambda at: split(g, at)))
+    found = bound(line, lambda x: groups(x, pattern, 4))
+    return bound(found, lambda g: bound(F.regexp_instr(F.upper(g[3]), F.lit(PLATE)), lambda at: split(g, at)))
 
 
 def road_and_km(prefix: Column) -> Column:
