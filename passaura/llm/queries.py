@@ -64,6 +64,15 @@ def op5_url_filters(spark, sf_dir):
     return url_filters.judged(pages, labelled).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
+def url_mined_verdicts(spark, sf_dir):
+    """Rules at work: pages labelled by two of their url's tokens together, and what the rules mined from these labels say of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").where("url is not null")
+    bad = F.col("url").startswith("https://") & F.col("url").contains("/en/")
+    labelled = pages.select("url", F.when(bad, "block").otherwise("allow").alias("verdict"))
+    found = url_filters.judged(pages, labelled, rules=(), min_count=2)
+    return found.select("page_id", "url", "judged.verdict")
+
+
 def url_fixed_rules(spark, sf_dir):
     """The part of op5_url_filters that SQL can express: host, path and the fixed rule that fits."""
     url = F.col("url")
@@ -119,7 +128,7 @@ def op13_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_source_divergence_audit, op13_chat_formatting, url_fixed_rules)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_source_divergence_audit, op13_chat_formatting, url_fixed_rules, url_mined_verdicts)
     return {f.__name__: f for f in found}
 
 
@@ -207,5 +216,8 @@ FROM e GROUP BY conv_id
 """
 
 
+_URL_MINED = "SELECT page_id, url, case when starts_with(url, 'https://') and contains(url, '/en/') then 'block' else 'allow' end AS verdict FROM pages WHERE url IS NOT NULL"
+
+
 def oracle_sql():
-    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "op11_filter_interaction_audit": _OP11, "op12_source_divergence_audit": _OP12, "op13_chat_formatting": _OP13}
+    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "url_mined_verdicts": _URL_MINED, "op11_filter_interaction_audit": _OP11, "op12_source_divergence_audit": _OP12, "op13_chat_formatting": _OP13}

@@ -7,25 +7,28 @@ overall (lift). A rule that has a shorter rule of the same verdict inside it, wi
 is pruned. Rules are found through an inverted index from each rule's rarest token to the rule, so a
 url meets only rules that could match, and the strongest one that matches decides.
 
-Tokens that stand in the same labelled urls (a site's host and its suffixes, a fixed chain of directories) are one
-item for the mining, and tokens of every url none: what their combinations would say is said by one of them, so
-all of these rules would be pruned, and they would be listed in every combination before. A url has an item if it
-has any of its tokens, as it would meet the rule of each.
+Every part of a path, key of a query and suffix of a host is a token, however long the url. Tokens that stand in the same labelled urls
+(a site's host and its suffixes, a fixed chain of directories) are one item for the mining, and tokens of every url none: what their
+combinations would say is said by one of them, so all of these rules would be pruned. A url has an item if it has any of its tokens.
+Where a url still has over DEEP items, which may lie within one another like the directories of a large site, the combinations are grown level by level
+instead, leaving out each that holds in the same urls as a shorter one: its rule would be pruned too, so the rules are the same.
+
+Rules are mined from at most ROWS labelled urls, so they and their index do not grow with the table.
 Fixed (host, path) rules given by the caller come first.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, named, prepare, spread_join, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.0, 20, 0.6, 1.1
-#: Path parts and query keys that are tokens of their own.
-PARTS, KEYS = 6, 4
+#: Labelled urls to mine, chosen by a hash of the url; items of a url up to which FP-growth lists all combinations; rows of a table that may be broadcast.
+ROWS, DEEP, SMALL = 20_000, 12, 50_000
 #: (verdict, host and path) of the production rules; a path begins at the first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -43,19 +46,15 @@ def path_of(url: Column) -> Column:
 def tokens_of(url: Column) -> Column:
     """The url's distinct tokens: scheme, suffixes of the host, path parts, query keys, fragment.
 
-    Digits are one class, so that numbers do not make every url its own. Path parts from the one after PARTS on are one token
-    together, and so are query keys (in order of name) after KEYS: the whole url counts, and combinations stay few.
+    Digits are one class, so that numbers do not make every url its own.
     """
     classed = lambda x: F.regexp_replace(F.translate(x, _UPPER, _LOWER), "[0-9]+", "0")
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, k, n), ".")))
-    together = lambda x, n, mark: F.concat(F.slice(x, 1, n), F.when(F.size(x) > n, F.array(F.concat(F.lit(mark), F.array_join(F.slice(x, n + 1, 1_000_000_000), "/")))).otherwise(F.array().cast("array<string>")))
     parts = F.transform(F.filter(F.split(path_of(url), "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), classed(x)))
-    parts = together(parts, PARTS, "rest:")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), classed(F.split(x, "=")[0])))
-    keys = together(F.array_sort(F.array_distinct(keys)), KEYS, "rest-of-keys:")
     scheme = F.array(F.concat(F.lit("scheme:"), F.translate(F.regexp_extract(url, r"(?s)\A(.*?)://", 1), _UPPER, _LOWER)))
     fragment = F.when(url.contains("#"), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(scheme, suffixes, parts, keys, fragment))
@@ -69,44 +68,80 @@ def _none(spark, schema: str) -> DataFrame:
     return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ") for x in schema.split(", "))))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> tuple[DataFrame, DataFrame]:
+def looked_up(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """left joined to right, a written table unique by `on`: by broadcast if it has at most SMALL rows, else spread over hot keys."""
+    return left.join(F.broadcast(right), on) if right.count() <= SMALL else spread_join(written(left, "url-lookups"), right, on)
+
+
+def _by_growth(baskets: DataFrame, least: float, n: int) -> DataFrame:
+    """(items, verdict, both, support) of the combinations of items that `least` labelled urls of a verdict have, by FP-growth."""
+    label = F.array(F.concat(F.lit("verdict:"), "verdict"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=1.0).fit(baskets.select(F.concat("items", label).alias("items")))
+    frequent = written(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support")), "url-itemsets")
+    is_label = lambda x: x.startswith("verdict:")
+    with_label = frequent.where(F.exists("items", is_label) & (F.size("items") > 1)).select(
+        F.filter("items", lambda x: ~is_label(x)).alias("items"), F.substring(F.filter("items", is_label)[0], 9, 1000).alias("verdict"), F.col("support").alias("both")
+    )
+    return with_label.join(frequent.where(~F.exists("items", is_label)), "items").select("items", "verdict", "both", "support")
+
+
+def _by_levels(baskets: DataFrame, least: float) -> DataFrame:
+    """As _by_growth, without combinations that hold in as many urls as one with an item less; level by level from single items.
+
+    A combination is tried only if all that have an item less are kept.
+    """
+    held = baskets.select("row", "verdict", F.array_sort("items").alias("items"))
+    found, size = None, 1
+    tried = held.select("row", "verdict", "items", F.explode("items").alias("last")).withColumn("set", F.array("last"))
+    while True:
+        tried = written(tried.select("row", "verdict", "items", "last", "set"), f"url-tried-{size}")
+        by_verdict = tried.groupBy("set", "verdict").agg(F.count("*").alias("both")).groupBy("set").agg(F.collect_list(F.struct("verdict", "both")).alias("by"), F.sum("both").alias("support"))
+        kept = by_verdict.where(F.exists("by", lambda x: x["both"] >= least))
+        if size > 1:
+            inner = kept.select("set", "support", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("set", lambda x, i: i != k))).alias("inner"))
+            inner = inner.join(before.select(F.col("set").alias("inner"), F.col("support").alias("most")), "inner")
+            free = inner.groupBy("set", "support").agg(F.count("*").alias("k"), F.min("most").alias("most")).where((F.col("k") == size) & (F.col("support") < F.col("most"))).select("set")
+            kept = kept.join(free, "set")
+        before = written(kept, f"url-kept-{size}")
+        own = before.select(F.col("set").alias("items"), F.explode("by").alias("x"), "support").select("items", "x.verdict", "x.both", "support").where(F.col("both") >= least)
+        found = own if found is None else found.unionByName(own)
+        if before.isEmpty():
+            return found
+        more = tried.join(before.select("set"), "set").select("row", "verdict", "items", "set", "last", F.explode(F.filter("items", lambda x: x > F.col("last"))).alias("next"))
+        tried = more.select("row", "verdict", "items", F.col("next").alias("last"), F.concat("set", F.array("next")).alias("set"))
+        size += 1
+
+
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, rows: int = ROWS, deep: int = DEEP) -> tuple[DataFrame, DataFrame]:
     """Rules (items, verdict, confidence, support, anchor) from labelled (url, verdict), and the items (token, item, n) of tokens.
 
-    A rule needs min_count pages, however many are labelled, so that a site's rule does not go as the table
-    grows; min_support, a share of the labelled pages, can ask for more. n is how many labelled urls have the token.
+    At most `rows` labelled rows are taken, those whose url has the least hashes. A rule needs min_count of them, however many there are, so that
+    a site's rule does not go as the table grows; min_support, a share of them, can ask for more. n is how many labelled urls have the token.
     A rule with no items, from the labels alone, says what holds for urls that no other rule matches.
     Rows with a null url or label are left out; repeated rows count as often as they come. No labels: no rules.
     """
     spark = prepare(labelled.sparkSession)
-    own = labelled.where("url is not null and verdict is not null").select(F.monotonically_increasing_id().alias("row"), tokens_of(F.col("url")).alias("tokens"), "verdict")
-    own = written(own, "url-tokens")
-    n = own.count()
+    own = labelled.where("url is not null and verdict is not null").select("url", "verdict").orderBy(F.xxhash64("url"), "url", "verdict").limit(rows)
+    own = written(own.select(F.monotonically_increasing_id().alias("row"), tokens_of(F.col("url")).alias("tokens"), "verdict"), "url-tokens")
+    shares = {r["verdict"]: r["n"] for r in own.groupBy("verdict").agg(F.count("*").alias("n")).collect()}  # a row for each verdict
+    n = sum(shares.values())
     if not n:
         return _none(spark, _RULES), _none(spark, _ITEMS)
     least = max(min_support * n, min_count)
-    each = written(own.select("row", F.explode("tokens").alias("token")), "url-token-rows")
     # the rows of a token, by their number and two sums of hashes: equal for tokens of the same rows
     mark = F.xxhash64("row")
-    stats = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("s")).where((F.col("n") >= least) & (F.col("n") < n))
-    stats = written(stats, "url-token-counts")
-    names = stats.groupBy("n", "x", "s").agg(F.min("token").alias("item"))
-    items = written(stats.join(names, ["n", "x", "s"]).select("token", "item", "n"), "url-items")
-    baskets = spread_join(each, items, "token", rows="n").groupBy("row").agg(F.collect_set("item").alias("items"))
-    label = F.array(F.concat(F.lit("verdict:"), "verdict"))
-    own = written(own.join(baskets, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), label).alias("items")), "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=1.0).fit(own)
-    frequent = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
-    empty = spark.range(1).select(F.array().cast("array<string>").alias("items"), F.lit(n).cast("long").alias("support"))
-    frequent = written(frequent.unionByName(empty), "url-itemsets")
-    is_label = lambda x: x.startswith("verdict:")
-    with_label = frequent.where(F.exists("items", is_label)).select(
-        F.filter("items", lambda x: ~is_label(x)).alias("items"), F.substring(F.filter("items", is_label)[0], 9, 1000).alias("verdict"), F.col("support").alias("both")
-    )
-    shares = with_label.where(F.size("items") == 0).select("verdict", (F.col("both") / n).alias("share"))
-    rules = with_label.join(frequent.where(~F.exists("items", is_label)), "items").join(shares, "verdict")
-    rules = rules.select("items", "verdict", (F.col("both") / F.col("support")).alias("confidence"), F.col("both").alias("support"), "share")
-    kept = (F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("share")) | (F.size("items") == 0)
-    rules = written(rules.where(kept).drop("share"), "url-rules")
+    stats = own.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("s"))
+    items = stats.where((F.col("n") >= least) & (F.col("n") < n)).select("token", F.min("token").over(Window.partitionBy("n", "x", "s")).alias("item"), "n")
+    items = written(items, "url-items")
+    baskets = looked_up(own.select("row", F.explode("tokens").alias("token")), items, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    baskets = written(own.select("row", "verdict").join(baskets, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))), "url-baskets")
+    longest = baskets.agg(F.max(F.size("items"))).first()[0]
+    counts = _by_growth(baskets, least, n) if longest <= deep else _by_levels(baskets, least)
+    share = F.coalesce(*(F.when(F.col("verdict") == v, F.lit(k / n)) for v, k in shares.items()))
+    rules = counts.select("items", "verdict", (F.col("both") / F.col("support")).alias("confidence"), F.col("both").alias("support"), share.alias("share"))
+    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("share"))).drop("share")
+    plain = spark.range(1).select(F.explode(F.array(*(F.struct(F.array().cast("array<string>").alias("items"), F.lit(v).alias("verdict"), F.lit(k / n).alias("confidence"), F.lit(k).cast("long").alias("support")) for v, k in shares.items()))).alias("r")).select("r.*")
+    rules = written(rules.unionByName(plain), "url-rules")
     smaller = rules.select("items", "verdict", "confidence", F.explode("items").alias("x"))
     smaller = smaller.select("items", F.array_remove("items", F.col("x")).alias("inner"), "verdict", "confidence")
     inner = rules.select(F.col("items").alias("inner"), "verdict", F.col("confidence").alias("inner_confidence"))
@@ -121,19 +156,22 @@ def verdicts(urls: DataFrame, rules: DataFrame, items: DataFrame, otherwise: str
     """(url, n, verdict) of each distinct url that is not null: how many rows have it, and the strongest matching rule's verdict.
 
     Strongest: highest confidence, then support, then more items, then verdict and items by name. A rule
-    with no items matches every url if it is the strongest such rule; with none, `otherwise` holds.
+    with no items matches every url if it is the strongest such rule; with none, `otherwise` holds. A url meets the rules of its anchors one by one.
     """
     plain = rules.where(F.size("items") == 0).orderBy(F.desc("confidence"), F.desc("support"), "verdict").first()
     otherwise = plain["verdict"] if plain else otherwise
     seen = written(urls.where("url is not null").groupBy("url").agg(F.count("*").alias("n")), "urls")
-    used = written(items.join(rules.select(F.explode("items").alias("item")).distinct(), "item", "left_semi").select("token", "item"), "url-items-used")
-    each = written(seen.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(used.select("token"), "token", "left_semi"), "url-token-rows")
-    own = written(spread_join(each, used, "token").groupBy("url").agg(F.collect_set("item").alias("items")), "urls-with-items")
-    index = rules.where("anchor is not null").groupBy("anchor").agg(F.collect_list(F.struct("confidence", "support", F.size("items").alias("size"), "verdict", "items")).alias("rules"))
-    met = written(own.select("url", F.col("items").alias("held"), F.explode("items").alias("anchor")), "url-anchors")
-    met = spread_join(met, written(index, "url-anchor-rules"), "anchor")
-    best = met.select("url", F.array_max(F.filter("rules", lambda r: F.size(F.array_except(r["items"], "held")) == 0)).alias("rule"))
-    best = best.groupBy("url").agg(F.max("rule")["verdict"].alias("verdict"))
+    index = rules.where("anchor is not null").select("anchor", F.struct("confidence", "support", F.size("items").alias("size"), "verdict", "items").alias("rule"))
+    if index.isEmpty():
+        return seen.select("url", "n", F.lit(otherwise).alias("verdict"))
+    used = written(items.join(index.select(F.explode("rule.items").alias("item")).distinct(), "item", "left_semi").select("token", "item"), "url-items-used")
+    own = looked_up(seen.select("url", F.explode(tokens_of(F.col("url"))).alias("token")), used, "token").groupBy("url").agg(F.collect_set("item").alias("held"))
+    met = own.select("url", "held", F.explode("held").alias("anchor"))
+    if index.count() <= SMALL:
+        met = met.join(F.broadcast(index), "anchor")
+    else:
+        met = spread_join(written(met, "url-anchors"), written(index.groupBy("anchor").agg(F.collect_list("rule").alias("rules")), "url-anchor-rules"), "anchor").select("url", "held", F.explode("rules").alias("rule"))
+    best = met.where(F.size(F.array_except("rule.items", "held")) == 0).groupBy("url").agg(F.max("rule")["verdict"].alias("verdict"))
     return seen.join(best, "url", "left").select("url", "n", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
 
 
@@ -169,7 +207,11 @@ def judged(pages: DataFrame, labelled: DataFrame, url_col: str = "url", rules=RU
 
 
 def labels_of_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, verdict) of pages whose url's first number in the path is a labelled document: block if it is of low quality or toxic."""
+    """(url, verdict) of pages whose url's first number in the path is a labelled document: block if it is of low quality or toxic.
+
+    Of repeated labels one that says block decides; null urls and ids, and urls without a number, have no label; repeated pages come as often as they
+    are; empty tables give no rows.
+    """
     number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?![0-9])", 1).try_cast("bigint")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(bad, "block").otherwise("allow")).alias("verdict"))

@@ -470,7 +470,9 @@ def mined_plainly(rows, tokens, urls, min_count=20, min_confidence=0.6, min_lift
     return rules, out
 
 
-def test_mined_rules_against_brute_force(spark):
+@pytest.mark.parametrize("deep", [url_filters.DEEP, 0])
+def test_mined_rules_against_brute_force(spark, deep):
+    """By FP-growth and level by level."""
     r = random.Random(6)
     rows = []
     for k in range(400):
@@ -479,7 +481,7 @@ def test_mined_rules_against_brute_force(spark):
         bad = host == "www.spam.biz" or (host == "mix.com" and key and lang == "de") or (lang == "en" and part == "x/z")
         rows.append((f"http://{host}/{lang}/{part}/{k}{key}", "block" if bad == (r.random() < 0.95) else "allow"))
     labelled = spark.createDataFrame([*rows, (None, "block"), ("http://x.y/", None)], "url string, verdict string")
-    rules, items = url_filters.mined_rules(labelled)
+    rules, items = url_filters.mined_rules(labelled, deep=deep)
     new = ["http://spam.biz/new/page", "http://b.deep.net/de/w/1", "https://mix.com/de/?ad=7", "ftp://none", "http://other.org/en/x/z", "http://good.org/z"]
     urls = spark.createDataFrame([(u,) for u, _ in rows] + [(u,) for u in new] + [(None,)], "url string")
     tokens = {u: frozenset(t) for u, t in urls.where("url is not null").select("url", url_filters.tokens_of(F.col("url"))).collect()}
@@ -506,6 +508,49 @@ def test_long_urls_take_little_time(spark):
     assert url_filters.judged(pages.limit(0), labelled, "the.url").count() == 0
 
 
+@pytest.mark.parametrize("depth", [2, 7, 12, 30])
+def test_rules_at_any_depth(spark, depth):
+    """A part of the path decides, wherever it stands, and so does the last of many keys."""
+    chain = [f"d{chr(97 + k)}" for k in range(depth - 1)]
+    rows = [("http://a.org/" + "/".join([*chain, "spam" if k % 2 else "ham", str(k)]), "block" if k % 2 else "allow") for k in range(200)]
+    keys = "&".join(f"k{chr(97 + j)}=1" for j in range(depth))
+    rows += [(f"http://b.org/p/{k}?{keys}&{'ad' if k % 3 == 0 else 'id'}=1", "block" if k % 3 == 0 else "allow") for k in range(300)]
+    new = {"http://a.org/" + "/".join([*chain, "spam", "x"]): "block", "http://a.org/" + "/".join([*chain, "ham", "x"]): "allow", f"http://b.org/p/new?{keys}&ad": "block", f"http://b.org/p/new?{keys}&id": "allow"}
+    urls = spark.createDataFrame([(u,) for u in new], "url string")
+    got = {x.url: x["judged"].verdict for x in url_filters.judged(urls, spark.createDataFrame(rows, "url string, verdict string"), rules=()).collect()}
+    assert got == new
+
+
+def test_directories_within_directories(spark):
+    """Forty directories, each in fewer urls than the one above: their combinations are not listed, and the rule at the bottom is found."""
+    chain = [f"d{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(40)]
+    rows = [("http://deep.org/" + "/".join(chain[: 1 + k % 40]) + f"/{k}", "block" if k % 40 >= 35 else "allow") for k in range(1600)]
+    urls = spark.createDataFrame([("http://deep.org/" + "/".join(chain[:n]) + "/new",) for n in (3, 20, 36, 40)], "url string")
+    began = time.perf_counter()
+    got = {x.url.count("/d"): x["judged"].verdict for x in url_filters.judged(urls, spark.createDataFrame(rows, "url string, verdict string"), rules=()).collect()}
+    assert [got[n] for n in sorted(got)] == ["allow", "allow", "block", "block"] and time.perf_counter() - began < 90
+
+
+def test_labelled_rows_are_bounded(spark):
+    """The rows of the least hashes are taken, whatever their order; rules of what all of them say stay."""
+    rows = [(f"http://s{k % 40}.org/{'bad' if k % 4 == 0 else 'good'}/{k}", "block" if k % 4 == 0 else "allow") for k in range(3000)]
+    urls = spark.createDataFrame([("http://x.org/bad/n",), ("http://x.org/good/n",)], "url string")
+    for own in (rows, rows[::-1]):
+        rules, items = url_filters.mined_rules(spark.createDataFrame(own, "url string, verdict string"), rows=500)
+        plain = {r.verdict: r.support for r in rules.where(F.size("items") == 0).collect()}
+        assert sum(plain.values()) == 500 and {x.url: x.verdict for x in url_filters.verdicts(urls, rules, items).collect()} == {"http://x.org/bad/n": "block", "http://x.org/good/n": "allow"}
+
+
+def test_large_rule_tables_meet_urls_too(spark, monkeypatch):
+    """Beyond SMALL rows nothing is broadcast by hand, and the verdicts are the same."""
+    rows = [(f"http://s{k % 9}.org/{'ab'[k % 2]}/{'cde'[k % 3]}/{k}", "block" if k % 6 == 0 or k % 9 == 2 else "allow") for k in range(900)]
+    urls = spark.createDataFrame([(u,) for u, _ in rows[:200]] + [(None,)], "url string")
+    judge = lambda: sorted((x.url or "", x["judged"].verdict) for x in url_filters.judged(urls, spark.createDataFrame(rows, "url string, verdict string"), rules=()).collect())
+    want = judge()
+    monkeypatch.setattr(url_filters, "SMALL", 0)
+    assert judge() == want and {v for _, v in want} == {"block", "allow"}
+
+
 def test_small_sites_among_many_labels(spark):
     rows = [(f"http://bad.biz/p/{k}", "block") for k in range(30)] + [(f"http://s{k % 400}.org/p/{k}", "allow") for k in range(9_970)]
     labelled = spark.createDataFrame(rows, "url string, verdict string")  # bad.biz has 0.3 % of them
