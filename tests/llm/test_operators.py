@@ -629,6 +629,57 @@ def test_tree_goes_by_numbers(tree):
     assert "Home" not in among_text + among_links and among_text.count("The river") == 6 == among_links.count("The river")
 
 
+_LONG = "The river rose by two metres over night and the lower town was under water by noon on Monday, as people say. "
+_STORY = "<h1>Flood in town</h1>" + "".join(f"<p>{_LONG * k}</p>" for k in (2, 1, 3, 2))
+_LAW = "<h1>Cookie law</h1>" + "".join(f"<p>{t}</p>" for t in (
+    "The new law on cookies and consent was passed on Monday, and sites must ask before they store a cookie or sign people up to a newsletter.",
+    "Accept buttons may not be larger than others, the privacy policy must be linked, and consent can be taken back at any time under the rules.",
+    "Offer, discount and sale banners are not covered by the law, said the minister, who wants to share the terms with other countries."))
+_MENU = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Sport</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "story"),
+    [
+        (f'<body><div class="page header-fixed">{_MENU}<div>{_STORY}</div></div></body>', _STORY),
+        (f'<body><nav>{_MENU}</nav><div class="post comments-open">{_STORY}</div><footer>x y</footer></body>', _STORY),
+        (f'<body><main><section class="legal-news">{_STORY}</section></main></body>', _STORY),
+        (f"<body>{_MENU}<div>{_LAW}</div></body>", _LAW),
+        (f"<body><article>{_STORY}<ul><li><a href=1>Ten best phones of the year</a></li><li><a href=2>Why you should buy now</a></li><li><a href=3>Read this next</a></li></ul></article></body>", _STORY),
+        (f'<body><article>{_STORY}</article><div class="sidebar"><p>Our new app is out now and you can get it in the store today.</p></div></body>', _STORY),
+        (f"<body><div>{_STORY}</div><div><p>Our new app is out now and you can get it in the store today.</p></div></body>", _STORY),
+        (f"<body><form>{_MENU}<div>{_STORY}</div></form></body>", _STORY),
+    ],
+)
+def test_names_do_not_decide(tree, page, story):
+    """Misleading names of frames, an article that uses the words of notices, promoted links inside an article, sidebars with and without a name."""
+    assert html_extraction.main_text(page, tree) == "\n\n".join(b.text for b in html_extraction.blocks_of(story))
+
+
+def test_formulas_stay(tree):
+    page = f"<article>{_STORY}<p>So <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> holds for all of them in the end, as was shown.</p></article>"
+    assert html_extraction.main_text(page, tree).endswith("\n\nSo E=mc holds for all of them in the end, as was shown.")
+
+
+def test_numbers_are_asked_first(spark, tree, sf_dir):
+    """The root is a number, and no block of the given pages is settled by what elements and names claim alone."""
+    claims = {"no_article", "is_article", *html_extraction.CLAIMS}
+    assert html_extraction.FEATURES[tree[0]] not in claims
+    n = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        for row in html_extraction.features_of(html_extraction.blocks_of(r.html)):
+            n += 1
+            assert not set(html_extraction.asked(tree, row)) <= claims
+    assert n > 500
+
+
+def test_deeply_nested_pages_take_linear_time(tree):
+    for inner in ("<div>" * 100_000 + _STORY, "<b>" * 100_000 + _STORY, "<div>x" * 50_000, "<div class=ad>" * 50_000 + "y" + "</div>" * 50_000):
+        began = time.perf_counter()
+        html_extraction.main_text(f"<body>{inner}</body>", tree)
+        assert time.perf_counter() - began < 15
+
+
 def test_pages_without_names(tree):
     text = "<h1>Flood in the lower town</h1>" + "".join(f"<p>The river rose by {k} metres over night, and the lower town was under water by noon on Monday, as people say.</p>" for k in "2345")
     cookie = "<div><p>We use cookies to give you the best experience. Accept or read our privacy policy.</p><button>OK</button></div>"
