@@ -14,7 +14,8 @@ TO_LETTER = ("01245678", "OIZASGZB")
 TO_DIGIT = ("OQDUILTJZASGBE", "00001111245688")
 #: Pairs, either way round, whose exchange costs 35 hundredths instead of 100.
 CONFUSED = "0O 1I 1L IT 2Z 7Z 4A 5S 6G 8B BE 0D DO"
-_CONFUSED = " ".join(x + " " + x[::-1] for x in CONFUSED.split())
+BOTH_WAYS = " ".join(x + " " + x[::-1] for x in CONFUSED.split())
+_CONFUSED = BOTH_WAYS
 VALID = r"^[A-Z]{3}[0-9][A-Z0-9][0-9]{2}\z"
 UNREAD, UNREAD_COST = "Nao foi possivel identificar os caracteres", 999.0
 

@@ -46,29 +46,32 @@ def normalize_text(text: Column) -> Column:
 def _bare() -> tuple[str, str, dict[str, str]]:
     """Characters with one bare character and these, combining marks last; and those with several, by Unicode's compatibility decomposition."""
     one, several, marks = {}, {}, []
-    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0xFFFE))):  # what Java holds in one unit, Hangul apart
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000))):  # Hangul syllables are spelled by rule
         if unicodedata.combining(c):
             marks.append(c)
             continue
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if bare != c:
-            (one if len(bare) == 1 and ord(bare) < 1 << 16 else several)[c] = bare
+            (one if len(bare) == 1 else several)[c] = bare
     return "".join(one) + "".join(marks), "".join(one.values()), several
 
 
 def without_accents(text: Column) -> Column:
     """Characters by their compatibility decomposition (NFKD) without combining marks: é as e, ﬁ as fi, ² as 2.
 
-    Hangul syllables and characters beyond U+FFFF stay as they are.
+    Hangul syllables are spelled by their letters, which follow from a syllable's number.
     """
     old, new, several = _bare()
     plain, keys, spellings = F.translate(text, old, new), F.lit("".join(several)), F.array(*map(F.lit, several.values()))
+    letters = lambda first, n: F.lit("".join(map(chr, range(first, first + n))))
 
     def spelled(c: Column) -> Column:
-        place = F.position(c, keys)
-        return F.when((c != "") & (place > 0), F.get(spellings, place - 1)).otherwise(c)
+        place, n = F.position(c, keys), F.ascii(c) - 0xAC00
+        vowel = (n % 588 / 28).cast("int")
+        hangul = F.concat(letters(0x1100, 19).substr((n / 588).cast("int") + 1, F.lit(1)), letters(0x1161, 21).substr(vowel + 1, F.lit(1)), letters(0x11A8, 27).substr(n % 28, F.when(n % 28 > 0, 1).otherwise(0)))
+        return F.when((c >= "\uac00") & (c <= "\ud7a3"), hangul).when((c != "") & (place > 0), F.get(spellings, place - 1)).otherwise(c)
 
-    has = F.length(F.translate(plain, "".join(several), "")) < F.length(plain)
+    has = (F.length(F.translate(plain, "".join(several), "")) < F.length(plain)) | plain.rlike("[\uac00-\ud7a3]")
     return F.when(has, F.array_join(F.transform(F.split(plain, ""), spelled), "")).otherwise(plain)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from passaura.functions import plate as P
+from passaura.functions import sql
 from passaura.functions import text as T
 from passaura.functions import values as V
 from passaura.operators import elect, html_report, tables, vision
@@ -281,6 +284,24 @@ select h.passage_id, h.image_ix, n_boxes, n_accepted, g.best_text, g.best_score,
 from h join g on g.passage_id = h.passage_id and g.image_ix = h.image_ix"""
 
 
+@query(f"""select r.passage_id, image_ix, {O.clean("ocr_text")} as cleaned, {O.mask("expected_plate")} as mask, {O.normalize("ocr_text", O.mask("expected_plate"))} as normal, {O.normalize("ocr_text")} as free,
+{O.distance("expected_plate", "ocr_text")} as distance, {O.matches("expected_plate", "ocr_text")} as matches from {{READS}} r""")
+def sql_plates(spark, sf_dir):
+    """Plates by functions of Spark SQL, in a query that is text."""
+    sql.register(spark)
+    reads = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", X.READS)
+    return spark.sql(f"""SELECT passage_id, image_ix, plate_clean(ocr_text) AS cleaned, plate_mask(expected_plate) AS mask, plate_normalize(ocr_text, plate_mask(expected_plate)) AS normal, plate_normalize(ocr_text, NULL) AS free,
+        plate_distance(expected_plate, ocr_text) AS distance, plate_matches(expected_plate, ocr_text) AS matches FROM ({reads})""")
+
+
+@query("""select passage_id, cast(unnest(range(0, len(s) - 1)) as int) as k, unnest(s[2:]) as block from (select passage_id, string_split(page, 'Data/Hora') as s from {BLOCK_PAGES}) p""")
+def sql_blocks(spark, sf_dir):
+    """A page's parts by a table function of Spark SQL, joined laterally."""
+    sql.register(spark)
+    pages = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", X.BLOCK_PAGES)
+    return spark.sql(f"SELECT passage_id, k, block FROM ({pages}), LATERAL blocks_after(page, 'Data/Hora')")
+
+
 @query(_SEEN)
 def instrumented_reading(spark, sf_dir):
     """Every box, variant and candidate of each image with scores, unnested to a row of each box and variant."""

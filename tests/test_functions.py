@@ -168,9 +168,29 @@ def test_stream(spark, tmp_path):
 
 
 def test_without_accents_is_unicodes(spark):
+    """All code points but surrogates, one by one and together, against Unicode's own decomposition."""
     import unicodedata
 
-    texts = ["São José é ação", "ﬁne ½ ² …", "Ångström ǅ", "e\u0301x", "ガギ", "１２３ＡＢ", "", "x", None, "a–b ー", "".join(map(chr, range(0x80, 0x2000))), "".join(map(chr, range(0x2000, 0xAC00, 3)))]
-    want = {t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts}
-    for t, got in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.without_accents(F.col("t"))).collect():
-        assert got == want[t]
+    points = [k for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000 and unicodedata.category(chr(k)) != "Cn"]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    texts = ["".join(map(chr, points[k : k + 50])) for k in range(0, len(points), 50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8).select("t", T.without_accents(F.col("t")).alias("b")).collect()
+    wrong = [(hex(ord(c)), x.b) for x in rows if x.b != bare(x.t) for c in x.t[:1]]
+    assert len(rows) == len(texts) and not wrong, wrong[:3]
+    singles = [chr(k) for k in points if bare(chr(k)) != chr(k)]
+    for x in spark.createDataFrame([(c,) for c in singles], "t string").select("t", T.without_accents(F.col("t")).alias("b")).collect():
+        assert x.b == bare(x.t), hex(ord(x.t))
+
+
+def test_sql_functions_are_the_columns(spark):
+    from passaura.functions import sql
+
+    sql.register(spark)
+    r = random.Random(3)
+    pairs = [(None, "ABC1234"), ("ABC1234", None), ("", ""), ("1D23ABC", "abc-1d23"), ("ABC1234", P.UNREAD)] + [("".join(r.choice("ABO018iL7Z-") for _ in range(r.randint(0, 9))), "".join(r.choice("ABO018IL7ZD23") for _ in range(r.randint(0, 9)))) for _ in range(500)]
+    spark.createDataFrame(pairs, "a string, b string").createOrReplaceTempView("plate_pairs")
+    a, b = F.col("a"), F.col("b")
+    own = spark.table("plate_pairs").select("a", "b", P.clean(a), P.mask_of(a), P.is_valid(b), P.fit_mask(b, P.mask_of(a)), P.normalize(b, P.mask_of(a)), P.normalize(b), P.distance(a, b), P.matches(a, b))
+    text = spark.sql("SELECT a, b, plate_clean(a), plate_mask(a), plate_is_valid(b), plate_fit(b, plate_mask(a)), plate_normalize(b, plate_mask(a)), plate_normalize(b, NULL), plate_distance(a, b), plate_matches(a, b) FROM plate_pairs")
+    assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, text.collect()), key=repr)
+    assert [tuple(x) for x in spark.sql("SELECT k, block FROM blocks_after('a.*b.*c', '.*')").collect()] == [(0, "b"), (1, "c")]
