@@ -6,21 +6,27 @@ A segment tree over remaining capacities finds that row. A packed row has its id
 of the id matrix, little-endian), the cumulative lengths of its segments, the position ids, which begin at 0
 in each segment, and the document and offset that each segment is from.
 
-A task packs the documents of its own partition, block by block, so nothing is shuffled, and memory holds one
+`packed`: a task packs the documents of its own partition, block by block, so nothing is shuffled, and memory holds one
 block. A block leaves at most a few part-filled rows.
+
+`packed_globally`: one plan for all rows, whatever the partitions and files. Pieces of equal length are alike to the plan, so it is made from the counts of
+lengths (at most as many as a row is wide) and says which rows take which ranks of each length; a piece's rank follows from counts of
+buckets by a hash. Token ids go through two shuffles, those of whole rows through none.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import named, prepare
+from .common import named, prepare, written
 
 #: Ids of a row, tokens of a block.
 WIDTH, BLOCK = 2048, 1 << 21
@@ -101,10 +107,13 @@ SCHEMA = "ids binary, n_ids int, cu_seqlens array<int>, position_ids binary, doc
 def packed_block(docs: list[tuple[object, np.ndarray]], width: int, pad: int, dtype: np.dtype) -> pa.RecordBatch:
     """The packed rows of some documents (id, token ids)."""
     pieces = [(d, at, ids[at : at + width]) for d, ids in docs for at in range(0, len(ids), width)]
-    rows = best_fit_decreasing([len(x[2]) for x in pieces], width)
+    return packed_rows([[pieces[k] for k in row] for row in best_fit_decreasing([len(x[2]) for x in pieces], width)], width, pad, dtype)
+
+
+def packed_rows(rows: list[list[tuple[object, int, np.ndarray]]], width: int, pad: int, dtype: np.dtype) -> pa.RecordBatch:
+    """Rows of pieces (id, offset, token ids) as SCHEMA."""
     columns: list[list] = [[] for _ in _SCHEMA]
-    for row in rows:
-        own = [pieces[k] for k in row]
+    for own in rows:
         ids = np.full(width, pad, dtype)
         positions = np.zeros(width, "<u2" if width <= 1 << 16 else "<u4")
         ends = np.cumsum([0] + [len(x[2]) for x in own])
@@ -153,6 +162,119 @@ def packed(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     return rows.mapInArrow(over, SCHEMA)
 
 
+def planned(counts: dict[int, int], width: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The rows of best-fit decreasing for so many pieces of each length: segments (length, first rank, rows, times, first row), and the number of rows.
+
+    A segment's pieces, from its first rank on, go to its rows from the first on, `times` to each. Rows of equal room are taken in their order, by runs: a
+    row that takes a piece and has room for another takes that too, as none has less room that suffices.
+    """
+    runs: dict[int, deque[tuple[int, int]]] = {}  # by room: (first row, rows)
+    rooms: list[int] = []
+    segments, made = [], 0
+
+    def put(room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in runs:
+                runs[room] = deque()
+                bisect.insort(rooms, room)
+            runs[room].append((first, n))
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            k = bisect.bisect_left(rooms, length)
+            begun = k < len(rooms)
+            if begun:
+                room = rooms[k]
+                first, n = runs[room].popleft()
+            else:
+                room, first, n = width, made, -(-left // (width // length))
+                made += n
+            times = room // length
+            full, rest = min(n, left // times), 0
+            put(room - times * length, first, full)
+            if full:
+                segments.append((length, rank, full, times, first))
+            left, rank = left - full * times, rank + full * times
+            if full < n and left:
+                rest = left
+                segments.append((length, rank, 1, rest, first + full))
+                put(room - rest * length, first + full, 1)
+                left, full = 0, full + 1
+            if begun and full < n:
+                runs[room].appendleft((first + full, n - full))
+            elif begun and not runs[room]:
+                del runs[room]
+                rooms.remove(room)
+    return segments, made
+
+
+_PIECES = "id long, offset long, length int, digest binary, ids binary"
+#: Pieces of a bucket, about.
+BUCKET = 20_000
+
+
+def packed_globally(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """As `packed`, by one plan for all of docs: SCHEMA. The rows are the same for any partitions and files of docs.
+
+    Pieces of equal length are ranked by a bucket of a hash, id, offset and a digest of their ids. Rows full of one long document come first from it and are not
+    shuffled. Null ids stay null and come last in their bucket; repeated rows are packed as often as they come, and do not matter to each other.
+    """
+    spark = prepare(docs.sparkSession)
+    with open(vocabulary_path, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+
+    def cut(batches):
+        tokenizer = Tokenizer(byte_bpe.vocabulary(shared.value))
+        for b in batches:
+            out = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = tokenizer.encode(text)
+                for at in range(0, len(ids), width):
+                    own = ids[at : at + width].tobytes()
+                    out.append((i, at, len(own) // tokenizer.dtype.itemsize, hashlib.blake2b(own, digest_size=16).digest(), own))
+            for k in range(0, len(out), 1000):
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[k : k + 1000], strict=True), kinds, strict=True)], names=["id", "offset", "length", "digest", "ids"])
+
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
+    pieces = written(rows.mapInArrow(cut, _PIECES), "packing-pieces")
+    counts = {r["length"]: r["n"] for r in pieces.where(F.col("length") < width).groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length
+    segments, _ = planned(counts, width)
+    buckets = max(1, sum(counts.values()) // BUCKET)
+    part = pieces.where(F.col("length") < width).withColumn("bucket", F.pmod(F.xxhash64("id", "offset", "digest"), F.lit(buckets)))
+    starts = part.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(F.col("id").asc_nulls_last(), "offset", "digest"))
+    ranked = part.withColumn("place", place).join(starts, ["length", "bucket"]).withColumn("rank", F.col("start") + F.col("place") - 1)
+    plan = F.broadcast(spark.createDataFrame(segments or [(0, 0, 0, 1, 0)], "length int, first long, n long, times long, row long"))  # a few for each length
+    own = ranked.join(plan, "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n") * F.col("times")))
+    own = own.withColumn("row", (F.col("row") + F.floor((F.col("rank") - F.col("first")) / F.col("times"))).cast("long")).select("row", "length", "rank", "id", "offset", "ids")
+
+    def assembled(batches):
+        tokenizer = Tokenizer(byte_bpe.vocabulary(shared.value))
+        held, row, done = [], None, []
+        for b in batches:
+            for r, _, _, i, at, ids in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if r != row or r is None:
+                    if held:
+                        done.append(held)
+                    held, row = [], r
+                    if len(done) >= 256:
+                        yield packed_rows(done, width, tokenizer.pad, tokenizer.dtype)
+                        done = []
+                held.append((i, at, np.frombuffer(ids, tokenizer.dtype)))
+        if held:
+            done.append(held)
+        if done:
+            yield packed_rows(done, width, tokenizer.pad, tokenizer.dtype)
+
+    whole = pieces.where(F.col("length") == width).select(F.lit(None).cast("long").alias("row"), "length", F.lit(0).cast("long").alias("rank"), "id", "offset", "ids")
+    met = own.repartition("row").sortWithinPartitions("row", F.desc("length"), "rank")
+    return whole.mapInArrow(assembled, SCHEMA).unionByName(met.mapInArrow(assembled, SCHEMA))
+
+
 def unpacked(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, offset, ids array<long>) of each segment of packed rows: what packing was given, for checks and reading back.
 
