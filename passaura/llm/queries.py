@@ -55,7 +55,7 @@ def op4_token_counts(spark, sf_dir):
 
 def op6_token_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_packing.packed(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return token_packing.packed_globally(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 def op5_url_filters(spark, sf_dir):
