@@ -20,6 +20,11 @@ def op1_document_fingerprints(spark, sf_dir):
     return found.select("doc_id", "n_chars", "edited_sha256", digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")
 
 
+def document_edits(spark, sf_dir):
+    """The part of op1_document_fingerprints that SQL can express: lengths and digests of the edited texts."""
+    return op1_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op2_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -128,7 +133,7 @@ def op13_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_source_divergence_audit, op13_chat_formatting, url_fixed_rules, url_mined_verdicts)
+    found = (op1_document_fingerprints, op2_decontamination, op3_quality_classifier, op4_token_counts, op5_url_filters, op6_token_packing, op7_html_extraction, op8_sentencepiece_codec, op9_substring_dedup, op10_simhash_near_dedup, op11_filter_interaction_audit, op12_source_divergence_audit, op13_chat_formatting, document_edits, url_fixed_rules, url_mined_verdicts)
     return {f.__name__: f for f in found}
 
 
@@ -219,5 +224,11 @@ FROM e GROUP BY conv_id
 _URL_MINED = "SELECT page_id, url, case when starts_with(url, 'https://') and contains(url, '/en/') then 'block' else 'allow' end AS verdict FROM pages WHERE url IS NOT NULL"
 
 
+_EDITS = """
+SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(n, 1, length(t) // 3)) AS edited_sha256
+FROM (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d WINDOW w AS (ORDER BY doc_id DESC)) x
+"""
+
+
 def oracle_sql():
-    return {"op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "url_mined_verdicts": _URL_MINED, "op11_filter_interaction_audit": _OP11, "op12_source_divergence_audit": _OP12, "op13_chat_formatting": _OP13}
+    return {"document_edits": _EDITS, "op2_decontamination": _OP2, "url_fixed_rules": _URL_RULES, "url_mined_verdicts": _URL_MINED, "op11_filter_interaction_audit": _OP11, "op12_source_divergence_audit": _OP12, "op13_chat_formatting": _OP13}
