@@ -81,7 +81,7 @@ def layout_bandeiras(spark, sf_dir):
 
 
 _FOLDER = """with n as (select name, passage_id, upper(split_part(name, case when name like '%-%' then '-' else '.' end, 1)) as id, name like '%-%' as ok from {IMAGE_NAMES}),
-s as (select concat('ID', cast(passage_id // 2 * 2 as varchar)) as id, expected_plate as plate, concat('d', cast(passage_id as varchar)) as date from {BOOK_ROWS} where book = 0
+s as (select concat('ID', cast(passage_id // 2 * 2 as varchar)) as id, expected_plate as plate, concat('d', cast(passage_id as varchar)) as date from {BOOK_ROWS}
 qualify row_number() over (partition by passage_id // 2 order by passage_id desc) = 1)"""
 
 
@@ -91,7 +91,7 @@ def layout_tamoios(spark, sf_dir):
     named = X.on_spark(spark, sf_dir, X.IMAGE_NAMES)
     images = named.select(F.concat(F.lit("mem:/"), "name").alias("file"), F.col("name").cast("binary").alias("content"))
     other = named.limit(1).select(F.lit("mem:/notes.txt").alias("file"), F.lit("x").cast("binary").alias("content"))
-    sheet = books.made(X.on_spark(spark, sf_dir, X.BOOK_ROWS).where("book = 0"), "ref.xlsx", books.reference)
+    sheet = books.made(X.on_spark(spark, sf_dir, X.BOOK_ROWS), "ref{}.xlsx", books.reference)
     return _shown(*providers.read_tamoios(spark, images.unionByName(other), sheet=sheet), "name", "id", "id_status", "plate", "date")
 
 
