@@ -192,15 +192,18 @@ def token_fields(line: Column) -> Column:
 
     The model is what lies between the plate and the last four words (axles, fare, currency, responsible).
     """
-    t = F.split(trimmed(line), r"\s+")
-    n = F.size(t)
-    at = lambda k: F.get(t, F.lit(k))
-    end = lambda k: F.get(t, n - k)
     names = ("id", "date", "time", "sp", None, None, "plaza", "lane", "direction", "city", "code", "plate")
-    fields = [at(k).alias(x) for k, x in enumerate(names) if x]
-    fields.insert(4, F.concat(at(4), F.lit(" "), at(5)).alias("km"))
-    model = F.array_join(F.slice(t, F.lit(13), F.greatest(n - 16, F.lit(0))), " ")
-    return F.when(n >= 12, F.struct(*fields, model.alias("model"), end(4).alias("axles"), end(3).alias("fare"), end(1).alias("responsible")))
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        at = lambda k: F.get(t, F.lit(k))
+        end = lambda k: F.get(t, n - k)
+        fields = [at(k).alias(x) for k, x in enumerate(names) if x]
+        fields.insert(4, F.concat(at(4), F.lit(" "), at(5)).alias("km"))
+        model = F.array_join(F.slice(t, F.lit(13), F.greatest(n - 16, F.lit(0))), " ")
+        return F.when(n >= 12, F.struct(*fields, model.alias("model"), end(4).alias("axles"), end(3).alias("fare"), end(1).alias("responsible")))
+
+    return bound(F.split(trimmed(line), r"\s+"), of)
 
 
 def alerts(passage_id: Column, date: Column, time: Column, plate: Column) -> Column:

@@ -37,8 +37,9 @@ def _with_content(placed: DataFrame, found: DataFrame, late: bool, skip: bool) -
     return placed.join(xlsx.media(found, skip), ["file", "media"]).select("passage_id", "image_ix", "content")
 
 
-def _pdf(spark: SparkSession, path: str | DataFrame):
-    return S.files(spark, path, "pdf") if isinstance(path, DataFrame) else pdf.Folder(spark, path)
+def _pdf(spark: SparkSession, path: str | DataFrame, backend, late: bool = False):
+    """PDF files for `pdf.pages` and `pdf.page_images`: those of a table are opened once, and what is in them is kept."""
+    return pdf.scanned(S.files(spark, path, "pdf"), backend, not late) if isinstance(path, DataFrame) else pdf.Folder(spark, path)
 
 
 def _first_sheet(cells: DataFrame, preferred: str) -> DataFrame:
@@ -161,14 +162,19 @@ def _part(ord: str = "ord"):
     return F.concat_ws("/", "page", ord).alias("part")
 
 
-def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
-    """Several passages on a page, after a marker; each takes the next three images of the page."""
-    found = _pdf(spark, path)
+def _marked(found: DataFrame | pdf.Folder, backend) -> DataFrame:
+    """The passages of pages that have several, after a marker."""
     parts = pdf.pages(found, backend).select("file", "page", F.posexplode(T.blocks_after(F.col("text"), "Data/Hora")).alias("n", "b"))
     b = F.col("b")
     own = parts.select("file", "page", "n", T.date_time(b).alias("date_time"), T.category(b).alias("category"), T.first_plate(b).alias("expected_plate")).na.drop()
     k = F.row_number().over(Window.partitionBy("file", "page").orderBy("n")) - 1
-    passages = own.withColumn("k", k).select(_key("file", "page", "k"), "*")
+    return own.withColumn("k", k).select(_key("file", "page", "k"), "*")
+
+
+def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
+    """Several passages on a page, after a marker; each takes the next three images of the page."""
+    found = _pdf(spark, path, backend, late)
+    passages = _marked(found, backend)
     key = F.struct("file", "page").alias("page")
     images = pdf.placed(pdf.page_images(found, backend, not late))
     placed = associate.by_ordinal(passages.select(key, "k"), images.select(key, F.col("ord").alias("media"), "x0", "y0"))
@@ -180,14 +186,15 @@ def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, la
 
 def read_prototype(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
     """As read_autoban, but the k-th passage of a page takes its k-th image as the page lists them, of any size and place; none if there are fewer."""
-    passages, _ = read_autoban(spark, path, backend)
-    images = pdf.page_images(_pdf(spark, path), backend).select("file", "page", (F.col("ord") - 1).alias("k"), "content")
+    found = _pdf(spark, path, backend)
+    passages = _marked(found, backend)
+    images = pdf.page_images(found, backend).select("file", "page", (F.col("ord") - 1).alias("k"), "content")
     return passages, passages.select("passage_id", "file", "page", "k").join(images, ["file", "page", "k"]).select("passage_id", F.lit(1).alias("image_ix"), "content")
 
 
 def read_eixosp(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage on a page that has a transaction id; category and plate on the lines after it."""
-    found = _pdf(spark, path)
+    found = _pdf(spark, path, backend, late)
     text = F.replace("text", F.lit('"'), F.lit(""))
     own = pdf.pages(found, backend).select("file", "page", text.alias("text")).withColumn("external_id", T.transaction_id(F.col("text"))).where("external_id is not null")
     lines = F.filter(F.transform(F.split("text", "\n"), T.trimmed), lambda x: x != "")
@@ -215,7 +222,7 @@ def _photos(found, backend, passages: DataFrame, first_page: bool, fair: int, la
 
 def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage in a file, on one line of its text; its photographs by area."""
-    found = _pdf(spark, path)
+    found = _pdf(spark, path, backend, late)
     own = pdf.whole_text(pdf.pages(found, backend)).select("file", T.line_parts(T.passage_line(T.normalize_text(F.col("text")))).alias("l")).where("l is not null")
     own = own.withColumn("r", T.road_and_km(F.col("l.prefix")))
     rest = F.when(F.col("r.rest") != "", F.col("r.rest")).otherwise(F.col("l.prefix"))
@@ -226,7 +233,7 @@ def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, la
 
 def read_intervias(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage in a file, its fields by place on the first line that begins with a long id, on the first page."""
-    found = _pdf(spark, path)
+    found = _pdf(spark, path, backend, late)
     own = pdf.pages(found, backend).where("page = 1").select("file", T.token_fields(T.token_line(F.col("text"))).alias("t")).where("t is not null")
     passages = own.select(_key("file"), "file", "t.*").withColumnsRenamed({"id": "external_id", "plate": "expected_plate"})
     return passages, _photos(found, backend, passages, first_page=True, fair=1 << 62, late=late)

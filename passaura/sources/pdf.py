@@ -6,7 +6,7 @@ imported on use. A function of a file's bytes that gives all pages, (text, image
 
 Files are read from a folder by a data source of Spark, whose partitions are ranges of pages: a large file is opened once to
 count its pages and then by each task that reads some of them; small files share a task. A table of files (file, content) is read a
-file at a time.
+file at a time; `scanned` opens each of its files once, for texts and images.
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import BinaryIO, Protocol
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import opened
+from . import chunks, opened
 
 _PAGES = "file string, page int, text string"
 _IMAGES = "file string, page int, ord int, width int, height int, x0 double, y0 double, x1 double, y1 double, content binary"
 _FIELDS = [x.split()[0] for x in _IMAGES.split(", ")][3:]
 _PLACES = _IMAGES.removesuffix(", content binary")
+_SCAN = "file string, page int, text string, ord int, width int, height int, x0 double, y0 double, x1 double, y1 double, content binary"
 #: Pages of a task, and bytes from which on a file's pages are dealt out.
 RANGE, LARGE = 200, 8 << 20
 
@@ -168,24 +168,55 @@ def _read(files: DataFrame | Folder, backend, title: str, columns: str, rows: Ca
     if isinstance(files, Folder):
         files.spark.dataSource.register(_source(title, columns, rows, backend))
         return files.spark.read.format(title).options(**dict(files.options)).load(files.path)
-    names = [x.split()[0] for x in columns.split(", ")]
 
-    def over(frames):
-        for frame in frames:
-            for file, content in zip(frame["file"], frame["content"], strict=True):
-                own = document(backend, io.BytesIO(content))
-                yield pd.DataFrame(list(rows(file, own, range(len(own)))), columns=names)
+    def each(file: str, content: bytes) -> Iterator[tuple]:
+        own = document(backend, io.BytesIO(content))
+        return rows(file, own, range(len(own)))
 
-    return files.select("file", "content").mapInPandas(over, columns)
+    def over(batches):
+        return chunks.batches((row for batch in batches for x in chunks.files(batch) for row in each(*x)), columns)
+
+    return files.select("file", "content").mapInArrow(over, columns)
+
+
+def _all(content: bool) -> Callable:
+    """What `scanned` keeps of each page: its text, then its images."""
+
+    def rows(file: str, document: Document, pages: range) -> Iterator[tuple]:
+        none = (None,) * len(_FIELDS)
+        for k in pages:
+            yield (file, k + 1, document.text(k), None, *none)
+            for n, i in enumerate(document.images(k), 1):
+                yield (file, k + 1, None, n, *(i[x] if x != "content" or content else None for x in _FIELDS))
+
+    return rows
+
+
+def scanned(files: DataFrame, backend=default_backend, content: bool = True) -> DataFrame:
+    """The texts and images of a table of files (file, content), from one look at each file, written to the scratch folder: `pages` and `page_images` read from there."""
+    from .scratch import scratch_path
+
+    found = _read(files, backend, "pdf_scan", _SCAN, _all(content))
+    target = scratch_path(files.sparkSession, "pages")
+    found.write.parquet(target)
+    return files.sparkSession.read.schema(found.schema).parquet(target)
+
+
+def _is_scan(files: DataFrame | Folder) -> bool:
+    return isinstance(files, DataFrame) and {"ord", "text"} <= set(files.columns)
 
 
 def pages(files: DataFrame | Folder, backend=default_backend) -> DataFrame:
-    """(file, page from 1, text) of PDF files; a file that cannot be read stops the job with its error."""
+    """(file, page from 1, text) of PDF files, or of what `scanned` gives; a file that cannot be read stops the job with its error."""
+    if _is_scan(files):
+        return files.where("ord is null").select("file", "page", "text")
     return _read(files, backend, "pdf_pages", _PAGES, _texts)
 
 
 def page_images(files: DataFrame | Folder, backend=default_backend, content: bool = True) -> DataFrame:
     """The images of the pages of PDF files, ord from 1 in the backend's order, with their bytes or (content=False) without."""
+    if _is_scan(files):
+        return files.where("ord is not null").select([x.split()[0] for x in (_IMAGES if content else _PLACES).split(", ")])
     return _read(files, backend, "pdf_images", _IMAGES, _pictures) if content else _read(files, backend, "pdf_places", _PLACES, _places)
 
 

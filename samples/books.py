@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passaura.sources import xlsx
+from passaura.sources.scratch import scratch_path
 
 FILES = "file string, name string, length long, content binary"
 TWO, ONE = "twoCellAnchor", "oneCellAnchor"
@@ -30,6 +31,13 @@ def made(rows: DataFrame, name: str, build: Callable[[pd.DataFrame], bytes], by:
     return rows.groupBy(by).applyInPandas(one, FILES)
 
 
+def kept(files: DataFrame) -> DataFrame:
+    """A table of files, written to the scratch folder and read from there: a layout looks at its files several times, and they are made once."""
+    path = scratch_path(files.sparkSession, "files")
+    files.write.option("compression", "zstd").parquet(path)
+    return files.sparkSession.read.schema(files.schema).parquet(path)
+
+
 def workbook(rows: dict[int, dict[int, object]], pictures: list[tuple[int, int, str, str, bytes]] = (), title: str = "Plan1", heights: dict[int, float] | None = None) -> bytes:
     """A workbook of one sheet from its cells by row and column."""
     width = max(c for r in rows.values() for c in r)

@@ -104,7 +104,7 @@ def _documents(spark, sf_dir, pages: str, read, *columns):
     texts = _with_texts(spark, sf_dir, pages)
     content = F.to_json(F.array(F.struct("page", F.transform("texts", lambda t: F.coalesce(t, F.lit(""))).alias("texts"))))
     found = texts.select(F.concat(F.lit("mem:/d"), F.col("passage_id").cast("string"), F.lit(".pdf")).alias("file"), content.cast("binary").alias("content"))
-    shown = _shown(*read(spark, found, backend=books.pages_of), "file", *columns)
+    shown = _shown(*read(spark, books.kept(found), backend=books.pages_of), "file", *columns)
     return shown.withColumn("file", F.regexp_extract("file", "([0-9]+)", 1).cast("long")).withColumnRenamed("file", "document")
 
 

@@ -147,3 +147,30 @@ def test_passage_rows(spark):
     table = spark.createDataFrame([("a", 1, 0, ["ID", "x"]), ("a", 1, 2, [" 1234567890 ", "d2"]), ("a", 1, 1, ["1234567890123", "d1"]), ("a", 2, 0, ["123456789"]), ("b", 1, 0, [])], "file string, page int, line int, cells array<string>")
     (r,) = tables.passage_rows(table).collect()
     assert (r.file, r.page, r.id, r.date, r.responsible) == ("a", 1, "1234567890123", "d1", "")
+
+
+def test_files_of_a_table_are_opened_once(spark, tmp_path):
+    """Each was opened for texts, areas and bytes."""
+    from passaura.plans import providers
+
+    log = tmp_path / "opened"
+
+    def backend(content):
+        with open(log, "a") as f:
+            f.write("x")
+        return [(f"{content.decode()} 01/02/2024 10:11:12 330 KM 1+2 PRACA 2 SUL CIDADE 68 ABC1D23 MARCA 2 11,20 R$ NOME", [{"width": 400, "height": 300.0, "x0": 0, "y0": 0, "x1": 9, "y1": 9, "content": b"i"}])]
+
+    files = spark.createDataFrame([(f"mem:/{k}.pdf", (f"{k:020d}").encode()) for k in range(50)], "file string, content binary").coalesce(1)
+    passages, images = providers.read_intervias(spark, files, backend=backend)
+    assert passages.count() == 50 and {bytes(r.content) for r in images.collect()} == {b"i"} and images.count() == 50
+    assert len(log.read_text()) == 50
+
+
+def test_batches_end_by_rows_and_bytes():
+    from passaura.sources import chunks
+
+    rows = [(str(k), k, None, b"y" * 10) for k in range(7)]
+    own = list(chunks.batches(rows, "a string, b int, c double, d binary", most=3))
+    assert [b.num_rows for b in own] == [3, 3, 1] and [tuple(r.values()) for b in own for r in b.to_pylist()] == rows
+    assert [b.num_rows for b in chunks.batches(rows, "a string, b int, c double, d binary", size=22)] == [2, 2, 2, 1]
+    assert list(chunks.batches([], "a string")) == []
