@@ -8,27 +8,31 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passaura.sources import xlsx
+from passaura.sources import chunks, xlsx
 from passaura.sources.scratch import scratch_path
 
 FILES = "file string, name string, length long, content binary"
 TWO, ONE = "twoCellAnchor", "oneCellAnchor"
+_FIELDS = itemgetter("k", "passage_id", "expected_plate", "texts")
 
 
-def made(rows: DataFrame, name: str, build: Callable[[pd.DataFrame], bytes], by: str = "book") -> DataFrame:
+def made(rows: DataFrame, name: str, build: Callable[[list[dict]], bytes], by: str = "book") -> DataFrame:
     """A file for each value of `by`: its name has {} in the value's place, its bytes are build(rows in order of k)."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        content = build(frame.sort_values("k"))
-        base = name.format(frame[by].iloc[0])
-        return pd.DataFrame([(f"mem:/{base}", base, len(content), content)], columns=[x.split()[0] for x in FILES.split(", ")])
+    def one(value, own: list[dict]) -> tuple:
+        content, base = build(own), name.format(value)
+        return f"mem:/{base}", base, len(content), content
 
-    return rows.groupBy(by).applyInPandas(one, FILES)
+    def over(batches):
+        return chunks.batches((one(value.as_py(), own.as_py()) for batch in batches for value, own in zip(batch.column(0), batch.column(1), strict=True)), FILES)
+
+    own = F.struct("k", *(c for c in rows.columns if c not in ("k", by)))
+    return kept(rows.repartition(by).groupBy(by).agg(F.array_sort(F.collect_list(own)).alias("rows")).mapInArrow(over, FILES))
 
 
 def kept(files: DataFrame) -> DataFrame:
@@ -47,10 +51,10 @@ def workbook(rows: dict[int, dict[int, object]], pictures: list[tuple[int, int,
     return out.getvalue()
 
 
-def blocks(frame: pd.DataFrame) -> bytes:
+def blocks(own: list[dict]) -> bytes:
     """Passages in blocks of thirty rows, their pictures in the rows of the block, a logo before."""
     rows, pictures = {1: {1: "title"}}, [(2, 0, TWO, "image1.png", b"ABC1234")]
-    for k, i, plate, texts in zip(frame["k"], frame["passage_id"], frame["expected_plate"], frame["texts"], strict=True):
+    for k, i, plate, texts in map(_FIELDS, own):
         first = 3 + 30 * int(k)
         rows[first] = {1: int(k) + 1, 2: f"ID{i}", 3: "01/02/2024", 12: plate, 14: f"c{int(k) % 3}", 15: "2"}
         pictures += [(first + n, 0, TWO, f"m{i}-{n}.png", (t or "").encode()) for n, t in enumerate(texts, 1)]
@@ -58,27 +62,27 @@ def blocks(frame: pd.DataFrame) -> bytes:
     return workbook(rows, pictures)
 
 
-def single(frame: pd.DataFrame) -> bytes:
+def single(own: list[dict]) -> bytes:
     """One passage in row 6 of the sheet of photographs, pictures from row 5 on, a drawing among them."""
-    r = frame.iloc[0]
+    r = own[0]
     pictures = [(5, 0, TWO, "early.png", b"ABC1234"), (6, 0, TWO, "logo.EMF", b"ABC1234")]
     pictures += [(6 + n, 0, TWO, f"m{n}.png", (t or "").encode()) for n, t in enumerate(r["texts"], 1)]
     return workbook({1: {1: "t"}, 6: {2: f"ID{r['passage_id']}", 3: "01/02/2024", 12: r["expected_plate"], 14: "2"}}, pictures, title="Fotos")
 
 
-def table(header: int, titles: list[str]) -> Callable[[pd.DataFrame], bytes]:
+def table(header: int, titles: list[str]) -> Callable[[list[dict]], bytes]:
     """A table below a header row: plate, id and date by their titles, the last column names a picture beside the workbook.
 
     Of every three rows one names a picture that is there, one a picture that is not there, one nothing; even rows have
     two pictures in the sheet, the first of every other one anchored at the foot of the row before.
     """
 
-    def build(frame: pd.DataFrame) -> bytes:
+    def build(own: list[dict]) -> bytes:
         rows, pictures, heights = {1: {1: "x"}, header: dict(enumerate(titles, 1))}, [], {}
-        for k, i, plate, texts in zip(frame["k"], frame["passage_id"], frame["expected_plate"], frame["texts"], strict=True):
+        for k, i, plate, texts in map(_FIELDS, own):
             row, k = header + 1 + int(k), int(k)
-            own = {"Placa": plate, "ID_PASSAGEM": f"ID{i}", "ID Transacao": f"ID{i}", "DATA HORA": "d", "Data Passagem": "d", "Hora Passagem": "h", "Categoria": str(k % 5)}
-            rows[row] = {c: own[t] for c, t in enumerate(titles, 1) if t in own}
+            values = {"Placa": plate, "ID_PASSAGEM": f"ID{i}", "ID Transacao": f"ID{i}", "DATA HORA": "d", "Data Passagem": "d", "Hora Passagem": "h", "Categoria": str(k % 5)}
+            rows[row] = {c: values[t] for c, t in enumerate(titles, 1) if t in values}
             rows[row][len(titles)] = (f'"p{i}.png"' if k % 2 else f"p{i}.png", " none.png", "nan")[k % 3]
             content = (texts[0] if len(texts) and texts[0] else "").encode()
             if k % 2 == 0:
@@ -91,10 +95,10 @@ def table(header: int, titles: list[str]) -> Callable[[pd.DataFrame], bytes]:
     return build
 
 
-def reference(frame: pd.DataFrame) -> bytes:
+def reference(own: list[dict]) -> bytes:
     """A reference sheet whose titles are synonyms with accents, in row 5; ids in any case, some twice."""
     rows = {1: {1: "x"}, 5: {1: " Id Passagem", 2: "PLACA  Veículo", 3: "Data", 5: "Classe Veiculo"}}
-    for k, (i, plate) in enumerate(zip(frame["passage_id"], frame["expected_plate"], strict=True)):
+    for k, (i, plate) in enumerate((r["passage_id"], r["expected_plate"]) for r in own):
         rows[6 + k] = {1: f" id{i // 2 * 2} ", 2: plate, 3: f"d{i}", 5: f"c{k % 3}"}
     return workbook(rows)
 

@@ -65,9 +65,9 @@ case when k % 3 = 0 then 'beside' when k % 8 = 0 then 'ABC1234' when k % 2 = 0 t
 
 def _table(spark, sf_dir, name: str, header: int, titles: list[str], read):
     rows = _with_texts(spark, sf_dir, X.BOOK_ROWS)
-    beside = rows.where("k % 3 = 0").select(F.concat(F.lit("mem:/p"), F.col("passage_id").cast("string"), F.lit(".png")).alias("file"), F.lit("beside").cast("binary").alias("content"))
+    beside = X.on_spark(spark, sf_dir, X.BOOK_ROWS).where("k % 3 = 0").select(F.concat(F.lit("mem:/p"), F.col("passage_id").cast("string"), F.lit(".png")).alias("file"), F.lit("beside").cast("binary").alias("content"))
     made = books.made(rows, name + "{}.xlsx", books.table(header, titles)).select("file", "content")
-    return _shown(*read(spark, made.unionByName(beside), sound=F.isnotnull), "file", "row", "external_id", "expected_plate", "origin")
+    return _shown(*read(spark, made.unionByName(books.kept(beside)), sound=F.isnotnull), "file", "row", "external_id", "expected_plate", "origin")
 
 
 @query(_table_sql("v", 3, "Foto 1"))

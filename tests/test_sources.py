@@ -375,3 +375,17 @@ def test_menu_and_run(spark, tmp_path):
     assert (tmp_path / "p.html").read_text().count("<tr class=") == 2
     with pytest.raises(SystemExit):
         main(["spvias"])
+
+
+def test_documents_of_a_query_are_made_once(spark, tmp_path):
+    """Each workbook was made anew for its scan and for its pictures."""
+    log = tmp_path / "made"
+
+    def build(own):
+        with open(log, "a") as f:
+            f.write("x")
+        return books.blocks(own)
+
+    rows = spark.createDataFrame([(b, k, 10 * b + k, "ABC1D23", ["ABC1D23", None]) for b in range(3) for k in (1, 0)], "book long, k int, passage_id long, expected_plate string, texts array<string>")
+    passages, images = providers.read_spvias(spark, books.made(rows, "b{}.xlsx", build))
+    assert passages.count() == 6 and images.count() == 12 and len(log.read_text()) == 3
