@@ -113,7 +113,10 @@ def distance(expected: Column, read: Column) -> Column:
         a, b = s["a"], s["b"]
         # of equal lengths, a way that inserts also deletes and costs 200 or more: exchanges up to that are the least
         by_exchange = F.when(F.length(a) == F.length(b), bound(in_place(a, b), lambda n: F.when(n <= 200, n)))
-        return F.when((a == "") | (b == ""), F.lit(UNREAD_COST)).when(a == b, F.lit(0.0)).otherwise(F.coalesce(by_exchange, _table(a, b, hundred, cell)) / F.lit(100.0))
+        # one begins or ends with the other: what is left is inserted, and no way inserts fewer
+        partial = a.startswith(b) | a.endswith(b) | b.startswith(a) | b.endswith(a)
+        inserted = F.abs(F.length(a) - F.length(b)).cast("double")
+        return F.when((a == "") | (b == ""), F.lit(UNREAD_COST)).when(a == b, F.lit(0.0)).when(partial, inserted).otherwise(F.coalesce(by_exchange, _table(a, b, hundred, cell)) / F.lit(100.0))
 
     return bound(F.struct(F.coalesce(clean(expected), F.lit("")).alias("a"), F.coalesce(clean(read), F.lit("")).alias("b")), of)
 
@@ -148,6 +151,7 @@ def matches(expected: Column, read: Column) -> Column:
 
     def of(s: Column) -> Column:
         none = (s["a"] == "") | (s["b"] == "") | (s["b"] == UNREAD.upper().replace(" ", ""))
-        return F.when(none, F.lit(0)).otherwise(shared_letters(s["a"], s["b"]))
+        a, b = s["a"], s["b"]
+        return F.when(none, F.lit(0)).when(a.contains(b), F.length(b)).when(b.contains(a), F.length(a)).otherwise(shared_letters(a, b))
 
     return bound(F.struct(F.coalesce(clean(expected), F.lit("")).alias("a"), F.coalesce(clean(read), F.lit("")).alias("b")), of)

@@ -194,3 +194,18 @@ def test_sql_functions_are_the_columns(spark):
     text = spark.sql("SELECT a, b, plate_clean(a), plate_mask(a), plate_is_valid(b), plate_fit(b, plate_mask(a)), plate_normalize(b, plate_mask(a)), plate_normalize(b, NULL), plate_distance(a, b), plate_matches(a, b) FROM plate_pairs")
     assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, text.collect()), key=repr)
     assert [tuple(x) for x in spark.sql("SELECT k, block FROM blocks_after('a.*b.*c', '.*')").collect()] == [(0, "b"), (1, "c")]
+
+
+def test_plates_that_hold_each_other_fill_no_table(spark, monkeypatch):
+    """A plate with a character lost or added at an end, and whole ones, filled the table of the weighted distance."""
+    from passaura.functions import plain, sql
+
+    pairs = [("ABC1234", "ABC123"), ("ABC1234", "XABC1234"), ("ABC1234", "BC1234"), ("ABC1234", "ABC12340"), ("AAAA", "AA"), ("ABC1234", "ABC1234"), ("ABC1234", "4321CBA"), ("ABC1O", "A8C10"), ("", "A"), (None, "A"), ("ABC1234", "C12"), ("AB", "BAB0"), ("1234ABC", "ABC1234")]
+    df = sql.register(spark).createDataFrame(pairs, "a string, b string").coalesce(1)
+    for x in df.selectExpr("*", "plate_distance(a, b) as d", "plate_matches(a, b) as m").withColumns({"e": P.distance(F.col("a"), F.col("b")), "n": P.matches(F.col("a"), F.col("b"))}).collect():
+        assert x.d == x.e == plain.distance(x.a or "", x.b or "") and x.m == x.n == plain.matches(x.a or "", x.b or ""), x
+    with monkeypatch.context() as m:
+        m.setattr(P, "_table", lambda a, b, first, cell: F.raise_error(F.lit("table")).cast("int"))
+        m.setattr(P, "shared_letters", lambda a, b: F.raise_error(F.lit("letters")).cast("int"))
+        held = df.limit(6).select(P.distance(F.col("a"), F.col("b")).alias("d"), P.matches(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [(r.d, r.m) for r in held] == [(1, 6), (1, 7), (1, 6), (1, 7), (2, 2), (0, 7)]
