@@ -31,12 +31,13 @@ def lines(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     lines of text that is; there a word's middle counts. On other pages words that overlap in height, or are joined by ones that do, are one line.
     """
     order = ["y0", "x0", "x1", "y1", "word"]
-    own = words.withColumn("_begins", _begins(F.col("y0"), "y1", order, 0.0)).withColumn("_line", _counted(F.col("_begins"), order)).drop("_begins")
+    begins = _begins(F.col("y0"), "y1", order, 0.0)
     if rules is None:
-        return own.withColumnRenamed("_line", "line")
-    own = own.withColumns({"_at": (F.col("y0") + F.col("y1")) / 2, "_rule": F.lit(0)})
-    marks = rules.select(*PAGE, F.col("y").cast("double").alias("_at"), F.lit(1).alias("_rule")).distinct()
-    both = own.unionByName(marks, allowMissingColumns=True)
+        return words.withColumn("_begins", begins).withColumn("line", _counted(F.col("_begins"), order)).drop("_begins")
+    # rules go among the words before these are dealt out by page, so that they are dealt out once; a rule begins no line of text
+    marks = rules.select(*PAGE, F.col("y").cast("double").alias("_at"), F.lit(1).alias("_rule"))
+    both = words.withColumns({"_at": (F.col("y0") + F.col("y1")) / 2, "_rule": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_begins", begins & (F.col("_rule") == 0)).withColumn("_line", _counted(F.col("_begins"), order))
     sweep = Window.partitionBy(*PAGE).orderBy("_at", F.desc("_rule")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumns({"_above": F.sum("_rule").over(sweep), "_ruled": F.max("_rule").over(Window.partitionBy(*PAGE))})
     own = both.where("_rule = 0").withColumn("_key", F.when(F.col("_ruled") == 1, F.col("_above")).otherwise(F.col("_line")))

@@ -174,3 +174,12 @@ def test_batches_end_by_rows_and_bytes():
     assert [b.num_rows for b in own] == [3, 3, 1] and [tuple(r.values()) for b in own for r in b.to_pylist()] == rows
     assert [b.num_rows for b in chunks.batches(rows, "a string, b int, c double, d binary", size=22)] == [2, 2, 2, 1]
     assert list(chunks.batches([], "a string")) == []
+
+
+def test_words_of_pages_are_dealt_out_once(spark):
+    """Words were dealt out by page again where rules came in; repeated rules and rules of no height change nothing."""
+    words = spark.createDataFrame([("a", 1, "x", 0.0, 0.0, 9.0, 5.0), ("a", 1, "y", 0.0, 6.0, 9.0, 9.0), ("b", 1, "z", 0.0, 0.0, 9.0, 5.0)], "file string, page int, word string, x0 double, y0 double, x1 double, y1 double")
+    rules = spark.createDataFrame([("a", 1, -1.0), ("a", 1, -1.0), ("a", 1, 20.0), ("c", 1, None)], "file string, page int, y double")
+    found = tables.rows(words, rules)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 0, ["x y"]), ("b", 1, 0, ["z"])]
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
