@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.plate import bound
+
 #: The row that ends the last block; rows in EMU and their default height in points.
 LAST_ROW, EMU, DEFAULT_HEIGHT = 99999, 12700, 15
 
@@ -80,6 +82,16 @@ def large_photos(images: DataFrame, large: int = 100_000, fair: int = 10_000, mo
     return ranked.where(keep).drop("top")
 
 
+def large_of(areas: Column, large: int = 100_000, fair: int = 10_000, most: int = 6) -> Column:
+    """As large_photos of one file: areas is its array of struct(page, ord, area) in order; struct(s, n, page, ord) of those kept, in order of image_ix."""
+    ranked = F.array_sort(F.transform(areas, lambda a, n: F.struct(F.negate(a["area"]).alias("s"), n.alias("n"), a["page"].alias("page"), a["ord"].alias("ord"))))
+
+    def of(r: Column) -> Column:
+        return F.when(F.get(r, F.lit(0))["s"] <= -large, F.filter(r, lambda x: x["s"] <= -large)).otherwise(F.filter(F.slice(r, 1, most), lambda x: x["s"] <= -fair))
+
+    return bound(ranked, of)
+
+
 def with_reference(images: DataFrame, sheet: DataFrame) -> DataFrame:
     """images (id, id_ok, ...) with the sheet's plate, date, time, category of the id, and id_status.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import plate as P
@@ -18,6 +18,7 @@ from ..functions import values as V
 from ..operators import associate, elect, report, sheets
 from ..sources import files as S
 from ..sources import pdf, xlsx
+from ..sources.scratch import written
 
 #: The logo in the block workbooks, and picture types that are no photographs.
 LOGO, DRAWN = ("image1.png",), (".emf", ".wmf")
@@ -37,9 +38,28 @@ def _with_content(placed: DataFrame, found: DataFrame, late: bool, skip: bool) -
     return placed.join(xlsx.media(found, skip), ["file", "media"]).select("passage_id", "image_ix", "content")
 
 
-def _pdf(spark: SparkSession, path: str | DataFrame, backend, late: bool = False):
-    """PDF files for `pdf.pages` and `pdf.page_images`: those of a table are opened once, and what is in them is kept."""
-    return pdf.scanned(S.files(spark, path, "pdf"), backend, not late) if isinstance(path, DataFrame) else pdf.Folder(spark, path)
+def _pages(spark: SparkSession, path: str | DataFrame, backend, late: bool, made: Callable[[DataFrame], DataFrame] = lambda pages: pages) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """made(pages) for their texts, made(pages) for their images, and bytes of images that are not with these; the files of a table are opened once, and what is in them is kept."""
+    if isinstance(path, DataFrame):
+        own, contents = pdf.scanned(S.files(spark, path, "pdf"), backend, not late, made)
+        return own, own, contents
+    folder = pdf.Folder(spark, path)
+    return made(pdf.pages(folder, backend)), made(pdf.with_places(folder, backend)), pdf.page_images(folder, backend).select("file", "page", "ord", "content")
+
+
+def _image(places: DataFrame) -> list[str]:
+    """The columns of an image i of a page that `_pictured` takes."""
+    return ["file", "page", "i.ord", *(("i.content", "apart") if "apart" in places.columns else ())]
+
+
+def _pictured(picked: DataFrame, contents: DataFrame, late: bool) -> DataFrame:
+    """(passage_id, image_ix, content) of what was picked (passage_id, image_ix, file, page, ord), its bytes with it unless they are apart; late: file and part."""
+    if late:
+        return picked.select("passage_id", "image_ix", "file", F.concat_ws("/", "page", "ord").alias("part"))
+    named = lambda x: x.select("passage_id", "image_ix", "content")
+    if "apart" not in picked.columns:
+        return named(picked.join(contents, ["file", "page", "ord"]))
+    return named(picked.where("not apart")).unionByName(named(picked.where("apart").drop("content").join(contents, ["file", "page", "ord"])))
 
 
 def _first_sheet(cells: DataFrame, preferred: str) -> DataFrame:
@@ -157,86 +177,88 @@ def read_tamoios(spark: SparkSession, path: str, sheet: str = "", late: bool = F
     return passages, ok.join(images.select("file", "content"), "file").select("passage_id", F.lit(1).alias("image_ix"), "content")
 
 
-def _part(ord: str = "ord"):
-    """Where an image of a PDF file is, for `sources.late`."""
-    return F.concat_ws("/", "page", ord).alias("part")
+def _marked(pages: DataFrame) -> DataFrame:
+    """The passages of pages that have several, after a marker, as an array in the text's place."""
+    fields = lambda b: {"date_time": T.date_time(b), "category": T.category(b), "expected_plate": T.first_plate(b)}
+    parts = F.transform(T.blocks_after(F.col("text"), "Data/Hora"), lambda b, n: F.struct(n.alias("n"), *(c.alias(x) for x, c in fields(b).items())))
+    return pages.withColumn("marks", F.filter(parts, lambda x: x["date_time"].isNotNull() & x["category"].isNotNull() & x["expected_plate"].isNotNull())).drop("text")
 
 
-def _marked(found: DataFrame | pdf.Folder, backend) -> DataFrame:
-    """The passages of pages that have several, after a marker."""
-    parts = pdf.pages(found, backend).select("file", "page", F.posexplode(T.blocks_after(F.col("text"), "Data/Hora")).alias("n", "b"))
-    b = F.col("b")
-    own = parts.select("file", "page", "n", T.date_time(b).alias("date_time"), T.category(b).alias("category"), T.first_plate(b).alias("expected_plate")).na.drop()
-    k = F.row_number().over(Window.partitionBy("file", "page").orderBy("n")) - 1
-    return own.withColumn("k", k).select(_key("file", "page", "k"), "*")
+def _of_marks(pages: DataFrame) -> DataFrame:
+    return pages.select("file", "page", F.posexplode("marks").alias("k", "m")).select(_key("file", "page", "k"), "file", "page", "m.*", "k")
 
 
 def read_autoban(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
-    """Several passages on a page, after a marker; each takes the next three images of the page."""
-    found = _pdf(spark, path, backend, late)
-    passages = _marked(found, backend)
-    key = F.struct("file", "page").alias("page")
-    images = pdf.placed(pdf.page_images(found, backend, not late))
-    placed = associate.by_ordinal(passages.select(key, "k"), images.select(key, F.col("ord").alias("media"), "x0", "y0"))
-    placed = placed.select(F.xxhash64("page.file", "page.page", "k").alias("passage_id"), "page.file", "page.page", "image_ix", F.col("media").alias("ord"))
-    if late:
-        return passages, placed.select("passage_id", "image_ix", "file", _part())
-    return passages, placed.join(images, ["file", "page", "ord"]).select("passage_id", "image_ix", "content")
+    """Several passages on a page, after a marker; each takes the next three images of the page, from its top."""
+    texts, places, contents = _pages(spark, path, backend, late, _marked)
+    ordered = F.array_sort(F.transform(pdf.placed(F.col("images")), lambda i: F.struct(*(i[x].alias(x) for x in ("y0", "x0", "ord", "content")))))
+    placed = places.select("*", F.posexplode(F.slice(ordered, F.lit(1), 3 * F.size("marks"))).alias("n", "i")).withColumn("k", F.floor(F.col("n") / 3).cast("int"))
+    placed = placed.select(_key("file", "page", "k"), (F.col("n") % 3 + 1).alias("image_ix"), *_image(places))
+    return _of_marks(texts), _pictured(placed, contents, late)
 
 
 def read_prototype(spark: SparkSession, path: str, backend=pdf.default_backend, **_):
     """As read_autoban, but the k-th passage of a page takes its k-th image as the page lists them, of any size and place; none if there are fewer."""
-    found = _pdf(spark, path, backend)
-    passages = _marked(found, backend)
-    images = pdf.page_images(found, backend).select("file", "page", (F.col("ord") - 1).alias("k"), "content")
-    return passages, passages.select("passage_id", "file", "page", "k").join(images, ["file", "page", "k"]).select("passage_id", F.lit(1).alias("image_ix"), "content")
+    texts, places, contents = _pages(spark, path, backend, False, _marked)
+    placed = places.select("*", F.posexplode(F.slice("images", F.lit(1), F.size("marks"))).alias("k", "i"))
+    return _of_marks(texts), _pictured(placed.select(_key("file", "page", "k"), F.lit(1).alias("image_ix"), *_image(places)), contents, False)
 
 
-def read_eixosp(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
-    """One passage on a page that has a transaction id; category and plate on the lines after it."""
-    found = _pdf(spark, path, backend, late)
-    text = F.replace("text", F.lit('"'), F.lit(""))
-    own = pdf.pages(found, backend).select("file", "page", text.alias("text")).withColumn("external_id", T.transaction_id(F.col("text"))).where("external_id is not null")
+def _with_ids(pages: DataFrame) -> DataFrame:
+    """Pages with what their text says of a passage, in its place."""
+    own = pages.withColumn("text", F.replace("text", F.lit('"'), F.lit(""))).withColumn("external_id", T.transaction_id(F.col("text")))
     lines = F.filter(F.transform(F.split("text", "\n"), T.trimmed), lambda x: x != "")
     own = own.withColumn("lines", lines).withColumn("at", F.array_position("lines", F.col("external_id")).cast("int"))
     listed = (F.col("at") > 0) & (F.size("lines") >= F.col("at") + 2)
     second = F.get("lines", F.col("at") + 1)
     plate = F.coalesce(F.when(listed & P.is_valid(second), second), T.bounded_plate(F.col("text")), F.lit("N/A"))
     category = F.when(listed, F.get("lines", F.col("at"))).otherwise("01")
-    passages = own.select(_key("file", "page"), "file", "page", "external_id", T.labelled_date(F.col("text")).alias("date_time"), category.alias("category"), plate.alias("expected_plate"))
-    images = pdf.wide(pdf.page_images(found, backend, not late)).withColumn("passage_id", F.xxhash64("file", "page"))
-    return passages, images.join(passages.select("passage_id"), "passage_id", "left_semi").select("passage_id", "image_ix", *(("file", _part()) if late else ("content",)))
+    return own.withColumns({"date_time": T.labelled_date(F.col("text")), "category": category, "expected_plate": plate}).drop("text", "lines", "at")
 
 
-def _photos(found, backend, passages: DataFrame, first_page: bool, fair: int, late: bool) -> DataFrame:
-    images = pdf.page_images(found, backend, not late)
-    images = images.where("page = 1") if first_page else images
-    areas = images.select("file", "page", F.col("ord").alias("n"), (F.col("width").cast("long") * F.col("height")).alias("area")).where("area > 0")
-    order = F.row_number().over(Window.partitionBy("file").orderBy("page", "n"))
-    picked = associate.large_photos(areas.withColumn("ord", order), fair=fair)
-    if late:
-        return passages.select("passage_id", "file").join(picked, "file").select("passage_id", "image_ix", "file", _part("n"))
-    content = images.select("file", "page", F.col("ord").alias("n"), "content")
-    return passages.select("passage_id", "file").join(picked, "file").join(content, ["file", "page", "n"]).select("passage_id", "image_ix", "content")
+def read_eixosp(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
+    """One passage on a page that has a transaction id; category and plate on the lines after it."""
+    texts, places, contents = (x.where("external_id is not null") if "external_id" in x.columns else x for x in _pages(spark, path, backend, late, _with_ids))
+    passages = texts.select(_key("file", "page"), "file", "page", "external_id", "date_time", "category", "expected_plate")
+    placed = places.select("*", F.posexplode(pdf.wide(F.col("images"))).alias("n", "i"))
+    return passages, _pictured(placed.select(_key("file", "page"), (F.col("n") + 1).alias("image_ix"), *_image(places)), contents, late)
+
+
+def _areas(pages: DataFrame) -> DataFrame:
+    """Pages with areas: struct(page, ord, area) of their images that have an area."""
+    area = lambda i: i["width"].cast("long") * i["height"]
+    each = F.transform(F.filter("images", lambda i: area(i) > 0), lambda i: F.struct(F.col("page").alias("page"), i["ord"].alias("ord"), area(i).alias("area")))
+    return pages.withColumn("areas", each)
+
+
+def _photos(files: DataFrame, fair: int) -> DataFrame:
+    """files (areas, ...) of one passage each, a row for each of its photographs: its place n and page and ord in i."""
+    return files.select(*(c for c in files.columns if c != "page"), F.posexplode(associate.large_of(F.col("areas"), fair=fair)).alias("n", "i")).withColumn("page", F.col("i.page"))
 
 
 def read_ecovias(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage in a file, on one line of its text; its photographs by area."""
-    found = _pdf(spark, path, backend, late)
-    own = pdf.whole_text(pdf.pages(found, backend)).select("file", T.line_parts(T.passage_line(T.normalize_text(F.col("text")))).alias("l")).where("l is not null")
+    texts, places, contents = _pages(spark, path, backend, late)
+    own = pdf.whole_text(texts).select("file", T.line_parts(T.passage_line(T.normalize_text(F.col("text")))).alias("l"))
+    own = (written(own, "lines") if isinstance(path, DataFrame) else own).where("l is not null")
+    areas = _areas(places).select("file", "areas").where(F.size("areas") > 0).groupBy("file").agg(F.array_sort(F.flatten(F.collect_list("areas"))).alias("areas"))
+    photos = _photos(areas.join(own.select("file"), "file"), fair=10_000).select(_key("file"), (F.col("n") + 1).alias("image_ix"), "file", "page", "i.ord")
+    if "apart" in places.columns:  # a file's photographs are of several pages
+        contents = places.where("not apart").select("file", "page", F.inline("images")).select(contents.columns).unionByName(contents)
     own = own.withColumn("r", T.road_and_km(F.col("l.prefix")))
     rest = F.when(F.col("r.rest") != "", F.col("r.rest")).otherwise(F.col("l.prefix"))
     own = own.withColumns({"w": T.place_parts(rest), "v": T.vehicle_parts(F.col("l.suffix")), "a": T.alerts(F.col("l.id"), F.col("l.date"), F.col("l.time"), F.col("l.plate"))})
     passages = own.select(_key("file"), "file", F.col("l.id").alias("external_id"), "l.date", "l.time", F.col("l.plate").alias("expected_plate"), "r.sp", "r.km", "w.*", "v.*", T.passage_status(F.col("a")).alias("parse_status"), F.array_join("a", "; ").alias("alerts"))
-    return passages, _photos(found, backend, passages, first_page=False, fair=10_000, late=late)
+    return passages, _pictured(photos, contents, late)
 
 
 def read_intervias(spark: SparkSession, path: str, backend=pdf.default_backend, late: bool = False, **_):
     """One passage in a file, its fields by place on the first line that begins with a long id, on the first page."""
-    found = _pdf(spark, path, backend, late)
-    own = pdf.pages(found, backend).where("page = 1").select("file", T.token_fields(T.token_line(F.col("text"))).alias("t")).where("t is not null")
-    passages = own.select(_key("file"), "file", "t.*").withColumnsRenamed({"id": "external_id", "plate": "expected_plate"})
-    return passages, _photos(found, backend, passages, first_page=True, fair=1 << 62, late=late)
+    first = lambda pages: pages.withColumn("t", F.when(F.col("page") == 1, T.token_fields(T.token_line(F.col("text"))))).drop("text")
+    texts, places, contents = _pages(spark, path, backend, late, first)
+    passages = texts.where("t is not null").select(_key("file"), "file", "t.*").withColumnsRenamed({"id": "external_id", "plate": "expected_plate"})
+    photos = _photos(_areas(places.where("t is not null")), fair=1 << 62).withColumn("i", F.get("images", F.col("i.ord") - 1))
+    return passages, _pictured(photos.select(_key("file"), (F.col("n") + 1).alias("image_ix"), *_image(places)), contents, late)
 
 
 @dataclass(frozen=True)

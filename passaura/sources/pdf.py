@@ -6,7 +6,8 @@ imported on use. A function of a file's bytes that gives all pages, (text, image
 
 Files are read from a folder by a data source of Spark, whose partitions are ranges of pages: a large file is opened once to
 count its pages and then by each task that reads some of them; small files share a task. A table of files (file, content) is read a
-file at a time; `scanned` opens each of its files once, for texts and images.
+file at a time; `scanned` opens each of its files once, for texts and images. A row of a page has the places of its images, so what is chosen among
+them, or told by the page's text, needs no exchange.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import BinaryIO, Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -26,9 +27,13 @@ _PAGES = "file string, page int, text string"
 _IMAGES = "file string, page int, ord int, width int, height int, x0 double, y0 double, x1 double, y1 double, content binary"
 _FIELDS = [x.split()[0] for x in _IMAGES.split(", ")][3:]
 _PLACES = _IMAGES.removesuffix(", content binary")
-_SCAN = "file string, page int, text string, ord int, width int, height int, x0 double, y0 double, x1 double, y1 double, content binary"
+_NESTED = "array<struct<ord:int,width:int,height:int,x0:double,y0:double,x1:double,y1:double,content:binary>>"
+_WITH_PLACES = f"{_PAGES}, images {_NESTED}"
+_SCAN = f"{_WITH_PLACES}, apart boolean, ord int, content binary"
 #: Pages of a task, and bytes from which on a file's pages are dealt out.
 RANGE, LARGE = 200, 8 << 20
+#: Bytes of a page's images up to which they stay in the page's row.
+TOGETHER = 16 << 20
 
 
 class Document(Protocol):
@@ -107,6 +112,14 @@ def _places(file: str, document: Document, pages: range) -> Iterator[tuple]:
     return (x[:-1] for x in _pictures(file, document, pages))
 
 
+def _listed(images: list[dict], content: bool = False) -> list[tuple]:
+    return [(n, *(i[x] for x in _FIELDS[:-1]), i["content"] if content else None) for n, i in enumerate(images, 1)]
+
+
+def _with_places(file: str, document: Document, pages: range) -> Iterator[tuple]:
+    return ((file, k + 1, document.text(k), _listed(document.images(k))) for k in pages)
+
+
 @dataclass
 class PageRange(InputPartition):
     """Files with their first page and the page after the last; None: all pages."""
@@ -180,43 +193,43 @@ def _read(files: DataFrame | Folder, backend, title: str, columns: str, rows: Ca
 
 
 def _all(content: bool) -> Callable:
-    """What `scanned` keeps of each page: its text, then its images."""
+    """What `scanned` keeps of each page: its text and images; those of a page of over TOGETHER bytes have rows of their own for their bytes."""
+    most = TOGETHER
 
     def rows(file: str, document: Document, pages: range) -> Iterator[tuple]:
-        none = (None,) * len(_FIELDS)
         for k in pages:
-            yield (file, k + 1, document.text(k), None, *none)
-            for n, i in enumerate(document.images(k), 1):
-                yield (file, k + 1, None, n, *(i[x] if x != "content" or content else None for x in _FIELDS))
+            images = document.images(k)
+            apart = content and sum(len(i["content"] or b"") for i in images) > most
+            yield file, k + 1, document.text(k), _listed(images, content and not apart), apart, None, None
+            if apart:
+                yield from ((file, k + 1, None, [], None, n, i["content"]) for n, i in enumerate(images, 1))
 
     return rows
 
 
-def scanned(files: DataFrame, backend=default_backend, content: bool = True) -> DataFrame:
-    """The texts and images of a table of files (file, content), from one look at each file, written to the scratch folder: `pages` and `page_images` read from there."""
-    from .scratch import scratch_path
+def scanned(files: DataFrame, backend=default_backend, content: bool = True, made: Callable[[DataFrame], DataFrame] = lambda pages: pages) -> tuple[DataFrame, DataFrame]:
+    """made(pages) of a table of files (file, content), from one look at each file, and the bytes (file, page, ord, content) of images that are apart; written to the scratch folder.
+
+    pages are (file, page, text, images, apart), images being an array of ord, width, height, corners and content, null if apart; made adds columns or drops text.
+    """
+    from .scratch import written
 
-    found = _read(files, backend, "pdf_scan", _SCAN, _all(content))
-    target = scratch_path(files.sparkSession, "pages")
-    found.write.parquet(target)
-    return files.sparkSession.read.schema(found.schema).parquet(target)
+    found = written(made(_read(files, backend, "pdf_scan", _SCAN, _all(content))), "pages")
+    return found.where("ord is null").drop("ord", "content"), found.where("ord is not null").select("file", "page", "ord", "content")
 
 
-def _is_scan(files: DataFrame | Folder) -> bool:
-    return isinstance(files, DataFrame) and {"ord", "text"} <= set(files.columns)
+def with_places(files: Folder, backend=default_backend) -> DataFrame:
+    """(file, page, text, images) of PDF files, as of `scanned`, without content."""
+    return _read(files, backend, "pdf_with_places", _WITH_PLACES, _with_places)
 
 
 def pages(files: DataFrame | Folder, backend=default_backend) -> DataFrame:
-    """(file, page from 1, text) of PDF files, or of what `scanned` gives; a file that cannot be read stops the job with its error."""
-    if _is_scan(files):
-        return files.where("ord is null").select("file", "page", "text")
+    """(file, page from 1, text) of PDF files; a file that cannot be read stops the job with its error."""
     return _read(files, backend, "pdf_pages", _PAGES, _texts)
 
 
 def page_images(files: DataFrame | Folder, backend=default_backend, content: bool = True) -> DataFrame:
     """The images of the pages of PDF files, ord from 1 in the backend's order, with their bytes or (content=False) without."""
-    if _is_scan(files):
-        return files.where("ord is not null").select([x.split()[0] for x in (_IMAGES if content else _PLACES).split(", ")])
     return _read(files, backend, "pdf_images", _IMAGES, _pictures) if content else _read(files, backend, "pdf_places", _PLACES, _places)
 
 
@@ -226,12 +239,11 @@ def whole_text(found: DataFrame) -> DataFrame:
     return own.select("file", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
 
 
-def placed(images: DataFrame, native: tuple[int, int] = (80, 40), shown: float = 20) -> DataFrame:
-    """Images of at least the native size in pixels, shown at least so many points wide and high."""
-    return images.where((F.col("width") >= native[0]) & (F.col("height") >= native[1]) & (F.col("x1") - F.col("x0") >= shown) & (F.col("y1") - F.col("y0") >= shown))
+def placed(images: Column, native: tuple[int, int] = (80, 40), shown: float = 20) -> Column:
+    """Of a page's images those of at least the native size in pixels, shown at least so many points wide and high."""
+    return F.filter(images, lambda i: (i["width"] >= native[0]) & (i["height"] >= native[1]) & (i["x1"] - i["x0"] >= shown) & (i["y1"] - i["y0"] >= shown))
 
 
-def wide(images: DataFrame, width: int = 100) -> DataFrame:
-    """Images wider than so many pixels, numbered within their page."""
-    ix = F.row_number().over(Window.partitionBy("file", "page").orderBy("ord"))
-    return images.where(F.col("width") > width).withColumn("image_ix", ix)
+def wide(images: Column, width: int = 100) -> Column:
+    """Of a page's images those wider than so many pixels."""
+    return F.filter(images, lambda i: i["width"] > width)

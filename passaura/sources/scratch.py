@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -25,3 +25,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     files.mkdirs(parent)
     files.deleteOnExit(parent)
     return path
+
+
+def written(found: DataFrame, name: str) -> DataFrame:
+    """A table written to a new scratch path and read from there: what is read several times is worked out once."""
+    path = scratch_path(found.sparkSession, name)
+    found.write.parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)

@@ -183,3 +183,43 @@ def test_words_of_pages_are_dealt_out_once(spark):
     found = tables.rows(words, rules)
     assert sorted(map(tuple, found.collect())) == [("a", 1, 0, ["x y"]), ("b", 1, 0, ["z"])]
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+PAGES = {
+    "autoban": "top\nData/Hora\n01/02/2024 10:00:00\n02\nABC1234\nData/Hora none\nData/Hora\n02/02/2024 10:00:00\n1\nXYZ9A87\n", "prototype": "top\nData/Hora\n01/02/2024 10:00:00\n02\nABC1234\nData/Hora none\nData/Hora\n02/02/2024 10:00:00\n1\nXYZ9A87\n",
+    "eixosp": "12AB0123456789\n03\nABC1234\n", "ecovias": "E77 31/02/2024 10:00:00 SP330 12+300 Posto Azul 3 Norte Vila 55 ABC1234 Alfa - KA 1 R$ 9,70 Envio",
+    "intervias": "AAAA0000000000000001 01/02/2024 10:00:00 330 KM 1+2 PRACA 2 SUL CIDADE 68 ABC1234 MARCA /MODELO X 2 11,20 R$ NOME",
+}
+
+
+@pytest.mark.parametrize("together", [1 << 20, 3])
+@pytest.mark.parametrize(("name", "want"), [("autoban", "cdab"), ("prototype", "ab"), ("eixosp", "acd"), ("ecovias", "acd"), ("intervias", "acd")])
+def test_what_a_page_tells_needs_no_exchange(spark, monkeypatch, name, want, together):
+    """Passages and the places of images were dealt out by file or page and sorted there, the texts parsed for each use; the bytes of pages of over `together` come from rows of their own."""
+    from passaura.plans import providers
+
+    monkeypatch.setattr(pdf, "TOGETHER", together)
+
+    def backend(content):
+        sizes = {b"a": (400, 50, 0), b"b": (90, 60, 200), b"c": (400.0, 10, 0), b"d": (400, 10, 60)}
+        yield PAGES[name], [{"width": w, "height": 300, "x0": x, "y0": y, "x1": x + 50, "y1": y + 50, "content": c} for c, (w, y, x) in sizes.items()]
+        yield "none", [{"width": 20, "height": 30, "x0": 0, "y0": 0, "x1": 9, "y1": 9, "content": b"z"}]
+        yield "no picture", []
+
+    files = spark.createDataFrame([("mem:/a.pdf", b"x"), ("mem:/b.pdf", b"y")], "file string, content binary")
+    passages, images = getattr(providers, f"read_{name}")(spark, files, backend=backend)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+    assert exchanges(passages) == 0 and exchanges(images) <= (4 if name == "ecovias" else 2)
+    keys = {r.passage_id: (r.file, r["k"] if "k" in passages.columns else 0) for r in passages.collect()}
+    found = sorted((*keys[r.passage_id], r.image_ix, bytes(r.content).decode()) for r in images.collect())
+    assert "".join(x for file, *_, x in found if file == "mem:/a.pdf") == want and len(found) == 2 * len(want) and len(keys) == 2 * (1 + ("k" in passages.columns))
+
+
+def test_batches_of_nested_rows():
+    from passaura.sources import chunks
+
+    rows = [("a", [(1, 2.0), (2, None)]), ("b", []), ("c", [(3, 4.5)])]
+    (own,) = chunks.batches(rows, "file string, images array<struct<ord:int,x0:double>>")
+    assert [(r["file"], [tuple(x.values()) for x in r["images"]]) for r in own.to_pylist()] == rows
+    (own,) = chunks.batches([("a", [])], "file string, images array<struct<ord:int,x0:double>>")
+    assert own.to_pylist() == [{"file": "a", "images": []}]
