@@ -22,6 +22,8 @@ from ..sources.scratch import written
 
 #: The logo in the block workbooks, and picture types that are no photographs.
 LOGO, DRAWN = ("image1.png",), (".emf", ".wmf")
+#: The last row that can be a header.
+HEADS = 40
 _ROAD = ("sp", "km", "plaza", "lane", "direction", "city", "code")
 _OCR = {"plate_result": "Placa OCR", "ocr_raw": "OCR Bruto", "status": "Status OCR", "difference": "Diferença OCR", "image_used": "Imagem Usada", "total_images": "Total Imagens", "images_with_ocr": "Imagens c/ OCR"}
 _MATCHED = {"plate_result": "Placa OCR", "ocr_raw": "OCR Bruto", "status": "Status OCR", "matches": "Caracteres coincidentes", "difference": "Diferenca OCR", "image_used": "Imagem Usada", "total_images": "Total Imagens", "images_with_ocr": "Imagens c/ OCR"}
@@ -95,13 +97,16 @@ def _named_rows(cells: DataFrame, heads: DataFrame, fields: dict[str, tuple[str,
 
     Files whose header lacks a field are left out; of columns alike the last counts.
     """
-    titles = cells.join(heads.select("file", F.col("header_row").alias("row")), ["file", "row"]).select("file", "col", V.strict_name(F.col("raw")).alias("name"), F.col("raw").alias("title"))
+    # the few cells of headers give a row for each file, which meets the cells by file alone
+    titles = cells.where(F.col("row") <= HEADS).join(heads.select("file", F.col("header_row").alias("row")), ["file", "row"]).select("file", "row", "col", V.strict_name(F.col("raw")).alias("name"), F.col("raw").alias("title"))
     ranked = [F.when(F.col("name").isin(*map(V.strict_key, names)), F.col("col")) for names in fields.values()]
-    have = titles.groupBy("file").agg(*(F.max(c).alias(n) for n, c in zip(fields, ranked, strict=True))).na.drop()
-    body = cells.join(heads, "file").where(F.col("row") > F.col("header_row")).join(titles, ["file", "col"]).join(have, "file")
-    image = F.when(is_image(F.col("name"), F.col("title")) & V.has_value(F.col("raw")), F.struct("col", F.trim(F.translate("raw", '"', "")).alias("value"), "title"))
+    shown = F.when(is_image(F.col("name"), F.col("title")), F.struct("col", "title"))
+    have = titles.groupBy("file").agg(*(F.max(c).alias(n) for n, c in zip(fields, ranked, strict=True)), F.max("row").alias("header_row"), F.collect_set("col").alias("cols"), F.collect_list(shown).alias("shown")).na.drop()
+    body = cells.select("file", "row", "col", "raw").join(have, "file").where((F.col("row") > F.col("header_row")) & F.array_contains("cols", F.col("col")))
+    value = F.trim(F.translate("raw", '"', ""))
+    image = F.when(V.has_value(F.col("raw")), F.transform(F.filter("shown", lambda t: t["col"] == F.col("col")), lambda t: F.struct(t["col"].alias("col"), value.alias("value"), t["title"].alias("title"))))
     picks = [F.max(F.when(F.col("col") == F.col(n), F.col("raw"))).alias(n) for n in fields]
-    return body.groupBy("file", "row").agg(*picks, F.array_sort(F.collect_list(image)).alias("images"))
+    return body.groupBy("file", "row").agg(*picks, F.array_sort(F.flatten(F.collect_list(image))).alias("images"))
 
 
 def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image, sound=S.is_picture, fetch: Callable[[DataFrame], DataFrame] | None = None, skip: bool = False):
@@ -112,7 +117,7 @@ def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image,
     """
     found, scan = S.files(spark, path, "xlsx"), xlsx.scanned(spark, path, every=True, skip=skip)
     cells = xlsx.cells(scan)
-    rows = _named_rows(cells, heads(cells), fields, is_image)
+    rows = written(_named_rows(cells, heads(cells), fields, is_image), "rows")
     passages = rows.select(_key("file", "row"), "*")
     folder = F.regexp_replace("file", r"[^/]*\z", "")
     named = passages.select("passage_id", folder.alias("folder"), F.posexplode("images").alias("n", "i"))
@@ -135,7 +140,7 @@ def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image,
 def read_eixovp(spark: SparkSession, path: str, sound=S.is_picture, fetch=None, skip: bool = False, **_):
     """A table whose header is found by its names in the first 40 rows."""
     fields = {"expected_plate": ("PLACA",), "external_id": ("ID_PASSAGEM",), "date_time": ("DATA_HORA",)}
-    heads = lambda cells: sheets.header_rows(cells, ("placa", "idpassagem", "datahora"))
+    heads = lambda cells: sheets.header_rows(cells, ("placa", "idpassagem", "datahora"), HEADS)
     return _tables(spark, path, heads, fields, lambda name, title: name.contains("imagem") | name.contains("foto"), sound, fetch, skip)
 
 

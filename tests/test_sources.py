@@ -389,3 +389,17 @@ def test_documents_of_a_query_are_made_once(spark, tmp_path):
     rows = spark.createDataFrame([(b, k, 10 * b + k, "ABC1D23", ["ABC1D23", None]) for b in range(3) for k in (1, 0)], "book long, k int, passage_id long, expected_plate string, texts array<string>")
     passages, images = providers.read_spvias(spark, books.made(rows, "b{}.xlsx", build))
     assert passages.count() == 6 and images.count() == 12 and len(log.read_text()) == 3
+
+
+@pytest.mark.parametrize("name", ["bandeiras", "eixovp"])
+def test_rows_of_tables_are_made_once(spark, tmp_path, name):
+    """They were made out of all cells for each use; columns without title and a header further down do not disturb."""
+    head, titles = {"bandeiras": (8, ["ID Transacao", "Data Passagem", "Hora Passagem", "Categoria", "Placa", "Imagem da Passagem 1"]), "eixovp": (3, ["Placa", "ID_PASSAGEM", "DATA HORA", "Foto 1", "Foto 2"])}[name]
+    own = {head: dict(enumerate(titles, 1)), head + 1: {k: "ABC1D23" if t == "Placa" else '"p.png"' if t in ("Imagem da Passagem 1", "Foto 2") else " gone.png" if t == "Foto 1" else f"v{k}" for k, t in enumerate(titles, 1)}, head + 2: {9: "no title"}}
+    book(tmp_path / "a.xlsx", {1: {1: "x"}} | own)
+    (tmp_path / "p.png").write_bytes(b"picture")
+    passages, images = getattr(providers, f"read_{name}")(spark, str(tmp_path), sound=F.isnotnull)
+    (r,), (i,) = passages.collect(), images.collect()
+    assert (r.row, r.expected_plate, r.origin) == (head + 1, "ABC1D23", titles[-1]) and (i.passage_id, bytes(i.content)) == (r.passage_id, b"picture")
+    for df in (passages, images):
+        assert "EqualTo(kind,cell)" not in df._jdf.queryExecution().executedPlan().toString()
