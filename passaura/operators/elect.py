@@ -6,6 +6,8 @@ count. Here that is a filter by what comes before: all images are read at once,
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +68,22 @@ def instrumented(boxes: DataFrame, candidates: DataFrame, by: tuple[str, ...] =
     its candidates: cand_ix, raw, text, confidence, valid, score. Candidates of boxes that are not accepted do not count, and have no variants.
     """
     w, h = F.col("x2").cast("int") - F.col("x1").cast("int"), F.col("y2").cast("int") - F.col("y1").cast("int")
-    seen = boxes.select(*by, "box_ix", F.col("conf").alias("box_conf"), (w / F.greatest(h, F.lit(1))).alias("ratio"), box_reason(F.col("conf"), w, h).alias("reason"))
-    text = P.normalize(F.coalesce("text", F.lit("")), F.col("mask"))
-    read = candidates.select(*by, "box_ix", "variant_ix", "cand_ix", F.col("text").alias("raw"), text.alias("text"), "confidence").withColumn("valid", P.is_valid(F.col("text")))
-    read = read.withColumn("score", F.col("confidence") + F.when(F.col("valid"), 5.0).otherwise(0.0) - 2.0 * F.abs(F.length("text") - 7))
+    seen = boxes.select(*by, "box_ix", F.struct(F.col("conf").alias("conf"), (w / F.greatest(h, F.lit(1))).alias("ratio"), box_reason(F.col("conf"), w, h).alias("reason")).alias("seen"))
+    # both are dealt out by image as they come; what follows is grouped where it lies
+    read = candidates.select(*by, "box_ix", "variant_ix", F.struct("cand_ix", F.col("text").alias("raw"), "mask", "confidence").alias("c"))
+    both = seen.unionByName(read, allowMissingColumns=True).repartition(*by)
+    raw = F.when(F.col("c").isNotNull(), F.coalesce("c.raw", F.lit("")))
+    both = both.withColumn("text", P.normalize(raw, F.col("c.mask"))).withColumn("valid", P.is_valid(F.col("text")))
+    both = both.withColumn("score", F.col("c.confidence") + F.when(F.col("valid"), 5.0).otherwise(0.0) - 2.0 * F.abs(F.length("text") - 7))
     first = lambda *place: F.when(F.col("score") > -1, F.struct(F.negate("score").alias("s"), *place))
-    one = F.struct("cand_ix", "raw", "text", "confidence", "valid", "score")
-    variants = read.groupBy(*by, "box_ix", "variant_ix").agg(F.array_sort(F.collect_list(one)).alias("candidates"), F.min_by(F.struct("text", "confidence", "score", "cand_ix"), first("cand_ix")).alias("b"))
+    one = F.when(F.col("c").isNotNull(), F.struct("c.cand_ix", "c.raw", "text", "c.confidence", "valid", "score"))
+    variants = both.groupBy(*by, "box_ix", "variant_ix").agg(F.collect_list("seen").alias("seen"), F.array_sort(F.collect_list(one)).alias("candidates"), F.min_by(F.struct("text", "c.confidence", "score", "c.cand_ix"), first("c.cand_ix")).alias("b"))
     best = [F.coalesce("b.text", F.lit("")).alias("best_text"), F.coalesce("b.confidence", F.lit(0.0)).alias("best_confidence"), F.coalesce("b.score", F.lit(-1.0)).alias("best_score")]
-    variant = F.struct("variant_ix", *best, "candidates")
-    held = variants.groupBy(*by, "box_ix").agg(F.array_sort(F.collect_list(variant)).alias("variants"))
-    joined = seen.join(held, [*by, "box_ix"], "left").withColumn("variants", F.when(F.col("reason").isNull(), F.coalesce("variants", F.array().cast(held.schema["variants"].dataType))).otherwise(F.array().cast(held.schema["variants"].dataType)))
+    variant = F.when(F.size("candidates") > 0, F.struct("variant_ix", *best, "candidates"))
+    held = variants.groupBy(*by, "box_ix").agg(F.flatten(F.collect_list("seen")).alias("seen"), F.array_sort(F.collect_list(variant)).alias("variants"))
+    known = functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*by, "box_ix")))  # nulls are no place that a candidate could be at
+    joined = held.select(*by, "box_ix", F.explode("seen").alias("seen"), F.when(known, F.col("variants")).otherwise(F.array().cast(held.schema["variants"].dataType)).alias("variants"))
+    joined = joined.select(*by, "box_ix", F.col("seen.conf").alias("box_conf"), "seen.ratio", "seen.reason", F.when(F.col("seen.reason").isNull(), F.col("variants")).otherwise(F.array().cast(held.schema["variants"].dataType)).alias("variants"))
     # the first variant of a box with its most, and over boxes likewise
     top = F.array_min(F.transform(F.filter("variants", lambda v: v["best_score"] > -1), lambda v: F.struct(F.negate(v["best_score"]).alias("s"), v["variant_ix"].alias("variant_ix"), v["best_text"].alias("text"))))
     joined = joined.withColumn("top", top)

@@ -186,3 +186,13 @@ def test_instrumented(spark):
     assert [c.raw for c in a.boxes[2].variants[0].candidates] == ["abc-1234", "ABC1234"] and a.boxes[0].variants[0].best_text == "" and a.boxes[0].variants[0].best_score == -1
     assert (got[2].n_accepted, got[2].best_text, got[2].best_score, got[2].best_box) == (0, "", -1.0, None) and re.match("confidence", got[2].boxes[0].reason)
     assert elect.instrumented(boxes.limit(0), texts).count() == 0
+
+
+def test_instrumented_is_dealt_out_once(spark):
+    """Nested variants went through an exchange for the join of boxes, and all again for the images; nulls meet nothing, repeated boxes each have the variants."""
+    boxes = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 1, 0.8), (1, 1, None, 0.7), (None, 1, 1, 0.9)], "passage_id long, image_ix int, box_ix int, conf double").selectExpr("*", "0D x1", "0D y1", "90D x2", "30D y2")
+    texts = spark.createDataFrame([(1, 1, None, 1, 1, 1, "ABC1234", 0.9), (1, 1, None, None, 1, 1, "ABC1234", 0.9), (None, 1, None, 1, 1, 1, "ABC1234", 0.9), (3, 1, None, 1, 1, 1, "ABC1234", 0.9)], "passage_id long, image_ix int, mask string, box_ix int, variant_ix int, cand_ix int, text string, confidence double")
+    found = elect.instrumented(boxes, texts)
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    got = {r.passage_id: r for r in found.collect()}
+    assert set(got) == {1, None} and [(b.box_ix, len(b.variants)) for b in got[1].boxes] == [(None, 0), (1, 1), (1, 1)] and [len(b.variants) for b in got[None].boxes] == [0] and got[None].best_text == ""
