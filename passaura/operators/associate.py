@@ -24,7 +24,7 @@ def with_ends(starts: DataFrame) -> DataFrame:
 
 
 def images_in_blocks(starts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(file, first_row, image_ix, anchor_row, media) of each anchor in the block whose rows hold it.
+    """(file, first_row, image_ix, anchor_row, media) of each anchor in the block whose rows hold it, with content if the anchors have it.
 
     starts (file, first_row), anchors (file, anchor_row, media, ord). The blocks of a file do not overlap, so
     the interval join is the last start at or before the anchor: one window over both, no pairs. Images
@@ -32,12 +32,13 @@ def images_in_blocks(starts: DataFrame, anchors: DataFrame) -> DataFrame:
     """
     rows = F.lit(None).cast("string"), F.lit(None).cast("int")
     events = starts.select("file", F.col("first_row").alias("row"), F.lit(0).alias("kind"), F.col("first_row").alias("start"), rows[0].alias("media"), rows[1].alias("ord"))
-    events = events.unionByName(anchors.select("file", F.col("anchor_row").alias("row"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["first_row"].dataType).alias("start"), "media", F.col("ord").cast("int").alias("ord")))
+    more = [c for c in ("content",) if c in anchors.columns]
+    events = events.unionByName(anchors.select("file", F.col("anchor_row").alias("row"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["first_row"].dataType).alias("start"), "media", F.col("ord").cast("int").alias("ord"), *more), allowMissingColumns=True)
     order = Window.partitionBy("file").orderBy("row", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = events.withColumn("first_row", F.last("start", ignorenulls=True).over(order)).where("kind = 1 and first_row is not null")
     held = held.withColumn("seen", F.min("ord").over(Window.partitionBy("file", "first_row", "row")))
     ix = F.row_number().over(Window.partitionBy("file", "first_row").orderBy("seen", "ord", "media"))
-    return held.select("file", "first_row", ix.alias("image_ix"), F.col("row").alias("anchor_row"), "media")
+    return held.select("file", "first_row", ix.alias("image_ix"), F.col("row").alias("anchor_row"), "media", *more)
 
 
 def images_from_row(records: DataFrame, anchors: DataFrame, row: int = 6) -> DataFrame:

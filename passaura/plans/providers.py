@@ -33,11 +33,22 @@ def _key(*columns: str):
     return F.xxhash64(*columns).alias("passage_id")
 
 
-def _with_content(placed: DataFrame, found: DataFrame, late: bool, skip: bool) -> DataFrame:
-    """(passage_id, image_ix, content): the pictures' bytes come last, so that only names are sorted and counted; late: file and part (see `sources.late`)."""
+def _opened(spark: SparkSession, path: str | DataFrame, late: bool = False, skip: bool = False, every: bool = False) -> tuple[DataFrame, bool, DataFrame]:
+    """What `xlsx.scanned` gives; whether its anchors have their pictures with them; the pictures' bytes by file and name. Workbooks of a table are opened once, and what is in them is kept."""
+    kept = isinstance(path, DataFrame) and not late
+    scan = xlsx.scanned(spark, path, every, skip, contents=kept)
+    if not kept:
+        return scan, False, xlsx.media(S.files(spark, path, "xlsx"), skip)
+    return scan, scan.where("kind = 'media'").isEmpty(), scan.where("content is not null").select("file", "media", "content")
+
+
+def _with_content(placed: DataFrame, contents: DataFrame, late: bool) -> DataFrame:
+    """(passage_id, image_ix, content): pictures that are not with their anchors come last, so that only names are sorted and counted; late: file and part (see `sources.late`)."""
     if late:
         return placed.select("passage_id", "image_ix", "file", F.col("media").alias("part"))
-    return placed.join(xlsx.media(found, skip), ["file", "media"]).select("passage_id", "image_ix", "content")
+    if "content" in placed.columns:
+        return placed.where("content is not null").select("passage_id", "image_ix", "content")
+    return placed.join(contents, ["file", "media"]).select("passage_id", "image_ix", "content")
 
 
 def _pages(spark: SparkSession, path: str | DataFrame, backend, late: bool, made: Callable[[DataFrame], DataFrame] = lambda pages: pages) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,24 +83,24 @@ def _first_sheet(cells: DataFrame, preferred: str) -> DataFrame:
 
 def read_spvias(spark: SparkSession, path: str, late: bool = False, skip: bool = False, **_):
     """Blocks that begin where column A counts; images anchored in a block's rows, without the logo."""
-    found, scan = S.files(spark, path, "xlsx"), xlsx.scanned(spark, path, skip=skip)
+    scan, together, contents = _opened(spark, path, late, skip)
     cells = xlsx.cells(scan)
     blocks = associate.blocks(cells)
     names = ("seq", "external_id", "date", "time", *_ROAD, "expected_plate", "model", "category", "axles", "fare", "responsible")
     rows = sheets.record_rows(cells, {n: k for k, n in enumerate(names, 1)}, blocks.select("file", F.col("first_row").alias("row")))
     passages = rows.select(_key("file", "row"), "*")
-    placed = associate.images_in_blocks(blocks.select("file", "first_row"), xlsx.anchors(scan, without=LOGO))
-    return passages, _with_content(placed.withColumn("passage_id", F.xxhash64("file", "first_row")), found, late, skip)
+    placed = associate.images_in_blocks(blocks.select("file", "first_row"), xlsx.anchors(scan, without=LOGO, contents=together))
+    return passages, _with_content(placed.withColumn("passage_id", F.xxhash64("file", "first_row")), contents, late)
 
 
 def read_colinas(spark: SparkSession, path: str, late: bool = False, skip: bool = False, **_):
     """One passage in row 6 of the sheet of photographs; all images from that row on."""
-    found, scan = S.files(spark, path, "xlsx"), xlsx.scanned(spark, path, skip=skip)
+    scan, together, contents = _opened(spark, path, late, skip)
     cells = _first_sheet(xlsx.cells(scan), "Fotos").where("row = 6")
     names = ("external_id", "date", "time", *_ROAD, "expected_plate", "model", "axles", "fare", "responsible")
     passages = sheets.record_rows(cells, {n: k for k, n in enumerate(names, 2)}).select(_key("file", "row"), "*")
-    placed = associate.images_from_row(passages.select("file", "passage_id"), xlsx.anchors(scan, without_types=DRAWN))
-    return passages, _with_content(placed, found, late, skip)
+    placed = associate.images_from_row(passages.select("file", "passage_id"), xlsx.anchors(scan, without_types=DRAWN, contents=together))
+    return passages, _with_content(placed, contents, late)
 
 
 def _named_rows(cells: DataFrame, heads: DataFrame, fields: dict[str, tuple[str, ...]], is_image) -> DataFrame:
@@ -115,7 +126,7 @@ def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image,
     sound says of a column of bytes whether they are a picture; what is none is passed over. fetch takes addresses
     (path) and gives (path, content), such as `files.fetched` for trusted hosts; without it cells with addresses name nothing.
     """
-    found, scan = S.files(spark, path, "xlsx"), xlsx.scanned(spark, path, every=True, skip=skip)
+    scan, together, contents = _opened(spark, path, skip=skip, every=True)
     cells = xlsx.cells(scan)
     rows = written(_named_rows(cells, heads(cells), fields, is_image), "rows")
     passages = rows.select(_key("file", "row"), "*")
@@ -127,9 +138,10 @@ def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image,
     if fetch:
         beside = beside.unionByName(fetch(named.where(F.col("path").rlike("^https?://")).select("path")))
     from_files = named.join(beside.where(sound(F.col("content"))), "path").groupBy("passage_id").agg(F.min_by(F.struct("origin", "content"), "n").alias("a"))
-    anchored = xlsx.anchors(scan)
+    anchored = xlsx.anchors(scan, contents=together)
     anchored = anchored.withColumn("row", associate.shifted_row(F.col("anchor_row"), F.col("row_off"), F.col("row_height")))
-    pictures = anchored.select("file", "row", "media", "ord").join(xlsx.media(found, skip).where(sound(F.col("content"))), ["file", "media"])
+    pictures = anchored if together else anchored.join(contents, ["file", "media"])
+    pictures = pictures.where(F.col("content").isNotNull() & sound(F.col("content"))).select("file", "row", "media", "ord", "content")
     first = pictures.groupBy("file", "row").agg(F.min_by(F.struct(F.col("media").alias("origin"), "content"), "ord").alias("b"))
     embedded = passages.select("passage_id", "file", "row").join(first, ["file", "row"]).select("passage_id", "b")
     chosen = passages.select("passage_id").join(from_files, "passage_id", "left").join(embedded, "passage_id", "left").select("passage_id", F.coalesce("a", "b").alias("c")).where("c is not null")
