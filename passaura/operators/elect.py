@@ -114,10 +114,17 @@ def _compared(passages: DataFrame, reads: DataFrame) -> DataFrame:
     return joined.withColumn("read", P.normalize(F.col("raw"), F.col("mask")))
 
 
-def _before(stop: Column) -> Column:
-    """Whether an earlier image of the passage has met `stop`."""
-    earlier = Window.partitionBy("passage_id").orderBy("image_ix").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.max(F.coalesce(stop, F.lit(False))).over(earlier), F.lit(False))
+def _grouped(own: DataFrame, stop: Column, *best: Column) -> DataFrame:
+    """A row of each passage: *best, total_images, images_with_ocr (those up to the first that meets `stop`), plate.
+
+    One aggregation: of a passage's readings only the places are held together, and none are sorted.
+    """
+    place = F.struct("image_ix")  # a null place is the first
+    found = own.groupBy("passage_id").agg(
+        *best, F.count("*").alias("total_images"), F.first("plate").alias("plate"), F.min(F.when(stop, place)).alias("stop"), F.collect_list(F.when(F.col("raw").isNotNull(), place)).alias("places")
+    )
+    seen = F.size(F.filter("places", lambda x: F.col("stop").isNull() | (x <= F.col("stop"))))
+    return found.withColumn("images_with_ocr", seen).drop("stop", "places")
 
 
 def _evaluated(passages: DataFrame, best: DataFrame, approved: Column, shown: Column, raw: Column, *more: Column) -> DataFrame:
@@ -141,13 +148,10 @@ def evaluate_by_distance(passages: DataFrame, reads: DataFrame, show: str = "exp
     to compare with) elects nothing. total_images counts all images, images_with_ocr readable ones up to the stop.
     """
     own = _compared(passages, reads).withColumn("difference", P.distance(F.col("plate"), F.col("read")))
-    own = own.withColumn("late", _before(F.col("difference") == 0))
-    live = ~F.col("late")
     entry = F.struct("image_ix", "difference", "read", "raw")
-    rank = F.when(live & F.col("raw").isNotNull() & (F.col("difference") < P.UNREAD_COST), F.struct("difference", "image_ix"))
-    best = own.groupBy("passage_id").agg(
-        F.min_by(entry, rank).alias("best"), F.count("*").alias("total_images"), F.count_if(live & F.col("raw").isNotNull()).alias("images_with_ocr"), F.first("plate").alias("plate")
-    )
+    # the first at distance 0 is the least of all by difference and place, so what follows it cannot be elected
+    rank = F.when(F.col("raw").isNotNull() & (F.col("difference") < P.UNREAD_COST), F.struct("difference", "image_ix"))
+    best = _grouped(own, F.col("difference") == 0, F.min_by(entry, rank).alias("best"))
     approved = F.coalesce(F.col("best.difference") <= max_distance, F.lit(False))
     read = F.nullif(F.col("best.read"), F.lit(""))
     shown = read if show == "read" else F.when(approved, F.col("plate")).otherwise(read)
@@ -160,12 +164,14 @@ def evaluate_by_matches(passages: DataFrame, reads: DataFrame, min_matches: int
     Reading stops at min_matches, which also approve. The column matches is added.
     """
     own = _compared(passages, reads).withColumns({"difference": P.distance(F.col("plate"), F.col("read")), "matches": P.matches(F.col("plate"), F.col("read"))})
-    own = own.withColumn("late", _before(F.col("matches") >= min_matches))
-    live = ~F.col("late") & F.col("raw").isNotNull()
+    stop = F.col("matches") >= min_matches
     entry = F.struct("image_ix", "difference", "read", "raw", "matches")
-    counts = live & ((F.col("matches") > 0) | (F.col("difference") < P.UNREAD_COST))
+    counts = F.col("raw").isNotNull() & ((F.col("matches") > 0) | (F.col("difference") < P.UNREAD_COST))
     rank = F.when(counts, F.struct(F.negate("matches").alias("m"), "difference", "image_ix"))
-    best = own.groupBy("passage_id").agg(F.min_by(entry, rank).alias("best"), F.count("*").alias("total_images"), F.count_if(live).alias("images_with_ocr"), F.first("plate").alias("plate"))
+    # what stops has more matches than all before it, so it is elected if reading stops
+    first = F.min_by(F.struct(F.when(counts, entry).alias("e")), F.when(stop, F.struct("image_ix", rank.alias("r"))))
+    best = _grouped(own, stop, F.min_by(entry, rank).alias("most"), first.alias("first"))
+    best = best.withColumn("best", F.when(F.col("first").isNotNull(), F.col("first.e")).otherwise(F.col("most")))
     approved = F.coalesce(F.col("best.matches") >= min_matches, F.lit(False))
     shown = F.when(approved, F.col("plate")).otherwise(F.nullif(F.col("best.read"), F.lit("")))
     return _evaluated(passages, best, approved, shown, F.col("best.raw"), F.coalesce("best.matches", F.lit(0)).alias("matches"))
