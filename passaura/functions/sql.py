@@ -24,6 +24,11 @@ def _own(text: str) -> str:
     return f"filter(split({text}, ''), c -> c <> '')"
 
 
+def _kinds(text: str) -> str:
+    """A text with each character as its kind: see `plate.distance`."""
+    return f"translate({text}, {', '.join(map(repr, P.KINDS))})"
+
+
 def _cost(y: str) -> str:
     """What it costs, in hundredths, to exchange x for y."""
     return f"CASE WHEN x = {y} THEN 0 WHEN instr('{P.BOTH_WAYS}', concat(x, {y})) > 0 THEN 35 ELSE 100 END"
@@ -42,7 +47,8 @@ FUNCTIONS = (
     ("plate_of(t STRING, found STRING)", "STRING", "CASE WHEN plate_is_valid(t) OR t = '' THEN t WHEN length(t) >= 7 THEN coalesce(found, substring(t, 1, 7)) ELSE t END"),
     ("plate_distance_of(a STRING, b STRING)", "DOUBLE", f"""CASE WHEN a = '' OR b = '' THEN {P.UNREAD_COST}D WHEN a = b THEN 0D
         WHEN startswith(a, b) OR endswith(a, b) OR startswith(b, a) OR endswith(b, a) THEN CAST(abs(length(a) - length(b)) AS DOUBLE)
-        ELSE coalesce(CASE WHEN length(a) = length(b) THEN get(filter(array(aggregate(zip_with({_own("a")}, {_own("b")}, (x, y) -> {_cost("y")}), 0, (n, x) -> n + x)), n -> n <= 200), 0) END,
+        ELSE coalesce(CASE WHEN levenshtein(a, b) = levenshtein({_kinds("a")}, {_kinds("b")}) THEN 100 * levenshtein(a, b) END,
+        CASE WHEN length(a) = length(b) THEN get(filter(array(aggregate(zip_with({_own("a")}, {_own("b")}, (x, y) -> {_cost("y")}), 0, (n, x) -> n + x)), n -> n <= 200), 0) END,
         get(transform(array({_own("b")}), b -> aggregate({_own("a")}, transform(sequence(0, size(b)), j -> 100 * j), (above, x) -> aggregate(sequence(1, size(b)), array(get(above, 0) + 100),
         (row, j) -> array_append(row, least(get(above, j) + 100, get(row, j - 1) + 100, get(above, j - 1) + {_cost("get(b, j - 1)")}))), last -> get(last, size(b)))), 0)) / 100D END"""),
     ("plate_distance(expected STRING, read STRING)", "DOUBLE", "plate_distance_of(coalesce(plate_clean(expected), ''), coalesce(plate_clean(read), ''))"),

@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from passaura.functions import plain
 from passaura.functions import plate as P
 from passaura.functions import text as T
 from passaura.functions import values as V
@@ -222,3 +223,16 @@ def test_evaluations_sort_no_readings(spark):
     assert shown(by_matches) == [(1, 2, 4, 2, "ABC1234"), (2, None, 2, 1, "ABC1234"), (3, 2, 4, 1, "ABC1299"), (4, None, 0, 0, "")]
     for df in (by_distance, by_matches):
         assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distance_between_bounds(spark):
+    """Where confusions make no difference the distance is the built-in edit distance, else weighed; the table was filled for all before."""
+    kind = str.maketrans(*P.KINDS)
+    assert all(x.translate(kind) == y.translate(kind) for x, y in P.CONFUSED.split())
+    r = random.Random(3)
+    some = lambda of: "".join(r.choice(of) for _ in range(r.randint(1, 9)))
+    pairs = [(some("0OD1ILT2Z7"), some("0OD1ILT2Z7")) for _ in range(400)] + [(some("4A5S6G8BE3X"), some("4A5S6G8BE3X")) for _ in range(400)] + [(some("ABC0123O"), some("XYZ6789D")) for _ in range(400)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", P.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(x.d == plain.distance(x.a, x.b) for x in rows)
+    plan = spark.createDataFrame(pairs, "a string, b string").select(P.distance(F.col("a"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan
