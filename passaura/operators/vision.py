@@ -13,6 +13,7 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,31 +106,55 @@ def candidates(images: DataFrame, make: Callable[[], Reader], confidence: float
 def readings(images: DataFrame, detector: Callable[[], Detector], reader: Callable[[], Reader], top: int = 1, enough: float = 0.0, confidence: float | None = None, fetch: Fetcher | None = None) -> DataFrame:
     """(passage_id, image_ix, ocr_text) of images (passage_id, image_ix, mask, content): null where nothing is read.
 
-    Each distinct image is detected once and read once for each mask, the `top` most confident usable boxes of it. With
-    fetch (see `sources.late`), images have file and part in the place of content: tasks fetch the bytes they
-    look at, and only names, digests, boxes and texts are shuffled.
+    Each distinct image is detected once, by batches, and read once for each mask, the `top` most confident usable boxes of it up to a valid text. Images are dealt
+    out by digest and lie beside their copies, so what is read goes to all of them where it was read: one exchange, no join. Copies of one image are one
+    task's, which holds a batch of them. With fetch (see `sources.late`), images have file and part in the place of content: tasks fetch the bytes they
+    look at, and only names and digests are shuffled.
     """
     if fetch:
-        digests = hashed(images.select(*_REF).distinct(), fetch)
-        keyed = images.join(digests.withColumnsRenamed({"file": "_file", "part": "_part"}), (F.col("file") == F.col("_file")) & F.col("part").eqNullSafe(F.col("_part"))).drop("_file", "_part")
-        contents = digests.groupBy("content_sha").agg(F.min(F.struct(*_REF)).alias("ref")).select("content_sha", "ref.*")
+        digests = hashed(images.select(*_REF).distinct(), fetch).withColumnsRenamed({"file": "_file", "part": "_part"})
+        keyed = images.join(digests, (F.col("file") == F.col("_file")) & F.col("part").eqNullSafe(F.col("_part")))
     else:
         keyed = images.withColumn("content_sha", F.sha2("content", 256))
-        contents = keyed.where("content is not null").groupBy("content_sha").agg(F.first("content").alias("content"))
-    found = boxes(contents, detector, fetch=fetch)
-    usable = elect.top_boxes(found, ("content_sha",), top)
-
-    def read(distinct: DataFrame) -> DataFrame:
-        shown = distinct.join(usable, "content_sha").join(contents, "content_sha")
-        texts = candidates(shown.select("content_sha", "mask", *_held(fetch), "box_ix", "x1", "y1", "x2", "y2"), reader, confidence, fetch)
-        return elect.elected_text(texts, ("content_sha", "mask"), enough)
-
-    return elect.read_once(keyed.select("passage_id", "image_ix", "mask", "content_sha"), read).select("passage_id", "image_ix", "ocr_text")
-
-
-def _elected(content: bytes, mask: str | None, detector: Detector, reader: Reader, top: int, enough: float, confidence: float | None) -> str | None:
-    """One image's text, as elect.top_boxes and elect.elected_text choose it; what follows a valid one is not read, if the reader reads on demand."""
-    ranked = sorted(enumerate(detector.detect([content])[0], 1), key=lambda b: (-b[1][4], b[0]))[:top]
+    own = keyed.select("passage_id", "image_ix", "mask", "content_sha", *_held(fetch))
+
+    content = fetch or (lambda x: x)
+
+    def over(batches):
+        eyes, reads = detector(), reader()
+        sha, seen, known = None, None, {}  # the image at hand, its bytes and boxes, its texts by mask
+        for batch in batches:
+            shas, masks, texts = batch.column("content_sha").to_pylist(), batch.column("mask").to_pylist(), [None] * batch.num_rows
+            held = [batch.column(c) for c in _held(fetch)]
+            first = [n for n, x in enumerate(shas) if x is not None and x != (shas[n - 1] if n else sha)]
+            for k in range(0, max(len(first), 1), BATCH):
+                part = first[k : k + BATCH]
+                found = _detected({n: content(*(c[n].as_py() for c in held)) for n in part}, eyes)
+                for n in range(part[0] if k else 0, first[k + BATCH] if k + BATCH < len(first) else len(shas)):
+                    if shas[n] is None:
+                        continue
+                    if n in found:
+                        sha, seen, known = shas[n], found[n], {}
+                    if masks[n] not in known:
+                        known[masks[n]] = _elected(*seen, masks[n], reads, top, enough, confidence)
+                    texts[n] = known[masks[n]]
+            yield pa.RecordBatch.from_arrays([batch.column("passage_id"), batch.column("image_ix"), pa.array(texts, pa.string())], ["passage_id", "image_ix", "ocr_text"])
+
+    # images without bytes have no digest and are dealt out by their own place
+    dealt = own.repartition(F.coalesce("content_sha", F.concat_ws("/", "passage_id", "image_ix"))).sortWithinPartitions("content_sha", "mask")
+    return dealt.mapInArrow(over, own.select("passage_id", "image_ix").schema.add("ocr_text", "string"))
+
+
+def _detected(contents: dict[int, bytes | None], detector: Detector) -> dict[int, tuple[bytes | None, list]]:
+    """Images with their boxes, by their numbers; none of a null image."""
+    own = {n: x for n, x in contents.items() if x is not None}
+    found = dict(zip(own, detector.detect(list(own.values())), strict=True)) if own else {}
+    return {n: (x, found.get(n, [])) for n, x in contents.items()}
+
+
+def _elected(content: bytes | None, boxes: list, mask: str | None, reader: Reader, top: int, enough: float, confidence: float | None) -> str | None:
+    """The text of an image with these boxes, as elect.top_boxes and elect.elected_text choose it; what follows a valid one is not read, if the reader reads on demand."""
+    ranked = sorted(enumerate(boxes, 1), key=lambda b: (-b[1][4], b[0]))[:top]
     best, most = None, -1.0
     for _, (*corners, conf) in sorted(ranked):
         x1, y1, x2, y2 = map(int, corners)
@@ -179,7 +204,7 @@ def read_until(images: DataFrame, detector: Callable[[], Detector], reader: Call
                     if key not in known:
                         if len(known) >= KNOWN:
                             known.pop(next(iter(known)))
-                        known[key] = _elected(content, mask, eyes, reads, top, enough, confidence)
+                        known[key] = _elected(*_detected({0: content}, eyes)[0], mask, reads, top, enough, confidence)
                     text = known[key]
                 rows.append((r.passage_id, r.image_ix, text, False))
                 if text and text.strip() and text != P.UNREAD:

@@ -196,3 +196,21 @@ def test_instrumented_is_dealt_out_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
     got = {r.passage_id: r for r in found.collect()}
     assert set(got) == {1, None} and [(b.box_ix, len(b.variants)) for b in got[1].boxes] == [(None, 0), (1, 1), (1, 1)] and [len(b.variants) for b in got[None].boxes] == [0] and got[None].best_text == ""
+
+
+def test_readings_are_dealt_out_once(spark, tmp_path):
+    """Images went through seven exchanges, two with their bytes; copies over several batches of Arrow are detected once, and read once for each mask."""
+    rows = [(p, k, (None, "LLLDDDD", "LLLDLDD")[p % 3], None, None if p % 9 == 4 else b"" if p % 9 == 5 else b"AB%d%04d" % (k, p % 40)) for p in range(120) for k in (1, 2)]
+    images = spark.createDataFrame(rows, IMAGES).repartition(5)
+    found = vision.readings(images, lambda: Noted(str(tmp_path)), lambda: Noted(str(tmp_path)), top=3)
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {(x.passage_id, x.image_ix): x.ocr_text for x in found.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert counted(tmp_path, "detect") == len({x[4] for x in rows if x[4] is not None})
+    assert counted(tmp_path, "read") <= 2 * len({(x[4], x[2]) for x in rows if x[4] is not None})
+    texts = spark.createDataFrame([(p, k, m, b, v, n, t, c) for p, k, m, _, x in rows if x is not None for b in (1, 3) for v, of in enumerate(([(x[:3], 0.5), (x[3:], 0.5), (x, 0.5)], [(x, 0.8)]), 1) for n, (t, c) in enumerate([(a.decode(), c) for a, c in of], 1)],
+                                  "passage_id long, image_ix int, mask string, box_ix int, variant_ix int, cand_ix int, text string, confidence double")
+    want = {(x.passage_id, x.image_ix): x.ocr_text for x in elect.elected_text(texts).collect()}
+    assert len(got) == len(rows) and got == {(p, k): want.get((p, k)) for p, k, *_ in rows} and any(got.values())
