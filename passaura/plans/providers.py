@@ -33,10 +33,10 @@ def _key(*columns: str):
     return F.xxhash64(*columns).alias("passage_id")
 
 
-def _opened(spark: SparkSession, path: str | DataFrame, late: bool = False, skip: bool = False, every: bool = False) -> tuple[DataFrame, bool, DataFrame]:
+def _opened(spark: SparkSession, path: str | DataFrame, late: bool = False, skip: bool = False, every: bool = False, whole: bool = False) -> tuple[DataFrame, bool, DataFrame]:
     """What `xlsx.scanned` gives; whether its anchors have their pictures with them; the pictures' bytes by file and name. Workbooks of a table are opened once, and what is in them is kept."""
     kept = isinstance(path, DataFrame) and not late
-    scan = xlsx.scanned(spark, path, every, skip, contents=kept)
+    scan = xlsx.scanned(spark, path, every, skip, contents=kept, whole=whole)
     if not kept:
         return scan, False, xlsx.media(S.files(spark, path, "xlsx"), skip)
     return scan, scan.where("kind = 'media'").isEmpty(), scan.where("content is not null").select("file", "media", "content")
@@ -103,21 +103,21 @@ def read_colinas(spark: SparkSession, path: str, late: bool = False, skip: bool
     return passages, _with_content(placed, contents, late)
 
 
-def _named_rows(cells: DataFrame, heads: DataFrame, fields: dict[str, tuple[str, ...]], is_image) -> DataFrame:
-    """(file, row, *fields, images) below the header row of each file; fields by the strict names of their column, images in column order.
+def _named_rows(cells: DataFrame, rows: DataFrame, heads: DataFrame, fields: dict[str, tuple[str, ...]], is_image) -> DataFrame:
+    """(file, row, *fields, images) of rows (file, row, cells) below the header row of each file; fields by the strict names of their column, images in column order.
 
-    Files whose header lacks a field are left out; of columns alike the last counts.
+    Files whose header lacks a field are left out, and rows without a cell below a title; of columns alike the last counts.
     """
-    # the few cells of headers give a row for each file, which meets the cells by file alone
+    # the few cells of headers give a row for each file, which meets the rows by file alone
     titles = cells.where(F.col("row") <= HEADS).join(heads.select("file", F.col("header_row").alias("row")), ["file", "row"]).select("file", "row", "col", V.strict_name(F.col("raw")).alias("name"), F.col("raw").alias("title"))
     ranked = [F.when(F.col("name").isin(*map(V.strict_key, names)), F.col("col")) for names in fields.values()]
     shown = F.when(is_image(F.col("name"), F.col("title")), F.struct("col", "title"))
     have = titles.groupBy("file").agg(*(F.max(c).alias(n) for n, c in zip(fields, ranked, strict=True)), F.max("row").alias("header_row"), F.collect_set("col").alias("cols"), F.collect_list(shown).alias("shown")).na.drop()
-    body = cells.select("file", "row", "col", "raw").join(have, "file").where((F.col("row") > F.col("header_row")) & F.array_contains("cols", F.col("col")))
-    value = F.trim(F.translate("raw", '"', ""))
-    image = F.when(V.has_value(F.col("raw")), F.transform(F.filter("shown", lambda t: t["col"] == F.col("col")), lambda t: F.struct(t["col"].alias("col"), value.alias("value"), t["title"].alias("title"))))
-    picks = [F.max(F.when(F.col("col") == F.col(n), F.col("raw"))).alias(n) for n in fields]
-    return body.groupBy("file", "row").agg(*picks, F.array_sort(F.flatten(F.collect_list(image))).alias("images"))
+    body = rows.join(have, "file").where((F.col("row") > F.col("header_row")) & F.arrays_overlap("cells.col", "cols"))
+    named = F.filter("cells", lambda c: F.array_contains("shown.col", c["col"]) & V.has_value(c["raw"]))
+    value = lambda c: F.trim(F.translate(c["raw"], '"', ""))
+    images = F.transform(named, lambda c: F.transform(F.filter("shown", lambda t: t["col"] == c["col"]), lambda t: F.struct(t["col"].alias("col"), value(c).alias("value"), t["title"].alias("title"))))
+    return body.select("file", "row", *(xlsx.value_at(F.col(n)).alias(n) for n in fields), F.array_sort(F.flatten(images)).alias("images"))
 
 
 def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image, sound=S.is_picture, fetch: Callable[[DataFrame], DataFrame] | None = None, skip: bool = False):
@@ -126,9 +126,9 @@ def _tables(spark: SparkSession, path: str | DataFrame, heads, fields, is_image,
     sound says of a column of bytes whether they are a picture; what is none is passed over. fetch takes addresses
     (path) and gives (path, content), such as `files.fetched` for trusted hosts; without it cells with addresses name nothing.
     """
-    scan, together, contents = _opened(spark, path, skip=skip, every=True)
+    scan, together, contents = _opened(spark, path, skip=skip, every=True, whole=True)
     cells = xlsx.cells(scan)
-    rows = written(_named_rows(cells, heads(cells), fields, is_image), "rows")
+    rows = written(_named_rows(cells, xlsx.rows(scan), heads(cells), fields, is_image), "rows")
     passages = rows.select(_key("file", "row"), "*")
     folder = F.regexp_replace("file", r"[^/]*\z", "")
     named = passages.select("passage_id", folder.alias("folder"), F.posexplode("images").alias("n", "i"))
@@ -172,12 +172,12 @@ SYNONYMS = {
 
 def reference_sheet(spark: SparkSession, path: str, header: int = 5) -> DataFrame:
     """(id, plate, date, time, category, sheet_row) of a sheet with a header row; columns that are missing are empty, ids upper case."""
-    cells = xlsx.cells(xlsx.scanned(spark, path))
+    scan = xlsx.scanned(spark, path, whole=True)
     loose = F.regexp_replace(F.lower(F.trim(T.without_accents(F.col("raw")))), r"\s+", " ")
-    titles = cells.where(F.col("row") == header).select("file", "col", loose.alias("name"))
+    titles = xlsx.cells(scan).where(F.col("row") == header).select("file", "col", loose.alias("name"))
     place = lambda names: F.min(F.when(F.col("name").isin(*names), F.struct(F.array_position(F.array(*map(F.lit, names)), F.col("name")).alias("p"), "col")))["col"]
     have = titles.groupBy("file").agg(*(place(list(names)).alias(f"c_{n}") for n, names in SYNONYMS.items()))
-    body = cells.where(F.col("row") > header).join(have, "file").groupBy("file", "row").agg(*(F.max(F.when(F.col("col") == F.col(f"c_{n}"), F.col("raw"))).alias(n) for n in SYNONYMS))
+    body = xlsx.rows(scan).where(F.col("row") > header).join(have, "file").select("file", "row", *(xlsx.value_at(F.col(f"c_{n}")).alias(n) for n in SYNONYMS))
     return body.select(F.upper(F.trim(F.coalesce("id", F.lit("")))).alias("id"), *(F.coalesce(n, F.lit("")).alias(n) for n in ("plate", "date", "time", "category")), F.col("row").alias("sheet_row"))
 
 

@@ -29,14 +29,15 @@ def batches(rows: Iterable[tuple], columns: str, most: int = ROWS, size: int = B
     """The rows in order, in batches of at most so many rows, each ended by the row that brings it to so many bytes; no rows: no batch. columns as "name type, ...", a type can be array<struct<name:type,...>>."""
     names, kinds = zip(*(x.split() for x in columns.split(", ")), strict=True)
     made = lambda held: pa.RecordBatch.from_arrays([_column(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+    sized, nested = [k for k, x in enumerate(kinds) if x in ("string", "binary")], [k for k, x in enumerate(kinds) if x.startswith("array")]
     held, n = [], 0
     for row in rows:
         held.append(row)
-        for x in row:
-            if type(x) is str or type(x) is bytes:
+        for k in sized:
+            if x := row[k]:
                 n += len(x)
-            elif type(x) is list:
-                n += sum(len(v) for own in x for v in own if type(v) is bytes)
+        for k in nested:
+            n += sum(len(v) for own in row[k] for v in own if type(v) is bytes or type(v) is str)
         if len(held) >= most or n >= size:
             yield made(held)
             held, n = [], 0

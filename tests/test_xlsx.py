@@ -163,3 +163,29 @@ def test_rows_from_events():
 <w:c><w:f>1+1</w:f><w:v>2</w:v></w:c><w:c r="AA2" t="str"><w:v/></w:c><w:c r="AB2" t="b"><w:v>1</w:v></w:c><w:c r="AC2"/></w:row><w:row><w:c><w:v>1.5</w:v></w:c></w:row></w:sheetData></w:worksheet>"""
     rows = list(xlsx.Workbook(_edited(book, "xl/worksheets/sheet1.xml", lambda _: sheet.encode())).rows())
     assert rows == [("Plan1", 2, 381_000, [(2, "a&bé<", "str"), (3, "2", "int"), (27, "", "str"), (28, "1", "bool")]), ("Plan1", 3, None, [(1, "1.5", "float")])]
+
+
+def test_rows_are_scanned_whole(spark, tmp_path, folder):
+    """A row's cells were rows of their own, which an exchange and a sort put together again; now only rows of one number in several sheets are, and repeated ones."""
+    from passaura.sources.files import files
+
+    def grouped(cells):
+        return sorted((r.file, r.row, tuple(sorted(map(tuple, r.c)))) for r in cells.groupBy("file", "row").agg(F.collect_list(F.struct("col", "raw", "type")).alias("c")).collect())
+
+    shown = lambda df: sorted((r.file, r.row, tuple(sorted(map(tuple, r.cells)))) for r in df.collect())
+    (tmp_path / "one").mkdir()
+    with open(tmp_path / "one" / "a.xlsx", "wb") as f:
+        f.write(books.workbook({1: {1: "x"}, 3: {1: "Placa", 4: 5}, 4: {2: "<&>\x01", 3: True}}, [(3, 0, "oneCellAnchor", "m.png", b"p")], heights={2: 30.0}))
+    with zipfile.ZipFile(tmp_path / "one" / "a.xlsx") as z, zipfile.ZipFile(tmp_path / "repeated.xlsx", "w") as out:
+        for name in z.namelist():
+            own = z.read(name)
+            out.writestr(name, own.replace(b'r="4"', b'r="3"') if name.endswith("sheet1.xml") else own)
+    for path, alone in ((tmp_path / "one", True), (folder, False), (tmp_path / "repeated.xlsx", False)):
+        for source in (str(path), files(spark, str(path), "xlsx")):
+            plain, whole = xlsx.scanned(spark, source, True), xlsx.scanned(spark, source, True, whole=True)
+            found = xlsx.rows(whole)
+            assert shown(found) == grouped(xlsx.cells(plain)) == grouped(xlsx.cells(whole)) != []
+            assert sorted(map(tuple, xlsx.anchors(plain).collect())) == sorted(map(tuple, xlsx.anchors(whole).collect()))
+            assert ("Exchange" not in found._jdf.queryExecution().executedPlan().toString()) == alone
+    merged = xlsx.rows(xlsx.scanned(spark, str(tmp_path / "repeated.xlsx"), whole=True)).where("row = 3").select(xlsx.value_at(F.lit(1)), xlsx.value_at(F.lit(2)), xlsx.value_at(F.lit(9))).first()
+    assert tuple(merged) == ("Placa", "<&>", None)
