@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +30,25 @@ def made(rows: DataFrame, name: str, build: Callable[[list[dict]], bytes], by: s
         return f"mem:/{base}", base, len(content), content
 
     def over(batches):
-        return chunks.batches((one(value.as_py(), own.as_py()) for batch in batches for value, own in zip(batch.column(0), batch.column(1), strict=True)), FILES)
+        return chunks.batches((one(value.as_py(), _records(own.values)) for batch in batches for value, own in zip(batch.column(0), batch.column(1), strict=True)), FILES)
 
     own = F.struct("k", *(c for c in rows.columns if c not in ("k", by)))
     return kept(rows.repartition(by).groupBy(by).agg(F.array_sort(F.collect_list(own)).alias("rows")).mapInArrow(over, FILES))
 
 
+def _records(own) -> list[dict]:
+    """Structs of Arrow as dictionaries, a column at a time: one by one they cost as much as the file that is made of them."""
+    fields = dict(zip((f.name for f in own.type), own.flatten(), strict=True))
+    return [dict(zip(fields, x, strict=True)) for x in zip(*map(_values, fields.values()), strict=True)]
+
+
+def _values(column) -> list:
+    if not pa.types.is_list(column.type) or column.null_count:
+        return column.to_pylist()
+    flat, ends = column.flatten().to_pylist(), column.offsets.to_pylist()  # of this book alone, but places in the batch
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def kept(files: DataFrame) -> DataFrame:
     """A table of files, written to the scratch folder and read from there: a layout looks at its files several times, and they are made once."""
     path = scratch_path(files.sparkSession, "files")

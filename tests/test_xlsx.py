@@ -189,3 +189,63 @@ def test_rows_are_scanned_whole(spark, tmp_path, folder):
             assert ("Exchange" not in found._jdf.queryExecution().executedPlan().toString()) == alone
     merged = xlsx.rows(xlsx.scanned(spark, str(tmp_path / "repeated.xlsx"), whole=True)).where("row = 3").select(xlsx.value_at(F.lit(1)), xlsx.value_at(F.lit(2)), xlsx.value_at(F.lit(9))).first()
     assert tuple(merged) == ("Placa", "<&>", None)
+
+
+HEAD, FOOT = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>', "</sheetData></worksheet>"
+PLAIN = '<row r="2" ht="15.5" customHeight="1"><c r="A2" s="3" t="s"><v>5</v></c><c r="C2"/><c r="D2" t="inlineStr"><is><t>é x</t></is></c><c r="E2" t="inlineStr"><is><t xml:space="preserve"></t></is></c></row>'
+OTHER = {
+    "plain": PLAIN * 2000, "none": "", "escaped": PLAIN * 900 + '<row r="7"><c r="A7" t="inlineStr"><is><t>a&amp;b</t></is></c></row>' + PLAIN * 900, "unnumbered": PLAIN + "<row><c><v>1</v></c></row>" + PLAIN, "lines": PLAIN + "\n" + PLAIN,
+    "commented": PLAIN + "<!-- " + PLAIN + " -->", "formula": PLAIN + '<row r="8"><c r="A8"><f>1+1</f><v>2</v></c></row>' + PLAIN, "cut": PLAIN * 3 + "<row r=", "stray": PLAIN + '<row r="9"><c r="A9"><v>1</v></c></row></x>',
+    "long": PLAIN + '<row r="3"><c r="A3" t="inlineStr"><is><t>' + "z" * 700_000 + "</t></is></c></row>" + PLAIN, "empty": '<row r="1"></row>' + PLAIN + '<row r="5"/>', "ends": PLAIN + '<row r="3"><c r="B3" t="str"><v>q\r\nw</v></c></row>',
+}
+
+
+@pytest.mark.parametrize("name", OTHER)
+def test_plain_rows_are_the_parsers(name):
+    """A comment before the rows has the parser read all of them: both ways give the same rows, and the same error at the same place."""
+    import io
+
+    def found(head, foot=FOOT):
+        out = []
+        try:
+            for row, height, cells in xlsx._rows_in(io.BytesIO((head + OTHER[name] + foot).encode())):
+                out.append((row, height, [xlsx._value(*c, [str(k) for k in range(9)], set()) for _, *c in cells], [c[0] for c in cells]))
+        except xlsx.ET.ParseError:
+            out.append("error")
+        return out
+
+    slow = HEAD.replace("<sheetData>", "<!-- --><sheetData>")
+    assert found(HEAD) == found(slow) and found(HEAD, "") == found(slow, "") and found(HEAD, "")[-1] == "error"
+    assert found(slow.replace("UTF-8", "ISO-8859-1")) == found(HEAD.replace("UTF-8", "ISO-8859-1"))
+    assert (found(HEAD)[-1:] == ["error"]) == (name in ("cut", "stray"))
+
+
+def test_plain_rows_are_not_parsed(monkeypatch):
+    """The parser called back for each of seven events of a cell, which was most of a scan."""
+    import io
+
+    shown, create = [], xlsx.expat.ParserCreate
+
+    class Counted:
+        def __init__(self, **options):
+            self.__dict__["own"] = create(**options)
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        def Parse(self, data, last):
+            shown.append(len(data))
+            return self.own.Parse(data, last)
+
+    monkeypatch.setattr(xlsx.expat, "ParserCreate", Counted)
+    assert sum(1 for _ in xlsx._rows_in(io.BytesIO((HEAD + PLAIN * 5000 + FOOT).encode()))) == 5000 and sum(shown) == len(HEAD) + len(FOOT)
+
+
+def test_records_of_a_batch():
+    """The rows of each book of a batch as dictionaries, with lists and nulls, as Arrow gives them one by one."""
+    import pyarrow as pa
+
+    rows = [[{"k": k, "texts": [None if n % 3 else f"t{b}{n}" for n in range(k % 4)], "maybe": None if k % 2 else ["x"], "plate": None if k == 3 else f"p{k}"} for k in range(b)] for b in (5, 0, 9, 1)]
+    column = pa.array(rows)
+    for c in (column, column.slice(1, 3)):
+        assert [books._records(x.values) for x in c] == c.to_pylist()
