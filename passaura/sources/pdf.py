@@ -214,7 +214,7 @@ def scanned(files: DataFrame, backend=default_backend, content: bool = True, mad
     """
     from .scratch import written
 
-    found = written(made(_read(files, backend, "pdf_scan", _SCAN, _all(content))), "pages")
+    found = written(made(_read(files, backend, "pdf_scan", _SCAN, _all(content))), "pages", of_files=True)
     return found.where("ord is null").drop("ord", "content"), found.where("ord is not null").select("file", "page", "ord", "content")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passaura.sources import chunks, xlsx
-from passaura.sources.scratch import scratch_path
+from passaura.sources.scratch import written
 
 FILES = "file string, name string, length long, content binary"
 TWO, ONE = "twoCellAnchor", "oneCellAnchor"
@@ -30,10 +31,11 @@ def made(rows: DataFrame, name: str, build: Callable[[list[dict]], bytes], by: s
         return f"mem:/{base}", base, len(content), content
 
     def over(batches):
-        return chunks.batches((one(value.as_py(), _records(own.values)) for batch in batches for value, own in zip(batch.column(0), batch.column(1), strict=True)), FILES)
+        rows = (r for batch in batches for r in _records(batch.to_struct_array()))
+        return chunks.batches((one(value, list(own)) for value, own in groupby(rows, itemgetter(by))), FILES)
 
-    own = F.struct("k", *(c for c in rows.columns if c not in ("k", by)))
-    return kept(rows.repartition(by).groupBy(by).agg(F.array_sort(F.collect_list(own)).alias("rows")).mapInArrow(over, FILES))
+    # in order, not gathered: a task holds the rows of one file and not those of all its files
+    return kept(rows.repartition(by).sortWithinPartitions(by, "k", *(c for c in rows.columns if c not in ("k", by))).mapInArrow(over, FILES))
 
 
 def _records(own) -> list[dict]:
@@ -45,15 +47,13 @@ def _records(own) -> list[dict]:
 def _values(column) -> list:
     if not pa.types.is_list(column.type) or column.null_count:
         return column.to_pylist()
-    flat, ends = column.flatten().to_pylist(), column.offsets.to_pylist()  # of this book alone, but places in the batch
+    flat, ends = column.flatten().to_pylist(), column.offsets.to_pylist()  # places in the whole column, of which this may be a part
     return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def kept(files: DataFrame) -> DataFrame:
     """A table of files, written to the scratch folder and read from there: a layout looks at its files several times, and they are made once."""
-    path = scratch_path(files.sparkSession, "files")
-    files.write.option("compression", "zstd").parquet(path)
-    return files.sparkSession.read.schema(files.schema).parquet(path)
+    return written(files, "files", "zstd")
 
 
 def workbook(rows: dict[int, dict[int, object]], pictures: list[tuple[int, int, str, str, bytes]] = (), title: str = "Plan1", heights: dict[int, float] | None = None) -> bytes:

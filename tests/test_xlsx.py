@@ -249,3 +249,47 @@ def test_records_of_a_batch():
     column = pa.array(rows)
     for c in (column, column.slice(1, 3)):
         assert [books._records(x.values) for x in c] == c.to_pylist()
+
+
+def test_tables_of_files_are_taken_by_bytes(spark):
+    """A hundred files at least were one row group and one page, and sixteen files and more one batch: tasks held all of a partition's files several times."""
+    import glob
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from passaura.sources import scratch
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    def made(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([random.Random(k).randbytes(1 << 20)])], ["file", "content"])
+
+    files = spark.range(0, 40, 1, 1).mapInArrow(made, "file string, content binary")
+    before = [spark.conf.get(k) for k in (scratch._BATCH, scratch._UNPACKED)]
+    held = scratch.written(files, "files")
+    groups = [m.row_group(k).total_byte_size for f in glob.glob(held.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "/*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    assert sum(groups) >= 40 << 20 and max(groups) <= scratch.GROUP + (2 << 20)
+    taken = [r.n for r in scratch.written(held.coalesce(1).mapInArrow(sizes, "n long"), "sizes", of_files=True).collect()]
+    assert sum(taken) >= 40 << 20 and max(taken) <= scratch.PIECE + (2 << 20)
+    assert held.count() == 40 and [spark.conf.get(k) for k in (scratch._BATCH, scratch._UNPACKED)] == before
+
+
+def test_books_are_made_row_by_row(spark):
+    """A book's rows are in order of k whatever batches they come in, and are not gathered into one row before."""
+    import json
+
+    rows = spark.createDataFrame([(b, k, 100 + k, "ABC1D23", [f"t{k}", None][: k % 3]) for k in range(8) for b in (2, None, 0, 1)], "book long, k int, passage_id long, expected_plate string, texts array<string>")
+    build = lambda own: json.dumps([(r["k"], r["passage_id"], r["texts"]) for r in own]).encode()
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = books.made(rows.repartition(3), "x{}", build)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert {r.name: json.loads(bytes(r.content)) for r in found.collect()} == {f"x{b}": [[k, 100 + k, [f"t{k}", None][: k % 3]] for k in range(8)] for b in (2, None, 0, 1)}
