@@ -223,3 +223,31 @@ def test_batches_of_nested_rows():
     assert [(r["file"], [tuple(x.values()) for x in r["images"]]) for r in own.to_pylist()] == rows
     (own,) = chunks.batches([("a", [])], "file string, images array<struct<ord:int,x0:double>>")
     assert own.to_pylist() == [{"file": "a", "images": []}]
+
+
+def test_words_are_sorted_once(spark):
+    """Words were sorted by page four times, gathered twice, and filtered where they come from. Pages longer than a batch, null pages, ties, and what is no word."""
+    words = [("a", 1, f"w{k}", 40.0 * (k % 5), 10.0 * (k // 5), 40.0 * (k % 5) + 20, 10.0 * (k // 5) + 5) for k in range(50)]
+    words += [(None, None, x, 0.0, 0.0, 9.0, 5.0) for x in ("b", "a", "b", " ", None)] + [("c", 7, "  ", 0.0, 0.0, 9.0, 5.0), ("c", 8, "x", float("nan"), 0.0, 9.0, 5.0), ("c", 8, "y", 0.0, 0.0, None, 5.0)]
+    df = spark.createDataFrame(words, "file string, page int, word string, x0 double, y0 double, x1 double, y1 double")
+    found = tables.rows(df)
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r.file, r.page, r.line): r.cells for r in tables.rows(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert got == {("a", 1, k): [f"w{5 * k + c}" for c in range(5)] for k in range(10)} | {(None, None, 0): ["a b b"], ("c", 8, 0): ["x"]}
+    assert dict(found.dtypes) == {"file": "string", "page": "int", "line": "bigint", "cells": "array<string>"}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Sort [") == 1 and "Window" not in plan and "Filter" not in plan
+
+
+def test_pages_of_one_key():
+    """Pages whose keys are equal by chance stay apart, however their words are mixed."""
+    import pyarrow as pa
+
+    rows = [("f", p, f"{p}{n}", 10.0 * n, 0.0, 10.0 * n + 5, 5.0) for n in range(3) for p in (2, 1)]
+    made = lambda own: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*own, strict=True)] + [pa.array([5] * len(own))], ["file", "page", "word", "x0", "y0", "x1", "y1", "key"])
+    (pages,) = tables._whole([made(rows[:1]), made(rows[1:4]), made(rows[4:])])
+    assert tables._cells(pages, 3.0, pa.int32()).to_pylist() == [{"file": "f", "page": p, "line": 0, "cells": [f"{p}{n}" for n in range(3)]} for p in (2, 1)]
